@@ -191,6 +191,20 @@ FIXTURES: dict[str, list[Sel]] = {
         f"WHEN 4 THEN 'https://www.en.wikipedia.org/wiki/' || {_WIKI_TITLE} "
         f"ELSE {_WIKI_TITLE} END AS ref",
     ])],
+    # page title -> external id look-up
+    "wiki_ids": [
+        Sel(["part"], ["'enwiki' AS site", f"{_WIKI_TITLE} AS title",
+                       "'Q' || CAST(p_partkey AS {S}) AS wiki_id"]),
+        Sel(["pages"], ["'euwiki' AS site", "regexp_extract(html, 'href=\"/([^\"]*)\"', 1) AS title",
+                        "'Q' || CAST(100000 + page_id AS {S}) AS wiki_id"]),
+    ],
+    # T26: references to route (titles, dataset pages, web pages)
+    "source_refs": [Sel(["pages"], [
+        "page_id AS ref_id",
+        "CASE CAST(page_id % 4 AS INT) WHEN 1 THEN "
+        "'https://data.example.org/dataset.xhtml?persistentId=doi:10.5072/FK2/' || CAST(page_id AS {S}) "
+        "WHEN 2 THEN 'Title_' || CAST(page_id AS {S}) ELSE url END AS ref",
+    ])],
     # S5: JSON text payloads (ordered fields)
     "payloads": [Sel(["documents"], [
         "doc_id AS payload_id",

@@ -269,3 +269,12 @@ def with_fixtures(names, body: str) -> str:
     """Prefix an oracle query with the fixture CTEs it needs."""
     ctes = ",\n".join(f"{n} AS ({fixture_sql(n)})" for n in names)
     return f"WITH {ctes}\n{body}"
+
+
+# S2: rows of one dataset arriving from two source kinds (csv < spreadsheet)
+FIXTURES["source_rows"] = [
+    Sel(["customer"], ["c_mktsegment AS dataset", "'csv' AS source_kind", "1 AS priority", "c_custkey",
+                       "c_name"]),
+    Sel(["customer"], ["c_mktsegment AS dataset", "'spreadsheet' AS source_kind", "2 AS priority", "c_custkey",
+                       "c_name"], "c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0"),
+]

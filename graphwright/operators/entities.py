@@ -107,3 +107,26 @@ def jsonld_triples(meta: DataFrame) -> DataFrame:
         subj.alias("s"), F.col("context").alias("p"), F.col("value").alias("o"),
         F.lit("lit").alias("o_kind"), F.lit("").alias("lang"))
     return typ.unionByName(lits).distinct()
+
+
+def json_string_leaves_unrolled(records: DataFrame, id_col: str, json_col: str,
+                                depth: int = 8) -> DataFrame:
+    """Action-free variant of :func:`json_string_leaves` for a known maximum
+    depth (usable inside a streaming query, where no action may run)."""
+    cur = records.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("key"),
+                         F.expr(f"try_parse_json({json_col})").alias("v"))
+    m = F.expr("try_variant_get(v, '$', 'map<string,variant>')")
+    a = F.expr("try_variant_get(v, '$', 'array<variant>')")
+    scalar = m.isNull() & a.isNull()
+    out = None
+    for _ in range(depth + 1):
+        leaf = cur.where(F.col("key").isNotNull() & scalar & (F.expr("schema_of_variant(v)") == "STRING")) \
+            .select("_id", "key", F.expr("variant_get(v, '$', 'string')").alias("value"))
+        out = leaf if out is None else out.unionByName(leaf)
+        kids = F.concat(
+            F.coalesce(F.transform(F.map_entries(m), lambda e: F.struct(
+                e["key"].alias("key"), e["value"].alias("v"))), F.array()),
+            F.coalesce(F.transform(a, lambda x: F.struct(
+                F.lit(None).cast("string").alias("key"), x.alias("v"))), F.array()))
+        cur = cur.where(~scalar).select("_id", F.inline(kids))
+    return out.withColumnRenamed("_id", id_col)

@@ -1,0 +1,18 @@
+"""Parallelism guard for CPU-heavy row-wise operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster has cores (e.g. one small file feeding a regex-heavy parse).
+
+    A large input already arrives in many splits and is left untouched, so no
+    shuffle is added at scale."""
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -32,7 +32,7 @@ def json_string_leaves(records: DataFrame, id_col: str, json_col: str,
                 e["key"].alias("key"), e["value"].alias("v"))), F.array()),
             F.coalesce(F.transform(a, lambda x: F.struct(
                 F.lit(None).cast("string").alias("key"), x.alias("v"))), F.array()))
-        nxt = cur.where(~scalar).select("_id", F.inline(kids))
+        nxt = cur.where(~scalar).select("_id", F.inline_outer(kids)).where(F.col("v").isNotNull())
         nxt = nxt.checkpoint() if (depth + 1) % checkpoint_every == 0 \
             else nxt.persist(StorageLevel.MEMORY_AND_DISK)
         if nxt.isEmpty():
@@ -92,7 +92,8 @@ def ner_metadata(payloads: DataFrame, id_col: str = "payload_id", json_col: str
     type_arr = F.when(has_ent, F.array(item(F.lit("type"), F.lit(0), F.lit("entities")))) \
         .otherwise(F.array())
     rows = payloads.select(id_col, F.md5(content).alias("md5"),
-                           F.inline(F.concat(lang_arr, ent_arr, type_arr)))
+                           F.inline_outer(F.concat(lang_arr, ent_arr, type_arr))) \
+        .where(F.col("field").isNotNull())
     return rows.withColumn("context", case_map(F.col("field"), C.NER_CONTEXT, F.lit(None)))
 
 
@@ -128,5 +129,5 @@ def json_string_leaves_unrolled(records: DataFrame, id_col: str, json_col: str,
                 e["key"].alias("key"), e["value"].alias("v"))), F.array()),
             F.coalesce(F.transform(a, lambda x: F.struct(
                 F.lit(None).cast("string").alias("key"), x.alias("v"))), F.array()))
-        cur = cur.where(~scalar).select("_id", F.inline(kids))
+        cur = cur.where(~scalar).select("_id", F.inline_outer(kids)).where(F.col("v").isNotNull())
     return out.withColumnRenamed("_id", id_col)

@@ -30,7 +30,8 @@ def page_anchors(pages: DataFrame) -> DataFrame:
     site prefix."""
     arr = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"),
                        F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("inner"))
-    a = pages.select("page_id", "url", F.posexplode(arr).alias("pos", "a"))
+    a = pages.select("page_id", "url", F.posexplode_outer(arr).alias("pos", "a")) \
+        .where(F.col("pos").isNotNull())
     href = F.col("a.href")
     link = F.when(~href.contains("http"), F.concat(F.lit(C.WIKI_LINK_PREFIX), href)).otherwise(href)
     return (a.where(href != "")

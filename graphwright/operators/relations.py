@@ -41,18 +41,25 @@ def _last(kv: Column, key: str) -> Column:
 
 
 def atom_array(reply: Column, strip_quotes: bool = True) -> Column:
-    """``array<struct<atom_ix, concept1, ..., importance, n_keys>>`` of a reply."""
+    """``array<struct<atom_ix, concept1, ..., importance, n_keys>>`` of a reply.
+
+    Two passes: the first runs the line regex once per block and binds the
+    ``(k, v)`` array to a lambda variable; the second only reads that array
+    (Spark does not share sub-expressions inside lambdas, so extracting the
+    five keys straight from the regex pass would run it six times)."""
     blocks = F.split(reply, r"\}")
+    parsed = F.transform(blocks, lambda b, i: F.struct(i.cast("bigint").alias("atom_ix"),
+                                                       _kv_array(b, strip_quotes).alias("kv")))
 
-    def one(block, ix):
-        kv = _kv_array(block, strip_quotes)
-        fields = [ix.cast("bigint").alias("atom_ix")]
+    def one(x):
+        kv = x["kv"]
+        fields = [x["atom_ix"].alias("atom_ix")]
         fields += [_last(kv, k).alias(k) for k in ATOM_KEYS]
-        fields.append(F.size(F.array_distinct(F.transform(kv, lambda x: x["k"])))
+        fields.append(F.size(F.array_distinct(F.transform(kv, lambda e: e["k"])))
                       .cast("bigint").alias("n_keys"))
         return F.struct(*fields)
 
-    return F.filter(F.transform(blocks, one), lambda a: a["n_keys"] > 0)
+    return F.transform(F.filter(parsed, lambda x: F.size(x["kv"]) > 0), one)
 
 
 def normalize_relationship(rel: Column) -> Column:
@@ -63,7 +70,10 @@ def atoms(responses: DataFrame, min_size: int = MIN_SENTENCE_SIZE) -> DataFrame:
     """One row per atom of every gated reply; ``relationship`` normalised,
     ``relationship_raw`` as parsed."""
     g = gate(responses, min_size).where("has_data")
-    a = (g.select("doc_id", "uid", "sentence", F.inline(atom_array(F.col("reply")))))
+    # *_outer + null filter: an inner generator makes Catalyst add a
+    # size(array) > 0 filter that would run the whole parse a second time
+    a = (g.select("doc_id", "uid", "sentence", F.inline_outer(atom_array(F.col("reply"))))
+         .where(F.col("atom_ix").isNotNull()))
     return (a.withColumn("relationship_raw", F.col("relationship"))
             .withColumn("relationship", normalize_relationship(F.col("relationship"))))
 
@@ -98,7 +108,8 @@ def facts_starred(responses: DataFrame, min_size: int = MIN_SENTENCE_SIZE) -> Da
     """Older reader: commas removed (quotes stay), no normalisation,
     ``c1 *rel* c2``; atoms without the three keys are skipped."""
     g = gate(responses, min_size).where("has_data")
-    a = g.select("doc_id", "uid", F.inline(atom_array(F.col("reply"), strip_quotes=False)))
+    a = g.select("doc_id", "uid", F.inline_outer(atom_array(F.col("reply"), strip_quotes=False))) \
+        .where(F.col("atom_ix").isNotNull())
     return (a.where(_has("concept1", "relationship", "concept2"))
             .select("doc_id", "uid", "atom_ix",
                     F.concat(F.col("concept1"), F.lit(" *"), F.col("relationship"),

@@ -20,7 +20,7 @@ def reply_kv(replies: DataFrame, id_col: str = "reply_id", text_col: str = "resp
     is stored as ``summary``; a repeated key keeps its last value."""
     r = F.regexp_replace(F.replace(F.col(text_col), F.lit("\n"), F.lit("<br>")),
                          r"(?s)^.+<\|assistant\|>", "")
-    items = replies.select(id_col, F.posexplode(F.split(r, "<br>")).alias("pos", "item")) \
+    items = replies.select(id_col, F.posexplode_outer(F.split(r, "<br>")).alias("pos", "item")) \
         .where(F.col("item") != "")
     k = F.regexp_extract("item", KV_LINE, 1)
     key = F.when(k != "", F.replace(F.replace(k, F.lit("User's request in "), F.lit("")),
@@ -35,7 +35,8 @@ def keywords(replies: DataFrame, id_col: str = "reply_id", text_col: str = "resp
     """Every quoted word of a reply except the word ``keywords``, in order."""
     r = F.replace(F.col(text_col), F.lit("<br>"), F.lit("\n"))
     words = F.filter(F.regexp_extract_all(r, F.lit(r'"([^\n]+?)"'), 1), lambda w: w != "keywords")
-    return replies.select(id_col, F.posexplode(words).alias("pos", "keyword")) \
+    return replies.select(id_col, F.posexplode_outer(words).alias("pos", "keyword")) \
+        .where(F.col("pos").isNotNull()) \
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 

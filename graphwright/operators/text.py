@@ -12,7 +12,8 @@ def payload_fields(payloads: DataFrame, id_col: str = "payload_id",
                    json_col: str = "payload") -> DataFrame:
     """JSON object -> ``(pos, key, value)`` in field order."""
     m = F.from_json(F.col(json_col), "map<string,string>")
-    return payloads.select(id_col, F.posexplode(m).alias("pos", "key", "value")) \
+    return payloads.select(id_col, F.posexplode_outer(m).alias("pos", "key", "value")) \
+        .where(F.col("pos").isNotNull()) \
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -26,7 +27,7 @@ def payload_text(payloads: DataFrame, id_col: str = "payload_id",
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentence table ``(doc_id, uid, sentence, n_chars)``, ``uid`` 0-based."""
-    return (docs.select(id_col, F.posexplode(sentence_array(F.col(text_col)))
+    return (docs.select(id_col, F.posexplode_outer(sentence_array(F.col(text_col)))
                         .alias("uid", "sentence"))
             .where(F.col("sentence") != "")
             .select(id_col, F.col("uid").cast("bigint").alias("uid"), "sentence",
@@ -41,7 +42,7 @@ def sentence_gate(sents: DataFrame, min_size: int = MIN_SENTENCE_SIZE) -> DataFr
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Paragraphs split at blank lines; sentences inside joined by one space."""
     parts = F.split(F.col(text_col), r"\n[ \t]*\n")
-    return (docs.select(id_col, F.posexplode(parts).alias("para_ix", "p"))
+    return (docs.select(id_col, F.posexplode_outer(parts).alias("para_ix", "p"))
             .select(id_col, F.col("para_ix").cast("bigint").alias("para_ix"),
                     squeeze_sentence_breaks(F.col("p")).alias("paragraph"))
             .where(F.col("paragraph") != ""))
@@ -62,25 +63,35 @@ def _tokens(text_col: str):
     return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: t != "")
 
 
+def doc_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, token, c, t_doc)``: token counts per document over the whole text
+    (``t_doc`` = tokens in the document).  A partial aggregate."""
+    toks = docs.select(id_col, _tokens(text_col).alias("toks"))
+    return (toks.select(id_col, F.size("toks").alias("t_doc"), F.explode_outer("toks").alias("token"))
+            .where(F.col("token").isNotNull()).groupBy(id_col, "token").agg(F.count("*").alias("c"), F.first("t_doc").alias("t_doc")))
+
+
 def lang_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(lang, token, n)`` counts over whole texts."""
-    return (labelled.select(F.col(lang_col).alias("lang"), F.explode(_tokens(text_col)).alias("token"))
-            .groupBy("lang", "token").agg(F.count("*").alias("n")))
+    return (labelled.select(F.col(lang_col).alias("lang"), F.explode_outer(_tokens(text_col)).alias("token"))
+            .where(F.col("token").isNotNull()).groupBy("lang", "token").agg(F.count("*").alias("n")))
 
 
-def lang_detect(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Most likely language per document (add-one smoothed multinomial NB).
+def lang_profile_from_counts(doc_tok: DataFrame, doc_lang: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The same profile from per-document counts (reuses one tokenisation)."""
+    return (doc_tok.join(doc_lang.select(id_col, "lang"), id_col)
+            .groupBy("lang", "token").agg(F.sum("c").alias("n")))
 
-    score(d, l) = sum_t c(d,t)·ln(n(l,t)+1) − T(d)·ln(N(l)+V); only tokens seen
-    in a language contribute to the first term, so the join is an equi-join on
-    the token (no documents × languages cross product).
-    """
-    toks = docs.select(id_col, _tokens(text_col).alias("toks"))
-    doc_tok = (toks.select(id_col, F.size("toks").alias("t_doc"), F.explode("toks").alias("token"))
-               .groupBy(id_col, "token").agg(F.count("*").alias("c"), F.first("t_doc").alias("t_doc")))
-    vocab = profile.agg(F.count_distinct("token")).scalar()  # scalar subquery
-    lang_stats = profile.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+
+def lang_detect(doc_tok: DataFrame, profile: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Most likely language per document (multinomial naive Bayes with add-one
+    smoothing over each language's own vocabulary).
+
+    score(d, l) = sum_t c(d,t)·ln(n(l,t)+1) − T(d)·ln(N(l)+V(l)); only tokens
+    seen in a language contribute to the first term, so scoring is an
+    equi-join on the token (no documents × languages product).  A hot token
+    is a skewed join key on the document side only; AQE splits it."""
+    lang_stats = profile.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.count("*").alias("v_lang"))
     matched = (doc_tok.join(profile, "token")
                .groupBy(id_col, "lang")
                .agg(F.sum(F.col("c") * F.log(F.col("n") + 1)).alias("hit"),
@@ -88,7 +99,7 @@ def lang_detect(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id",
     # one row per language: bounded by the label set
     scored = matched.join(F.broadcast(lang_stats), "lang").select(
         id_col, "lang",
-        (F.col("hit") - F.col("t_doc") * F.log(F.col("n_lang") + vocab)).alias("score"))
+        (F.col("hit") - F.col("t_doc") * F.log(F.col("n_lang") + F.col("v_lang"))).alias("score"))
     return scored.groupBy(id_col).agg(
         F.max_by("lang", F.struct("score", "lang")).alias("lang_detected"),
         F.max("score").alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.parallel import spread
 from ..operators import text as X
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -17,7 +18,7 @@ _SENTS = f"""sents AS (SELECT doc_id, CAST(uid AS BIGINT) AS uid, sentence,
 
 
 def _sents(spark, sf):
-    return X.sentences(table(spark, sf, "documents").select("doc_id", "text"))
+    return X.sentences(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 @register("sentences", D.wf([], "SELECT * FROM sents", _SENTS))
@@ -43,7 +44,7 @@ SELECT doc_id, CAST(para_ix AS BIGINT) AS para_ix, paragraph FROM (
       SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t]*\\n') AS ps FROM documents)))
 WHERE paragraph <> ''"""))
 def q_paragraphs(spark, sf):
-    return X.paragraphs(table(spark, sf, "documents").select("doc_id", "text"))
+    return X.paragraphs(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 @register("payload_fields", D.wf(["payloads"], """
@@ -67,10 +68,14 @@ SELECT lang, token, count(*) AS n FROM (
   SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents)
 WHERE token <> '' GROUP BY ALL"""))
 def q_lang_profile(spark, sf):
-    return X.lang_profile(table(spark, sf, "documents").select("text", "lang"))
+    return X.lang_profile(spread(table(spark, sf, "documents").select("text", "lang")))
 
 
 @register("lang_detect")
 def q_lang_detect(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return X.lang_detect(docs.select("doc_id", "text"), X.lang_profile(docs))
+    """Train on the labelled documents and score every document (whole texts)."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    # the trained model is materialised once (reliable checkpoint in the
+    # shared folder); it is read twice while scoring
+    profile = X.lang_profile(docs).checkpoint()
+    return X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile)

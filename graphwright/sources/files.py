@@ -69,7 +69,8 @@ BINDING = "struct<type:string, value:string, `xml:lang`:string>"
 def bindings_flatten(results: DataFrame, id_col: str = "result_id", json_col: str = "result") -> DataFrame:
     """Query-service JSON results to rows ``(id, row_ix, var, value, lang)``."""
     j = F.from_json(F.col(json_col), f"struct<results:struct<bindings:array<map<string,{BINDING}>>>>")
-    rows = results.select(id_col, F.posexplode(j["results"]["bindings"]).alias("row_ix", "b"))
+    rows = results.select(id_col, F.posexplode_outer(j["results"]["bindings"]).alias("row_ix", "b")) \
+        .where(F.col("row_ix").isNotNull())
     return rows.select(id_col, F.col("row_ix").cast("bigint").alias("row_ix"),
                        F.explode("b").alias("var", "cell")) \
         .select(id_col, "row_ix", "var", F.col("cell.value").alias("value"),

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.parallel import spread
 from .tables import table
 
 NL = "chr(10)"
@@ -248,7 +249,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if sel.where:
             df = df.where(sel.where)
         parts.append(df.selectExpr(*exprs))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    # derived from small tables: spread CPU-heavy downstream parsing over the cores
+    return spread(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def fixture_sql(name: str) -> str:

@@ -1,11 +1,9 @@
 """Join helpers.
 
-Broadcast is used in two ways only:
+Broadcast is used in one way only:
 
 * ``join_fixed``: the small side is a fixed lookup table (a few rows of fixed
   values), so its size is bounded by construction.
-* ``join_checked``: the small side is measured first and broadcast only below
-  ``max_rows``; above it the join stays a shuffle join.
 
 Everything else is a plain join: AQE measures the real shuffle output at
 runtime, turns the join into a broadcast join only under
@@ -17,21 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_MAX_ROWS = 200_000
-
 
 def join_fixed(big: DataFrame, fixed: DataFrame, on, how: str = "inner") -> DataFrame:
     return big.join(F.broadcast(fixed), on, how)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A fixed lookup table built from a handful of fixed values."""
     return spark.createDataFrame(list(rows), schema)

@@ -11,8 +11,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A large input already arrives in many splits and is left untouched, so no
     shuffle is added at scale."""
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        sc = df.sparkSession.sparkContext
+        target = min_partitions or sc.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
         return df
     return df.repartition(target)

@@ -3,45 +3,63 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from ..functions.lineage import checkpoint
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.text import case_map
 
 
-def json_string_leaves(records: DataFrame, id_col: str, json_col: str,
-                       max_depth: int = 256, checkpoint_every: int = 4) -> DataFrame:
-    """``(id, key, value)`` for every JSON string that sits under an object key,
-    at any depth (strings directly inside arrays are not under a key).
+def _m():
+    return F.expr("try_variant_get(v, '$', 'map<string,variant>')")
+
+
+def _a():
+    return F.expr("try_variant_get(v, '$', 'array<variant>')")
 
-    One level per round: objects and arrays are opened with
-    ``try_variant_get(v, '$', 'map<string,variant>' | 'array<variant>')`` and
-    exploded; the loop stops when a level has no containers left."""
-    cur = records.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("key"),
-                         F.expr(f"try_parse_json({json_col})").alias("v"))
-    leaves = []
-    for depth in range(max_depth):
-        m = F.expr("try_variant_get(v, '$', 'map<string,variant>')")
-        a = F.expr("try_variant_get(v, '$', 'array<variant>')")
+
+def _open_levels(cur: DataFrame, levels: int) -> DataFrame:
+    """Open ``levels`` JSON levels: an object/array row is replaced by its
+    children (object members keep their key, array elements get none); a
+    scalar row passes through unchanged.  One generator per level, no union."""
+    for _ in range(levels):
+        m, a = _m(), _a()
         scalar = m.isNull() & a.isNull()
-        leaves.append(cur.where(F.col("key").isNotNull() & scalar
-                                & (F.expr("schema_of_variant(v)") == "STRING"))
-                      .select("_id", "key", F.expr("variant_get(v, '$', 'string')").alias("value")))
-        kids = F.concat(
+        kids = F.when(scalar, F.array(F.struct(F.col("key"), F.col("v")))).otherwise(F.concat(
             F.coalesce(F.transform(F.map_entries(m), lambda e: F.struct(
                 e["key"].alias("key"), e["value"].alias("v"))), F.array()),
             F.coalesce(F.transform(a, lambda x: F.struct(
-                F.lit(None).cast("string").alias("key"), x.alias("v"))), F.array()))
-        nxt = cur.where(~scalar).select("_id", F.inline_outer(kids)).where(F.col("v").isNotNull())
-        nxt = nxt.checkpoint() if (depth + 1) % checkpoint_every == 0 \
-            else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
+                F.lit(None).cast("string").alias("key"), x.alias("v"))), F.array())))
+        cur = cur.select("_id", F.inline_outer(kids)).where(F.col("v").isNotNull())
+    return cur
+
+
+def _start(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    return records.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("key"),
+                          F.expr(f"try_parse_json({json_col})").alias("v"))
+
+
+def _string_leaves(cur: DataFrame, id_col: str) -> DataFrame:
+    return (cur.where(F.col("key").isNotNull() & (F.expr("schema_of_variant(v)") == "STRING"))
+            .select(F.col("_id").alias(id_col), "key", F.expr("variant_get(v, '$', 'string')").alias("value")))
+
+
+def json_string_leaves(records: DataFrame, id_col: str, json_col: str,
+                       levels_per_pass: int = 8, max_passes: int = 64) -> DataFrame:
+    """``(id, key, value)`` for every JSON string that sits under an object key,
+    at any depth (strings directly inside arrays are not under a key).
+
+    Objects and arrays are opened with ``try_variant_get(v, '$',
+    'map<string,variant>' | 'array<variant>')``.  ``levels_per_pass`` levels
+    are opened in one plan; only if containers remain after that (deeper
+    documents) the frontier is checkpointed and another pass runs."""
+    cur = _start(records, id_col, json_col)
+    for _ in range(max_passes):
+        cur = _open_levels(cur, levels_per_pass).persist(StorageLevel.MEMORY_AND_DISK)
+        if cur.where(_m().isNotNull() | _a().isNotNull()).isEmpty():
             break
-        cur = nxt
-    out = leaves[0]
-    for l in leaves[1:]:
-        out = out.unionByName(l)
-    return out.withColumnRenamed("_id", id_col)
+        cur = checkpoint(cur)
+    return _string_leaves(cur, id_col)
 
 
 def identifier_values(records: DataFrame, id_col: str = "record_id", json_col: str = "data",
@@ -114,20 +132,4 @@ def json_string_leaves_unrolled(records: DataFrame, id_col: str, json_col: str,
                                 depth: int = 8) -> DataFrame:
     """Action-free variant of :func:`json_string_leaves` for a known maximum
     depth (usable inside a streaming query, where no action may run)."""
-    cur = records.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("key"),
-                         F.expr(f"try_parse_json({json_col})").alias("v"))
-    m = F.expr("try_variant_get(v, '$', 'map<string,variant>')")
-    a = F.expr("try_variant_get(v, '$', 'array<variant>')")
-    scalar = m.isNull() & a.isNull()
-    out = None
-    for _ in range(depth + 1):
-        leaf = cur.where(F.col("key").isNotNull() & scalar & (F.expr("schema_of_variant(v)") == "STRING")) \
-            .select("_id", "key", F.expr("variant_get(v, '$', 'string')").alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        kids = F.concat(
-            F.coalesce(F.transform(F.map_entries(m), lambda e: F.struct(
-                e["key"].alias("key"), e["value"].alias("v"))), F.array()),
-            F.coalesce(F.transform(a, lambda x: F.struct(
-                F.lit(None).cast("string").alias("key"), x.alias("v"))), F.array()))
-        cur = cur.where(~scalar).select("_id", F.inline_outer(kids)).where(F.col("v").isNotNull())
-    return out.withColumnRenamed("_id", id_col)
+    return _string_leaves(_open_levels(_start(records, id_col, json_col), depth), id_col)

@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from ..functions.lineage import checkpoint
 
 INSTANCE_OF = "wdt:P31"
 SUBCLASS_OF = "wdt:P279"
@@ -58,13 +59,14 @@ def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
         delta = step.join(closure, ["cls", "anc"], "left_anti")
         # persist so the emptiness test and the next round share one evaluation;
         # a reliable checkpoint every few rounds bounds the lineage
-        delta = delta.checkpoint() if rnd % checkpoint_every == 0 else delta.persist()
+        delta = checkpoint(delta) if rnd % checkpoint_every == 0 else delta.persist()
         held.append(delta)
         if delta.isEmpty():
             break
         closure = closure.unionByName(delta)
         if rnd % checkpoint_every == 0:
-            closure = closure.checkpoint()
+            # re-partition by key so partitions do not pile up round after round
+            closure = checkpoint(closure.repartition("cls"))
     return closure
     return closure
 

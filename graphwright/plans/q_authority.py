@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import constants as C
+from ..functions.lineage import checkpoint
 from ..operators import authority as A
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -17,6 +18,12 @@ def _rows(spark, sf):
     return A.authority_rows(fixture(spark, sf, "authority_triples"))
 
 
+def _rows_once(spark, sf):
+    """Rows used several times (edges, labels, topics, members): materialised
+    once with a reliable checkpoint instead of re-scanning the triple store."""
+    return checkpoint(_rows(spark, sf))
+
+
 @register("authority_rows", D.wf(["authority_triples"], "SELECT * FROM arows", _ROWS))
 def q_authority_rows(spark, sf):
     return _rows(spark, sf)
@@ -25,7 +32,7 @@ def q_authority_rows(spark, sf):
 @register("authority_nodes", D.wf(["authority_triples"], "SELECT * FROM anodes",
                                   _ROWS + ",\n" + _NODES))
 def q_authority_nodes(spark, sf):
-    return A.authority_nodes(_rows(spark, sf))
+    return A.authority_nodes(_rows_once(spark, sf))
 
 
 @register("topic_members", D.wf(["authority_triples"], f"""
@@ -43,7 +50,7 @@ _LINKS = f"""alinks AS (SELECT topic, id, count(*) OVER (PARTITION BY topic) AS
 @register("authority_links", D.wf(["authority_triples"], "SELECT * FROM alinks",
                                   _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_authority_links(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _rows_once(spark, sf)
     return A.authority_links(rows, A.authority_nodes(rows))
 
 
@@ -51,7 +58,7 @@ def q_authority_links(spark, sf):
 SELECT CAST(sum(topic_size * (topic_size - 1) / 2) AS BIGINT) AS n_links FROM (
   SELECT DISTINCT topic, topic_size FROM alinks)""", _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_authority_link_count(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _rows_once(spark, sf)
     return A.link_count(A.authority_links(rows, A.authority_nodes(rows)))
 
 
@@ -66,7 +73,7 @@ def q_pairs_in_group(spark, sf):
 
 @register("nodelink_json")
 def q_nodelink_json(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _rows_once(spark, sf)
     nodes = A.authority_nodes(rows)
     return A.nodelink_json(nodes, A.authority_links(rows, nodes))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.parallel import spread
+from ..functions.lineage import checkpoint
 from ..operators import text as X
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -77,5 +78,5 @@ def q_lang_detect(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     # the trained model is materialised once (reliable checkpoint in the
     # shared folder); it is read twice while scoring
-    profile = X.lang_profile(docs).checkpoint()
+    profile = checkpoint(X.lang_profile(docs))
     return X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile)

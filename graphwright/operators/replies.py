@@ -109,3 +109,14 @@ def cache_concept(records: DataFrame, url: Column | None = None, id_col: str = "
     return per.select(id_col, "md5", "md5context", "lang", F.lit("concept").alias("type"),
                       F.col("concept").alias("name"),
                       (url if url is not None else F.lit(None).cast("string")).alias("url"), "n_fields")
+
+
+def link_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Link table terms ``(column_name, term)`` to vocabulary concepts whose
+    preferred label matches after ``lower(trim())``; unmatched terms are kept
+    with a null concept."""
+    labels = vocab.where(F.col("p") == C.SKOS + "prefLabel").select(
+        F.lower(F.trim("o")).alias("norm"), F.col("s").alias("concept_id"), F.col("lang").alias("label_lang")) \
+        .distinct()
+    t = terms.withColumn("norm", F.lower(F.trim("term")))
+    return t.join(labels, "norm", "left").drop("norm")

@@ -98,3 +98,18 @@ SELECT reply_id, md5, md5context, lang, 'concept' AS type, concept AS name, NULL
        count(*) AS n_fields FROM rec GROUP BY reply_id, concept, md5, md5context, lang""", _KV + ",\n" + _REC))
 def q_cache_concept(spark, sf):
     return P.cache_concept(_records(spark, sf))
+
+
+@register("link_terms", D.wf(["replies"], f"""
+SELECT t.column_name, t.term, l.concept_id, l.label_lang FROM (
+  SELECT DISTINCT 'n_name' AS column_name, n_name AS term FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT DISTINCT 'c_mktsegment', c_mktsegment FROM customer) t
+LEFT JOIN (SELECT DISTINCT lower(trim(o)) AS norm, s AS concept_id, lang AS label_lang FROM vocab
+           WHERE p = '{C.SKOS}prefLabel') l ON lower(trim(t.term)) = l.norm""", _ALL))
+def q_link_terms(spark, sf):
+    c = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    names = c.join(F.broadcast(n), "c_nationkey").select(F.lit("n_name").alias("column_name"),
+                                                         F.col("n_name").alias("term")).distinct()
+    segs = c.select(F.lit("c_mktsegment").alias("column_name"), F.col("c_mktsegment").alias("term")).distinct()
+    return P.link_terms(names.unionByName(segs), P.vocab_skos(_records(spark, sf)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,9 +38,12 @@ def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> Da
     files = [f for f in list_files(spark, folder) if marker in f.rsplit("/", 1)[-1]]
     if not files:
         return None
+    # the header line only (a few bytes per file), read concurrently
+    with ThreadPoolExecutor(max_workers=min(32, len(files))) as pool:
+        headers = list(pool.map(lambda f: first_line(spark, f), files))
     groups: dict[str, list[str]] = {}
-    for f in files:  # the header line only: a few bytes per file
-        groups.setdefault(first_line(spark, f), []).append(f)
+    for f, h in zip(files, headers):
+        groups.setdefault(h, []).append(f)
     parts = [spark.read.option("header", True).option("inferSchema", True).csv(fs)
              for fs in groups.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -21,7 +21,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 2) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .parquet(folder))
 

@@ -41,6 +41,14 @@ def with_label(df: DataFrame, id_col: str, lab: DataFrame, out_col: str) -> Data
     return j.withColumn(out_col, F.coalesce(F.col("_lab"), F.col(id_col))).drop("_lab")
 
 
+def labels_for(triples: DataFrame, ids: DataFrame, languages=("en",)) -> DataFrame:
+    """Labels of the given ids only: the label triples are first reduced to
+    those ids (a semi join; a small id set is broadcast by AQE), so describing
+    a batch does not aggregate the labels of the whole store."""
+    needed = ids.select(F.col(ids.columns[0]).alias("s")).distinct()
+    return labels(triples.join(needed, "s", "left_semi"), languages)
+
+
 def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
                   checkpoint_every: int = 3, max_rounds: int = 1000) -> DataFrame:
     """``(cls, anc)`` for one or more subclass steps (cycles are safe).
@@ -97,7 +105,7 @@ def class_members_top(triples: DataFrame, target: str = "wd:Q515", location: str
         named = triples.where((F.col("p") == LABEL) & (F.col("o") == location)
                               & (F.col("lang") == "en")).select(F.col("s").alias("item"))
         star = star.join(named, "item", "left_semi")
-    star = with_label(star, "item", labels(triples, ("en",)), "city_label")
+    star = with_label(star, "item", labels_for(triples, star.select("item"), ("en",)), "city_label")
     rows = star.select("city_label", F.col("population_raw").try_cast("bigint").alias("population"),
                        "gps").distinct()
     return rows.orderBy(F.col("population").desc_nulls_last(), "city_label", "gps").limit(k)
@@ -107,9 +115,10 @@ def entity_describe(triples: DataFrame, ids: DataFrame, languages=("en",)) -> Da
     """All ``(property, value)`` of a batch of entities, with labels and the
     value's language ('' when absent)."""
     t = triples.join(ids.select(F.col("entity").alias("s")), "s", "left_semi")
-    lab = labels(triples, languages)
     rows = t.select(F.col("s").alias("entity"), F.col("p").alias("property"),
                     F.col("o").alias("value"), F.coalesce("lang", F.lit("")).alias("lang"))
+    wanted = rows.select(F.col("property").alias("id")).unionByName(rows.select(F.col("value").alias("id")))
+    lab = labels_for(triples, wanted, languages)
     rows = with_label(rows, "property", lab, "property_label")
     return with_label(rows, "value", lab, "value_label")
 
@@ -122,7 +131,7 @@ def external_id_reverse(triples: DataFrame, id_property: str = "wdtn:P214") -> D
     all_edges = triples.select(F.col("s").alias("entity"), F.col("o").alias("value"),
                                F.col("p").alias("property"))
     rows = holders.join(all_edges, ["entity", "value"])
-    return with_label(rows, "property", labels(triples), "property_label")
+    return with_label(rows, "property", labels_for(triples, rows.select("property")), "property_label")
 
 
 def external_id_describe(triples: DataFrame, id_property: str = "wdt:P214") -> DataFrame:
@@ -131,7 +140,8 @@ def external_id_describe(triples: DataFrame, id_property: str = "wdt:P214") -> D
                                                               F.col("o").alias("person_id"))
     st = persons.join(triples.select(F.col("s").alias("person"), F.col("p").alias("property"),
                                      F.col("o").alias("value")), "person")
-    lab = labels(triples)
+    wanted = st.select(F.col("person").alias("id")).unionByName(st.select(F.col("property").alias("id")))
+    lab = labels_for(triples, wanted)
     st = with_label(st, "person", lab, "person_label")
     return with_label(st, "property", lab, "property_label")
 

@@ -34,6 +34,21 @@ def jobs_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
                                  "job string, action string, instruction string, template string, query string")
 
 
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """A job catalogue on shared storage read by Spark: whole-file text, one
+    row per ``[section]``, fields by ``key = value`` lines."""
+    text = spark.read.text(path, wholetext=True)
+    sections = F.filter(F.split(F.col("value"), r"\n(?=\[)"), lambda x: F.trim(x).startswith("["))
+    sec = text.select(F.explode(sections).alias("sec"))
+
+    def field(k):
+        v = F.regexp_extract("sec", rf"(?m)^{k}[ \t]*=[ \t]*([^\n]*)$", 1)
+        return F.when(v != "", v).alias(k)
+
+    return sec.select(F.regexp_extract("sec", r"^\s*\[([^\]]+)\]", 1).alias("job"),
+                      *[field(k) for k in JOB_FIELDS])
+
+
 def fill_first(template: Column, value: Column) -> Column:
     """Fill the first ``{}`` slot of a template (positional ``str.format``)."""
     i = F.instr(template, "{}")

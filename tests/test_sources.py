@@ -34,3 +34,14 @@ def test_language_detection_accuracy(spark, sf_small):
     pred = X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), X.lang_profile(docs))
     acc = pred.join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_detected")).cast("double"))).first()[0]
     assert acc > 0.95
+
+
+def test_jobs_catalogue_read_by_spark_matches_driver_parse(spark):
+    from importlib import resources
+
+    from graphwright.operators import questions as Q
+    path = scratch_path(spark, "jobs") + ".conf"
+    text = resources.files("graphwright.resources").joinpath("jobs.conf").read_text("utf-8")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    got = {r["job"]: {k: r[k] for k in Q.JOB_FIELDS} for r in Q.read_jobs(spark, path).collect()}
+    assert got == Q.load_jobs()

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
+from ..functions.joins import skew_join
 
 ROW_COLS = ["locResource", "property", "viafResource", "label", "topic"]
 
@@ -63,7 +64,8 @@ def authority_nodes(rows: DataFrame) -> DataFrame:
         .agg(F.max("label").alias("label"))
     topics = rows.where(F.col("topic").isNotNull()).groupBy("locResource") \
         .agg(F.max("topic").alias("topic"))
-    enriched = (edges.join(labels, "viafResource", "left").join(topics, "locResource", "left")
+    # one viafResource may carry a large share of the edges: skew-split joins
+    enriched = (skew_join(skew_join(edges, labels, "viafResource", "left"), topics, "locResource", "left")
                 .withColumn("description", F.coalesce("topic", "label"))
                 .where(F.col("description").isNotNull())
                 .withColumn("id", _node_id(F.col("locResource"))))
@@ -88,7 +90,7 @@ def group_members(df: DataFrame, group_col: str, value_col: str, pos_col: str) -
     group's partition)."""
     firsts = df.groupBy(group_col, value_col).agg(F.min(pos_col).alias("first_pos"))
     sizes = firsts.groupBy(group_col).agg(F.count("*").alias("group_size"))
-    return firsts.join(sizes, group_col)
+    return skew_join(firsts, sizes, group_col, count_col="group_size")
 
 
 def authority_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def authority_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     anything else, so the cost is linear in the topic rows."""
     members = topic_members(rows).join(nodes.select("id"), "id", "left_semi").distinct()
     sizes = members.groupBy("topic").agg(F.count("*").alias("topic_size"))
-    return members.join(sizes, "topic").select("topic", "id", "topic_size")
+    return skew_join(members, sizes, "topic", count_col="topic_size").select("topic", "id", "topic_size")
 
 
 def link_count(links: DataFrame) -> DataFrame:

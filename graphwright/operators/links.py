@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
+from ..functions.joins import skew_join
 from ..functions.text import replace_all
 
 ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'
@@ -119,7 +120,7 @@ def page_ref_lookup(refs: DataFrame, ids: DataFrame, order_col: str = "ref_id")
     parsed = page_ref_parse(refs).select(order_col, "key",
                                          F.concat(F.col("lang"), F.lit("wiki")).alias("site"),
                                          F.col("page").alias("title"))
-    hit = parsed.join(wiki_id_table(ids), ["site", "title"])
+    hit = skew_join(parsed, wiki_id_table(ids), ["site", "title"])
     return hit.groupBy("key").agg(F.max_by("wiki_id", order_col).alias("wiki_id"))
 
 
@@ -130,7 +131,7 @@ def links_linked(links: DataFrame, ids: DataFrame) -> DataFrame:
     keyed = links.drop("wiki_id").select(
         "*", F.when(is_concept, F.concat(lang, F.lit("wiki"))).alias("site"),
         F.when(is_concept, page).alias("title"))
-    j = keyed.join(wiki_id_table(ids), ["site", "title"], "left")
+    j = skew_join(keyed, wiki_id_table(ids), ["site", "title"], "left")
     return j.select("page_id", "wikilink", "value", "type",
                     F.coalesce("wiki_id", F.lit("")).alias("wiki_id"))
 

@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from ..functions.joins import skew_join
 from ..functions.lineage import checkpoint
 
 INSTANCE_OF = "wdt:P31"
@@ -36,8 +37,9 @@ def labels(triples: DataFrame, languages=("en",)) -> DataFrame:
 
 def with_label(df: DataFrame, id_col: str, lab: DataFrame, out_col: str) -> DataFrame:
     """Left join a label table; fall back to the id itself."""
-    j = df.join(lab.withColumnRenamed("entity", id_col).withColumnRenamed("label", "_lab"),
-                id_col, "left")
+    # a property id is a hot key (one property on a large share of statements)
+    j = skew_join(df, lab.withColumnRenamed("entity", id_col).withColumnRenamed("label", "_lab"),
+                  id_col, "left")
     return j.withColumn(out_col, F.coalesce(F.col("_lab"), F.col(id_col))).drop("_lab")
 
 

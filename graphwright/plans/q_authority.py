@@ -18,6 +18,7 @@ def _rows(spark, sf):
     return A.authority_rows(fixture(spark, sf, "authority_triples"))
 
 
+
 def _rows_once(spark, sf):
     """Rows used several times (edges, labels, topics, members): materialised
     once with a reliable checkpoint instead of re-scanning the triple store."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint
 from ..operators import wikidata as W
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -12,7 +13,8 @@ from .registry import register
 
 
 def _t(spark, sf):
-    return fixture(spark, sf, "entity_triples")
+    """The triple store, materialised once (as a stored triple table would be)."""
+    return checkpoint(fixture(spark, sf, "entity_triples"))
 
 
 def _lab_sql(langs, name="lab") -> str:

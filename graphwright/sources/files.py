@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+
 def list_files(spark: SparkSession, folder: str) -> list[str]:
     """File paths of a folder (driver-side listing through the Hadoop FS API;
     works for any cluster file system)."""
@@ -54,6 +55,7 @@ def source_precedence(sources: DataFrame, dataset_col: str = "dataset",
     """Keep, per dataset, only the rows of its highest-priority source kind
     (a later kind replaces an earlier one instead of being appended)."""
     best = sources.groupBy(dataset_col).agg(F.max(priority_col).alias(priority_col))
+    # one row per dataset: AQE broadcasts it on its measured size
     return sources.join(best, [dataset_col, priority_col], "left_semi")
 
 

@@ -28,16 +28,16 @@ def _underscore(c: Column) -> Column:
     return F.replace(c, F.lit(" "), F.lit("_"))
 
 
-def kg_plain(atoms_df: DataFrame) -> DataFrame:
+def kg_plain(atoms_df: DataFrame, distinct: bool = True) -> DataFrame:
     """``ex:c1 rel:relationship ex:c2`` and ``ex:c1 rel:hasImportance "i"``."""
     a = complete_atoms(atoms_df, ("concept1", "concept2", "relationship", "importance"))
     c1 = F.concat(F.lit(C.NS_PLAIN_CONCEPT), _underscore(F.col("concept1")))
     c2 = F.concat(F.lit(C.NS_PLAIN_CONCEPT), _underscore(F.col("concept2")))
     rel = F.concat(F.lit(C.NS_PLAIN_RELATION), _underscore(F.col("relationship")))
     imp = F.lit(C.NS_PLAIN_RELATION + "hasImportance")
-    return (a.select(F.inline(F.array(triple(c1, rel, c2, "iri"),
-                                      triple(c1, imp, F.col("importance"), "lit"))))
-            .distinct())
+    out = a.select(F.inline(F.array(triple(c1, rel, c2, "iri"),
+                                    triple(c1, imp, F.col("importance"), "lit"))))
+    return out.distinct() if distinct else out
 
 
 def skos_predicate(rel: Column, strict_case: bool = True) -> Column:
@@ -59,8 +59,9 @@ def skos_predicate(rel: Column, strict_case: bool = True) -> Column:
     return pred
 
 
-def kg_skos(atoms_df: DataFrame, strict_case: bool = True) -> DataFrame:
-    """SKOS graph on md5 concept ids (importance is not emitted)."""
+def kg_skos(atoms_df: DataFrame, strict_case: bool = True, distinct: bool = True) -> DataFrame:
+    """SKOS graph on md5 concept ids (importance is not emitted).
+    ``distinct=False`` leaves the set step to a later union."""
     a = complete_atoms(atoms_df, ("concept1", "concept2", "relationship", "importance"))
     q1 = F.concat(F.lit(C.NS_ID), F.md5("concept1"))
     q2 = F.concat(F.lit(C.NS_ID), F.md5("concept2"))
@@ -69,7 +70,8 @@ def kg_skos(atoms_df: DataFrame, strict_case: bool = True) -> DataFrame:
     arr = (F.when(pred.isNotNull(),
                   F.array(triple(q1, pred, F.col("concept2"), "lit"), triple(q1, pred, q2, "iri")))
            .otherwise(F.array(triple(q1, fallback, F.col("concept2"), "lit"))))
-    return a.select(F.inline(arr)).distinct()
+    out = a.select(F.inline(arr))
+    return out.distinct() if distinct else out
 
 
 def ntriples_lines(triples: DataFrame) -> DataFrame:

@@ -115,8 +115,9 @@ def q_ntriples_lines(spark, sf):
                               + " UNION ALL SELECT * FROM " + D.skos_sql(True) + ")", AT))
 def q_graph_union(spark, sf):
     a = _atoms(spark, sf)
-    skos = T.kg_skos(a)
-    return T.graph_union(skos, T.kg_plain(a), skos)
+    # raw triples in, one set step (one shuffle) for the whole union
+    skos = T.kg_skos(a, distinct=False)
+    return T.graph_union(skos, T.kg_plain(a, distinct=False), skos)
 
 
 @register("seed_graph", D.wf(["responses", "authority_triples"], """
@@ -126,4 +127,4 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT * FROM """ + D.plain_sql() + ")", AT))
 def q_seed_graph(spark, sf):
     seed = T.as_triples(fixture(spark, sf, "authority_triples"))
-    return T.seed_graph(seed, T.kg_plain(_atoms(spark, sf)))
+    return T.seed_graph(seed, T.kg_plain(_atoms(spark, sf), distinct=False))

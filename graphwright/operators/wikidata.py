@@ -35,11 +35,15 @@ def labels(triples: DataFrame, languages=("en",)) -> DataFrame:
     return lab.groupBy("entity").agg(F.min(F.struct("rank", "label"))["label"].alias("label"))
 
 
-def with_label(df: DataFrame, id_col: str, lab: DataFrame, out_col: str) -> DataFrame:
-    """Left join a label table; fall back to the id itself."""
-    # a property id is a hot key (one property on a large share of statements)
-    j = skew_join(df, lab.withColumnRenamed("entity", id_col).withColumnRenamed("label", "_lab"),
-                  id_col, "left")
+def with_label(df: DataFrame, id_col: str, lab: DataFrame, out_col: str,
+               hot_keys: bool = True) -> DataFrame:
+    """Left join a label table; fall back to the id itself.
+
+    ``hot_keys``: the id column may repeat a lot (a property id sits on a
+    large share of statements), so the join is salted; ``False`` when every id
+    occurs a bounded number of times (distinct members or subjects)."""
+    lab = lab.withColumnRenamed("entity", id_col).withColumnRenamed("label", "_lab")
+    j = skew_join(df, lab, id_col, "left") if hot_keys else df.join(lab, id_col, "left")
     return j.withColumn(out_col, F.coalesce(F.col("_lab"), F.col(id_col))).drop("_lab")
 
 
@@ -55,30 +59,30 @@ def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
                   checkpoint_every: int = 3, max_rounds: int = 1000) -> DataFrame:
     """``(cls, anc)`` for one or more subclass steps (cycles are safe).
 
-    Semi-naive: each round joins only the new pairs with the edge table and
-    keeps the pairs not seen before; the loop ends when a round adds nothing.
-    Lineage is cut with a reliable checkpoint every few rounds."""
+    Semi-naive with path doubling: the pairs found in the last round (delta)
+    are composed with the whole closure on both sides, so after round k all
+    paths up to 2^k steps are known and a hierarchy of depth d needs about
+    log2(d) rounds.  Each round keeps only unseen pairs (anti join) and the
+    loop ends when a round adds nothing.  Rounds are persisted; a reliable
+    checkpoint every few rounds bounds the lineage."""
     edges = triples.where(F.col("p") == subclass_p) \
         .select(F.col("s").alias("cls"), F.col("o").alias("anc")).distinct().persist()
     closure = edges
     delta = edges
-    held = [edges]
     for rnd in range(1, max_rounds + 1):
-        step = (delta.alias("d").join(edges.alias("e"), F.col("d.anc") == F.col("e.cls"))
-                .select(F.col("d.cls").alias("cls"), F.col("e.anc").alias("anc")).distinct())
-        delta = step.join(closure, ["cls", "anc"], "left_anti")
-        # persist so the emptiness test and the next round share one evaluation;
-        # a reliable checkpoint every few rounds bounds the lineage
+        right = (delta.alias("d").join(closure.alias("c"), F.col("d.anc") == F.col("c.cls"))
+                 .select(F.col("d.cls").alias("cls"), F.col("c.anc").alias("anc")))
+        left = (closure.alias("c").join(delta.alias("d"), F.col("c.anc") == F.col("d.cls"))
+                .select(F.col("c.cls").alias("cls"), F.col("d.anc").alias("anc")))
+        delta = right.unionByName(left).distinct().join(closure, ["cls", "anc"], "left_anti")
         delta = checkpoint(delta) if rnd % checkpoint_every == 0 else delta.persist()
-        held.append(delta)
         if delta.isEmpty():
             break
-        closure = closure.unionByName(delta)
+        closure = closure.unionByName(delta)  # a union of persisted rounds
         if rnd % checkpoint_every == 0:
             # re-partition by key so partitions do not pile up round after round
             closure = checkpoint(closure.repartition("cls"))
     return closure
-    return closure
 
 
 def class_members(triples: DataFrame, closure: DataFrame | None = None,
@@ -107,7 +111,9 @@ def class_members_top(triples: DataFrame, target: str = "wd:Q515", location: str
         named = triples.where((F.col("p") == LABEL) & (F.col("o") == location)
                               & (F.col("lang") == "en")).select(F.col("s").alias("item"))
         star = star.join(named, "item", "left_semi")
-    star = with_label(star, "item", labels_for(triples, star.select("item"), ("en",)), "city_label")
+    # items are distinct members with a few population/coordinate values each
+    star = with_label(star, "item", labels_for(triples, star.select("item"), ("en",)), "city_label",
+                      hot_keys=False)
     rows = star.select("city_label", F.col("population_raw").try_cast("bigint").alias("population"),
                        "gps").distinct()
     return rows.orderBy(F.col("population").desc_nulls_last(), "city_label", "gps").limit(k)
@@ -151,4 +157,4 @@ def external_id_describe(triples: DataFrame, id_property: str = "wdt:P214") -> D
 def label_fallback(triples: DataFrame, languages=("de", "en")) -> DataFrame:
     """Every subject with its label in the preferred languages, else its id."""
     ents = triples.select(F.col("s").alias("entity")).distinct()
-    return with_label(ents, "entity", labels(triples, languages), "label")
+    return with_label(ents, "entity", labels(triples, languages), "label", hot_keys=False)

@@ -238,6 +238,12 @@ def fixture_exprs(name: str, string_type: str):
     return [(sel, [e.replace("{S}", string_type) for e in sel.exprs]) for sel in FIXTURES[name]]
 
 
+# Fixtures whose rows feed CPU-heavy parsing (regex, JSON); the others are
+# cheap projections whose consumers shuffle anyway.
+PARSE_HEAVY = {"responses", "link_pages", "replies", "ner_payloads", "json_values", "payloads",
+               "dataset_exports", "sparql_results", "keyword_replies", "page_refs", "source_refs"}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a fixture as a Spark DataFrame (narrow projections of the scans)."""
     parts = []
@@ -249,8 +255,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if sel.where:
             df = df.where(sel.where)
         parts.append(df.selectExpr(*exprs))
+    out = reduce(lambda a, b: a.unionByName(b), parts)
     # derived from small tables: spread CPU-heavy downstream parsing over the cores
-    return spread(reduce(lambda a, b: a.unionByName(b), parts))
+    return spread(out) if name in PARSE_HEAVY else out
 
 
 def fixture_sql(name: str) -> str:

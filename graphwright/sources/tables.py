@@ -1,7 +1,9 @@
 """Parquet table access.
 
 Only ``spark.read.parquet`` is used, so projections and filters written later
-reach the scan (``ReadSchema`` / ``PushedFilters``).
+reach the scan (``ReadSchema`` / ``PushedFilters``).  The schema of a table
+path is inferred once and passed explicitly afterwards, which skips the
+footer-reading job on every later read (the input tables are read-only).
 """
 
 from __future__ import annotations
@@ -11,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+_SCHEMAS: dict[str, object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)

@@ -79,6 +79,6 @@ def q_nodelink_json(spark, sf):
     return A.nodelink_json(nodes, A.authority_links(rows, nodes))
 
 
-@register("row_cap")
+@register("row_cap", D.wf(["authority_triples"], f"SELECT * FROM arows LIMIT {C.NODE_ROW_CAP}", _ROWS))
 def q_row_cap(spark, sf):
     return A.authority_rows(fixture(spark, sf, "authority_triples"), row_cap=C.NODE_ROW_CAP)

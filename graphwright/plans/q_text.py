@@ -72,11 +72,25 @@ def q_lang_profile(spark, sf):
     return X.lang_profile(spread(table(spark, sf, "documents").select("text", "lang")))
 
 
-@register("lang_detect")
+_LANG_DETECT = r"""
+WITH t AS (SELECT * FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token
+                          FROM documents) WHERE token <> ''),
+profile AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL),
+stats AS (SELECT lang, sum(n) AS n_lang, count(*) AS v_lang FROM profile GROUP BY lang),
+dt AS (SELECT doc_id, token, count(*) AS c FROM t GROUP BY ALL),
+tdoc AS (SELECT doc_id, count(*) AS t_doc FROM t GROUP BY doc_id),
+hit AS (SELECT dt.doc_id, p.lang, sum(dt.c * ln(p.n + 1)) AS hit FROM dt JOIN profile p USING (token) GROUP BY ALL),
+sc AS (SELECT h.doc_id, h.lang, h.hit - td.t_doc * ln(s.n_lang + s.v_lang) AS score
+       FROM hit h JOIN tdoc td USING (doc_id) JOIN stats s USING (lang))
+SELECT doc_id, arg_max(lang, score) AS lang_detected FROM sc GROUP BY doc_id"""
+
+
+@register("lang_detect", _LANG_DETECT)
 def q_lang_detect(spark, sf):
     """Train on the labelled documents and score every document (whole texts)."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     # the trained model is materialised once (reliable checkpoint in the
     # shared folder); it is read twice while scoring
     profile = checkpoint(X.lang_profile(docs))
-    return X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile)
+    return X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile) \
+        .select("doc_id", "lang_detected")

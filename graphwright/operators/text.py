@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.constants import MIN_SENTENCE_SIZE
-from ..functions.text import sentence_array, squeeze_sentence_breaks, WS
+from ..functions.text import sentence_array, squeeze_sentence_breaks
 
 
 def payload_fields(payloads: DataFrame, id_col: str = "payload_id",

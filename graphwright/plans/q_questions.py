@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as C
 from ..operators import questions as Q, relations as R
 from ..sources.fixtures import fixture
 from ..sources.tables import TABLES, table

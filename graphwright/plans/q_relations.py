@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
-from ..functions import constants as C
 from ..operators import relations as R, triples as T
 from ..sources.fixtures import fixture
-from ..sources.tables import table
 from . import duck as D
 from .registry import register
 

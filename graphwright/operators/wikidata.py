@@ -67,6 +67,7 @@ def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
     checkpoint every few rounds bounds the lineage."""
     edges = triples.where(F.col("p") == subclass_p) \
         .select(F.col("s").alias("cls"), F.col("o").alias("anc")).distinct().persist()
+    held = [edges]
     closure = edges
     delta = edges
     for rnd in range(1, max_rounds + 1):
@@ -76,12 +77,17 @@ def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
                 .select(F.col("c.cls").alias("cls"), F.col("d.anc").alias("anc")))
         delta = right.unionByName(left).distinct().join(closure, ["cls", "anc"], "left_anti")
         delta = checkpoint(delta) if rnd % checkpoint_every == 0 else delta.persist()
+        held.append(delta)
         if delta.isEmpty():
             break
         closure = closure.unionByName(delta)  # a union of persisted rounds
         if rnd % checkpoint_every == 0:
             # re-partition by key so partitions do not pile up round after round
             closure = checkpoint(closure.repartition("cls"))
+    # the result is written once; the cached rounds are released
+    closure = checkpoint(closure.repartition("cls"))
+    for d in held:
+        d.unpersist()
     return closure
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from ..functions.lineage import checkpoint
 from pyspark.sql import DataFrame, functions as F
 
@@ -55,10 +54,11 @@ def json_string_leaves(records: DataFrame, id_col: str, json_col: str,
     documents) the frontier is checkpointed and another pass runs."""
     cur = _start(records, id_col, json_col)
     for _ in range(max_passes):
-        cur = _open_levels(cur, levels_per_pass).persist(StorageLevel.MEMORY_AND_DISK)
+        # each pass is written once (reliable checkpoint): the emptiness test
+        # and the result read it, nothing stays cached
+        cur = checkpoint(_open_levels(cur, levels_per_pass))
         if cur.where(_m().isNotNull() | _a().isNotNull()).isEmpty():
             break
-        cur = checkpoint(cur)
     return _string_leaves(cur, id_col)
 
 

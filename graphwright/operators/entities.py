@@ -51,14 +51,15 @@ def json_string_leaves(records: DataFrame, id_col: str, json_col: str,
     Objects and arrays are opened with ``try_variant_get(v, '$',
     'map<string,variant>' | 'array<variant>')``.  ``levels_per_pass`` levels
     are opened in one plan; only if containers remain after that (deeper
-    documents) the frontier is checkpointed and another pass runs."""
-    cur = _start(records, id_col, json_col)
+    documents) the frontier is checkpointed and another pass runs.""" 
+    cur = _open_levels(_start(records, id_col, json_col), levels_per_pass)
     for _ in range(max_passes):
-        # each pass is written once (reliable checkpoint): the emptiness test
-        # and the result read it, nothing stays cached
-        cur = checkpoint(_open_levels(cur, levels_per_pass))
+        # common case: no container left after the first pass; the test costs
+        # one more evaluation and nothing is cached or written
         if cur.where(_m().isNotNull() | _a().isNotNull()).isEmpty():
             break
+        # deeper documents: cut the lineage, then open the next levels
+        cur = _open_levels(checkpoint(cur), levels_per_pass)
     return _string_leaves(cur, id_col)
 
 

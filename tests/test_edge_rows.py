@@ -145,3 +145,13 @@ def test_local_time_text(spark):
     df = spark.createDataFrame([("2024-07-01 10:00:00",), ("2024-01-15 10:00:00",)], "t string")
     out = [r[0] for r in df.select(local_time_text(F.col("t").cast("timestamp_ntz"))).collect()]
     assert out == ["Mon, 01 Jul 2024 12:00:00 CEST", "Mon, 15 Jan 2024 11:00:00 CET"]
+
+
+def test_identifier_walk_deeper_than_one_pass(spark):
+    import json
+    deep = {"a": "x_1"}
+    for i in range(20):  # 40 levels: objects inside lists inside objects
+        deep = {f"k{i}": [deep, "bare_str"], f"v{i}": f"val_{i}"}
+    df = spark.createDataFrame([(1, json.dumps(deep))], "record_id long, data string")
+    vals = sorted(r["value"] for r in E.identifier_values(df).collect())
+    assert vals == sorted(["x_1"] + [f"val_{i}" for i in range(20)])

@@ -124,3 +124,27 @@ SELECT DISTINCT * FROM (
 def q_seed_graph(spark, sf):
     seed = T.as_triples(fixture(spark, sf, "authority_triples"))
     return T.seed_graph(seed, T.kg_plain(_atoms(spark, sf), distinct=False))
+
+
+@register("artefact_summary", D.wf(["responses"], """
+SELECT g.doc_id, g.uid, md5(g.sentence) AS md5, g.sentence AS source,
+       CAST(coalesce(a.n_atoms, 0) AS BIGINT) AS n_atoms, CAST(coalesce(f.n_facts, 0) AS BIGINT) AS n_facts,
+       coalesce(f.facts_text, '') AS facts_text
+FROM atoms_g g
+LEFT JOIN (SELECT doc_id, uid, count(*) AS n_atoms FROM atoms GROUP BY 1, 2) a
+  ON a.doc_id = g.doc_id AND a.uid = g.uid
+LEFT JOIN (SELECT doc_id, uid, count(*) AS n_facts, string_agg(fact, chr(10) ORDER BY atom_ix) AS facts_text FROM (
+    SELECT doc_id, uid, atom_ix,
+      CASE WHEN contains(relationship, 'is part of')
+           THEN concept2 || ' ' || entity || ' (' || relationship || ') ' || concept1
+           ELSE concept1 || ' ' || entity || '(' || relationship || ') ' || concept2 END AS fact
+    FROM atoms WHERE relationship IS NOT NULL AND concept1 IS NOT NULL AND concept2 IS NOT NULL
+      AND entity IS NOT NULL) GROUP BY 1, 2) f
+  ON f.doc_id = g.doc_id AND f.uid = g.uid""", AT))
+def q_artefact_summary(spark, sf):
+    """Flat view of the sentence artefacts (records that have data)."""
+    a = R.artefacts(fixture(spark, sf, "responses")).where(F.col("data").isNotNull())
+    return a.select("doc_id", "uid", "md5", F.col("data.source").alias("source"),
+                    F.size("data.graph").cast("bigint").alias("n_atoms"),
+                    F.size("data.facts").cast("bigint").alias("n_facts"),
+                    F.array_join("data.facts", "\n").alias("facts_text"))

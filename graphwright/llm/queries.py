@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
 
 from ..session import scratch_path
-from .common import read_table
-from . import token_attribution, token_blocks
+from .common import read_table, ship_package
+from . import decontamination, jaccard_join, token_attribution, token_blocks, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
@@ -27,3 +32,24 @@ def op3_token_blocks(spark, sf_dir):
     path = scratch_path(spark, "token-blocks")
     token_blocks.write_blocks(read_table(spark, sf_dir, "documents"), path)
     return token_blocks.read_summary(spark, path)
+
+
+def toxicity_model(spark, sf_dir, docs):
+    """Learned from the labels of rows whose crc32 leaves them in the training part."""
+    return toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~toxicity.held_out())
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    return decontamination.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, slices, text_or_empty
+from .common import buffers, materialise, slices, text_or_empty
 from .tokenizing import TOKENIZER, encoder
 
 END_ID = 2
@@ -206,11 +206,10 @@ def corpus_table(tokens: DataFrame) -> Table:
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[:len(c)] += c
+            c = np.bincount(buffers(b.column(0))[1].view("<u4"), minlength=len(total))
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[:len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 

@@ -6,7 +6,7 @@ import functools
 
 from ..session import scratch_path
 from .common import read_table, ship_package
-from . import decontamination, jaccard_join, token_attribution, token_blocks, toxicity
+from . import decontamination, fingerprints, jaccard_join, mixing, token_attribution, token_blocks, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,14 @@ def op2_decontamination(spark, sf_dir):
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "mix_epoch", "mix_place", "mix_weight")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import functions as F
+
 from ..session import scratch_path
 from .common import read_table, ship_package
-from . import decontamination, fingerprints, jaccard_join, mixing, token_attribution, token_blocks, toxicity
+from . import decontamination, fingerprints, jaccard_join, line_dedup, mixing, token_attribution, token_blocks, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +66,9 @@ def op4_fingerprints(spark, sf_dir):
 def op6_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "mix_epoch", "mix_place", "mix_weight")
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    d = line_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -171,23 +171,30 @@ TOKENS = "part int, doc_id bigint, n_tokens bigint, local_start bigint, ids bina
 BLOCKS = "range int, start bigint, n_docs bigint, n_tokens bigint, payload binary"
 
 
-def _tokens(tokenizer: str, end_id: int):
+def id_type(tokenizer: str, end_id: int) -> str:
+    """The narrowest type for the ids of the intermediate table."""
+    most = max(encoder(tokenizer).tokenizer.get_vocab_size() - 1, end_id)
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _tokens(tokenizer: str, end_id: int, kind: str):
     def run(batches):
         part, place, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for b in slices(batches, 1):
             ids, n = enc.encode(b.column(1))
             sizes = n + 1
             ends = np.cumsum(sizes)
-            flat = np.full(int(ends[-1]), end_id, "<u4")
+            flat = np.full(int(ends[-1]), end_id, kind)
             keep = np.ones(len(flat), bool)
             keep[ends - 1] = False
             flat[keep] = ids
             raw = flat.tobytes()
-            cut = (ends - sizes) * 4
+            width = flat.itemsize
+            cut = (ends - sizes) * width
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(sizes),
                 pa.array(place + ends - sizes),
-                pa.array([raw[a:a + s * 4] for a, s in zip(cut.tolist(), sizes.tolist())], pa.binary()),
+                pa.array([raw[a:a + s * width] for a, s in zip(cut.tolist(), sizes.tolist())], pa.binary()),
             ], ["part", "doc_id", "n_tokens", "local_start", "ids"])
             place += int(ends[-1])
     return run
@@ -198,15 +205,15 @@ def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_I
     sorted, each row with its place within its partition (written once)."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(_tokens(tokenizer, end_id), TOKENS), "tokens", compression="zstd")
+    return materialise(ordered.mapInArrow(_tokens(tokenizer, end_id, id_type(tokenizer, end_id)), TOKENS), "tokens", compression="zstd")
 
 
-def corpus_table(tokens: DataFrame) -> Table:
+def corpus_table(tokens: DataFrame, kind: str) -> Table:
     """Frequency table of all ids; its size is bounded by the vocabulary."""
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            c = np.bincount(buffers(b.column(0))[1].view("<u4"), minlength=len(total))
+            c = np.bincount(buffers(b.column(0))[1].view(kind), minlength=len(total))
             if len(c) > len(total):
                 total = np.pad(total, (0, len(c) - len(total)))
             total[:len(c)] += c
@@ -221,7 +228,7 @@ def corpus_table(tokens: DataFrame) -> Table:
     return Table(ids, scale_counts(ids, n))
 
 
-def _blocks(shared, block_tokens: int):
+def _blocks(shared, block_tokens: int, kind: str):
     def run(batches):
         table, bases = shared.value
         held: list[tuple] = []
@@ -230,7 +237,7 @@ def _blocks(shared, block_tokens: int):
         def flush():
             nonlocal held, size
             part, first = held[0][0], held[0][3]
-            ids = np.frombuffer(b"".join(h[4] for h in held), "<u4")
+            ids = np.frombuffer(b"".join(h[4] for h in held), kind)
             doc_ids = np.array([NULL_ID if h[1] is None else h[1] for h in held], np.int64)
             sizes = np.array([h[2] for h in held], np.int64)
             start = bases[part] + first
@@ -256,7 +263,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Encode ``docs`` (``doc_id``, ``text``) into ``path``: ``blocks`` and ``table``."""
     spark = docs.sparkSession
     tokens = token_table(docs, tokenizer, end_id)
-    table = corpus_table(tokens)
+    kind = id_type(tokenizer, end_id)
+    table = corpus_table(tokens, kind)
     # one total per range partition: bounded by the number of partitions
     totals = sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     bases, place = {}, 0
@@ -264,7 +272,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         bases[part] = place
         place += n
     shared = spark.sparkContext.broadcast((table, bases))
-    blocks = tokens.mapInArrow(_blocks(shared, block_tokens), BLOCKS)
+    blocks = tokens.mapInArrow(_blocks(shared, block_tokens, kind), BLOCKS)
     blocks.write.option("compression", "none").partitionBy("range").parquet(f"{path}/blocks")
     spark.createDataFrame(list(zip(table.ids.tolist(), table.freq.tolist())), "id bigint, freq bigint") \
         .coalesce(1).write.parquet(f"{path}/table")

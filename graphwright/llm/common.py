@@ -88,3 +88,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def bitmap(hashes: DataFrame, bits: int, column: str = "h") -> np.ndarray:
+    """Bitmap of ``2**bits`` bits over the top bits of 64-bit hashes.  Its size is
+    fixed whatever the number of hashes; a set bit is no proof, an unset one is."""
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    rows = (hashes.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("v")).toPandas())
+    out = np.zeros(1 << bits >> 6, np.uint64)
+    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint64)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import read_table, ship_package
-from . import decontamination, fingerprints, jaccard_join, line_dedup, mixing, token_attribution, token_blocks, toxicity
+from . import decontamination, fingerprints, jaccard_join, line_dedup, mixing, suffix_dedup, token_attribution, token_blocks, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op6_mixing(spark, sf_dir):
 def op7_line_dedup(spark, sf_dir):
     d = line_dedup.dedup(read_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")

@@ -34,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, slices, text_or_empty
+from .common import bitmap, fresh, mix64, slices, text_or_empty
 from .words import same_doc, window_hash, words
 
 SIZE, MIN_PLAIN, MIN_SHARE = 5, 3, 0.8
-BITMAP_BITS = 1 << 24
+BITMAP_BITS = 24
 # Units of measure and money that may follow a number.
 UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz gram grams pound pounds "
          "ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours "
@@ -125,16 +125,6 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text_or_empty().alias("text"))
 
 
-def _bitmap(items: DataFrame) -> np.ndarray:
-    """Bits of the benchmark's keys: at most ``BITMAP_BITS`` bits, whatever its size."""
-    bit = F.shiftrightunsigned("key", 40)
-    rows = (items.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("v")).toPandas())
-    out = np.zeros(BITMAP_BITS >> 6, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint64)
-    return out
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document and item that it holds: ``doc_id, item_id, n_windows`` (of
     the item), ``n_joined`` (by template), ``n_exact`` (as written), ``consistent``,
@@ -143,7 +133,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE)
     items = _rows(benchmark, "item_id").mapInArrow(_window_rows([*range(1, SIZE + 1)], True), WINDOWS).dropDuplicates(
         ["id", "size", "place", "key"])
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most SIZE rows
-    shared = spark.sparkContext.broadcast(_bitmap(items))
+    shared = spark.sparkContext.broadcast(bitmap(items, BITMAP_BITS, "key"))
     found = _rows(docs, "doc_id").mapInArrow(_window_rows(sizes, False, shared), WINDOWS)
     found = found.select(F.col("id").alias("doc_id"), "key", F.col("slots").alias("doc_slots")).distinct()
     item = items.select(F.col("id").alias("item_id"), "key", "place", F.col("slots").alias("item_slots"))
@@ -169,5 +159,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE)
 
 def keep(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    hit = matches(docs, benchmark, min_share).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("bigint") == F.col("_hit"), "left_anti")
+    name = fresh(docs, "_hit")
+    hit = matches(docs, benchmark, min_share).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")

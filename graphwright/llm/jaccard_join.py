@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise, mix64, slices, text_or_empty
+from .common import fresh, materialise, mix64, slices, text_or_empty
 from .components import components
 from .words import same_doc, window_hash, words
 
@@ -243,8 +243,9 @@ def _classes(signed: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """One document of each class (that of the smallest ``doc_id``), with all columns
     of ``docs``; of repeated rows of an id one stays, rows without an id all stay."""
-    chosen = join(docs, threshold, target_recall).where("class_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].cast("bigint") == F.col("_keep"), "left_semi")
+    name, number = fresh(docs, "_keep"), fresh(docs, "_n")
+    chosen = join(docs, threshold, target_recall).where("class_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(chosen, F.col("doc_id").cast("bigint") == F.col(name), "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.hash("text"))
-    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    kept = kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

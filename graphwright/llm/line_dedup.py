@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import buffers, materialise, mix64, slices, text_or_empty
+from .common import bitmap, buffers, materialise, mix64, slices, text_or_empty
 from .words import _BYTES, _powers
 
 MIN_CHARS = 10
-BITMAP_BITS = 1 << 24
+BITMAP_BITS = 24
 FIRST_ID = -(1 << 63)
 _OTHER = mix64(_BYTES + np.uint64(77))
 
@@ -135,16 +135,6 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return rows.where("sub OR longer OR whole").groupBy("k1").agg(*(F.max(c).alias(c) for c in ("sub", "longer", "whole")))
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """At most ``BITMAP_BITS`` bits, whatever the number of keys."""
-    bit = F.shiftrightunsigned("k1", 40)
-    rows = (keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("v")).toPandas())
-    out = np.zeros(BITMAP_BITS >> 6, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint64)
-    return out
-
-
 def _texts_of(shared):
     """Text of the lines whose key is in the bitmap, once for each slice."""
     def run(batches):
@@ -196,7 +186,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Keys of the lines that have an earlier line within one edit."""
     spark = docs.sparkSession
     wanted = materialise(_candidates(docs), "candidates")
-    shared = spark.sparkContext.broadcast(_bitmap(wanted))
+    shared = spark.sparkContext.broadcast(bitmap(wanted, BITMAP_BITS, "k1"))
     texts = docs.mapInArrow(_texts_of(shared), "k1 bigint, k2 bigint, line_text string").dropDuplicates(["k1", "k2"])
     lines = materialise(texts.join(wanted, "k1").join(firsts, ["k1", "k2"])
                         .select("first", "line_text", "sub", "longer", "whole", "k1"), "lines")

@@ -29,7 +29,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import materialise, text_or_empty
+from .common import fresh, materialise, text_or_empty
 
 MAX_REPEATS = 2.0
 SEED = 1
@@ -111,31 +111,30 @@ def _blocks(col_tokens: str = "n_tokens") -> Column:
     return F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(MIN_BLOCKS), F.ceil(F.col(col_tokens) / F.lit(BLOCK_TOKENS)))).cast("int")
 
 
-def plan(docs: DataFrame, mixed: DataFrame, seed: int = SEED, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``_key`` and ``_block``; ``_key, _block, epoch, place`` of what is given)."""
-    count = (word_count(text_or_empty()) if tokens is None else tokens).cast("bigint")
-    sources = mixed.select(F.struct("source").alias("_key"), _blocks().alias("_n"), "weight", "repeats", F.col("n_tokens").alias("_total"))
-    dealt = (docs.withColumn("_key", F.struct("source")).join(sources.select("_key", "_n"), "_key")
-             .withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_n")).cast("int")).drop("_n"))
-    sizes = materialise(dealt.groupBy("_key", "_block").agg(F.sum(F.coalesce(count, F.lit(0))).alias("_tokens")), "blocks")
-    epochs = (sizes.join(sources, "_key")
-              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("repeats").cast("int") - 1, F.lit(0))))))
-    order = Window.partitionBy("_key", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "_block"), "_block")
-    before = F.coalesce(F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = (F.col("repeats") - F.col("epoch")) * F.col("_total")  # tokens still to give in this epoch
-    given = (epochs.withColumn("place", F.row_number().over(order)).withColumn("_before", before)
-             .where((F.col("repeats") >= F.col("epoch") + 1) | (F.col("_total") == 0)
-                    | (F.col("_before") + F.col("_tokens") / 2 <= rest))
-             .select("_key", "_block", "epoch", "place", "weight"))
-    return dealt, given
-
-
 def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None,
         budget: float | None = None, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
     """``docs`` with their columns, a row for each time that a document is given, and
     ``mix_epoch, mix_place`` (order of its block in the epoch), ``mix_weight`` (of its source)."""
+    count = F.coalesce((word_count(text_or_empty()) if tokens is None else tokens).cast("bigint"), F.lit(0))
+    key, block, number = (fresh(docs, n) for n in ("_source", "_block", "_blocks"))
     mixed = materialise(weights(docs, max_repeats, target_entropy, budget, tokens), "weights")
-    dealt, given = plan(docs, mixed, seed, tokens)
-    return (dealt.join(given, ["_key", "_block"])
-            .select(*(F.col(f"`{c}`") for c in docs.columns), F.col("epoch").alias("mix_epoch"),
-                    F.col("place").alias("mix_place"), F.col("weight").alias("mix_weight")))
+    sources = mixed.select(F.struct("source").alias(key), _blocks().alias(number), "weight", "repeats",
+                           F.col("n_tokens").alias("total"))
+    dealt = (docs.withColumn(key, F.struct("source")).join(sources.select(key, number), key)
+             .withColumn(block, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col(number)).cast("int")).drop(number))
+    sizes = materialise(dealt.groupBy(key, block).agg(F.sum(count).alias("tokens")), "blocks")
+    epochs = (sizes.join(sources, key)
+              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("repeats").cast("int") - 1, F.lit(0))))))
+    order = Window.partitionBy(key, "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", block), block)
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = (F.col("repeats") - F.col("epoch")) * F.col("total")  # tokens still to give in this epoch
+    given = (epochs.withColumn("place", F.row_number().over(order)).withColumn("before", before)
+             .where((F.col("repeats") >= F.col("epoch") + 1) | (F.col("total") == 0)
+                    | (F.col("before") + F.col("tokens") / 2 <= rest))
+             .select(F.struct(F.col(key), F.col(block)).alias("at"),
+                     F.struct("epoch", "place", "weight").alias("given")))
+    at, out = fresh(docs, "_at"), fresh(docs, "_given")
+    given = given.withColumnsRenamed({"at": at, "given": out})
+    return (dealt.withColumn(at, F.struct(key, block)).join(given, at)
+            .select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{out}.epoch").alias("mix_epoch"),
+                    F.col(f"{out}.place").alias("mix_place"), F.col(f"{out}.weight").alias("mix_weight")))

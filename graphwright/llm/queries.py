@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import read_table, ship_package
-from . import decontamination, fingerprints, jaccard_join, line_dedup, mixing, suffix_dedup, token_attribution, token_blocks, toxicity
+from . import decontamination, fingerprints, jaccard_join, licences, line_dedup, mixing, suffix_dedup, token_attribution, token_blocks, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op7_line_dedup(spark, sf_dir):
 @query
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op10_licences(spark, sf_dir):
+    return licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

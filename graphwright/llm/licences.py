@@ -11,8 +11,8 @@ less than a third of its trigrams (unknown; those with the smallest hash).
 
 The probabilities are calibrated on held-out examples (temperature with the
 least log loss).  A paragraph is reported when a family is likelier than
-unknown and the others together; ``confirmed`` says that it shares at least
-``MIN_SIMILARITY`` of the trigrams of a template of that family.
+unknown and the others together and it shares at least ``MIN_SIMILARITY`` of the
+trigrams of a template of that family (``confirmed``).
 
 A paragraph without any n-gram of the vocabulary is unknown by construction
 and is left out early.  Everything is a Spark expression or a Spark ML stage.
@@ -231,11 +231,14 @@ def fit(spark: SparkSession, near: DataFrame, max_unknown: int = MAX_UNKNOWN) ->
     return Scanner(spark, model, min(usable)[1] if usable else 1.0, families[:model.numClasses])
 
 
-def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> DataFrame:
+def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, confirmed_only: bool = True) -> DataFrame:
     """``doc_id, line, family, probability, template, similarity, confirmed, paragraph``
-    of the paragraphs that grant a licence."""
+    of the paragraphs that grant a licence; predictions that no template confirms
+    are given only on request."""
     spark = docs.sparkSession
     near = materialise(paragraphs(docs), "licence-paragraphs")
     found = fit(spark, near, max_unknown).classify(near).where((F.col("family") != UNKNOWN) & (F.col("probability") > 0.5))
     found = _similar(found, spark, True).withColumn("confirmed", F.col("similarity") >= MIN_SIMILARITY)
+    if confirmed_only:
+        found = found.where("confirmed")
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "line", "family", "probability", "template", "similarity", "confirmed", "paragraph")

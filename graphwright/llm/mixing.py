@@ -104,7 +104,7 @@ def weights(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_ent
     quota = F.col("weight") * F.lit(float(budget))
     return (s.withColumn("quota", F.coalesce(quota, F.lit(0.0)))
             # no share is a rounding error away from a whole number of epochs
-            .withColumn("repeats", F.coalesce(F.round(F.col("quota") / F.col("n_tokens"), 9), F.lit(1.0))))
+            .withColumn("repeats", F.coalesce(F.round(F.try_divide(F.col("quota"), F.col("n_tokens")), 9), F.lit(1.0))))
 
 
 def _blocks(col_tokens: str = "n_tokens") -> Column:

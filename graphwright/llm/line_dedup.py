@@ -8,9 +8,10 @@ equal line or a line within the bound occurs earlier, whether that one stays
 or not.
 
 1. Equal lines meet by a 128-bit hash; the first place of each is kept.
-2. Two lines within one edit share their first or their last half (as cut by
-   the shorter one).  Lines that share a half with no other line are done.
-3. The others emit every variant with one code point deleted as a hashed key.
+2. Two lines within one edit share all but one of four quarters (as cut by the
+   shorter one).  Lines that share so much with no other line are done.
+3. The others emit every variant with one code point of such a quarter deleted
+   as a hashed key.
    Equal variants deleted at the same place are substitutions; a variant that
    equals a whole line is an insertion.  Per key only the earliest member
    matters, so a key's group leaves one pair for each member.
@@ -32,6 +33,7 @@ from .words import _BYTES, _powers
 
 MIN_CHARS = 10
 BITMAP_BITS = 24
+SLICE = 2 << 20
 FIRST_ID = -(1 << 63)
 _OTHER = mix64(_BYTES + np.uint64(77))
 
@@ -89,7 +91,7 @@ def _i64(x):
 
 def _occurrences(batches):
     """First place of each line within a slice."""
-    for b in slices(batches, 1):
+    for b in slices(batches, 1, SLICE):
         x = Lines(b.column(1))
         at = np.flatnonzero(x.full)
         k1, k2 = x.keys(at)
@@ -97,49 +99,56 @@ def _occurrences(batches):
                                           pa.array(x.number[at].astype(np.int32))], ["k1", "k2", "key", "line"])
 
 
-def _half_keys(batches):
-    """(half, line, role): role 0 for a line's own halves, 1 for those as cut by a line
-    that is one code point shorter."""
-    for b in slices(batches, 1):
+def _cuts(m: np.ndarray, k: int) -> np.ndarray:
+    """Start of quarter ``k`` of a line of ``m`` code points."""
+    return m * k // 4
+
+
+def _outer_keys(batches):
+    """(outer, line): hash of a line without one quarter, as cut for its own length
+    (lowest bit of ``line`` 0) and for a line that is one code point shorter (1)."""
+    for b in slices(batches, 1, SLICE):
         x = Lines(b.column(1))
         at = np.flatnonzero(x.full)
         k1, _ = x.keys(at)
         _, unique = np.unique(k1, return_index=True)
-        at, k1 = at[unique], k1[unique]
+        at, k1 = at[unique], k1[unique] & ~np.uint64(1)
         first, n = x.length(at)
-        s, e = x.start[at], x.end[at]
-        halves, lines, roles = [], [], []
+        outer, lines = [], []
         for role in (0, 1):
-            m = n - role
-            ok = m >= MIN_CHARS
-            f, nn, mm = first[ok], n[ok], m[ok]
-            tag = mm.astype(np.uint64) * np.uint64(4)
-            for part, h in ((0, x.segment(s[ok], x.place(f + mm // 2))), (1, x.segment(x.place(f + nn - (mm - mm // 2)), e[ok]))):
-                halves.append(mix64(mix64(h) + tag + np.uint64(part)))
-                lines.append(k1[ok])
-                roles.append(np.full(ok.sum(), role, np.int32))
-        yield pa.RecordBatch.from_arrays([_i64(np.concatenate(halves)), _i64(np.concatenate(lines)),
-                                          pa.array(np.concatenate(roles))], ["half", "k1", "role"])
+            ok = n - role >= MIN_CHARS
+            f, nn, m = first[ok], n[ok], (n - role)[ok]
+            s, e = x.start[at][ok], x.end[at][ok]
+            for k in range(4):
+                head = mix64(x.segment(s, x.place(f + _cuts(m, k))))
+                tail = mix64(x.segment(x.place(f + nn - (m - _cuts(m, k + 1))), e))
+                outer.append(mix64(head ^ mix64(tail + m.astype(np.uint64) * np.uint64(4) + np.uint64(k))))
+                lines.append(k1[ok] | np.uint64(role))
+        yield pa.RecordBatch.from_arrays([_i64(np.concatenate(outer)), _i64(np.concatenate(lines)),
+                                          pa.array(np.repeat(np.tile(np.arange(4, dtype=np.int8), 2),
+                                                             [len(o) for o in outer]))], ["outer", "line", "k"])
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """``k1, sub, longer, whole``: lines that share a half with a line of equal length,
-    with one shorter, with one longer."""
-    halves = docs.mapInArrow(_half_keys, "half bigint, k1 bigint, role int").repartition("half")
-    own = F.when(F.col("role") == 0, F.col("k1"))
-    groups = halves.groupBy("half").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max("role").alias("probed"))
+    """``k1`` (without its lowest bit) and ``flags``: bit k: shares all but quarter k with
+    a line of equal length; bit 4 + k: with a shorter one; bit 8: with a longer one."""
+    keys = docs.mapInArrow(_outer_keys, "outer bigint, line bigint, k tinyint").repartition("outer")
+    role = F.col("line").bitwiseAND(F.lit(1))
+    own = F.when(role == 0, F.col("line"))
+    groups = keys.groupBy("outer").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max(role).alias("probed"))
     groups = groups.where("low IS NOT NULL AND (low <> high OR probed = 1)")
-    rows = halves.join(groups, "half").select(
-        "k1", ((F.col("role") == 0) & (F.col("low") != F.col("high"))).alias("sub"),
-        (F.col("role") == 1).alias("longer"), ((F.col("role") == 0) & (F.col("probed") == 1)).alias("whole"))
-    return rows.where("sub OR longer OR whole").groupBy("k1").agg(*(F.max(c).alias(c) for c in ("sub", "longer", "whole")))
+    flag = F.expr("(CASE WHEN line & 1 = 1 THEN shiftleft(16, k) ELSE 0 END)"
+                  " | (CASE WHEN line & 1 = 0 AND low <> high THEN shiftleft(1, k) ELSE 0 END)"
+                  " | (CASE WHEN line & 1 = 0 AND probed = 1 THEN 256 ELSE 0 END)")
+    rows = keys.join(groups, "outer").select(F.expr("line & ~1L").alias("k1"), flag.alias("flag")).where("flag <> 0")
+    return rows.groupBy("k1").agg(F.bit_or("flag").alias("flags"))
 
 
 def _texts_of(shared):
     """Text of the lines whose key is in the bitmap, once for each slice."""
     def run(batches):
         bits = shared.value
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             x = Lines(b.column(1))
             at = np.flatnonzero(x.full)
             k1, k2 = x.keys(at)
@@ -147,6 +156,7 @@ def _texts_of(shared):
             hit = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
             at, k1, k2 = at[hit], k1[hit], k2[hit]
             _, unique = np.unique(k1, return_index=True)
+            k1 &= ~np.uint64(1)
             raw = x.raw.tobytes()
             yield pa.RecordBatch.from_arrays([
                 _i64(k1[unique]), _i64(k2[unique]),
@@ -156,23 +166,28 @@ def _texts_of(shared):
 
 
 def _variants(batches):
-    """(key, rank, k1, whole): every variant of a line, or the line itself."""
-    for b in slices(batches, 1, 1 << 20):
-        texts = b.column(1)
-        x = Lines(texts)
+    """(variant, first, k1, whole, indel): the variants of a line with a code point of a
+    flagged quarter deleted, and the line itself."""
+    for b in slices(batches, 1, SLICE // 8):
+        x = Lines(b.column(1))
         at = np.flatnonzero(x.full)
-        rank = b.column(0).take(pa.array(x.row[at]))
-        flags = [b.column(i).take(pa.array(x.row[at])).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
+        rows = pa.array(x.row[at])
+        rank = b.column(0).take(rows)
+        flags = b.column(2).take(rows).to_numpy(zero_copy_only=False).astype(np.int64)
         k1, _ = x.keys(at)
         first, n = x.length(at)
         line = np.repeat(np.arange(len(at)), n)
         i = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        sub, longer = np.zeros(len(line), bool), np.zeros(len(line), bool)
+        for k in range(4):
+            sub |= ((flags >> k) & 1 == 1)[line] & (i >= _cuts(n, k)[line]) & (i < _cuts(n, k + 1)[line])
+            longer |= ((flags >> (4 + k)) & 1 == 1)[line] & (i >= _cuts(n - 1, k)[line]) & (i <= _cuts(n - 1, k + 1)[line])
+        keep = np.flatnonzero(sub | longer)
+        line, i, sub, longer = line[keep], i[keep], sub[keep], longer[keep]
         s, e = x.start[at][line], x.end[at][line]
         lo, hi = x.place(first[line] + i), np.minimum(x.place((first[line] + i + 1).clip(max=len(x.chars))), e)
-        value = x.segment(s, lo) + x.segment(hi, e) * x.up[lo - s]
-        v = mix64(value)
-        sub, longer, whole = (f.astype(bool) for f in flags)
-        a, c, w = np.flatnonzero(sub[line]), np.flatnonzero(longer[line]), np.flatnonzero(whole)
+        v = mix64(x.segment(s, lo) + x.segment(hi, e) * x.up[lo - s])
+        a, c, w = np.flatnonzero(sub), np.flatnonzero(longer), np.flatnonzero(flags & 256)
         keys = np.r_[mix64(v[a] ^ mix64(i[a].astype(np.uint64) + np.uint64(9))), v[c], k1[w]]
         of = np.r_[line[a], line[c], w]
         yield pa.RecordBatch.from_arrays([
@@ -188,10 +203,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     wanted = materialise(_candidates(docs), "candidates")
     shared = spark.sparkContext.broadcast(bitmap(wanted, BITMAP_BITS, "k1"))
     texts = docs.mapInArrow(_texts_of(shared), "k1 bigint, k2 bigint, line_text string").dropDuplicates(["k1", "k2"])
-    lines = materialise(texts.join(wanted, "k1").join(firsts, ["k1", "k2"])
-                        .select("first", "line_text", "sub", "longer", "whole", "k1"), "lines")
+    even = firsts.select(F.expr("k1 & ~1L").alias("k1"), "k2", "first")
+    lines = materialise(texts.join(wanted, "k1").join(even, ["k1", "k2"]).select("first", "line_text", "flags"), "lines")
     place = "struct<key:bigint,line:int>"
-    rows = lines.select("first", "line_text", "sub", "longer", "whole").mapInArrow(
+    rows = lines.mapInArrow(
         _variants, f"variant bigint, first {place}, k1 bigint, whole boolean, indel boolean")
     by = Window.partitionBy("variant", "indel")
     earliest = F.min(F.struct("first", "k1")).over(by)

@@ -85,5 +85,4 @@ META_NAMESPACE_PATTERN = (
     "Template_talk|erms_of_Use"
 )
 DATASET_MARKER = "dataset.xhtml?persistentId="
-NODE_ROW_CAP = 3_000_000
 TOP_PLACES = 100

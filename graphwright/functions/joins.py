@@ -26,50 +26,63 @@ def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 
 # A key with at least this many rows on the big side is treated as hot and
-# split into ceil(rows / ROWS_PER_TASK) salt buckets.
+# split into ceil(rows / ROWS_PER_TASK) salt buckets.  There are at most
+# rows / HOT_ROWS such keys, which bounds the list.
 HOT_ROWS = 1_000_000
 ROWS_PER_TASK = 1_000_000
-# At most this many hot keys are salted; what is broadcast is bounded by it.
-MAX_HOT_KEYS = 10_000
+# Null keys match nothing; they are spread over this many salts.
+NULL_SALTS = 1 << 20
 
 _UNHASHABLE = ("map<", "variant")
 
 
+def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int) -> list:
+    """Rows (keys..., _n) of the keys with at least ``hot_rows`` rows."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return counts.where(known & (F.col("_n") >= hot_rows)).collect()
+
+
 def skew_join(big: DataFrame, dim: DataFrame, on, how: str = "inner",
               hot_rows: int | None = None, rows_per_task: int | None = None,
-              max_hot: int | None = None, count_col: str | None = None) -> DataFrame:
+              count_col: str | None = None) -> DataFrame:
     """Join ``big`` to ``dim`` (few rows per key) when one key of ``big`` may
     hold a large share of its rows.
 
-    Hot keys (at least ``hot_rows`` rows; the ``max_hot`` heaviest) are found
-    with a partial aggregate and broadcast (bounded by ``max_hot``).  A hot
-    key's big rows get a deterministic salt in ``[0, ceil(n / rows_per_task))``
-    (hash of the row, stable on retry), and its dim rows are replicated once
-    per salt.  The join then runs on ``(key, salt)``, which spreads the hot key
-    over as many tasks as its size needs; other keys have salt 0 and join as
-    before.  This covers what AQE's skew join cannot: ``dim`` being an
-    aggregate joined back on its own grouping key, which leaves no shuffle on
-    that side to split.  ``big`` is read twice (key counts, join), unless
-    ``count_col`` names a column of ``dim`` that already holds the number of
-    ``big`` rows per key (group sizes): then the hot keys come from ``dim``.
+    The hot keys (at least ``hot_rows`` rows) are counted once, by a partial
+    aggregate over the keys alone, or come from ``dim`` if ``count_col`` names
+    its column of group sizes.  Without a hot key this is a plain join.  A hot
+    key's big rows get a salt in ``[0, ceil(n / rows_per_task))`` (hash of the
+    row, stable on retry; identical rows stay together), its dim rows are
+    repeated once per salt, and the join runs on ``(key, salt)``.  Rows with a
+    null key match nothing and are spread by a salt of their own, so that a
+    left join does not gather them in one task.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     rows_per_task = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    max_hot = MAX_HOT_KEYS if max_hot is None else max_hot
     keys = [on] if isinstance(on, str) else list(on)
     counts = (dim.select(*keys, F.col(count_col).alias("_n")) if count_col else
               big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    hot = (counts.where(F.col("_n") >= hot_rows)
-           .orderBy(F.desc("_n")).limit(max_hot)
-           .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_s")))
-    hot_b = F.broadcast(hot)
+    hot = hot_keys(counts, keys, hot_rows)
     hashable = [F.col(f"`{f.name}`") for f in big.schema.fields
                 if not any(t in f.dataType.simpleString() for t in _UNHASHABLE)]
-    b = (big.join(hot_b, keys, "left")
-         .withColumn("_salt", F.when(F.col("_s") > 1, F.pmod(F.xxhash64(*hashable), F.col("_s")))
-                     .otherwise(F.lit(0).cast("bigint"))).drop("_s"))
-    d = (dim.join(hot_b, keys, "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_s") > 1, F.sequence(F.lit(0).cast("bigint"),
-                                                                           (F.col("_s") - 1).cast("bigint")))
-                                        .otherwise(F.array(F.lit(0).cast("bigint"))))).drop("_s"))
+    row_hash = F.xxhash64(*hashable)
+    if not hot and how != "left":
+        return big.join(dim, keys, how)
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    null_salt = F.when(missing, F.pmod(row_hash, F.lit(NULL_SALTS)))
+    if not hot:
+        b = big.withColumn("_salt", F.coalesce(null_salt, F.lit(0).cast("bigint")))
+        return b.join(dim.withColumn("_salt", F.lit(0).cast("bigint")), keys + ["_salt"], how).drop("_salt")
+    schema = ", ".join(f"`{k}` {big.schema[k].dataType.simpleString()}" for k in keys)
+    # as many rows as hot keys: bounded by rows / hot_rows
+    split = big.sparkSession.createDataFrame(
+        [(*(r[k] for k in keys), -(-r["_n"] // rows_per_task)) for r in hot], schema + ", _s bigint")
+    b = (big.join(split, keys, "left")
+         .withColumn("_salt", F.coalesce(null_salt, F.pmod(row_hash, F.col("_s")), F.lit(0).cast("bigint"))).drop("_s"))
+    d = (dim.join(split, keys, "left")
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_s"), F.lit(1)) - 1))).drop("_s"))
     return b.join(d, keys + ["_salt"], how).drop("_salt")

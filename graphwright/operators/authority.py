@@ -27,7 +27,7 @@ def _row(loc, prop, viaf, label, topic) -> Column:
                       for c, name in zip((loc, prop, viaf, label, topic), ROW_COLS)])
 
 
-def authority_rows(triples: DataFrame, row_cap: int | None = None) -> DataFrame:
+def authority_rows(triples: DataFrame) -> DataFrame:
     """The four-branch union, in one scan of the triple table, DISTINCT."""
     s, p, o = F.col("s"), F.col("p"), F.col("o")
     c1 = s.startswith(C.VIAF_PREFIX) & o.startswith(C.LOC_PREFIX)
@@ -39,10 +39,7 @@ def authority_rows(triples: DataFrame, row_cap: int | None = None) -> DataFrame:
         F.when(c2, _row(s, p, o, None, None)),
         F.when(c3, _row(None, None, s, o, None)),
         F.when(c4, _row(s, None, None, None, o))), lambda x: x.isNotNull())
-    rows = triples.where(c1 | c2 | c3 | c4).select(F.inline(arr)).distinct()
-    if row_cap is not None:  # the node-link writer's input cap (off by default)
-        rows = rows.limit(row_cap)
-    return rows
+    return triples.where(c1 | c2 | c3 | c4).select(F.inline(arr)).distinct()
 
 
 def _node_id(loc: Column) -> Column:

@@ -44,23 +44,25 @@ def _string_leaves(cur: DataFrame, id_col: str) -> DataFrame:
 
 
 def json_string_leaves(records: DataFrame, id_col: str, json_col: str,
-                       levels_per_pass: int = 8, max_passes: int = 64) -> DataFrame:
+                       levels_per_pass: int = 8) -> DataFrame:
     """``(id, key, value)`` for every JSON string that sits under an object key,
     at any depth (strings directly inside arrays are not under a key).
 
     Objects and arrays are opened with ``try_variant_get(v, '$',
-    'map<string,variant>' | 'array<variant>')``.  ``levels_per_pass`` levels
-    are opened in one plan; only if containers remain after that (deeper
-    documents) the frontier is checkpointed and another pass runs.""" 
-    cur = _open_levels(_start(records, id_col, json_col), levels_per_pass)
-    for _ in range(max_passes):
-        # common case: no container left after the first pass; the test costs
-        # one more evaluation and nothing is cached or written
-        if cur.where(_m().isNotNull() | _a().isNotNull()).isEmpty():
-            break
-        # deeper documents: cut the lineage, then open the next levels
-        cur = _open_levels(checkpoint(cur), levels_per_pass)
-    return _string_leaves(cur, id_col)
+    'map<string,variant>' | 'array<variant>')``, ``levels_per_pass`` levels in
+    one plan.  Each pass is written once and holds the strings that it found
+    and the containers that are left; passes go on until none are left."""
+    cur, found = _start(records, id_col, json_col), None
+    while True:
+        cur = _open_levels(cur, levels_per_pass)
+        rest = _m().isNotNull() | _a().isNotNull()
+        leaf = F.col("key").isNotNull() & (F.expr("schema_of_variant(v)") == "STRING")
+        done = checkpoint(cur.where(rest | leaf).withColumn("rest", rest))
+        part = _string_leaves(done.where(~F.col("rest")), id_col)
+        found = part if found is None else found.unionByName(part)
+        cur = done.where("rest").select("_id", "key", "v")
+        if cur.isEmpty():
+            return found
 
 
 def identifier_values(records: DataFrame, id_col: str = "record_id", json_col: str = "data",
@@ -92,6 +94,12 @@ NER_SCHEMA = ("lang string, original_entities array<struct<entity:string,label:s
               "title string, text string")
 
 
+def ner_md5(json_col: str):
+    """md5 of a payload's title and text."""
+    j = F.from_json(F.col(json_col), "title string, text string")
+    return F.md5(F.concat(F.coalesce(j["title"], F.lit("")), F.coalesce(j["text"], F.lit(""))))
+
+
 def ner_metadata(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload") -> DataFrame:
     """Long form of the entity record: ``(id, md5, field, pos, value, context)``.
 
@@ -101,7 +109,6 @@ def ner_metadata(payloads: DataFrame, id_col: str = "payload_id", json_col: str
     j = F.from_json(F.col(json_col), NER_SCHEMA)
     keys = F.json_object_keys(F.col(json_col))
     has_ent = F.array_contains(keys, "entities")
-    content = F.concat(F.coalesce(j["title"], F.lit("")), F.coalesce(j["text"], F.lit("")))
     item = lambda f, p, v: F.struct(f.alias("field"), p.cast("bigint").alias("pos"), v.alias("value"))
     lang_arr = F.when(F.array_contains(keys, "lang"),
                       F.array(item(F.lit("lang"), F.lit(0), j["lang"]))).otherwise(F.array())
@@ -110,27 +117,20 @@ def ner_metadata(payloads: DataFrame, id_col: str = "payload_id", json_col: str
     ent_arr = F.when(has_ent, F.coalesce(ents, F.array())).otherwise(F.array())
     type_arr = F.when(has_ent, F.array(item(F.lit("type"), F.lit(0), F.lit("entities")))) \
         .otherwise(F.array())
-    rows = payloads.select(id_col, F.md5(content).alias("md5"),
+    rows = payloads.select(id_col, ner_md5(json_col).alias("md5"),
                            F.inline_outer(F.concat(lang_arr, ent_arr, type_arr))) \
         .where(F.col("field").isNotNull())
     return rows.withColumn("context", case_map(F.col("field"), C.NER_CONTEXT, F.lit(None)))
 
 
-def jsonld_triples(meta: DataFrame) -> DataFrame:
-    """``urn:uuid:<md5> rdf:type schema:entities`` plus one literal per value of
-    every field that has a context term."""
-    subj = F.concat(F.lit("urn:uuid:"), F.col("md5"))
-    typ = meta.select(subj.alias("s"), F.lit(C.RDF_TYPE).alias("p"),
-                      F.lit(C.SCHEMA + "entities").alias("o"), F.lit("iri").alias("o_kind"),
-                      F.lit("").alias("lang"))
+def jsonld_triples(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload") -> DataFrame:
+    """``urn:uuid:<md5> rdf:type schema:entities`` for every payload, with or without
+    fields, plus one literal per value of every field that has a context term."""
+    typ = payloads.select(F.concat(F.lit("urn:uuid:"), ner_md5(json_col)).alias("s"), F.lit(C.RDF_TYPE).alias("p"),
+                          F.lit(C.SCHEMA + "entities").alias("o"), F.lit("iri").alias("o_kind"),
+                          F.lit("").alias("lang"))
+    meta = ner_metadata(payloads, id_col, json_col)
     lits = meta.where(F.col("context").isNotNull()).select(
-        subj.alias("s"), F.col("context").alias("p"), F.col("value").alias("o"),
+        F.concat(F.lit("urn:uuid:"), F.col("md5")).alias("s"), F.col("context").alias("p"), F.col("value").alias("o"),
         F.lit("lit").alias("o_kind"), F.lit("").alias("lang"))
     return typ.unionByName(lits).distinct()
-
-
-def json_string_leaves_unrolled(records: DataFrame, id_col: str, json_col: str,
-                                depth: int = 8) -> DataFrame:
-    """Action-free variant of :func:`json_string_leaves` for a known maximum
-    depth (usable inside a streaming query, where no action may run)."""
-    return _string_leaves(_open_levels(_start(records, id_col, json_col), depth), id_col)

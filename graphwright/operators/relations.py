@@ -57,6 +57,10 @@ def atom_array(reply: Column, strip_quotes: bool = True) -> Column:
         fields += [_last(kv, k).alias(k) for k in ATOM_KEYS]
         fields.append(F.size(F.array_distinct(F.transform(kv, lambda e: e["k"])))
                       .cast("bigint").alias("n_keys"))
+        # every key of the record, whatever its name, with its last value
+        keys = F.array_distinct(F.transform(kv, lambda e: e["k"]))
+        fields.append(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
+            F.filter(kv, lambda e: e["k"] == k), -1)["v"])).alias("fields"))
         return F.struct(*fields)
 
     return F.transform(F.filter(parsed, lambda x: F.size(x["kv"]) > 0), one)
@@ -78,6 +82,27 @@ def atoms(responses: DataFrame, min_size: int = MIN_SENTENCE_SIZE) -> DataFrame:
             .withColumn("relationship", normalize_relationship(F.col("relationship"))))
 
 
+def atom_fields(atoms_df: DataFrame) -> DataFrame:
+    """Long form: ``(doc_id, uid, atom_ix, key, value)`` of every key of every atom."""
+    return atoms_df.select("doc_id", "uid", "atom_ix", F.explode("fields").alias("key", "value"))
+
+
+def artefact_fields(artefacts_df: DataFrame) -> DataFrame:
+    """Long form of the artefacts: ``(doc_id, uid, md5, source, kind, ix, key, value)`` with
+    a row per fact and per atom key, and one row of kind ``none`` for a sentence
+    without any."""
+    item = "struct<kind:string,ix:bigint,key:string,value:string>"
+    null = F.lit(None).cast("string")
+    facts_ = F.transform("data.facts", lambda f, i: F.struct(F.lit("fact").alias("kind"), i.cast("bigint").alias("ix"),
+                                                             null.alias("key"), f.alias("value")))
+    atoms_ = F.flatten(F.transform("data.graph", lambda a: F.transform(F.map_entries(a["fields"]), lambda e: F.struct(
+        F.lit("atom").alias("kind"), a["atom_ix"].alias("ix"), e["key"].alias("key"), e["value"].alias("value")))))
+    rows = F.coalesce(F.concat(facts_.cast(f"array<{item}>"), atoms_.cast(f"array<{item}>")), F.array().cast(f"array<{item}>"))
+    some = F.when(F.size(rows) > 0, rows).otherwise(F.array(F.struct(
+        F.lit("none").alias("kind"), F.lit(None).cast("bigint").alias("ix"), null.alias("key"), null.alias("value"))))
+    return artefacts_df.select("doc_id", "uid", "md5", F.col("data.source").alias("source"), F.inline(some))
+
+
 def relation_normalize(atoms_df: DataFrame) -> DataFrame:
     return (atoms_df.where(F.col("relationship_raw").isNotNull())
             .groupBy("relationship_raw", "relationship").agg(F.count("*").alias("n")))

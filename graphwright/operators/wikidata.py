@@ -11,7 +11,10 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
+
 from ..functions.joins import skew_join
 from ..functions.lineage import checkpoint
 
@@ -56,7 +59,7 @@ def labels_for(triples: DataFrame, ids: DataFrame, languages=("en",)) -> DataFra
 
 
 def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
-                  checkpoint_every: int = 3, max_rounds: int = 1000) -> DataFrame:
+                  checkpoint_every: int = 3) -> DataFrame:
     """``(cls, anc)`` for one or more subclass steps (cycles are safe).
 
     Semi-naive with path doubling: the pairs found in the last round (delta)
@@ -70,7 +73,7 @@ def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
     held = [edges]
     closure = edges
     delta = edges
-    for rnd in range(1, max_rounds + 1):
+    for rnd in count(1):
         right = (delta.alias("d").join(closure.alias("c"), F.col("d.anc") == F.col("c.cls"))
                  .select(F.col("d.cls").alias("cls"), F.col("c.anc").alias("anc")))
         left = (closure.alias("c").join(delta.alias("d"), F.col("c.anc") == F.col("d.cls"))
@@ -98,16 +101,30 @@ def class_members(triples: DataFrame, closure: DataFrame | None = None,
         closure = class_closure(triples)
     inst = triples.where(F.col("p") == instance_p).select(F.col("s").alias("item"),
                                                           F.col("o").alias("cls"))
-    up = inst.join(closure, "cls").select("item", F.col("anc").alias("class_id"))
+    # one class may hold a large share of the instances
+    up = skew_join(inst, closure, "cls").select("item", F.col("anc").alias("class_id"))
     return inst.select("item", F.col("cls").alias("class_id")).unionByName(up).distinct()
 
 
+def subclasses_of(triples: DataFrame, target: str, subclass_p: str = SUBCLASS_OF) -> DataFrame:
+    """``cls``: the target and every class below it, level by level from the target
+    (no other part of the class graph is closed; cycles end)."""
+    edges = triples.where(F.col("p") == subclass_p).select(F.col("s").alias("cls"), F.col("o").alias("anc"))
+    known = frontier = triples.sparkSession.range(1).select(F.lit(target).alias("cls"))
+    while True:
+        below = edges.join(frontier.select(F.col("cls").alias("anc")), "anc").select("cls").distinct()
+        frontier = checkpoint(below.join(known, "cls", "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+
+
 def class_members_top(triples: DataFrame, target: str = "wd:Q515", location: str | None = None,
-                      k: int = 100, closure: DataFrame | None = None) -> DataFrame:
+                      k: int = 100) -> DataFrame:
     """Members of a class with population, coordinates and English label;
     DISTINCT rows, top ``k`` by population (ties: label, coordinates)."""
-    members = class_members(triples, closure).where(F.col("class_id") == target) \
-        .select("item").distinct()
+    inst = triples.where(F.col("p") == INSTANCE_OF).select(F.col("s").alias("item"), F.col("o").alias("cls"))
+    members = inst.join(subclasses_of(triples, target), "cls", "left_semi").select("item").distinct()
     pop = triples.where(F.col("p") == POPULATION).select(F.col("s").alias("item"),
                                                          F.col("o").alias("population_raw"))
     gps = triples.where(F.col("p") == COORDINATES).select(F.col("s").alias("item"),
@@ -137,6 +154,13 @@ def entity_describe(triples: DataFrame, ids: DataFrame, languages=("en",)) -> Da
     return with_label(rows, "value", lab, "value_label")
 
 
+def property_values(triples: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(property, value, lang)`` of a batch of entities ('' when a value has no
+    language); no labels are looked up."""
+    t = triples.join(ids.select(F.col("entity").alias("s")), "s", "left_semi")
+    return t.select(F.col("p").alias("property"), F.col("o").alias("value"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
 def external_id_reverse(triples: DataFrame, id_property: str = "wdtn:P214") -> DataFrame:
     """For every value of ``id_property``: the entities holding it and every
     property by which they point to that value (join on ``(s, o)``)."""

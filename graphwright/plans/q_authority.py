@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import constants as C
-from ..functions.lineage import checkpoint
 from ..operators import authority as A
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -18,13 +19,6 @@ def _rows(spark, sf):
     return A.authority_rows(fixture(spark, sf, "authority_triples"))
 
 
-
-def _rows_once(spark, sf):
-    """Rows used several times (edges, labels, topics, members): materialised
-    once with a reliable checkpoint instead of re-scanning the triple store."""
-    return checkpoint(_rows(spark, sf))
-
-
 @register("authority_rows", D.wf(["authority_triples"], "SELECT * FROM arows", _ROWS))
 def q_authority_rows(spark, sf):
     return _rows(spark, sf)
@@ -33,7 +27,7 @@ def q_authority_rows(spark, sf):
 @register("authority_nodes", D.wf(["authority_triples"], "SELECT * FROM anodes",
                                   _ROWS + ",\n" + _NODES))
 def q_authority_nodes(spark, sf):
-    return A.authority_nodes(_rows_once(spark, sf))
+    return A.authority_nodes(_rows(spark, sf))
 
 
 @register("topic_members", D.wf(["authority_triples"], f"""
@@ -51,7 +45,7 @@ _LINKS = f"""alinks AS (SELECT topic, id, count(*) OVER (PARTITION BY topic) AS
 @register("authority_links", D.wf(["authority_triples"], "SELECT * FROM alinks",
                                   _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_authority_links(spark, sf):
-    rows = _rows_once(spark, sf)
+    rows = _rows(spark, sf)
     return A.authority_links(rows, A.authority_nodes(rows))
 
 
@@ -59,7 +53,7 @@ def q_authority_links(spark, sf):
 SELECT CAST(sum(topic_size * (topic_size - 1) / 2) AS BIGINT) AS n_links FROM (
   SELECT DISTINCT topic, topic_size FROM alinks)""", _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_authority_link_count(spark, sf):
-    rows = _rows_once(spark, sf)
+    rows = _rows(spark, sf)
     return A.link_count(A.authority_links(rows, A.authority_nodes(rows)))
 
 
@@ -72,13 +66,14 @@ def q_pairs_in_group(spark, sf):
         .withColumnRenamed("first_pos", "first_pos")
 
 
-@register("nodelink_json")
+@register("nodelink_json", D.wf(["authority_triples"], """
+SELECT 'node' AS kind, id, user, description, link, NULL::VARCHAR AS topic, NULL::BIGINT AS topic_size FROM anodes
+UNION ALL SELECT 'link', id, NULL, NULL, NULL, topic, topic_size FROM alinks""", _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_nodelink_json(spark, sf):
-    rows = _rows_once(spark, sf)
+    """The JSON lines of the document, parsed back."""
+    rows = _rows(spark, sf)
     nodes = A.authority_nodes(rows)
-    return A.nodelink_json(nodes, A.authority_links(rows, nodes))
-
+    lines = A.nodelink_json(nodes, A.authority_links(rows, nodes))
+    fields = "id string, user string, description string, link string, topic string, topic_size bigint"
+    return lines.select("kind", F.from_json("json", fields).alias("j")).select("kind", "j.*")
 
-@register("row_cap", D.wf(["authority_triples"], f"SELECT * FROM arows LIMIT {C.NODE_ROW_CAP}", _ROWS))
-def q_row_cap(spark, sf):
-    return A.authority_rows(fixture(spark, sf, "authority_triples"), row_cap=C.NODE_ROW_CAP)

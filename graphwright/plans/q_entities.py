@@ -9,6 +9,7 @@ from ..operators import cache as K, entities as E, relations as R
 from ..sources.fixtures import fixture
 from ..sources.tables import table
 from . import duck as D
+from .q_relations import _FACT_ROWS, _FIELDS
 from .registry import register
 
 _IDV = """idv AS (SELECT record_id, value FROM (
@@ -56,10 +57,10 @@ def q_ner_metadata(spark, sf):
 
 @register("jsonld_triples", D.wf(["ner_payloads"], f"""
 SELECT DISTINCT * FROM (
-  SELECT 'urn:uuid:' || md5 AS s, '{C.RDF_TYPE}' AS p, '{C.SCHEMA}entities' AS o, 'iri' AS o_kind, '' AS lang FROM meta
+  SELECT 'urn:uuid:' || md5 AS s, '{C.RDF_TYPE}' AS p, '{C.SCHEMA}entities' AS o, 'iri' AS o_kind, '' AS lang FROM p
   UNION ALL SELECT 'urn:uuid:' || md5, context, value, 'lit', '' FROM meta WHERE context IS NOT NULL)""", _META))
 def q_jsonld_triples(spark, sf):
-    return E.jsonld_triples(E.ner_metadata(fixture(spark, sf, "ner_payloads")))
+    return E.jsonld_triples(fixture(spark, sf, "ner_payloads"))
 
 
 AS_OF = "2024-06-30 12:00:00"
@@ -70,9 +71,28 @@ SELECT j.record_id, md5(j.name) AS md5, 'resource' AS type, j.name, NULL::VARCHA
        TIMESTAMP '{AS_OF}' AS date, CAST(coalesce(c.n, 0) AS BIGINT) AS n_identifiers
 FROM json_values j LEFT JOIN (SELECT record_id, count(*) AS n FROM idv GROUP BY 1) c USING (record_id)""", _IDV))
 def q_cache_resource(spark, sf):
+    return _resources(spark, sf).drop("identifiers", "parsed")
+
+
+def _resources(spark, sf):
     recs = fixture(spark, sf, "json_values")
-    return K.cache_resource(recs, E.identifier_values(recs),
-                            as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+    return K.cache_resource(recs, E.identifier_values(recs), as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+@register("cache_resource_identifiers", D.wf(["json_values"], """
+SELECT md5(j.name) AS md5, j.name, idv.value, count(*) AS n FROM json_values j JOIN idv USING (record_id)
+GROUP BY j.record_id, j.name, idv.value""", _IDV))
+def q_cache_resource_identifiers(spark, sf):
+    return K.resource_identifiers(_resources(spark, sf))
+
+
+@register("cache_resource_fields", D.wf(["json_values"], """
+SELECT md5(name) AS md5, k AS key, CAST(json_extract(data, '$.' || k) AS VARCHAR) AS value
+FROM (SELECT name, data, unnest(json_keys(data)) AS k FROM json_values) WHERE k IN ('a', 'f', 'n')"""))
+def q_cache_resource_fields(spark, sf):
+    """Scalar members of the parsed data, as JSON."""
+    r = _resources(spark, sf).select("md5", F.explode(F.expr("variant_get(parsed, '$', 'map<string,variant>')")).alias("key", "v"))
+    return r.where(F.col("key").isin("a", "f", "n")).select("md5", "key", F.to_json("v").alias("value"))
 
 
 @register("cache_relationship", D.wf(["responses"], """
@@ -85,9 +105,26 @@ FROM atoms_g g LEFT JOIN (
                      AND entity IS NOT NULL THEN 1 END) AS n_facts FROM atoms GROUP BY 1, 2) a
   ON a.doc_id = g.doc_id AND a.uid = g.uid""", D.atoms_ctes()))
 def q_cache_relationship(spark, sf):
-    arts = R.artefacts(fixture(spark, sf, "responses"))
+    return _relationships(spark, sf).drop("source", "facts", "graph")
+
+
+def _relationships(spark, sf):
     url = F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string"))
-    return K.cache_relationship(arts, url)
+    return K.cache_relationship(R.artefacts(fixture(spark, sf, "responses")), url)
+
+
+@register("cache_relationship_atoms", D.wf(["responses"], """
+SELECT f.doc_id, f.uid, md5(g.sentence) AS md5, g.sentence AS source, CAST(f.atom_ix AS BIGINT) AS atom_ix, f.key, f.value
+FROM (""" + _FIELDS + """) f JOIN atoms_g g ON g.doc_id = f.doc_id AND g.uid = f.uid""", D.atoms_ctes()))
+def q_cache_relationship_atoms(spark, sf):
+    return K.relationship_atoms(_relationships(spark, sf))
+
+
+@register("cache_relationship_facts", D.wf(["responses"], """
+SELECT f.doc_id, f.uid, md5(g.sentence) AS md5, f.ix AS pos, f.fact FROM (""" + _FACT_ROWS + """) f
+JOIN atoms_g g ON g.doc_id = f.doc_id AND g.uid = f.uid""", D.atoms_ctes()))
+def q_cache_relationship_facts(spark, sf):
+    return K.relationship_facts(_relationships(spark, sf))
 
 
 @register("cache_pending", D.wf(["responses"], """

@@ -51,9 +51,34 @@ def q_facts_starred(spark, sf):
     return R.facts_starred(fixture(spark, sf, "responses"))
 
 
-@register("artefacts")
+# every key of a reply record with its last value
+_FIELDS = """SELECT doc_id, uid, atom_ix, key, arg_max(value, pos) AS value FROM (
+  SELECT doc_id, uid, atom_ix, unnest(list_transform(kv, lambda x: x.k)) AS key,
+         unnest(list_transform(kv, lambda x: x.v)) AS value, unnest(range(len(kv))) AS pos
+  FROM atoms_k WHERE len(kv) > 0) GROUP BY doc_id, uid, atom_ix, key"""
+_FACT_ROWS = """SELECT doc_id, uid, atom_ix, row_number() OVER (PARTITION BY doc_id, uid ORDER BY atom_ix) - 1 AS ix,
+  CASE WHEN contains(relationship, 'is part of')
+       THEN concept2 || ' ' || entity || ' (' || relationship || ') ' || concept1
+       ELSE concept1 || ' ' || entity || '(' || relationship || ') ' || concept2 END AS fact
+FROM atoms WHERE relationship IS NOT NULL AND concept1 IS NOT NULL AND concept2 IS NOT NULL AND entity IS NOT NULL"""
+
+
+@register("atom_fields", D.wf(["responses"], _FIELDS, AT))
+def q_atom_fields(spark, sf):
+    return R.atom_fields(_atoms(spark, sf))
+
+
+@register("artefacts", D.wf(["responses"], f"""
+SELECT r.doc_id, r.uid, CASE WHEN g.doc_id IS NOT NULL THEN md5(r.sentence) END AS md5,
+       CASE WHEN g.doc_id IS NOT NULL THEN r.sentence END AS source,
+       coalesce(x.kind, 'none') AS kind, x.ix, x.key, x.value
+FROM responses r LEFT JOIN atoms_g g ON g.doc_id = r.doc_id AND g.uid = r.uid
+LEFT JOIN (SELECT doc_id, uid, 'fact' AS kind, ix, NULL::VARCHAR AS key, fact AS value FROM ({_FACT_ROWS})
+  UNION ALL SELECT doc_id, uid, 'atom', CAST(atom_ix AS BIGINT), key, value FROM ({_FIELDS})) x
+ON x.doc_id = g.doc_id AND x.uid = g.uid""", AT))
 def q_artefacts(spark, sf):
-    return R.artefacts(fixture(spark, sf, "responses"))
+    """The sentence artefacts in long form."""
+    return R.artefact_fields(R.artefacts(fixture(spark, sf, "responses")))
 
 
 @register("atoms_quarantine", D.wf(["responses"], """

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.parallel import spread
+from pyspark.sql import functions as F
+
 from ..functions.lineage import checkpoint
 from ..operators import text as X
 from ..sources.fixtures import fixture
@@ -19,7 +20,7 @@ _SENTS = f"""sents AS (SELECT doc_id, CAST(uid AS BIGINT) AS uid, sentence,
 
 
 def _sents(spark, sf):
-    return X.sentences(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    return X.sentences(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @register("sentences", D.wf([], "SELECT * FROM sents", _SENTS))
@@ -45,7 +46,7 @@ SELECT doc_id, CAST(para_ix AS BIGINT) AS para_ix, paragraph FROM (
       SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t]*\\n') AS ps FROM documents)))
 WHERE paragraph <> ''"""))
 def q_paragraphs(spark, sf):
-    return X.paragraphs(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    return X.paragraphs(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @register("payload_fields", D.wf(["payloads"], """
@@ -69,28 +70,35 @@ SELECT lang, token, count(*) AS n FROM (
   SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents)
 WHERE token <> '' GROUP BY ALL"""))
 def q_lang_profile(spark, sf):
-    return X.lang_profile(spread(table(spark, sf, "documents").select("text", "lang")))
+    return X.lang_profile(table(spark, sf, "documents").select("text", "lang"))
+
 
+# a fifth of the documents is held out of the profile, by a hash of the id
+_HELD = "substr(md5(CAST(doc_id AS {S})), 1, 1) IN ('0', '1', '2')"
 
 _LANG_DETECT = r"""
 WITH t AS (SELECT * FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token
                           FROM documents) WHERE token <> ''),
-profile AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL),
+profile AS (SELECT lang, token, count(*) AS n FROM t WHERE NOT """ + _HELD.replace("{S}", "VARCHAR") + r""" GROUP BY ALL),
 stats AS (SELECT lang, sum(n) AS n_lang, count(*) AS v_lang FROM profile GROUP BY lang),
 dt AS (SELECT doc_id, token, count(*) AS c FROM t GROUP BY ALL),
 tdoc AS (SELECT doc_id, count(*) AS t_doc FROM t GROUP BY doc_id),
 hit AS (SELECT dt.doc_id, p.lang, sum(dt.c * ln(p.n + 1)) AS hit FROM dt JOIN profile p USING (token) GROUP BY ALL),
 sc AS (SELECT h.doc_id, h.lang, h.hit - td.t_doc * ln(s.n_lang + s.v_lang) AS score
        FROM hit h JOIN tdoc td USING (doc_id) JOIN stats s USING (lang))
-SELECT doc_id, arg_max(lang, score) AS lang_detected FROM sc GROUP BY doc_id"""
+SELECT d.doc_id, """ + _HELD.replace("{S}", "VARCHAR") + """ AS held_out, lang_detected FROM documents d
+LEFT JOIN (SELECT doc_id, arg_max(lang, score) AS lang_detected FROM sc GROUP BY doc_id) USING (doc_id)"""
 
 
 @register("lang_detect", _LANG_DETECT)
 def q_lang_detect(spark, sf):
-    """Train on the labelled documents and score every document (whole texts)."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    """Train on the labelled documents that are not held out and score every
+    document (whole texts); null where a text has no token of the profile."""
+    held = F.expr(_HELD.replace("{S}", "STRING"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     # the trained model is materialised once (reliable checkpoint in the
     # shared folder); it is read twice while scoring
-    profile = checkpoint(X.lang_profile(docs))
-    return X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile) \
-        .select("doc_id", "lang_detected")
+    profile = checkpoint(X.lang_profile(docs.where(~held)))
+    found = X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile)
+    return (docs.select("doc_id", held.alias("held_out"))
+            .join(found.select("doc_id", "lang_detected"), "doc_id", "left"))

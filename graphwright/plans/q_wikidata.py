@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpoint
 from ..operators import wikidata as W
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -13,8 +12,9 @@ from .registry import register
 
 
 def _t(spark, sf):
-    """The triple store, materialised once (as a stored triple table would be)."""
-    return checkpoint(fixture(spark, sf, "entity_triples"))
+    """The triple store.  Every slice of it filters by predicate, which prunes the
+    branches of the union that hold other predicates."""
+    return fixture(spark, sf, "entity_triples")
 
 
 def _lab_sql(langs, name="lab") -> str:
@@ -64,20 +64,23 @@ _DESCRIBE = """
 SELECT t.s AS entity, t.p AS property, t.o AS value, coalesce(t.lang, '') AS lang,
        coalesce(lp.label, t.p) AS property_label, coalesce(lv.label, t.o) AS value_label
 FROM entity_triples t LEFT JOIN lab lp ON lp.entity = t.p LEFT JOIN lab lv ON lv.entity = t.o
-WHERE t.s IN (SELECT 'wd:N' || CAST(n_nationkey AS VARCHAR) FROM nation)"""
+WHERE t.s IN (SELECT 'wd:S' || CAST(s_suppkey AS VARCHAR) FROM supplier)"""
+
+
+def _classes(spark, sf):
+    """The classes of the tree, one per supplier."""
+    return table(spark, sf, "supplier").select(F.concat(F.lit("wd:S"), F.col("s_suppkey").cast("string")).alias("entity"))
 
 
 @register("entity_describe", D.wf(["entity_triples"], _DESCRIBE, _lab_sql(["en"])))
 def q_entity_describe(spark, sf):
-    ids = table(spark, sf, "nation").select(F.concat(F.lit("wd:N"), F.col("n_nationkey").cast("string"))
-                                            .alias("entity"))
-    return W.entity_describe(_t(spark, sf), ids)
+    return W.entity_describe(_t(spark, sf), _classes(spark, sf))
 
 
 @register("lang_default", D.wf(["entity_triples"], "SELECT property, value, lang FROM (" + _DESCRIBE + ")",
                                _lab_sql(["en"])))
 def q_lang_default(spark, sf):
-    return q_entity_describe(spark, sf).select("property", "value", "lang")
+    return W.property_values(_t(spark, sf), _classes(spark, sf))
 
 
 @register("external_id_reverse", D.wf(["entity_triples"], """

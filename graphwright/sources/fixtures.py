@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.parallel import spread
 from .tables import table
 
 NL = "chr(10)"
@@ -96,15 +95,24 @@ FIXTURES: dict[str, list[Sel]] = {
             "o_orderkey % 3 = 0"),
         Sel(["customer"], ["'http://viaf.org/viaf/' || CAST(c_custkey AS {S}) AS s",
                            "'http://www.w3.org/2000/01/rdf-schema#label' AS p",
-                           "c_name AS o"], "c_custkey % 9 <> 4"),
+                           "CASE WHEN c_custkey % 9 <> 4 THEN c_name END AS o"]),
         Sel(["orders"], ["'http://id.loc.gov/authorities/names/no' || CAST(o_orderkey AS {S}) AS s",
                          "'http://www.w3.org/2001/XMLSchema#issued' AS p",
-                         "CAST(CAST(o_orderdate AS DATE) AS {S}) AS o"], "o_orderkey % 5 <> 0"),
+                         "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS {S}) END AS o"]),
     ],
     # entity triples shaped like a public knowledge base (s, p, o, lang)
     "entity_triples": [
+        # a third of the instances in one class, the others spread over the tree
         Sel(["customer"], ["'wd:C' || CAST(c_custkey AS {S}) AS s", "'wdt:P31' AS p",
-                           "'wd:N' || CAST(c_nationkey AS {S}) AS o", "'' AS lang"]),
+                           "CASE WHEN c_custkey % 3 = 0 THEN 'wd:S1' WHEN c_custkey % 3 = 1 THEN "
+                           "'wd:N' || CAST(c_nationkey AS {S}) ELSE 'wd:S' || CAST(c_custkey % 97 + 1 AS {S}) END AS o",
+                           "'' AS lang"]),
+        # a class tree of the suppliers, its depth the logarithm of their number
+        Sel(["supplier"], ["'wd:S' || CAST(s_suppkey AS {S}) AS s", "'wdt:P279' AS p",
+                           "CASE WHEN s_suppkey > 1 THEN 'wd:S' || CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS {S}) "
+                           "ELSE 'wd:N7' END AS o", "'' AS lang"]),
+        Sel(["supplier"], ["'wd:S' || CAST(s_suppkey AS {S}) AS s", "'rdfs:label' AS p",
+                           "s_name AS o", "CASE WHEN s_suppkey % 2 = 0 THEN 'en' ELSE '' END AS lang"]),
         Sel(["nation"], ["'wd:N' || CAST(n_nationkey AS {S}) AS s", "'wdt:P279' AS p",
                          "'wd:R' || CAST(n_regionkey AS {S}) AS o", "'' AS lang"]),
         Sel(["nation"], ["'wd:N' || CAST(n_nationkey AS {S}) AS s", "'wdt:P279' AS p",
@@ -118,12 +126,11 @@ FIXTURES: dict[str, list[Sel]] = {
                          "CASE WHEN r_regionkey = 0 THEN 'wd:Q486972' ELSE 'wd:Q515' END AS o",
                          "'' AS lang"], "r_regionkey < 2"),
         Sel(["customer"], ["'wd:C' || CAST(c_custkey AS {S}) AS s", "'wdt:P1082' AS p",
-                           "CAST(CAST(floor(c_acctbal) AS BIGINT) AS {S}) AS o", "'' AS lang"],
-            "c_custkey % 11 <> 0"),
+                           "CASE WHEN c_custkey % 11 <> 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS {S}) END AS o",
+                           "'' AS lang"]),
         Sel(["customer"], ["'wd:C' || CAST(c_custkey AS {S}) AS s", "'wdt:P625' AS p",
-                           "'Point(' || CAST(c_custkey % 360 - 180 AS {S}) || ' ' || "
-                           "CAST(c_nationkey AS {S}) || ')' AS o", "'' AS lang"],
-            "c_custkey % 13 <> 0"),
+                           "CASE WHEN c_custkey % 13 <> 0 THEN 'Point(' || CAST(c_custkey % 360 - 180 AS {S}) || ' ' || "
+                           "CAST(c_nationkey AS {S}) || ')' END AS o", "'' AS lang"]),
         Sel(["customer"], ["'wd:C' || CAST(c_custkey AS {S}) AS s", "'rdfs:label' AS p",
                            "c_name AS o",
                            "CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE '' END AS lang"]),
@@ -132,8 +139,8 @@ FIXTURES: dict[str, list[Sel]] = {
         Sel(["customer"], ["'wd:C' || CAST(c_custkey AS {S}) AS s", "'wdt:P214' AS p",
                            "CAST(c_custkey AS {S}) AS o", "'' AS lang"]),
         Sel(["customer"], ["'wd:C' || CAST(c_custkey AS {S}) AS s", "'wdt:P1343' AS p",
-                           "'http://viaf.org/viaf/' || CAST(c_custkey AS {S}) AS o", "'' AS lang"],
-            "c_custkey % 3 = 0"),
+                           "CASE WHEN c_custkey % 3 = 0 THEN 'http://viaf.org/viaf/' || CAST(c_custkey AS {S}) END AS o",
+                           "'' AS lang"]),
         Sel(["nation"], ["'wd:N' || CAST(n_nationkey AS {S}) AS s", "'rdfs:label' AS p",
                          "n_name AS o", "'en' AS lang"]),
         Sel(["region"], ["'wd:R' || CAST(r_regionkey AS {S}) AS s", "'rdfs:label' AS p",
@@ -153,16 +160,16 @@ FIXTURES: dict[str, list[Sel]] = {
         "'<a class=\"ext\" href=\"https://fr.wikipedia.org/wiki/Paris\">Paris &amp; <b>co</b></a>' || "
         "replace(html, 'href=\"/', 'href=\"/wiki/') AS html",
     ])],
-    # translation replies of a chat model, one per nation
-    "replies": [Sel(["nation"], [
-        "CAST(n_nationkey AS BIGINT) AS reply_id",
-        "n_name AS concept",
+    # translation replies of a chat model, one per part
+    "replies": [Sel(["part"], [
+        "CAST(p_partkey AS BIGINT) AS reply_id",
+        "p_name AS concept",
         f"'<|system|>' || {NL} || 'sys: prompt' || {NL} || '<|assistant|>' || {NL} || "
-        f"'English: ' || n_name || {NL} || {NL} || "
-        f"'User' || chr(39) || 's request in Dutch: ' || n_name || ' nl' || {NL} || "
-        f"'Description: nation ' || n_name || {NL} || 'free text' || "
-        f"CASE WHEN n_nationkey % 3 = 0 THEN {NL} || 'English: ' || lower(n_name) ELSE '' END || "
-        f"CASE WHEN n_nationkey % 4 = 1 THEN {NL} || 'German: ' || n_name || ' de' || {NL} || 'more text' "
+        f"'English: ' || p_name || {NL} || {NL} || "
+        f"'User' || chr(39) || 's request in Dutch: ' || p_name || ' nl' || {NL} || "
+        f"'Description: part ' || p_name || {NL} || 'free text' || "
+        f"CASE WHEN p_partkey % 3 = 0 THEN {NL} || 'English: ' || lower(p_name) ELSE '' END || "
+        f"CASE WHEN p_partkey % 4 = 1 THEN {NL} || 'German: ' || p_name || ' de' || {NL} || 'more text' "
         "ELSE '' END AS response",
     ])],
     # NER service payloads
@@ -179,7 +186,10 @@ FIXTURES: dict[str, list[Sel]] = {
         "c_custkey AS record_id",
         "c_name AS name",
         "'{\"a\":\"' || c_mktsegment || '_' || n_name || '\",\"b\":{\"c\":\"x/y_z\"},"
-        "\"d\":[\"in_list\",{\"e\":\"' || r_name || '_r\"}],\"f\":\"\",\"n\":5}' AS data",
+        "\"d\":[\"in_list\",{\"e\":\"' || r_name || '_r\"}],\"f\":\"\",\"n\":5,\"g\":' || "
+        # every seventh record holds a string below twelve more levels
+        "CASE WHEN c_custkey % 7 = 0 THEN repeat('{\"x\":', 12) || '\"deep_' || n_name || '\"' || repeat('}', 12) "
+        "ELSE 'null' END || '}' AS data",
     ], joins=["c_nationkey = n_nationkey", "n_regionkey = r_regionkey"])],
     # page references in several URL shapes
     "page_refs": [Sel(["part"], [
@@ -238,8 +248,9 @@ def fixture_exprs(name: str, string_type: str):
     return [(sel, [e.replace("{S}", string_type) for e in sel.exprs]) for sel in FIXTURES[name]]
 
 
-# Fixtures whose rows feed CPU-heavy parsing (regex, JSON); the others are
-# cheap projections whose consumers shuffle anyway.
+# Fixtures whose rows feed CPU-heavy parsing (regex, JSON).  The test tables are
+# one file of one row group each, so the derived input is dealt to several parts
+# here, as real input would arrive in several files.
 PARSE_HEAVY = {"responses", "link_pages", "replies", "ner_payloads", "json_values", "payloads",
                "dataset_exports", "sparql_results", "keyword_replies", "page_refs", "source_refs"}
 
@@ -254,10 +265,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = df.join(F.broadcast(table(spark, sf_dir, t)), F.expr(cond))
         if sel.where:
             df = df.where(sel.where)
+        if name in PARSE_HEAVY:
+            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
         parts.append(df.selectExpr(*exprs))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    # derived from small tables: spread CPU-heavy downstream parsing over the cores
-    return spread(out) if name in PARSE_HEAVY else out
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def fixture_sql(name: str) -> str:

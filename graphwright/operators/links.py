@@ -1,39 +1,76 @@
 """Web pages -> anchors, link tables, images; page references -> ids.
 
 HTML is handled with regular expressions over the page text (one projection
-per page, no parser library): anchors ``<a ... href="...">text</a>``, images
-``<img ...>``.  Anchor text is stripped of tags and the five basic entities are
-decoded.
+per page, no parser library): anchors ``<a ...>text</a>`` and images
+``<img ...>``, tag and attribute names in any case, attribute values in any
+quoting.  Anchor text is stripped of tags; character references are decoded.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.joins import skew_join
-from ..functions.text import replace_all
 
-ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'
-IMG = r"<img\s[^>]*>"
-SRC = r'src="([^"]*)"'
+# attributes of a tag: quoted values may hold any sign
+_ATTRS = r"""((?:\s+(?:[^>"']|"[^"]*"|'[^']*')*)?)"""
+ANCHOR = r"(?i)<a" + _ATTRS + r">([\s\S]*?)</a\s*>"
+IMG = r"(?i)<img" + _ATTRS + r">"
 HOST_PREFIX = r"^\S+wikipedia.org"
+ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# code points of the named entities (HTML 4), from the standard library's table
+NAMED = dict(sorted(name2codepoint.items())) | {"apos": 39}
+
+
+def attribute(attrs: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` of a tag, in any quoting and case; ''
+    when there is none.  Attributes are read one by one, so a name inside another
+    attribute's name or value does not count."""
+    return F.concat(*[F.regexp_extract(attrs, attribute_pattern(name), i) for i in (1, 2, 3)])
+
+
+def attribute_pattern(name: str) -> str:
+    value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return (r"""(?i)^(?:\s+[^\s=>"']+(?:\s*=\s*""" + value + r""")?)*?\s+""" + name
+            + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
+
+def _code_point(n: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def decode_entities(text: Column) -> Column:
+    """Named (HTML 4) and numeric character references, each decoded once."""
+    names = F.create_map(*[F.lit(x) for k, v in NAMED.items() for x in (k, chr(v))])
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, ENTITY, 1)
+        number = F.when(F.lower(F.substr(ref, F.lit(1), F.lit(2))) == "#x", F.conv(F.substr(ref, F.lit(3)), 16, 10)) \
+            .when(ref.startswith("#"), F.substr(ref, F.lit(2))).try_cast("bigint")
+        char = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), _code_point(number)) \
+            .otherwise(F.try_element_at(names, ref))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(ref) + 2)), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
 
 
 def html_text(fragment: Column) -> Column:
-    no_tags = F.regexp_replace(fragment, "<[^>]*>", "")
-    return replace_all(no_tags, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                                 ("&#39;", "'"), ("&amp;", "&")])
+    return decode_entities(F.regexp_replace(fragment, "<[^>]*>", ""))
 
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, href, link, text)``; a link without ``http`` gets the
     site prefix."""
-    arr = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"),
+    arr = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("attrs"),
                        F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("inner"))
     a = pages.select("page_id", "url", F.posexplode_outer(arr).alias("pos", "a")) \
         .where(F.col("pos").isNotNull())
-    href = F.col("a.href")
+    a = a.withColumn("href", decode_entities(attribute(F.col("a.attrs"), "href")))
+    href = F.col("href")
     link = F.when(~href.contains("http"), F.concat(F.lit(C.WIKI_LINK_PREFIX), href)).otherwise(href)
     return (a.where(href != "")
             .select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), href.alias("href"),
@@ -42,7 +79,7 @@ def page_anchors(pages: DataFrame) -> DataFrame:
 
 def page_path(url: Column) -> Column:
     """Path of the page: URL without ``^\\S+wikipedia.org``; other hosts use the
-    URL path."""
+    URL path (null for a URL that does not parse)."""
     return F.when(url.contains("wikipedia.org"), F.regexp_replace(url, HOST_PREFIX, "")) \
         .otherwise(F.expr("try_parse_url(url, 'PATH')"))
 
@@ -52,8 +89,10 @@ def page_links(anchors: DataFrame, path_marker: str = "/wiki/") -> DataFrame:
     no self links, no meta pages, ``category``/``concept``, de-duplicated."""
     link = F.col("link")
     this = F.regexp_replace(link, HOST_PREFIX, "")
-    keep = (link.contains(path_marker) & ~this.contains(page_path(F.col("url")))
-            & ~link.rlike(C.META_NAMESPACE_PATTERN))
+    # a page without a path of its own (empty, "/" or a URL that does not parse) has no self links
+    path = page_path(F.col("url"))
+    own = F.when(path.isNotNull() & ~path.isin("", "/"), this.contains(path)).otherwise(F.lit(False))
+    keep = link.contains(path_marker) & ~own & ~link.rlike(C.META_NAMESPACE_PATTERN)
     typ = F.when(link.contains("Category"), F.lit("category")).otherwise(F.lit("concept"))
     return (anchors.where(keep)
             .select("page_id", link.alias("wikilink"), F.col("text").alias("value"),
@@ -63,13 +102,11 @@ def page_links(anchors: DataFrame, path_marker: str = "/wiki/") -> DataFrame:
 
 def first_image(pages: DataFrame) -> DataFrame:
     """First hosted, non-SVG image with a scheme-less ``src`` per page."""
-    tags = F.regexp_extract_all("html", F.lit(IMG), 0)
-    ok = F.filter(tags, lambda t: t.contains("upload.wikimedia.org") & ~t.contains(".svg")
-                  & ~F.regexp_extract(t, SRC, 1).contains("http"))
+    src = F.transform(F.regexp_extract_all("html", F.lit(IMG), 1), lambda t: attribute(t, "src"))
+    ok = F.filter(src, lambda x: x.contains("upload.wikimedia.org") & ~x.contains(".svg") & ~x.contains("http"))
     first = F.try_element_at(ok, F.lit(1))
-    return (pages.select("page_id", "url", first.alias("tag")).where(F.col("tag").isNotNull())
-            .select("page_id", "url",
-                    F.concat(F.lit("http:"), F.regexp_extract("tag", SRC, 1)).alias("image")))
+    return (pages.select("page_id", "url", first.alias("src")).where(F.col("src").isNotNull())
+            .select("page_id", "url", F.concat(F.lit("http:"), "src").alias("image")))
 
 
 def link_foaf(links: DataFrame) -> DataFrame:

@@ -8,22 +8,44 @@ from ..sources.fixtures import fixture
 from . import duck as D
 from .registry import register
 
-_UNESC = ("replace(replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', '', 'g'), "
-          "'&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')")
-_ANCHOR = r"""'<a\s[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'"""
-_ANCHORS = f"""anchors AS (SELECT page_id, url, CAST(pos AS BIGINT) AS pos, href,
-    CASE WHEN NOT contains(href, 'http') THEN '{C.WIKI_LINK_PREFIX}' || href ELSE href END AS link,
-    {_UNESC} AS text FROM (
-  SELECT page_id, url, unnest(h) AS href, unnest(t) AS inner_html, unnest(range(len(h))) AS pos FROM (
-    SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS h,
-           regexp_extract_all(html, {_ANCHOR}, 2) AS t FROM link_pages))
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attr(attrs: str, name: str) -> str:
+    p = _q(L.attribute_pattern(name))
+    return "(" + " || ".join(f"coalesce(regexp_extract({attrs}, {p}, {i}), '')" for i in (1, 2, 3)) + ")"
+
+
+_NAMED = "MAP {" + ", ".join(f"{_q(k)}: chr({v})" for k, v in L.NAMED.items()) + "}"
+
+
+def _decoded(text: str) -> str:
+    """Character references of a text (DuckDB)."""
+    ref = f"regexp_extract(p, {_q(L.ENTITY)}, 1)"
+    number = (f"CASE WHEN lower(substr({ref}, 1, 2)) = '#x' THEN TRY_CAST('0x' || substr({ref}, 3) AS BIGINT) "
+              f"WHEN starts_with({ref}, '#') THEN TRY_CAST(substr({ref}, 2) AS BIGINT) END")
+    char = (f"CASE WHEN ({number}) BETWEEN 1 AND 1114111 AND NOT ({number}) BETWEEN 55296 AND 57343 "
+            f"THEN chr(CAST({number} AS INTEGER)) ELSE {_NAMED}[{ref}] END")
+    piece = f"coalesce(({char}) || substr(p, length({ref}) + 2), '&' || p)"
+    return (f"(string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], "
+            f"lambda p: {piece}), ''))")
+
+
+_ANCHORS = f"""anchors AS (SELECT page_id, url, pos, href,
+    CASE WHEN NOT contains(href, 'http') THEN '{C.WIKI_LINK_PREFIX}' || href ELSE href END AS link, text FROM (
+  SELECT page_id, url, CAST(pos AS BIGINT) AS pos, {_decoded(_attr('attrs', 'href'))} AS href,
+         {_decoded("regexp_replace(inner_html, '<[^>]*>', '', 'g')")} AS text FROM (
+  SELECT page_id, url, unnest(h) AS attrs, unnest(t) AS inner_html, unnest(range(len(h))) AS pos FROM (
+    SELECT page_id, url, regexp_extract_all(html, {_q(L.ANCHOR)}, 1) AS h,
+           regexp_extract_all(html, {_q(L.ANCHOR)}, 2) AS t FROM link_pages)))
   WHERE href <> '')"""
 _PATH = r"""CASE WHEN contains(url, 'wikipedia.org') THEN regexp_replace(url, '^\S+wikipedia.org', '')
   ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"""
 _LINKS = f"""plinks AS (SELECT DISTINCT page_id, link AS wikilink, text AS value,
     CASE WHEN contains(link, 'Category') THEN 'category' ELSE 'concept' END AS type, '' AS wiki_id
   FROM anchors WHERE contains(link, '/wiki/')
-    AND NOT contains(regexp_replace(link, '^\\S+wikipedia.org', ''), {_PATH})
+    AND NOT ({_PATH} NOT IN ('', '/') AND contains(regexp_replace(link, '^\\S+wikipedia.org', ''), {_PATH}))
     AND NOT regexp_matches(link, '{C.META_NAMESPACE_PATTERN}'))"""
 
 
@@ -66,12 +88,12 @@ def q_links_linked(spark, sf):
     return L.links_linked(links, fixture(spark, sf, "wiki_ids"))
 
 
-@register("first_image", D.wf(["link_pages"], r"""
-SELECT page_id, url, 'http:' || regexp_extract(tag, 'src="([^"]*)"', 1) AS image FROM (
-  SELECT page_id, url, list_filter(regexp_extract_all(html, '<img\s[^>]*>', 0),
-    lambda t: contains(t, 'upload.wikimedia.org') AND NOT contains(t, '.svg')
-      AND NOT contains(regexp_extract(t, 'src="([^"]*)"', 1), 'http'))[1] AS tag FROM link_pages)
-WHERE tag IS NOT NULL"""))
+@register("first_image", D.wf(["link_pages"], f"""
+SELECT page_id, url, 'http:' || src AS image FROM (
+  SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, {_q(L.IMG)}, 1), lambda t: {_attr('t', 'src')}),
+    lambda x: contains(x, 'upload.wikimedia.org') AND NOT contains(x, '.svg') AND NOT contains(x, 'http'))[1] AS src
+  FROM link_pages)
+WHERE src IS NOT NULL"""))
 def q_first_image(spark, sf):
     return L.first_image(fixture(spark, sf, "link_pages"))
 

@@ -150,6 +150,7 @@ FIXTURES: dict[str, list[Sel]] = {
     "link_pages": [Sel(["pages"], [
         "page_id",
         "CASE WHEN page_id % 2 = 0 THEN 'https://en.wikipedia.org/wiki/P' || CAST(page_id AS {S}) "
+        "WHEN page_id % 11 = 1 THEN 'https://site.example/' WHEN page_id % 11 = 3 THEN 'https://site.example' "
         "ELSE url END AS url",
         "'<img src=\"//upload.wikimedia.org/a/' || CAST(page_id AS {S}) || '.svg\">' || "
         "CASE WHEN page_id % 2 = 0 THEN '<img alt=\"x\" src=\"//upload.wikimedia.org/b/' || "
@@ -158,6 +159,10 @@ FIXTURES: dict[str, list[Sel]] = {
         "'<a href=\"/wiki/Category:Group' || CAST(page_id % 7 AS {S}) || '\">Group</a>' || "
         "'<a href=\"/wiki/Help:Contents\">Help</a>' || "
         "'<a class=\"ext\" href=\"https://fr.wikipedia.org/wiki/Paris\">Paris &amp; <b>co</b></a>' || "
+        "'<A data-href=\"/wiki/No\" HREF=' || chr(39) || '/wiki/Caf%C3%A9_' || CAST(page_id % 5 AS {S}) || chr(39) || "
+        "'>caf&eacute; &#8364;&#x41; &bogus;</A><a href=/wiki/Bare title=\"a > b\">bare</a>' || "
+        "'<IMG data-src=\"//upload.wikimedia.org/no.jpg\" src=' || chr(39) || '//upload.wikimedia.org/c/' || "
+        "CAST(page_id AS {S}) || '.png' || chr(39) || '/>' || "
         "replace(html, 'href=\"/', 'href=\"/wiki/') AS html",
     ])],
     # translation replies of a chat model, one per part

@@ -65,6 +65,11 @@ def prompt_table(ddl: DataFrame, job: dict, question: str | None = None) -> Data
     return ddl.select("table_name", system.alias("system"), user.alias("user"))
 
 
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """The text of a prompt file on shared storage (blanks at its ends removed)."""
+    return spark.read.option("wholetext", True).text(path).first()[0].strip()
+
+
 def prompt_text(rows: DataFrame, job: dict, context_col: str = "context",
                 query_col: str = "concept", direct: bool = False,
                 custom_prompt: str | None = None) -> DataFrame:
@@ -117,11 +122,16 @@ def table_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
     return spark.createDataFrame(rows, "table_name string, pos int, column_name string, column_type string")
 
 
-def table_ddl(columns: DataFrame) -> DataFrame:
-    """``name TYPE, name TYPE, ...`` per table, in column order."""
-    return columns.groupBy("table_name").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(
-            " ", "column_name", "column_type").alias("c")))), lambda x: x["c"]), ", ").alias("ddl"))
+def table_ddl(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, n_rows, ddl``: ``name TYPE, name TYPE, ...`` in column order; a
+    column is ``NOT NULL`` if no row of the table lacks it (one pass per table)."""
+    def one(name: str, df: DataFrame) -> DataFrame:
+        parts = [F.concat(F.lit(f"{f.name} {sql_type(f.dataType)}"),
+                          F.when(F.count(F.col(f"`{f.name}`")) == F.count(F.lit(1)), F.lit(" NOT NULL")).otherwise(F.lit("")))
+                 for f in df.schema.fields]
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(", ", *parts).alias("ddl")).select(
+            F.lit(name).alias("table_name"), "n_rows", "ddl")
+    return union_all([one(n, df) for n, df in tables.items()])
 
 
 # --- profiles and questions --------------------------------------------------
@@ -133,9 +143,9 @@ def _is_num(dt) -> bool:
     return dt.simpleString() in NUMERIC or dt.simpleString().startswith("decimal")
 
 
-def table_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One pass over the table: per column rows, nulls, distinct values
-    (exact, or HyperLogLog when ``exact=False``), min, max and mean.
+    (HyperLogLog; ``exact=True`` repeats every row once per column), min, max and mean.
 
     All per-column aggregates run in one ``agg`` (partial aggregation), the
     single result row is then turned into one row per column."""

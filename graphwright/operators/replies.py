@@ -62,6 +62,15 @@ def lang_code(records: DataFrame) -> DataFrame:
     return join_fixed(records, language_codes(records.sparkSession), "key")
 
 
+def lang_code_quarantine(records: DataFrame) -> DataFrame:
+    """Records whose key is no known language name and no description or summary:
+    ``(key, n)`` with the number of records, so that no name vanishes silently."""
+    known = language_codes(records.sparkSession).select("key")
+    rest = records.join(F.broadcast(known), "key", "left_anti")
+    rest = rest.where(~F.lower("key").contains("description") & (F.col("key") != "summary"))
+    return rest.groupBy("key").agg(F.count("*").alias("n"))
+
+
 def vocab_skos(records: DataFrame) -> DataFrame:
     """SKOS vocabulary from translation records (long form).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import questions as Q, relations as R
+from ..session import scratch_path
 from ..sources.fixtures import fixture
 from ..sources.tables import TABLES, table
 from . import duck as D
@@ -117,7 +118,7 @@ _CUSTOMER = [("c_custkey", "BIGINT", True), ("c_name", "VARCHAR", False), ("c_na
 
 @register("table_profile", _profile_sql("customer", _CUSTOMER))
 def q_table_profile(spark, sf):
-    return Q.table_profile(table(spark, sf, "customer"))
+    return Q.table_profile(table(spark, sf, "customer"), exact=True)
 
 
 def _qa_sql():
@@ -143,13 +144,20 @@ def q_question_answers(spark, sf):
 
 # --- table description and prompts (T15-T19, S4) ----------------------------
 
-_DDL_SQL = "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, string_agg(column_name || ' ' || column_type, ', ') AS ddl FROM (DESCRIBE {t})"
-    for t in TABLES)
+_ORDERS = [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "VARCHAR"), ("o_totalprice", "DOUBLE"),
+           ("o_orderdate", "TIMESTAMP"), ("o_orderpriority", "VARCHAR")]
+
+
+def _ddl_sql(t: str, cols) -> str:
+    parts = " || ', ' || ".join(f"'{c[0]} {c[1]}' || CASE WHEN count({c[0]}) = count(*) THEN ' NOT NULL' ELSE '' END" for c in cols)
+    return f"SELECT '{t}' AS table_name, count(*) AS n_rows, {parts} AS ddl FROM {t}"
+
+
+_DDL_SQL = _ddl_sql("customer", _CUSTOMER) + "\nUNION ALL " + _ddl_sql("orders", _ORDERS)
 
 
 def _ddl(spark, sf):
-    return Q.table_ddl(Q.table_columns(spark, {t: table(spark, sf, t) for t in TABLES}))
+    return Q.table_ddl({t: table(spark, sf, t) for t in ("customer", "orders")})
 
 
 @register("table_ddl", _DDL_SQL)
@@ -195,12 +203,25 @@ def q_prompt_direct(spark, sf):
 CUSTOM_PROMPT = "You extract concepts and their relations from a sentence and answer in JSON."
 
 
+def _prompt_file(spark) -> str:
+    """A custom prompt in a file of the shared folder."""
+    path = scratch_path(spark, "custom-prompt")
+    spark.range(1).select(F.lit(CUSTOM_PROMPT).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
 @register("custom_prompt_override", D.wf(["responses"], f"SELECT concept, {_lit(CUSTOM_PROMPT)} AS system, "
                                                          "concept AS user FROM work", _WORK))
 def q_custom_prompt_override(spark, sf):
-    return Q.prompt_text(_work(spark, sf), _TR, custom_prompt=CUSTOM_PROMPT)
+    return Q.prompt_text(_work(spark, sf), _TR, custom_prompt=Q.read_prompt(spark, _prompt_file(spark)))
 
 
-@register("prompt_messages")
+@register("prompt_messages", D.wf(["responses"], f"""
+SELECT concept, pos, role, content FROM (
+  SELECT concept, 0 AS pos, 'system' AS role, {_fill_sql(_fill_sql(_lit(_TR['instruction']), 'context'), 'concept')} AS content FROM work
+  UNION ALL SELECT concept, 1, 'user', {_fill_sql(_lit(_TR['template']), _lit('None' if _TR['query'] is None else _TR['query']))}
+  FROM work)""", _WORK))
 def q_prompt_messages(spark, sf):
-    return Q.prompt_messages(Q.prompt_text(_work(spark, sf), _TR))
+    """The messages of every chat array, one row each."""
+    chat = Q.prompt_messages(Q.prompt_text(_work(spark, sf), _TR))
+    return chat.select("concept", F.posexplode("messages").alias("pos", "m")).select("concept", "pos", "m.role", "m.content")

@@ -9,6 +9,7 @@ from ..operators import relations as R, replies as P, triples as T
 from ..sources.fixtures import fixture
 from ..sources.tables import table
 from . import duck as D
+from .q_text import _LANG_DETECT, q_lang_detect
 from .registry import register
 
 _KV = r"""kv AS (SELECT reply_id, key, arg_max(value, pos) AS value FROM (
@@ -60,9 +61,15 @@ def q_keywords(spark, sf):
     return P.keywords(fixture(spark, sf, "keyword_replies"))
 
 
-@register("translation_record", D.wf(["replies"], "SELECT * FROM rec", _KV + ",\n" + _REC))
+@register("translation_record", D.wf(["replies"], """
+SELECT rec.* REPLACE (l.lang_detected AS lang) FROM rec LEFT JOIN (""" + _LANG_DETECT.strip() + """) l ON l.doc_id = rec.reply_id""",
+                                     _KV + ",\n" + _REC))
 def q_translation_record(spark, sf):
-    return _records(spark, sf)
+    """Records with the language that is detected in the context."""
+    rp = _replies(spark, sf)
+    ctx = table(spark, sf, "documents").select(F.col("doc_id").alias("reply_id"), F.col("text").alias("context"))
+    found = q_lang_detect(spark, sf).select(F.col("doc_id").alias("reply_id"), F.col("lang_detected").alias("lang"))
+    return P.translation_record(rp, P.reply_kv(rp), ctx.join(found, "reply_id", "left"))
 
 
 @register("lang_code", D.wf(["replies"], "SELECT rec.*, c.code FROM rec JOIN codes c USING (key)",
@@ -71,6 +78,13 @@ def q_lang_code(spark, sf):
     return P.lang_code(_records(spark, sf))
 
 
+@register("lang_code_quarantine", D.wf(["replies"], """
+SELECT key, count(*) AS n FROM rec WHERE key NOT IN (SELECT key FROM codes) AND NOT contains(lower(key), 'description')
+AND key <> 'summary' GROUP BY key""", _KV + ",\n" + _REC + ",\n" + _CODES))
+def q_lang_code_quarantine(spark, sf):
+    return P.lang_code_quarantine(_records(spark, sf))
+
+
 @register("vocab_skos", D.wf(["replies"], "SELECT * FROM vocab", _ALL))
 def q_vocab_skos(spark, sf):
     return P.vocab_skos(_records(spark, sf))

@@ -2,52 +2,67 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+import csv
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.lineage import checkpoint
 
 
-def list_files(spark: SparkSession, folder: str) -> list[str]:
-    """File paths of a folder (driver-side listing through the Hadoop FS API;
-    works for any cluster file system)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    return sorted(str(s.getPath().toString()) for s in fs.listStatus(path) if s.isFile())
+# Words that stand for a missing value in delimited files.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-    try:
-        return reader.readLine() or ""
-    finally:
-        reader.close()
+def _records(lines: DataFrame, width: int) -> DataFrame:
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"mode": "PERMISSIVE", "escape": '"'})
+    return lines.withColumn("cells", F.array(*[cells[f"c{i}"] for i in range(width)]))
 
 
 def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> DataFrame | None:
-    """Every file whose name contains ``marker``, read with header and type
-    inference, aligned by column name (missing columns are null).  Files that
-    share a header are read together.  ``None`` when no file matches."""
-    files = [f for f in list_files(spark, folder) if marker in f.rsplit("/", 1)[-1]]
-    if not files:
+    """Every file of a folder whose name contains ``marker``: cells aligned by the
+    column names of each file's first line (a missing column is null), words of
+    ``MISSING`` null, one type per column over the whole folder (integer, number,
+    truth value, timestamp, else text).  Values hold no line feeds.  Null when no
+    file matches.
+
+    Lines, headers and types are read by Spark; the driver gets the header lines
+    that differ from one another and one row of type flags."""
+    raw = (spark.read.option("pathGlobFilter", f"*{marker}*").text(folder)
+           .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+           .withColumn("at", F.monotonically_increasing_id()))
+    # the first line of a file is the first row of its first block
+    heads = raw.where("block = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
+    heads = checkpoint(heads.select("file", F.col("h.value").alias("header")))
+    kinds = [r.header for r in heads.select("header").distinct().collect()]  # as many as distinct headers
+    if not kinds:
         return None
-    # the header line only (a few bytes per file), read concurrently
-    with ThreadPoolExecutor(max_workers=min(32, len(files))) as pool:
-        headers = list(pool.map(lambda f: first_line(spark, f), files))
-    groups: dict[str, list[str]] = {}
-    for f, h in zip(files, headers):
-        groups.setdefault(h, []).append(f)
-    parts = [spark.read.option("header", True).option("inferSchema", True).csv(fs)
-             for fs in groups.values()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names_of = {k: next(csv.reader([k]), []) for k in kinds}
+    names = list(dict.fromkeys(n for k in sorted(kinds) for n in names_of[k]))
+    width = max(map(len, names_of.values()))
+    # the header line goes (and any line of a first block that equals it)
+    body = (raw.join(heads, "file").where(~((F.col("block") == 0) & (F.col("value") == F.col("header"))))
+            .where(F.col("value") != ""))
+    rows = _records(body, width)
+    place = {n: [(k, v.index(n)) for k, v in names_of.items() if n in v] for n in names}
+    cols = []
+    for n in names:
+        cell = None
+        for k, i in place[n]:
+            cond, val = F.col("header") == k, F.col("cells")[i]
+            cell = F.when(cond, val) if cell is None else cell.when(cond, val)
+        cols.append(F.when(~cell.isin(*MISSING), cell).alias(n))
+    texts = rows.select(*cols)
+    types = ("bigint", "double", "boolean", "timestamp_ntz")
+    flags = [F.coalesce(F.min(F.col(f"`{n}`").try_cast(t).isNotNull() | F.col(f"`{n}`").isNull()), F.lit(False)).alias(f"f{i}_{j}")
+             for i, n in enumerate(names) for j, t in enumerate(types)]
+    some = [F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)]
+    fits = texts.agg(*flags, *some).first()
+    out = []
+    for i, n in enumerate(names):
+        kind = next((t for j, t in enumerate(types) if fits[f"f{i}_{j}"]), "string") if fits[f"n{i}"] else "string"
+        out.append(F.col(f"`{n}`").cast(kind).alias(n))
+    return texts.select(*out)
 
 
 def source_precedence(sources: DataFrame, dataset_col: str = "dataset",

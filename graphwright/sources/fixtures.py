@@ -174,6 +174,7 @@ FIXTURES: dict[str, list[Sel]] = {
         f"'User' || chr(39) || 's request in Dutch: ' || p_name || ' nl' || {NL} || "
         f"'Description: part ' || p_name || {NL} || 'free text' || "
         f"CASE WHEN p_partkey % 3 = 0 THEN {NL} || 'English: ' || lower(p_name) ELSE '' END || "
+        f"CASE WHEN p_partkey % 9 = 2 THEN {NL} || 'Basque: ' || p_name ELSE '' END || "
         f"CASE WHEN p_partkey % 4 = 1 THEN {NL} || 'German: ' || p_name || ' de' || {NL} || 'more text' "
         "ELSE '' END AS response",
     ])],

@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-_SCHEMAS: dict[str, object] = {}
+_SCHEMAS: dict[tuple[str, str], object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
+    # remembered for the application: a later one reads the footers anew
+    key = (spark.sparkContext.applicationId, path)
+    schema = _SCHEMAS.get(key)
     if schema is None:
         df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
+        _SCHEMAS[key] = df.schema
         return df
     return spark.read.schema(schema).parquet(path)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as C
+from ..functions.lineage import checkpoint
 from ..operators import entities as E, relations as R, triples as T
 
 
@@ -26,67 +27,128 @@ def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
             .parquet(folder))
 
 
-def stream_identifier_stats(spark: SparkSession, src: str, out: str, ckpt: str, schema,
-                            id_col: str = "record_id", json_col: str = "data", depth: int = 8):
-    """Running identifier counts: ``groupBy(value).count()`` in update mode;
-    every micro-batch writes its updated counts to ``out/batch_id=<n>``
-    (overwriting that slice on replay).  The current count of a value is its
-    row in the newest slice that has it."""
-    recs = file_stream(spark, src, schema)
-    vals = E.json_string_leaves_unrolled(recs, id_col, json_col, depth)
-    v = F.col("value")
-    vals = vals.where((v != "") & v.contains(C.ID_SEPARATOR) & ~v.contains(C.ID_FORBIDDEN))
-    counts = vals.groupBy("value").agg(F.count("*").alias("n"))
-
+def _slice_sink(out: str, make):
+    """A sink that writes ``make(batch)`` to a slice of the batch's own; a replayed
+    batch overwrites its slice, so nothing counts twice."""
     def sink(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        make(batch).write.mode("overwrite").parquet(f"{out}/slices/batch_id={batch_id}")
+    return sink
+
+
+def compact_slices(spark: SparkSession, out: str, merge, schema: str) -> None:
+    """Merge all slices up to now into one table, ``compact/upto=<last batch>``.
+    Readers take the newest one and the slices after it, so a run of the job
+    reads what is new and not every slice ever written."""
+    upto = _last(spark, f"{out}/slices")
+    if upto is not None and upto != _last(spark, f"{out}/compact"):
+        merge(_state(spark, out, schema)).write.mode("overwrite").parquet(f"{out}/compact/upto={upto}")
+
+
+def _last(spark: SparkSession, folder: str) -> int | None:
+    """Largest number in the ``name=<n>`` folders that hold a finished write."""
+    if not _exists(spark, folder):
+        return None
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    done = [int(p.getName().split("=")[1]) for p in names
+            if "=" in p.getName() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def _state(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    upto = _last(spark, f"{out}/compact")
+    rows = spark.createDataFrame([], schema)
+    if _exists(spark, f"{out}/slices"):
+        after = spark.read.schema(schema + ", batch_id bigint").parquet(f"{out}/slices")
+        rows = rows.unionByName((after if upto is None else after.where(F.col("batch_id") > upto)).drop("batch_id"))
+    if upto is not None:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{out}/compact/upto={upto}"))
+    return rows
+
+
+COUNTS = "value string, n bigint"
+
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(sink)
+def _sum_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def stream_identifier_stats(spark: SparkSession, src: str, out: str, ckpt: str, schema,
+                            id_col: str = "record_id", json_col: str = "data") -> DataFrame:
+    """Running identifier counts.  Every micro-batch walks its documents to any depth
+    (as the batch operator does) and writes its own counts; the current count of a
+    value is the sum over the slices."""
+    def counts(batch: DataFrame) -> DataFrame:
+        return E.identifier_values(batch, id_col, json_col).groupBy("value").agg(F.count("*").alias("n"))
+
+    q = (file_stream(spark, src, schema).writeStream.foreachBatch(_slice_sink(out, counts))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    compact_slices(spark, out, _sum_counts, COUNTS)
     return current_counts(spark, out)
 
 
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
-    slices = spark.read.parquet(out)
-    return slices.groupBy("value").agg(F.max_by("n", "batch_id").alias("n"))
+    return _sum_counts(_state(spark, out, COUNTS))
+
+
+FIRSTS = "concept string, doc_id bigint, uid bigint, atom_ix bigint, side int, context string"
+
+
+def _first_context(rows: DataFrame) -> DataFrame:
+    """The row of the smallest order key (document, sentence, atom, side) per concept."""
+    key = F.struct("doc_id", "uid", "atom_ix", "side")
+    first = rows.groupBy("concept").agg(F.min(key).alias("k"))
+    same = rows.withColumn("k", key).select("concept", "k", "context")
+    # equal keys come from replayed files and hold the same context
+    return same.join(first, ["concept", "k"]).dropDuplicates(["concept"]).select("concept", "k.*", "context")
 
 
 def stream_concept_worklist(spark: SparkSession, src: str, out: str, ckpt: str, schema) -> DataFrame:
-    """First-seen concepts: streaming ``dropDuplicates(['concept'])`` (state
-    kept for the life of the query, as in the reference) to a Parquet sink in
-    append mode."""
-    atoms = R.atoms(file_stream(spark, src, schema))
-    a = R.complete_atoms(atoms)
-    stacked = a.select(F.inline(F.array(
-        F.struct(F.col("concept1").alias("concept"), "doc_id", "uid", F.col("sentence").alias("context")),
-        F.struct(F.col("concept2").alias("concept"), "doc_id", "uid", F.col("sentence").alias("context")))))
-    firsts = stacked.dropDuplicates(["concept"])
-    q = (firsts.writeStream.outputMode("append").format("parquet").option("path", out)
+    """Concepts with their first context: a micro-batch writes the first context that
+    it saw of each concept; the first over all slices is the batch result, in
+    whatever order the files arrive."""
+    def firsts(batch: DataFrame) -> DataFrame:
+        a = R.complete_atoms(R.atoms(batch))
+        rows = a.select(F.inline(F.array(*[
+            F.struct(F.col(c).alias("concept"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("uid").cast("bigint").alias("uid"),
+                     F.col("atom_ix").cast("bigint").alias("atom_ix"), F.lit(i).alias("side"), F.col("sentence").alias("context"))
+            for i, c in enumerate(("concept1", "concept2"))])))
+        return _first_context(rows)
+
+    q = (file_stream(spark, src, schema).writeStream.foreachBatch(_slice_sink(out, firsts))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    compact_slices(spark, out, _first_context, FIRSTS)
+    return _first_context(_state(spark, out, FIRSTS)).select("concept", "doc_id", "uid", "context")
+
+
+GRAPH = "s string, p string, o string, o_kind string, lang string, bucket int"
+BUCKETS = 64
 
 
 def stream_ingest(spark: SparkSession, src: str, out: str, ckpt: str, schema,
                   strict_case: bool = True) -> DataFrame:
     """Document-at-a-time ingest: replies -> atoms -> SKOS triples; each
     micro-batch appends only triples not yet in the graph folder (idempotent
-    upsert by anti join, so replays add nothing)."""
-    stream = file_stream(spark, src, schema)
-    atoms = R.atoms(stream)
-    rows = _skos_rows(atoms, strict_case)
-
+    upsert by anti join, so replays add nothing).  The graph is stored in buckets of
+    the subject's hash and a batch reads only the buckets that it touches.  The
+    schema is given, so a first write that failed half-way does not block the next."""
     def sink(batch: DataFrame, batch_id: int):
-        new = batch.distinct()
+        new = checkpoint(_skos_rows(R.atoms(batch), strict_case).distinct()
+                         .withColumn("bucket", F.pmod(F.xxhash64("s"), F.lit(BUCKETS)).cast("int")))
         if _exists(spark, out):
-            new = new.join(spark.read.parquet(out), T.TRIPLE_COLS, "left_anti")
-        new.write.mode("append").parquet(out)
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            old = spark.read.schema(GRAPH).parquet(out).where(F.col("bucket").isin(touched))
+            new = new.join(old, [*T.TRIPLE_COLS, "bucket"], "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(out)
 
-    q = (rows.writeStream.outputMode("append").foreachBatch(sink)
+    q = (file_stream(spark, src, schema).writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(GRAPH).parquet(out).drop("bucket")
 
 
 def _skos_rows(atoms: DataFrame, strict_case: bool) -> DataFrame:

@@ -111,13 +111,19 @@ def vocab_merge(existing: DataFrame, new: DataFrame, mode: str = "merge") -> Dat
 
 
 def cache_concept(records: DataFrame, url: Column | None = None, id_col: str = "reply_id") -> DataFrame:
-    """Concept cache records: one per translated concept, with its field count.
-    Replies without any field are left out (they go to quarantine upstream)."""
+    """Concept cache records: one per translated concept, with all its fields
+    (``fields`` map and ``n_fields``).  Replies without any field are left out (they
+    go to quarantine upstream)."""
     per = records.groupBy(id_col, "concept", "md5", "md5context", "lang") \
-        .agg(F.count("*").alias("n_fields"))
+        .agg(F.count("*").alias("n_fields"), F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
     return per.select(id_col, "md5", "md5context", "lang", F.lit("concept").alias("type"),
                       F.col("concept").alias("name"),
-                      (url if url is not None else F.lit(None).cast("string")).alias("url"), "n_fields")
+                      (url if url is not None else F.lit(None).cast("string")).alias("url"), "n_fields", "fields")
+
+
+def concept_fields(cached: DataFrame, id_col: str = "reply_id") -> DataFrame:
+    """Long form of the concept cache: ``(id, md5, md5context, name, key, value)``."""
+    return cached.select(id_col, "md5", "md5context", "name", F.explode("fields").alias("key", "value"))
 
 
 def link_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -31,13 +31,16 @@ def _underscore(c: Column) -> Column:
 def kg_plain(atoms_df: DataFrame, distinct: bool = True) -> DataFrame:
     """``ex:c1 rel:relationship ex:c2`` and ``ex:c1 rel:hasImportance "i"``."""
     a = complete_atoms(atoms_df, ("concept1", "concept2", "relationship", "importance"))
+    out = a.select(F.inline(_plain_triples()))
+    return out.distinct() if distinct else out
+
+
+def _plain_triples() -> Column:
     c1 = F.concat(F.lit(C.NS_PLAIN_CONCEPT), _underscore(F.col("concept1")))
     c2 = F.concat(F.lit(C.NS_PLAIN_CONCEPT), _underscore(F.col("concept2")))
     rel = F.concat(F.lit(C.NS_PLAIN_RELATION), _underscore(F.col("relationship")))
     imp = F.lit(C.NS_PLAIN_RELATION + "hasImportance")
-    out = a.select(F.inline(F.array(triple(c1, rel, c2, "iri"),
-                                    triple(c1, imp, F.col("importance"), "lit"))))
-    return out.distinct() if distinct else out
+    return F.array(triple(c1, rel, c2, "iri"), triple(c1, imp, F.col("importance"), "lit"))
 
 
 def skos_predicate(rel: Column, strict_case: bool = True) -> Column:
@@ -63,15 +66,24 @@ def kg_skos(atoms_df: DataFrame, strict_case: bool = True, distinct: bool = True
     """SKOS graph on md5 concept ids (importance is not emitted).
     ``distinct=False`` leaves the set step to a later union."""
     a = complete_atoms(atoms_df, ("concept1", "concept2", "relationship", "importance"))
+    out = a.select(F.inline(_skos_triples(strict_case)))
+    return out.distinct() if distinct else out
+
+
+def _skos_triples(strict_case: bool) -> Column:
     q1 = F.concat(F.lit(C.NS_ID), F.md5("concept1"))
     q2 = F.concat(F.lit(C.NS_ID), F.md5("concept2"))
     pred = skos_predicate(F.col("relationship"), strict_case)
     fallback = F.concat(F.lit(C.NS_SKOS_FALLBACK), _underscore(F.col("relationship")))
-    arr = (F.when(pred.isNotNull(),
-                  F.array(triple(q1, pred, F.col("concept2"), "lit"), triple(q1, pred, q2, "iri")))
-           .otherwise(F.array(triple(q1, fallback, F.col("concept2"), "lit"))))
-    out = a.select(F.inline(arr))
-    return out.distinct() if distinct else out
+    return (F.when(pred.isNotNull(),
+                   F.array(triple(q1, pred, F.col("concept2"), "lit"), triple(q1, pred, q2, "iri")))
+            .otherwise(F.array(triple(q1, fallback, F.col("concept2"), "lit"))))
+
+
+def kg_both(atoms_df: DataFrame, strict_case: bool = True) -> DataFrame:
+    """The union of the SKOS and the plain graph; the replies are parsed once."""
+    a = complete_atoms(atoms_df, ("concept1", "concept2", "relationship", "importance"))
+    return a.select(F.inline(F.concat(_skos_triples(strict_case), _plain_triples()))).distinct()
 
 
 def ntriples_lines(triples: DataFrame) -> DataFrame:

@@ -134,6 +134,8 @@ def class_members_top(triples: DataFrame, target: str = "wd:Q515", location: str
         named = triples.where((F.col("p") == LABEL) & (F.col("o") == location)
                               & (F.col("lang") == "en")).select(F.col("s").alias("item"))
         star = star.join(named, "item", "left_semi")
+    # written once: the star is read for its ids and for its rows
+    star = checkpoint(star)
     # items are distinct members with a few population/coordinate values each
     star = with_label(star, "item", labels_for(triples, star.select("item"), ("en",)), "city_label",
                       hot_keys=False)

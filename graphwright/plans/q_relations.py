@@ -135,10 +135,7 @@ def q_ntriples_lines(spark, sf):
                               + D.skos_sql(True) + " UNION ALL SELECT * FROM " + D.plain_sql()
                               + " UNION ALL SELECT * FROM " + D.skos_sql(True) + ")", AT))
 def q_graph_union(spark, sf):
-    a = _atoms(spark, sf)
-    # raw triples in, one set step (one shuffle) for the whole union
-    skos = T.kg_skos(a, distinct=False)
-    return T.graph_union(skos, T.kg_plain(a, distinct=False), skos)
+    return T.kg_both(_atoms(spark, sf))
 
 
 @register("seed_graph", D.wf(["responses", "authority_triples"], """

@@ -111,7 +111,13 @@ def q_vocab_merge(spark, sf):
 SELECT reply_id, md5, md5context, lang, 'concept' AS type, concept AS name, NULL::VARCHAR AS url,
        count(*) AS n_fields FROM rec GROUP BY reply_id, concept, md5, md5context, lang""", _KV + ",\n" + _REC))
 def q_cache_concept(spark, sf):
-    return P.cache_concept(_records(spark, sf))
+    return P.cache_concept(_records(spark, sf)).drop("fields")
+
+
+@register("cache_concept_fields", D.wf(["replies"], "SELECT reply_id, md5, md5context, concept AS name, key, value FROM rec",
+                                       _KV + ",\n" + _REC))
+def q_cache_concept_fields(spark, sf):
+    return P.concept_fields(P.cache_concept(_records(spark, sf)))
 
 
 @register("link_terms", D.wf(["replies"], f"""

@@ -66,3 +66,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     when the cluster names one)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -7,6 +7,7 @@ import csv
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import checkpoint
+from ..session import exists
 
 
 # Words that stand for a missing value in delimited files.
@@ -28,6 +29,8 @@ def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> Da
 
     Lines, headers and types are read by Spark; the driver gets the header lines
     that differ from one another and one row of type flags."""
+    if not exists(spark, folder):
+        return None
     raw = (spark.read.option("pathGlobFilter", f"*{marker}*").text(folder)
            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
            .withColumn("at", F.monotonically_increasing_id()))

@@ -13,15 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as C
 from ..functions.lineage import checkpoint
+from ..session import exists
 from ..operators import entities as E, relations as R, triples as T
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 2) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .parquet(folder))
@@ -46,7 +41,7 @@ def compact_slices(spark: SparkSession, out: str, merge, schema: str) -> None:
 
 def _last(spark: SparkSession, folder: str) -> int | None:
     """Largest number in the ``name=<n>`` folders that hold a finished write."""
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         return None
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -60,7 +55,7 @@ def _last(spark: SparkSession, folder: str) -> int | None:
 def _state(spark: SparkSession, out: str, schema: str) -> DataFrame:
     upto = _last(spark, f"{out}/compact")
     rows = spark.createDataFrame([], schema)
-    if _exists(spark, f"{out}/slices"):
+    if exists(spark, f"{out}/slices"):
         after = spark.read.schema(schema + ", batch_id bigint").parquet(f"{out}/slices")
         rows = rows.unionByName((after if upto is None else after.where(F.col("batch_id") > upto)).drop("batch_id"))
     if upto is not None:
@@ -139,7 +134,7 @@ def stream_ingest(spark: SparkSession, src: str, out: str, ckpt: str, schema,
     def sink(batch: DataFrame, batch_id: int):
         new = checkpoint(_skos_rows(R.atoms(batch), strict_case).distinct()
                          .withColumn("bucket", F.pmod(F.xxhash64("s"), F.lit(BUCKETS)).cast("int")))
-        if _exists(spark, out):
+        if exists(spark, out):
             touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
             old = spark.read.schema(GRAPH).parquet(out).where(F.col("bucket").isin(touched))
             new = new.join(old, [*T.TRIPLE_COLS, "bucket"], "left_anti")
@@ -152,14 +147,4 @@ def stream_ingest(spark: SparkSession, src: str, out: str, ckpt: str, schema,
 
 
 def _skos_rows(atoms: DataFrame, strict_case: bool) -> DataFrame:
-    """The SKOS triples of :func:`triples.kg_skos` before the final distinct
-    (a streaming ``distinct`` would keep unbounded state; the sink dedups)."""
-    a = R.complete_atoms(atoms)
-    q1 = F.concat(F.lit(C.NS_ID), F.md5("concept1"))
-    q2 = F.concat(F.lit(C.NS_ID), F.md5("concept2"))
-    pred = T.skos_predicate(F.col("relationship"), strict_case)
-    fallback = F.concat(F.lit(C.NS_SKOS_FALLBACK), F.replace(F.col("relationship"), F.lit(" "), F.lit("_")))
-    arr = (F.when(pred.isNotNull(), F.array(T.triple(q1, pred, F.col("concept2"), "lit"),
-                                            T.triple(q1, pred, q2, "iri")))
-           .otherwise(F.array(T.triple(q1, fallback, F.col("concept2"), "lit"))))
-    return a.select(F.inline(arr))
+    return T.kg_skos(atoms, strict_case, distinct=False)

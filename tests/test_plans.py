@@ -29,9 +29,9 @@ def test_question_filters_reach_the_scan(spark, sf_small):
 
 
 def test_reply_parsing_is_narrow(spark, sf_small):
-    r = fixture(spark, sf_small, "responses").repartition(8)
+    r = fixture(spark, sf_small, "responses")
     plan = _plan(R.atoms(r))
-    assert plan.count("Exchange") == 1  # only the repartition above; parsing adds none
+    assert plan.count("Exchange") == 1  # only the fixture's own; parsing adds none
 
 
 def test_links_are_linear_in_members(spark, sf_small):

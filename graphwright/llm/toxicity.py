@@ -43,6 +43,7 @@ MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
 MIN_G2, MIN_ROWS, MAX_STEMS = 30.0, 4, 5_000
 STEM_LENGTHS = (4, 5, 6, 7)
 NEGATION_REACH = 3
+SLICE = 4 << 20  # bytes of text that a worker turns into Python strings at a time
 NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = 0.2, 0.4, 1.25, 4.0
 
 # Closed word classes of the grammar.
@@ -158,15 +159,16 @@ def _sample(labels: DataFrame, train: Column, max_toxic: int, max_clean: int) ->
 
 
 def _count_stems(batches):
-    counts: dict[tuple[int, int], Counter] = {}
-    for b in batches:
+    """Rows with each stem, added up within a slice."""
+    for b in slices(batches, 1, SLICE // 4):
+        counts: dict[tuple[int, int], Counter] = {}
         for doc_id, text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-            seen = {s for w in set(WORD.findall((text or "").lower())) for s in stems(w)}
+            seen = {s for w in set(WORD.findall(text.lower())) for s in stems(w)}
             counts.setdefault((doc_id % 2, toxic), Counter()).update(seen)
-    for (fold, toxic), c in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([fold] * len(c), pa.int32()),
-                                          pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())],
-                                         ["stem", "fold", "toxic", "n"])
+        for (fold, toxic), c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([fold] * len(c), pa.int32()),
+                                              pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())],
+                                             ["stem", "fold", "toxic", "n"])
 
 
 def _g2(a, b, n1, n0):
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     """Learn the stems and the logistic model from labelled rows that ``train`` admits."""
     sample = _sample(labels, F.lit(True) if train is None else train, max_toxic, max_clean)
     # bounded by max_toxic + max_clean rows of two numbers
-    rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"))
     per_fold = (rows.mapInArrow(_count_stems, "stem string, fold int, toxic int, n bigint")
                 .groupBy("stem").agg(*(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0))
@@ -223,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
 
     def featured(batches):
         machines = {f: ClauseMachine(lex) for f, lex in other.items()}
-        for b in batches:
+        for b in slices(batches, 1, SLICE):
             ids, texts, toxic = (c.to_pylist() for c in b.columns)
             x = np.array([machines[i % 2].features(t) for i, t in zip(ids, texts)]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(4)), b.column(2)],
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         scorer = shared.value.scorer()
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, SLICE):
             s = scorer(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s),
                                               pa.array((s >= threshold).astype(np.int32))],
@@ -258,7 +260,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
 
     def run(batches):
         scorer = shared.value.scorer()
-        for b in batches:
+        for b in slices(batches, at, SLICE):
             yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -100,10 +100,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def bitmap(hashes: DataFrame, bits: int, column: str = "h") -> np.ndarray:
     """Bitmap of ``2**bits`` bits over the top bits of 64-bit hashes.  Its size is
-    fixed whatever the number of hashes; a set bit is no proof, an unset one is."""
+    fixed whatever the number of hashes; a set bit is no proof, an unset one is.
+    Tasks pack the bits of a range, so the driver gets at most ``2**bits`` bits."""
+    low = bits - 8
+
+    def pack(batches):
+        now, flags = None, None
+        for b in batches:
+            shard, at = (b.column(i).to_numpy() for i in (0, 1))
+            for k in np.unique(shard).tolist():
+                if k != now:
+                    if now is not None:
+                        yield _packed(now, flags)
+                    now, flags = k, np.zeros(1 << low, np.uint8)
+                flags[at[shard == k]] = 1
+        if now is not None:
+            yield _packed(now, flags)
+
     bit = F.shiftrightunsigned(column, 64 - bits)
-    rows = (hashes.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("v")).toPandas())
-    out = np.zeros(1 << bits >> 6, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint64)
-    return out
+    rows = (hashes.select(bit.alias("b")).distinct()
+            .select(F.shiftright("b", low).cast("int").alias("shard"), F.expr(f"cast(b & {(1 << low) - 1}L AS int)").alias("at"))
+            .repartition("shard").sortWithinPartitions("shard").mapInArrow(pack, "shard int, bits binary"))
+    out = np.zeros((256, 1 << low >> 6), np.uint64)
+    for shard, raw in rows.toLocalIterator():
+        out[shard] = np.frombuffer(raw, "<u8")
+    return out.ravel()
+
+
+def _packed(shard: int, flags: np.ndarray) -> pa.RecordBatch:
+    raw = np.packbits(flags, bitorder="little").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([raw], pa.binary())], ["shard", "bits"])

@@ -10,7 +10,8 @@ judged on the input, and matches never cross documents.
    document goes on (pre-aggregation of copies).
 2. Every window has an anchor, its smallest gram hash: equal windows have equal
    anchors.  Anchors that occur once can not match.  A bitmap of fixed size
-   holds those that occur more often; it is a filter without false negatives.
+   (``FILTER_BITS``) holds those that occur more often; it is a filter without
+   false negatives, and loses force, not results, as it fills.
 3. Runs of windows with one anchor go, with their bytes, to the shard of the
    anchor.  Windows of anchors that occur very often go one by one to the
    shard of their own hash, so no shard gathers a hot anchor.
@@ -38,7 +39,7 @@ from .suffix_array import permuted_prefixes, suffix_array
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1           # grams of a window
 CHUNK_BITS = 9                      # chunks of about 2**9 bytes
-FILTER_BITS, HOT_BITS, SHARD_BITS = 28, 22, 8
+FILTER_BITS, HOT_BITS, SHARD_BITS = 27, 22, 8
 HOT_COUNT = 128                     # slices with an anchor, two at most counted in each
 SHARD_BYTES = 4 << 20
 FIRST_ID = -(1 << 63)
@@ -199,11 +200,11 @@ def _repeated(batches):
         yield flush()
 
 
-def _segments(shared):
+def _segments(first, shared):
     """Runs of windows with one repeated anchor; equal runs of later documents of the
     slice leave as spans (no bytes)."""
     def run(batches):
-        owners, repeated, hot = shared.value
+        owners, (repeated, hot) = first.value, shared.value
         for b in slices(batches, 1):
             x = Scan(b.column(1), _keys(b.column(0)))
             at = np.flatnonzero(x.first_windows(owners) & x.window)
@@ -349,14 +350,11 @@ def _filters(d: DataFrame, owners) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of the anchors that occur more than once, and very often: one row of
     fixed size for each shard."""
     rows = (d.mapInArrow(_anchor_rows(owners), "shard int, anchors binary").repartition("shard").sortWithinPartitions("shard")
-            .mapInArrow(_repeated, "shard int, bits binary, hot binary").toPandas())
-    out = []
-    for name, width in (("bits", FILTER_BITS), ("hot", HOT_BITS)):
-        bits = np.zeros(1 << width >> 6, np.uint64).reshape(1 << SHARD_BITS, -1)
-        for shard, raw in zip(rows["shard"], rows[name]):
-            bits[shard] = np.frombuffer(raw, "<u8")
-        out.append(bits.ravel())
-    return out[0], out[1]
+            .mapInArrow(_repeated, "shard int, bits binary, hot binary"))
+    repeated, hot = (np.zeros((1 << SHARD_BITS, 1 << width >> 6 + SHARD_BITS), np.uint64) for width in (FILTER_BITS, HOT_BITS))
+    for shard, bits, often in materialise(rows, "anchors").toLocalIterator():
+        repeated[shard], hot[shard] = np.frombuffer(bits, "<u8"), np.frombuffer(often, "<u8")
+    return repeated.ravel(), hot.ravel()
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -364,11 +362,10 @@ def spans(docs: DataFrame) -> DataFrame:
     d, spark = _keyed(docs), docs.sparkSession
     chunks = materialise(d.mapInArrow(_chunk_rows, "h1 bigint, h2 bigint, key bigint, start bigint, stop bigint"), "chunks")
     low = materialise(chunks.groupBy("h1", "h2").agg(F.min("key").alias("low"), F.max("key").alias("high")), "first-chunks")
-    owners = bitmap(low.select("h1", "h2", "low").mapInArrow(_owner_hashes, "h bigint"), FILTER_BITS)
+    first = spark.sparkContext.broadcast(bitmap(low.select("h1", "h2", "low").mapInArrow(_owner_hashes, "h bigint"), FILTER_BITS))
     copies = chunks.join(low.where("low < high"), ["h1", "h2"]).where("key > low").select("key", "start", "stop")
-    repeated, hot = _filters(d, spark.sparkContext.broadcast(owners))
-    shared = spark.sparkContext.broadcast((owners, repeated, hot))
-    segments = d.mapInArrow(_segments(shared), "route bigint, key bigint, start bigint, stop bigint, bytes binary")
+    shared = spark.sparkContext.broadcast(_filters(d, first))
+    segments = d.mapInArrow(_segments(first, shared), "route bigint, key bigint, start bigint, stop bigint, bytes binary")
     found = segments.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, "key bigint, start bigint, stop bigint")
     return copies.unionByName(found)
 

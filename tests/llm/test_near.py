@@ -267,7 +267,7 @@ def test_hot_anchors_go_window_by_window(monkeypatch):
         shard = b.column(0)[0].as_py()
         bits[shard], hot[shard] = np.frombuffer(b.column(1)[0].as_py(), "<u8"), np.frombuffer(b.column(2)[0].as_py(), "<u8")
     assert hot.any()
-    segments = pa.Table.from_batches(sd._segments(Shared((every, bits.ravel(), hot.ravel())))(batches)).sort_by("route")
+    segments = pa.Table.from_batches(sd._segments(Shared(every), Shared((bits.ravel(), hot.ravel())))(batches)).sort_by("route")
     cuts = {}
     for b in sd._shards(segments.to_batches(max_chunksize=7)):
         for r in b.to_pylist():

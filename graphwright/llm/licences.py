@@ -141,29 +141,35 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, paragraph, words, features`` of the paragraphs with a word of a template."""
+    """``doc_id, line, paragraph, words, features, trigrams`` of the paragraphs with an
+    n-gram of a template.  Words and then n-grams are written once: a filter on an
+    expression over them would else be pushed down and compute them again in every
+    step of its lambdas."""
     lines = docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "paragraph"))
     near = lines.withColumn("words", _words(F.col("paragraph"))).where(
         F.arrays_overlap("words", _literals(_vocabulary()[1])))
-    return _features(near).where(F.size("features") > 0)
+    return _grams(materialise(near, "licence-lines"), "licence-paragraphs").where(F.size("features") > 0)
+
+
+def _grams(rows: DataFrame, name: str) -> DataFrame:
+    return materialise(_features(rows).withColumn("trigrams", _ngrams(F.col("words"), 3)), name)
 
 
 def _similar(df: DataFrame, spark: SparkSession, by_family: bool) -> DataFrame:
     """Adds ``template`` and ``similarity``: the best template (of the family) by the part
     of its trigrams that the paragraph has."""
     best = None
-    trigrams = _ngrams(F.col("words"), 3)
     for family, texts in TEMPLATES.items():
         for i, text in enumerate(texts):
             w = _split(text)
             grams = sorted({" ".join(w[k:k + 3]) for k in range(len(w) - 2)})
-            share = F.size(F.array_intersect(F.col("_trigrams"), _literals(grams))) / F.lit(float(len(grams)))
+            share = F.size(F.array_intersect(F.col("trigrams"), _literals(grams))) / F.lit(float(len(grams)))
             if by_family:
                 share = F.when(F.col("family") == family, share).otherwise(F.lit(-1.0))
             one = F.struct(share.alias("similarity"), F.lit(f"{family}/{i}").alias("template"))
             best = [one] if best is None else [*best, one]
-    return (df.withColumn("_trigrams", trigrams).withColumn("_best", F.array_max(F.array(*best)))
-            .withColumns({"template": F.col("_best.template"), "similarity": F.col("_best.similarity")}).drop("_best", "_trigrams"))
+    return (df.withColumn("_best", F.array_max(F.array(*best)))
+            .withColumns({"template": F.col("_best.template"), "similarity": F.col("_best.similarity")}).drop("_best"))
 
 
 def _examples(spark: SparkSession, near: DataFrame, max_unknown: int) -> DataFrame:
@@ -177,11 +183,12 @@ def _examples(spark: SparkSession, near: DataFrame, max_unknown: int) -> DataFra
         F.transform(F.sequence(F.lit(1), n), lambda i: F.slice("w", i, 1)),
         F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.slice("w", i, 2))))).alias("words"))
     plain = _table(spark, [(x,) for x in NO_GRANTS], ["text"]).select(F.lit(UNKNOWN).alias("family"), _words(F.col("text")).alias("words"))
-    seen = (_similar(near, spark, False).where("similarity < 1.0 / 3").groupBy("words").agg(F.count(F.lit(1)).alias("_n"))
+    similar = materialise(_similar(near, spark, False).select("words", "similarity"), "licence-similar")
+    seen = (similar.where("similarity < 1.0 / 3").groupBy("words").agg(F.count(F.lit(1)).alias("_n"))
             .orderBy(F.xxhash64("words"), F.col("words")).limit(max_unknown)
             .select(F.lit(UNKNOWN).alias("family"), "words"))
     rows = reduce(DataFrame.unionByName, (whole, whole, less, pieces, plain, plain, plain, seen))
-    return _features(rows).withColumn("fold", F.pmod(F.xxhash64("family", "words"), F.lit(5)))
+    return _grams(materialise(rows, "licence-words"), "licence-grams").withColumn("fold", F.pmod(F.xxhash64("family", "words"), F.lit(5)))
 
 
 class Scanner:
@@ -236,8 +243,8 @@ def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, confirmed_only: bool =
     of the paragraphs that grant a licence; predictions that no template confirms
     are given only on request."""
     spark = docs.sparkSession
-    near = materialise(paragraphs(docs), "licence-paragraphs")
-    found = fit(spark, near, max_unknown).classify(near).where((F.col("family") != UNKNOWN) & (F.col("probability") > 0.5))
+    near = paragraphs(docs)
+    found = materialise(fit(spark, near, max_unknown).classify(near).drop("features", "words"), "licence-classes").where((F.col("family") != UNKNOWN) & (F.col("probability") > 0.5))
     found = _similar(found, spark, True).withColumn("confirmed", F.col("similarity") >= MIN_SIMILARITY)
     if confirmed_only:
         found = found.where("confirmed")

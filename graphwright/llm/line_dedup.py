@@ -63,18 +63,23 @@ class Lines:
         self.up = up
         self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[raw] * up[:n], out=self.total[1:])
-        self.second = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OTHER[raw] * up[:n], out=self.second[1:])
         self.chars = np.flatnonzero((raw & 0xC0) != 0x80)  # bytes that start a code point
+        self.places = np.r_[self.chars, n]
 
     def segment(self, a, b, total=None):
         """Unmixed hash of bytes a to b, the same wherever they stand."""
         t = self.total if total is None else total
         return (t[b] - t[a]) * self.down[a]
 
+    def key(self, at):
+        return mix64(self.segment(self.start[at], self.end[at]))
+
     def keys(self, at):
-        s, e = self.start[at], self.end[at]
-        return mix64(self.segment(s, e)), mix64(self.segment(s, e, self.second))
+        """Two independent 64-bit hashes of each line."""
+        n = len(self.raw)
+        second = np.zeros(n + 1, np.uint64)
+        np.cumsum(_OTHER[self.raw] * self.up[:n], out=second[1:])
+        return self.key(at), mix64(self.segment(self.start[at], self.end[at], second))
 
     def length(self, at):
         first = np.searchsorted(self.chars, self.start[at])
@@ -82,7 +87,7 @@ class Lines:
 
     def place(self, i):
         """Byte of code point number ``i`` of the column."""
-        return np.r_[self.chars, len(self.raw)][i]
+        return self.places[i]
 
 
 def _i64(x):
@@ -110,7 +115,7 @@ def _outer_keys(batches):
     for b in slices(batches, 1, SLICE):
         x = Lines(b.column(1))
         at = np.flatnonzero(x.full)
-        k1, _ = x.keys(at)
+        k1 = x.key(at)
         _, unique = np.unique(k1, return_index=True)
         at, k1 = at[unique], k1[unique] & ~np.uint64(1)
         first, n = x.length(at)
@@ -132,15 +137,16 @@ def _outer_keys(batches):
 def _candidates(docs: DataFrame) -> DataFrame:
     """``k1`` (without its lowest bit) and ``flags``: bit k: shares all but quarter k with
     a line of equal length; bit 4 + k: with a shorter one; bit 8: with a longer one."""
-    keys = docs.mapInArrow(_outer_keys, "outer bigint, line bigint, k tinyint").repartition("outer")
+    keys = docs.mapInArrow(_outer_keys, "outer bigint, line bigint, k tinyint")
     role = F.col("line").bitwiseAND(F.lit(1))
     own = F.when(role == 0, F.col("line"))
-    groups = keys.groupBy("outer").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max(role).alias("probed"))
+    by = Window.partitionBy("outer")  # one shuffle of the keys
+    groups = keys.select("*", F.min(own).over(by).alias("low"), F.max(own).over(by).alias("high"), F.max(role).over(by).alias("probed"))
     groups = groups.where("low IS NOT NULL AND (low <> high OR probed = 1)")
     flag = F.expr("(CASE WHEN line & 1 = 1 THEN shiftleft(16, k) ELSE 0 END)"
                   " | (CASE WHEN line & 1 = 0 AND low <> high THEN shiftleft(1, k) ELSE 0 END)"
                   " | (CASE WHEN line & 1 = 0 AND probed = 1 THEN 256 ELSE 0 END)")
-    rows = keys.join(groups, "outer").select(F.expr("line & ~1L").alias("k1"), flag.alias("flag")).where("flag <> 0")
+    rows = groups.select(F.expr("line & ~1L").alias("k1"), flag.alias("flag")).where("flag <> 0")
     return rows.groupBy("k1").agg(F.bit_or("flag").alias("flags"))
 
 
@@ -174,7 +180,7 @@ def _variants(batches):
         rows = pa.array(x.row[at])
         rank = b.column(0).take(rows)
         flags = b.column(2).take(rows).to_numpy(zero_copy_only=False).astype(np.int64)
-        k1, _ = x.keys(at)
+        k1 = x.key(at)
         first, n = x.length(at)
         line = np.repeat(np.arange(len(at)), n)
         i = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)

@@ -86,3 +86,6 @@ META_NAMESPACE_PATTERN = (
 )
 DATASET_MARKER = "dataset.xhtml?persistentId="
 TOP_PLACES = 100
+# Patterns that decide what counts as a key/value line and as a page reference.
+KV_PATTERN = r'"(\S+)":\s+([^\n]+)'
+PAGE_REF_PATTERN = r"//(\S+?)\.wikipedia.org/wiki/(\S+)"

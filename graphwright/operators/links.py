@@ -131,7 +131,7 @@ def _ref_parts(ref: Column):
     is the stripped reference.  No ``http`` -> no result."""
     plain = ref.contains("//wikipedia")
     stripped = F.replace(ref, F.lit("www."), F.lit(""))
-    pat2 = r"//(\S+?)\.wikipedia.org/wiki/(\S+)"
+    pat2 = C.PAGE_REF_PATTERN
     page = (F.when(~ref.contains("http"), F.lit(""))
             .when(plain, F.regexp_extract(ref, r"wikipedia.org/wiki/(\S+)", 1))
             .otherwise(F.regexp_extract(stripped, pat2, 2)))

@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.constants import END_MARKER, MIN_SENTENCE_SIZE, RELATION_MAP
+from ..functions.constants import END_MARKER, KV_PATTERN, MIN_SENTENCE_SIZE, RELATION_MAP
 from ..functions.text import case_map
 
-KV_PATTERN = r'"(\S+)":\s+([^\n]+)'
 ATOM_KEYS = ("concept1", "concept2", "entity", "relationship", "importance")
 
 

@@ -52,7 +52,7 @@ _LINKS = f"""plinks AS (SELECT DISTINCT page_id, link AS wikilink, text AS value
 def _ref_sql(ref: str) -> str:
     """key, page, lang of a reference (DuckDB)."""
     stripped = f"replace({ref}, 'www.', '')"
-    pat2 = r"'//(\S+?)\.wikipedia.org/wiki/(\S+)'"
+    pat2 = f"'{C.PAGE_REF_PATTERN}'"
     page = (f"CASE WHEN NOT contains({ref}, 'http') THEN '' "
             f"WHEN contains({ref}, '//wikipedia') THEN regexp_extract({ref}, 'wikipedia.org/wiki/(\\S+)', 1) "
             f"ELSE regexp_extract({stripped}, {pat2}, 2) END")

@@ -35,7 +35,7 @@ from .tokenizing import TOKENIZER, encoder
 
 END_ID = 2
 SCALE_BITS = 18
-LANES = 1024
+LANES = 2048
 CHECK_STEPS = 256
 BLOCK_TOKENS = 1 << 20
 LOW = np.uint64(1 << 31)
@@ -205,7 +205,7 @@ def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_I
     sorted, each row with its place within its partition (written once)."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(_tokens(tokenizer, end_id, id_type(tokenizer, end_id)), TOKENS), "tokens", compression="zstd")
+    return materialise(ordered.mapInArrow(_tokens(tokenizer, end_id, id_type(tokenizer, end_id)), TOKENS), "tokens", compression="snappy")
 
 
 def corpus_table(tokens: DataFrame, kind: str) -> Table:

@@ -88,6 +88,20 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return o - o[0], raw[o[0]:o[-1]]
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the concatenated ranges [start, start + length)."""
+    total = int(lengths.sum())
+    out = np.ones(total, np.int64)
+    keep = lengths > 0
+    s, n = starts[keep], lengths[keep]
+    if not total:
+        return out
+    heads = np.cumsum(n) - n
+    out[0] = s[0]
+    out[heads[1:]] = s[1:] - s[:-1] - n[:-1] + 1
+    return np.cumsum(out)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads the bits of 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

@@ -33,15 +33,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, buffers, materialise, mix64, slices, text_or_empty
+from .common import bitmap, buffers, materialise, mix64, ragged, slices, text_or_empty
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1           # grams of a window
 CHUNK_BITS = 9                      # chunks of about 2**9 bytes
 FILTER_BITS, HOT_BITS, SHARD_BITS = 27, 22, 8
-HOT_COUNT = 128                     # slices with an anchor, two at most counted in each
+HOT_COUNT = 512                     # slices with an anchor, two at most counted in each
 SHARD_BYTES = 4 << 20
+SLICE = 1 << 20                     # bytes of text that a worker scans at a time: its arrays stay in cache
 FIRST_ID = -(1 << 63)
 _ODD = mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 
@@ -132,7 +133,7 @@ def _i64(x):
 
 
 def _chunk_rows(batches):
-    for b in slices(batches, 1):
+    for b in slices(batches, 1, SLICE):
         x = Scan(b.column(1), _keys(b.column(0)))
         start, _, end = x.chunks()
         h1, h2 = x.hashes(start, end)
@@ -152,7 +153,7 @@ def _anchor_rows(shared):
     """Anchors of the slice by shard (its top bits), each at most twice, 32 further bits of each."""
     def run(batches):
         bits = shared.value
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             x = Scan(b.column(1), _keys(b.column(0)))
             at = np.flatnonzero(x.first_windows(bits) & x.window)
             places = x.anchors()[at]
@@ -205,7 +206,7 @@ def _segments(first, shared):
     slice leave as spans (no bytes)."""
     def run(batches):
         owners, (repeated, hot) = first.value, shared.value
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             x = Scan(b.column(1), _keys(b.column(0)))
             at = np.flatnonzero(x.first_windows(owners) & x.window)
             if not len(at):
@@ -265,8 +266,8 @@ def shard_spans(route: np.ndarray, raws: pa.Array, key: np.ndarray):
     if len(twins) and len(seg):
         of = apart[seg]
         lo, hi = np.searchsorted(of, heir[twins]), np.searchsorted(of, heir[twins], side="right")
-        for t, a, b in zip(twins.tolist(), lo.tolist(), hi.tolist()):
-            out.append((np.full(b - a, t), first[a:b], end[a:b]))
+        same = ragged(lo, hi - lo)
+        out.append((np.repeat(twins, hi - lo), first[same], end[same]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 

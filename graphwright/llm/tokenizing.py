@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import buffers
+from .common import buffers, ragged
 
 TOKENIZER = "word_bpe_49k.json"
 MEMO_WORDS = 1_000_000
@@ -44,20 +44,6 @@ def encoder(name: str = TOKENIZER, offsets: bool = False) -> "WordEncoder":
     return _ENCODERS[name, offsets]
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of the concatenated ranges [start, start + length)."""
-    total = int(lengths.sum())
-    out = np.ones(total, np.int64)
-    keep = lengths > 0
-    s, n = starts[keep], lengths[keep]
-    if not total:
-        return out
-    heads = np.cumsum(n) - n
-    out[0] = s[0]
-    out[heads[1:]] = s[1:] - s[:-1] - n[:-1] + 1
-    return np.cumsum(out)
-
-
 class _Ids:
     """Ids of many words in few arrays."""
 
@@ -151,7 +137,7 @@ class WordEncoder:
         spans = np.empty((len(ids), 2), np.int64) if self.offsets else None
         for at, begin, size, src, src_spans in ((head[known], m_head[slots[known]], n[known], m_ids, m_spans),
                                                 (head[missing], f_head, f_n, f_ids, f_spans)):
-            to, frm = _ragged(at, size), _ragged(begin, size)
+            to, frm = ragged(at, size), ragged(begin, size)
             ids[to] = src[frm]
             if self.offsets:
                 spans[to] = src_spans[frm]
@@ -169,7 +155,7 @@ class WordEncoder:
         if not len(pick):
             return
         ids, n, spans = fresh.arrays()
-        at = _ragged((np.cumsum(n) - n)[pick], n[pick])
+        at = ragged((np.cumsum(n) - n)[pick], n[pick])
         base = len(self.slot)
         self.slot.update(zip((distinct[i] for i in missing[pick]), range(base, base + len(pick))))
         self.memo.add(ids[at], n[pick], spans[at] if spans is not None else None)
@@ -192,7 +178,7 @@ class WordEncoder:
         plain = pc.if_else(pa.array(special), "", texts) if len(rows) else texts
         pieces, heads, starts = _pieces(plain, self.offsets)
         index, n, head, ids, spans = self._lookup(pieces)
-        place = _ragged(head[index], n[index])
+        place = ragged(head[index], n[index])
         ids = ids[place]
         if self.offsets:
             spans = spans[place] + np.repeat(starts, n[index])[:, None]

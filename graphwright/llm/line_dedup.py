@@ -33,7 +33,7 @@ from .words import _BYTES, _powers
 
 MIN_CHARS = 10
 BITMAP_BITS = 24
-SLICE = 2 << 20
+SLICE = 1 << 20
 FIRST_ID = -(1 << 63)
 _OTHER = mix64(_BYTES + np.uint64(77))
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import buffers, ragged
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 # A sign with an id of its own; it stands between words that are encoded together.
 MARK = "\u2665"
 _BETWEEN = f" {MARK} "

@@ -40,7 +40,7 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1           # grams of a window
 CHUNK_BITS = 9                      # chunks of about 2**9 bytes
 FILTER_BITS, HOT_BITS, SHARD_BITS = 27, 22, 8
-HOT_COUNT = 512                     # slices with an anchor, two at most counted in each
+HOT_COUNT = 2048                    # slices with an anchor, two at most counted in each
 SHARD_BYTES = 4 << 20
 SLICE = 1 << 20                     # bytes of text that a worker scans at a time: its arrays stay in cache
 FIRST_ID = -(1 << 63)

@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import buffers, ragged
+from .common import buffers, ragged, slices
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000
 # A sign with an id of its own; it stands between words that are encoded together.
 MARK = "\u2665"
 _BETWEEN = f" {MARK} "
@@ -82,6 +82,7 @@ class WordEncoder:
             raise ValueError(f"the tokenizer must have one id for {MARK!r}")
         self.mark = mark[0]
         self.slot: dict[str, int] = {}
+        self.uses = np.zeros(0, np.int32)
         self.memo = _Ids()
 
     def _learn(self, words: list[str]) -> "_Ids":
@@ -142,23 +143,33 @@ class WordEncoder:
             if self.offsets:
                 spans[to] = src_spans[frm]
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self._remember(distinct, missing, fresh, np.bincount(index, minlength=len(distinct)))
+        self.uses[slots[known]] += 1
+        self._remember(distinct, missing, fresh)
         return index, n, head, ids, spans
 
-    def _remember(self, distinct, missing, fresh, counts):
-        """Keep new words: all of them at first, later those that repeat, never more than ``MEMO_WORDS``."""
-        if len(self.slot) > MEMO_WORDS * 3 // 4:
-            pick = np.flatnonzero(counts[missing] > 1)
-        else:
-            pick = np.arange(len(missing))
-        pick = pick[:max(0, MEMO_WORDS - len(self.slot))]
-        if not len(pick):
-            return
-        ids, n, spans = fresh.arrays()
-        at = ragged((np.cumsum(n) - n)[pick], n[pick])
-        base = len(self.slot)
-        self.slot.update(zip((distinct[i] for i in missing[pick]), range(base, base + len(pick))))
-        self.memo.add(ids[at], n[pick], spans[at] if spans is not None else None)
+    def _remember(self, distinct, missing, fresh):
+        """Keep new words.  A full memo first drops its less used half."""
+        if len(self.slot) + len(missing) > MEMO_WORDS:
+            self._shrink(max(0, MEMO_WORDS // 2))
+        take = missing[:max(0, MEMO_WORDS - len(self.slot))]
+        base, (ids, n, spans) = len(self.slot), fresh.arrays()
+        end = int(n[:len(take)].sum())
+        self.slot.update(zip((distinct[i] for i in take.tolist()), range(base, base + len(take))))
+        self.memo.add(ids[:end], n[:len(take)], spans[:end] if spans is not None else None)
+        self.uses = np.concatenate([self.uses, np.zeros(len(take), np.int32)])
+
+    def _shrink(self, size: int):
+        """Keep the ``size`` words that most slices used."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:size])
+        number = np.full(len(self.uses), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        ids, n, spans = self.memo.arrays()
+        at = ragged((np.cumsum(n) - n)[kept], n[kept])
+        new = number.tolist()
+        self.slot = {w: new[i] for w, i in self.slot.items() if new[i] >= 0}
+        self.memo = _Ids()
+        self.memo.add(ids[at], n[kept], spans[at] if spans is not None else None)
+        self.uses = self.uses[kept] // 2
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -176,7 +187,7 @@ class WordEncoder:
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(special)
         plain = pc.if_else(pa.array(special), "", texts) if len(rows) else texts
-        pieces, heads, starts = _pieces(plain, self.offsets)
+        pieces, heads, starts = _all_pieces(plain, self.offsets)
         index, n, head, ids, spans = self._lookup(pieces)
         place = ragged(head[index], n[index])
         ids = ids[place]
@@ -200,6 +211,17 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ',.!?;:)]}"']] = True
 
 
+def _all_pieces(texts: pa.Array, offsets: bool):
+    """As ``_pieces``, cut 1 MB at a time (arrays that stay in cache)."""
+    rows = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [_pieces(b.column(0), offsets) for b in slices([rows], 0, 1 << 20)]
+    if len(parts) < 2:
+        return parts[0] if parts else _pieces(texts, offsets)
+    first = np.cumsum([0, *(len(p[0]) for p in parts)])
+    heads = np.concatenate([[0], *(p[1][1:] + f for p, f in zip(parts, first))])
+    return pa.concat_arrays([p[0] for p in parts]), heads, np.concatenate([p[2] for p in parts]) if offsets else None
+
+
 def _pieces(texts: pa.Array, offsets: bool):
     """(pieces with ASCII letters in lower case, first piece of each text and one
     more, code point of its text at which each piece starts)."""

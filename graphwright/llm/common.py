@@ -14,9 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
+    """Send this package to the Python workers, once for each Spark context.  Arrow
+    batches get ``BATCH_ROWS`` rows unless the session says otherwise: whole texts
+    make Spark's default of 10,000 rows some tens of MB on both sides of each task."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_shipped_packages", None):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import buffers, materialise, slices, text_or_empty
-from .tokenizing import TOKENIZER, encoder
+from .tokenizing import MEMO_WORDS, TOKENIZER, encoder
 
 END_ID = 2
 SCALE_BITS = 18
@@ -177,9 +177,9 @@ def id_type(tokenizer: str, end_id: int) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
-def _tokens(tokenizer: str, end_id: int, kind: str):
+def _tokens(tokenizer: str, end_id: int, kind: str, memo_words: int):
     def run(batches):
-        part, place, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, place, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, memo_words=memo_words)
         for b in slices(batches, 1):
             ids, n = enc.encode(b.column(1))
             sizes = n + 1
@@ -200,12 +200,13 @@ def _tokens(tokenizer: str, end_id: int, kind: str):
     return run
 
 
-def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
+                memo_words: int = MEMO_WORDS) -> DataFrame:
     """Ids of every document in ascending ``doc_id`` order: range partitions,
     sorted, each row with its place within its partition (written once)."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(_tokens(tokenizer, end_id, id_type(tokenizer, end_id)), TOKENS), "tokens", compression="snappy")
+    return materialise(ordered.mapInArrow(_tokens(tokenizer, end_id, id_type(tokenizer, end_id), memo_words), TOKENS), "tokens", compression="snappy")
 
 
 def corpus_table(tokens: DataFrame, kind: str) -> Table:
@@ -259,10 +260,11 @@ def _blocks(shared, block_tokens: int, kind: str):
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID,
-                 block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encode ``docs`` (``doc_id``, ``text``) into ``path``: ``blocks`` and ``table``."""
+                 block_tokens: int = BLOCK_TOKENS, memo_words: int = MEMO_WORDS) -> None:
+    """Encode ``docs`` (``doc_id``, ``text``) into ``path``: ``blocks`` and ``table``.
+    ``memo_words`` bounds the memory of a worker (about 200 bytes each) against time."""
     spark = docs.sparkSession
-    tokens = token_table(docs, tokenizer, end_id)
+    tokens = token_table(docs, tokenizer, end_id, memo_words)
     kind = id_type(tokenizer, end_id)
     table = corpus_table(tokens, kind)
     # one total per range partition: bounded by the number of partitions

@@ -37,10 +37,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(name: str = TOKENIZER, offsets: bool = False) -> "WordEncoder":
+def encoder(name: str = TOKENIZER, offsets: bool = False, memo_words: int = MEMO_WORDS) -> "WordEncoder":
     """The worker's encoder (kept between the tasks of one Python worker)."""
     if (name, offsets) not in _ENCODERS:
         _ENCODERS[name, offsets] = WordEncoder(name, offsets)
+    _ENCODERS[name, offsets].memo_words = memo_words
     return _ENCODERS[name, offsets]
 
 
@@ -81,6 +82,7 @@ class WordEncoder:
         if len(mark) != 1:
             raise ValueError(f"the tokenizer must have one id for {MARK!r}")
         self.mark = mark[0]
+        self.memo_words = MEMO_WORDS
         self.slot: dict[str, int] = {}
         self.uses = np.zeros(0, np.int32)
         self.memo = _Ids()
@@ -149,9 +151,9 @@ class WordEncoder:
 
     def _remember(self, distinct, missing, fresh):
         """Keep new words.  A full memo first drops its less used half."""
-        if len(self.slot) + len(missing) > MEMO_WORDS:
-            self._shrink(max(0, MEMO_WORDS // 2))
-        take = missing[:max(0, MEMO_WORDS - len(self.slot))]
+        if len(self.slot) + len(missing) > self.memo_words:
+            self._shrink(self.memo_words // 2)
+        take = missing[:max(0, self.memo_words - len(self.slot))]
         base, (ids, n, spans) = len(self.slot), fresh.arrays()
         end = int(n[:len(take)].sum())
         self.slot.update(zip((distinct[i] for i in take.tolist()), range(base, base + len(take))))

@@ -24,6 +24,10 @@ from graphwright.llm.common import materialise, read_table, ship_package
 from graphwright.session import scratch_path
 
 
+# The stages share their executors' Python workers, so the last one's memo is small.
+MEMO_WORDS = 250_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -47,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     path = scratch_path(spark, "token-blocks")
-    token_blocks.write_blocks(docs, path)
+    token_blocks.write_blocks(docs, path, memo_words=MEMO_WORDS)
     return token_blocks.read_summary(spark, path)
 
 

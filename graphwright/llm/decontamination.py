@@ -6,18 +6,21 @@ parameters were changed still has the template of the original:
 * number: a word of digits (points and commas inside allowed), or one that
   starts with a digit;
 * unit: a word of ``UNITS`` after a number;
-* name: a capitalised word that does not start a sentence.
-
-Windows of ``SIZE`` consecutive words are hashed after canonicalisation and
-joined by hash with those of the benchmark.  A window with fewer than
-``MIN_PLAIN`` words that are not placeholders says little; it is hashed as
-written.  Items shorter than a window are one window of their own length, as
-written.  Each joined pair of windows binds the item's slot values to the
-document's; the bindings of a document and an item are consistent if no slot
-value of the item is bound to two values.  A document is contaminated if it
-holds at least ``min_share`` of an item's windows under consistent bindings
-(inconsistent windows are taken off first: only windows equal as written count
-then).
+* name: a capitalised word that does not start a sentence; one that does may be a
+  name, so its windows are hashed in both forms.
+
+Runs of ``SIZE`` consecutive words are hashed as written, and, if they hold
+placeholders, after canonicalisation; they are joined by hash with those of the
+benchmark.  A run with fewer than ``MIN_PLAIN`` words that are not placeholders says
+little: it is lengthened to the right until it holds so many, at the end of an item
+to the left.  (An item that has fewer in all is only compared as written.)  Items
+shorter than a window are one window of their own length, as written.  Each joined
+pair of windows binds the item's slot values to the document's; the bindings of a
+document and an item are consistent if no slot value of the item is bound to two
+values.  A document is contaminated if it holds at least ``min_share`` of an item's
+windows under consistent bindings, with or without the windows that only join when a
+word that opens a sentence is a name (if neither is consistent only windows equal as
+written count).
 
 A bitmap of fixed size over the benchmark's hashes drops windows that cannot
 join before the shuffle; it has no false negatives and is only a filter.
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bitmap, fresh, mix64, slices, text_or_empty
-from .words import same_doc, window_hash, words
+from .words import _powers, same_doc, window_hash, words
 
 SIZE, MIN_PLAIN, MIN_SHARE = 5, 3, 0.8
 BITMAP_BITS = 24
@@ -45,18 +48,23 @@ UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g k
          "day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh "
          "degree degrees watt watts volt volts joule joules newton newtons hz").split()
 _NUMBER, _UNIT, _NAME = (np.uint64(k) for k in (0x11, 0x22, 0x33))
-WINDOWS = "id bigint, size int, place int, key bigint, slots array<bigint>"
+_LEFT = np.uint64(0x44)
+# forms of a window: as written, by template, by template with names that open sentences
+WRITTEN, TYPED, OPENED = 0, 1, 2
+# kinds of a word: plain, number or unit, name, possible name
+PLAIN, VALUE, NAME, MAYBE = 0, 1, 2, 3
+WINDOWS = "id bigint, size int, place int, length int, key bigint, form int, words array<bigint>, kinds array<tinyint>"
 
 
 def _unit_hashes() -> np.ndarray:
     return np.sort(words(pa.array([" ".join(UNITS)])).hash)
 
 
-def _canonical(w):
-    """(hash with placeholders, whether the word is a placeholder) of each word."""
+def _kinds(w) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, hash with placeholders but for possible names) of each word."""
     n = len(w.hash)
     if not n:
-        return w.hash, np.zeros(0, bool)
+        return np.zeros(0, np.int8), w.hash
     lead = w.raw[w.start]
     number = (lead >= 48) & (lead <= 57)
     units = _unit_hashes()
@@ -68,17 +76,39 @@ def _canonical(w):
     opens = ~same | (marks[w.start] > marks[np.r_[0, w.end[:-1]]])
     capital = (w.raw[w.start] != w.low[w.start]) | (w.raw[(w.start + 1).clip(max=len(w.raw) - 1)]
                                                   != w.low[(w.start + 1).clip(max=len(w.raw) - 1)]) & (lead >= 0xC0)
-    name = capital & ~opens & ~number & ~unit
+    name = capital & ~number & ~unit
     out = w.hash.copy()
-    out[number], out[unit], out[name] = _NUMBER, _UNIT, _NAME
-    return out, number | unit | name
-
-
-def _windows(texts: pa.Array, sizes: list[int], whole: bool, bitmap: np.ndarray | None):
-    """(row, size, word place, key, slot starts, slot values) of the windows.
-    ``whole``: rows shorter than a window are one window of their own length."""
+    out[number], out[unit], out[name & ~opens] = _NUMBER, _UNIT, _NAME
+    return np.select([number | unit, name & ~opens, name], [VALUE, NAME, MAYBE], PLAIN).astype(np.int8), out
+
+
+def _typed(w, bounds, run, canon, slot, at_least, whole, longest):
+    """(run, key, length) of the windows by template: the run, lengthened until it holds
+    ``MIN_PLAIN`` plain words.  Those without any of the slots ``at_least`` are left out."""
+    up, down = _powers(len(canon) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(canon * up[:len(canon)])]
+    plain = np.r_[0, np.cumsum(~slot)]
+    asked = np.r_[0, np.cumsum(at_least)]
+    low, high = bounds[w.doc[run]], bounds[w.doc[run] + 1]
+    end = np.maximum(run + SIZE, np.searchsorted(plain, plain[run] + MIN_PLAIN))
+    start = np.minimum(run, np.searchsorted(plain, plain[run + SIZE] - MIN_PLAIN, side="right") - 1)
+    right = end <= high
+    left = (end > run + SIZE) & (start >= low)
+    if whole:  # the document has both, as it does not know where an item ends
+        left &= ~right
+    for which, s, e in ((right, run, end), (left, start, run + SIZE)):
+        at = np.flatnonzero(which)
+        at = at[(asked[e[at]] > asked[s[at]]) & (e[at] - s[at] <= longest)]
+        key = mix64((total[e[at]] - total[s[at]]) * down[s[at]])
+        yield run[at], mix64(key ^ _LEFT) if which is left else key, e[at] - s[at]
+
+
+def _windows(texts: pa.Array, sizes: list[int], whole: bool, bitmap: np.ndarray | None, longest: int):
+    """(row, size, word place of the run, length, key, form, its words, their kinds) of the
+    windows.  ``whole``: rows shorter than a window are one window of their own length."""
     w = words(texts)
-    canon, slot = _canonical(w)
+    kind, canon = _kinds(w)
+    opened = np.where(kind == MAYBE, _NAME, canon)
     bounds = w.bounds(len(texts))
     length = np.diff(bounds)
     for size in sizes:
@@ -86,38 +116,36 @@ def _windows(texts: pa.Array, sizes: list[int], whole: bool, bitmap: np.ndarray
         if whole:
             inside = inside & ((length[w.doc[:len(inside)]] >= SIZE) if size == SIZE
                                else (length[w.doc[:len(inside)]] == size))
-        at = np.flatnonzero(inside)
-        if not len(at):
+        run = np.flatnonzero(inside)
+        if not len(run):
             continue
-        plain = window_hash(w.hash, size)[at]
-        count = np.r_[0, np.cumsum(slot)]
-        slots = count[at + size] - count[at]
-        typed = (size == SIZE) & (slots > 0) & (size - slots >= MIN_PLAIN)
-        key = np.where(typed, window_hash(canon, size)[at], plain) + np.uint64(size)
-        if bitmap is not None:
-            bit = key >> np.uint64(40)
-            hit = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            at, key, typed, plain = at[hit], key[hit], typed[hit], plain[hit]
-        values = np.where(typed[:, None] & slot[at[:, None] + np.arange(size)],
-                          w.hash[at[:, None] + np.arange(size)], 0)
-        # the slot values in order; a window that is hashed as written has none
-        keep = values != 0
-        flat = values[keep].astype(np.int64)
-        offs = np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)
-        doc = w.doc[at]
-        yield doc, size, at - bounds[doc], key.astype(np.int64), offs, flat
-
-
-def _window_rows(sizes: list[int], whole: bool, shared=None):
+        found = [(WRITTEN, run, window_hash(w.hash, size)[run] + np.uint64(size), np.full(len(run), size))]
+        if size == SIZE:
+            found += [(TYPED, *x) for x in _typed(w, bounds, run, canon, (kind == VALUE) | (kind == NAME),
+                                                  (kind == VALUE) | (kind == NAME), whole, longest)]
+            found += [(OPENED, *x) for x in _typed(w, bounds, run, opened, kind != PLAIN, kind == MAYBE, whole, longest)]
+        for form, at, key, n in found:
+            if bitmap is not None:
+                bit = key >> np.uint64(40)
+                hit = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                at, key, n = at[hit], key[hit], n[hit]
+            if len(at):
+                doc, inner = w.doc[at], (at[:, None] + np.arange(size)).ravel()
+                yield doc, size, at - bounds[doc], n, key.view(np.int64), form, w.hash[inner].view(np.int64), kind[inner]
+
+
+def _window_rows(sizes: list[int], whole: bool, shared=None, longest: int = 1 << 30):
     def run(batches):
         bitmap = shared.value if shared is not None else None
         for b in slices(batches, 1, 1 << 20):
-            for doc, size, place, key, offs, flat in _windows(b.column(1), sizes, whole, bitmap):
+            for doc, size, place, n, key, form, inner, kinds in _windows(b.column(1), sizes, whole, bitmap, longest):
+                offs = pa.array(np.arange(len(doc) + 1, dtype=np.int32) * np.int32(size))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pa.array(doc)), pa.array(np.full(len(doc), size, np.int32)),
-                    pa.array(place.astype(np.int32)), pa.array(key),
-                    pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
-                    ["id", "size", "place", "key", "slots"])
+                    pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key),
+                    pa.array(np.full(len(doc), form, np.int32)),
+                    pa.ListArray.from_arrays(offs, pa.array(inner)), pa.ListArray.from_arrays(offs, pa.array(kinds))],
+                    ["id", "size", "place", "length", "key", "form", "words", "kinds"])
     return run
 
 
@@ -132,31 +160,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE)
     spark = docs.sparkSession
     items = _rows(benchmark, "item_id").mapInArrow(_window_rows([*range(1, SIZE + 1)], True), WINDOWS).dropDuplicates(
         ["id", "size", "place", "key"])
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most SIZE rows
+    lengths = items.groupBy("size").agg(F.max("length").alias("longest")).collect()  # at most SIZE rows
+    sizes = sorted(r.size for r in lengths)
     shared = spark.sparkContext.broadcast(bitmap(items, BITMAP_BITS, "key"))
-    found = _rows(docs, "doc_id").mapInArrow(_window_rows(sizes, False, shared), WINDOWS)
-    found = found.select(F.col("id").alias("doc_id"), "key", F.col("slots").alias("doc_slots")).distinct()
-    item = items.select(F.col("id").alias("item_id"), "key", "place", F.col("slots").alias("item_slots"))
+    found = _rows(docs, "doc_id").mapInArrow(
+        _window_rows(sizes, False, shared, max((r.longest for r in lengths), default=0)), WINDOWS)
+    found = found.select(F.col("id").alias("doc_id"), "key", F.col("form").alias("doc_form"), F.col("words").alias("doc_words")).distinct()
+    item = items.select(F.col("id").alias("item_id"), "key", "place", "form", F.col("words").alias("item_words"), "kinds")
     n_windows = item.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
-    joined = found.join(item, "key")
+    joined = found.join(item, "key").withColumn("form", F.greatest("form", "doc_form"))
+    # a window found at several places of the document: the binding as written, else the least
     per_window = joined.groupBy("doc_id", "item_id", "place").agg(
-        F.max(F.col("doc_slots") == F.col("item_slots")).alias("exact"),
-        # a template found at several places of the document: the binding as written, else the least
-        F.min(F.struct((F.col("doc_slots") != F.col("item_slots")).alias("d"), F.col("doc_slots").alias("doc_slots"))).alias("b"),
-        F.first("item_slots").alias("item_slots"))
-    bound = per_window.withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("i"), F.col("b.doc_slots").alias("v")))
+        F.min(F.struct("form", "doc_words")).alias("b"), F.first("item_words").alias("item_words"), F.first("kinds").alias("kinds"))
+    pairs = F.arrays_zip(F.col("item_words").alias("i"), F.col("b.doc_words").alias("v"), F.col("kinds").alias("k"))
+    bound = per_window.select("doc_id", "item_id", F.col("b.form").alias("form"),
+                              F.filter(pairs, lambda p: p["k"] != PLAIN).alias("pairs"))
+    sure = F.col("form") != OPENED
     per_item = bound.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_joined"), F.sum(F.col("exact").cast("bigint")).alias("n_exact"),
+        F.count(F.lit(1)).alias("n_all"), F.count(F.when(sure, 1)).alias("n_sure"),
+        F.count(F.when(F.col("form") == WRITTEN, 1)).alias("n_exact"),
         # an item's slots are bounded by its own length
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("bindings"))
-    consistent = F.size(F.array_distinct(F.transform("bindings", lambda p: p["i"]))) == F.size("bindings")
+        F.flatten(F.collect_set("pairs")).alias("all_pairs"),
+        F.flatten(F.collect_set(F.when(sure, F.filter("pairs", lambda p: p["k"] != MAYBE)))).alias("sure_pairs"))
+    n_joined = F.when(_function("all_pairs"), F.col("n_all")).when(_function("sure_pairs"), F.col("n_sure"))
     return (per_item.join(n_windows, "item_id")
-            .withColumn("consistent", consistent)
+            .withColumn("consistent", n_joined.isNotNull())
+            .withColumn("n_joined", F.coalesce(n_joined, "n_all"))
             .withColumn("share", F.when(F.col("consistent"), F.col("n_joined")).otherwise(F.col("n_exact")) / F.col("n_windows"))
             .where(F.col("share") >= min_share)
             .select("doc_id", "item_id", "n_windows", "n_joined", "n_exact", "consistent", "share"))
 
 
+def _function(pairs: str):
+    """Whether no slot value ``i`` of the item has two values ``v``."""
+    bindings = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["i"], p["v"])))
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(bindings)
+
+
 def keep(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     name = fresh(docs, "_hit")

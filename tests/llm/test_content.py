@@ -35,6 +35,25 @@ def test_reparameterised_questions_are_caught(spark):
     assert sorted(r.doc_id for r in dc.keep(docs, items).collect())[:3] == [3, 4, 5]
 
 
+DENSE = [  # an item, the same with other numbers and names
+    ("What is 12 plus 7 times 3 minus 4?", "What is 15 plus 9 times 2 minus 8?"),
+    ("Tom has 12 apples. Tom gives 4 apples to Mary. How many apples has Tom now?",
+     "Bob has 30 apples. Bob gives 11 apples to Sue. How many apples has Bob now?"),
+    ("A car drives 120 km in 2 hours and then 90 km in 3 hours. What is its speed?",
+     "A car drives 300 miles in 5 hours and then 80 miles in 4 hours. What is its speed?"),
+]
+
+
+def test_dense_and_name_led_questions_are_caught(spark):
+    items = frame(spark, [(i, a) for i, (a, _) in enumerate(DENSE)], "item_id bigint, text string")
+    docs = frame(spark, [(i, "Some words come before. " + b + " Other words follow.") for i, (_, b) in enumerate(DENSE)]
+                 + [(10 + i, "some words. " + a.upper()) for i, (a, _) in enumerate(DENSE)]
+                 + [(20, "Tom has 12 apples and Mary has 3 pears."), (21, "1 2 3 4 5 6 7 8 9 " * 50)])
+    got = {(r.doc_id, r.item_id): r for r in dc.matches(docs, items).collect()}
+    assert set(got) == {(i + k, i) for i in range(3) for k in (0, 10)}
+    assert all(got[i, i].consistent and got[i, i].n_exact < got[i, i].n_joined for i in range(3))
+
+
 def test_benchmark_passages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

@@ -15,12 +15,17 @@ benchmark.  A run with fewer than ``MIN_PLAIN`` words that are not placeholders
 little: it is lengthened to the right until it holds so many, at the end of an item
 to the left.  (An item that has fewer in all is only compared as written.)  Items
 shorter than a window are one window of their own length, as written.  Each joined
-pair of windows binds the item's slot values to the document's; the bindings of a
-document and an item are consistent if no slot value of the item is bound to two
-values.  A document is contaminated if it holds at least ``min_share`` of an item's
-windows under consistent bindings, with or without the windows that only join when a
-word that opens a sentence is a name (if neither is consistent only windows equal as
-written count).
+pair of windows binds the item's slots to the document's words: a number or unit by its
+place in the item, a name by its value.  Bindings are consistent if none has two values.
+
+A document may hold several copies with different parameters.  Joined windows are
+therefore taken together over the whole document, and for each range of alignments
+(document place minus item place) of half the item's length, in steps of a quarter, so
+words put in or left out do not part a copy.  In each of these groups an item's window
+is bound where the alignment has most windows.  A document is contaminated if one group
+holds at least ``min_share`` of an item's windows under consistent bindings, with or
+without the windows that only join when a word that opens a sentence is a name, or if
+the windows equal as written, wherever they are, reach that share.
 
 A bitmap of fixed size over the benchmark's hashes drops windows that cannot
 join before the shuffle; it has no false negatives and is only a filter.
@@ -35,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bitmap, fresh, mix64, slices, text_or_empty
 from .words import _powers, same_doc, window_hash, words
@@ -165,36 +170,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE)
     shared = spark.sparkContext.broadcast(bitmap(items, BITMAP_BITS, "key"))
     found = _rows(docs, "doc_id").mapInArrow(
         _window_rows(sizes, False, shared, max((r.longest for r in lengths), default=0)), WINDOWS)
-    found = found.select(F.col("id").alias("doc_id"), "key", F.col("form").alias("doc_form"), F.col("words").alias("doc_words")).distinct()
+    found = found.select(F.col("id").alias("doc_id"), "key", F.col("place").alias("doc_place"), F.col("form").alias("doc_form"),
+                         F.col("words").alias("doc_words")).distinct()
     item = items.select(F.col("id").alias("item_id"), "key", "place", "form", F.col("words").alias("item_words"), "kinds")
     n_windows = item.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
-    joined = found.join(item, "key").withColumn("form", F.greatest("form", "doc_form"))
-    # a window found at several places of the document: the binding as written, else the least
-    per_window = joined.groupBy("doc_id", "item_id", "place").agg(
-        F.min(F.struct("form", "doc_words")).alias("b"), F.first("item_words").alias("item_words"), F.first("kinds").alias("kinds"))
-    pairs = F.arrays_zip(F.col("item_words").alias("i"), F.col("b.doc_words").alias("v"), F.col("kinds").alias("k"))
-    bound = per_window.select("doc_id", "item_id", F.col("b.form").alias("form"),
-                              F.filter(pairs, lambda p: p["k"] != PLAIN).alias("pairs"))
+    pairs = F.arrays_zip(F.col("item_words").alias("i"), F.col("doc_words").alias("v"), F.col("kinds").alias("k"),
+                         F.sequence(F.col("place"), F.col("place") + F.size("kinds") - 1).alias("p"))
+    slots = F.filter(pairs, lambda p: p["k"] != PLAIN)
+    # a number or unit is bound by its place, a name by its value
+    bound = F.transform(slots, lambda p: F.struct(
+        p["k"].alias("k"), F.when(p["k"] == VALUE, p["p"]).otherwise(-1).alias("p"),
+        F.when(p["k"] != VALUE, p["i"]).alias("i"), p["v"].alias("v")))
+    align = F.col("doc_place") - F.col("place")
+    joined = (found.join(item, "key").join(n_windows, "item_id")
+              .groupBy("doc_id", "item_id", "n_windows", "place", align.alias("align"))
+              .agg(F.min(F.struct(F.greatest("form", "doc_form").alias("form"), bound.alias("pairs"))).alias("b")))
+    votes = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "item_id", "align"))
+    step = F.floor((F.col("align") * 4) / F.col("n_windows"))
+    grouped = joined.withColumn("votes", votes).withColumn("part", F.explode(F.array(F.lit(None).cast("bigint"), step, step - 1)))
+    per_window = grouped.groupBy("doc_id", "item_id", "n_windows", "part", "place").agg(
+        F.min(F.struct((-F.col("votes")).alias("v"), "b.form", "align", "b.pairs")).alias("b"),
+        F.min("b.form").alias("least"))
+    per_window = per_window.select("doc_id", "item_id", "n_windows", "part", "least", "b.form", "b.pairs")
     sure = F.col("form") != OPENED
-    per_item = bound.groupBy("doc_id", "item_id").agg(
+    per_part = per_window.groupBy("doc_id", "item_id", "n_windows", "part").agg(
         F.count(F.lit(1)).alias("n_all"), F.count(F.when(sure, 1)).alias("n_sure"),
-        F.count(F.when(F.col("form") == WRITTEN, 1)).alias("n_exact"),
+        F.count(F.when(F.col("least") == WRITTEN, 1)).alias("n_exact"),
         # an item's slots are bounded by its own length
         F.flatten(F.collect_set("pairs")).alias("all_pairs"),
         F.flatten(F.collect_set(F.when(sure, F.filter("pairs", lambda p: p["k"] != MAYBE)))).alias("sure_pairs"))
-    n_joined = F.when(_function("all_pairs"), F.col("n_all")).when(_function("sure_pairs"), F.col("n_sure"))
-    return (per_item.join(n_windows, "item_id")
-            .withColumn("consistent", n_joined.isNotNull())
-            .withColumn("n_joined", F.coalesce(n_joined, "n_all"))
+    n_bound = F.when(_function("all_pairs"), F.col("n_all")).when(_function("sure_pairs"), F.col("n_sure"))
+    whole = F.col("part").isNull()
+    per_item = per_part.withColumn("n_bound", n_bound).groupBy("doc_id", "item_id", "n_windows").agg(
+        F.max("n_bound").alias("n_bound"), F.max(F.when(whole, F.col("n_all"))).alias("n_all"),
+        F.max("n_exact").alias("n_exact"))  # the whole document has most
+    # fewer windows than those equal as written prove nothing about the others
+    consistent = F.coalesce(F.col("n_bound") >= F.col("n_exact"), F.lit(False))
+    return (per_item.withColumn("consistent", consistent)
+            .withColumn("n_joined", F.when(F.col("consistent"), F.col("n_bound")).otherwise(F.col("n_all")))
             .withColumn("share", F.when(F.col("consistent"), F.col("n_joined")).otherwise(F.col("n_exact")) / F.col("n_windows"))
             .where(F.col("share") >= min_share)
             .select("doc_id", "item_id", "n_windows", "n_joined", "n_exact", "consistent", "share"))
 
 
 def _function(pairs: str):
-    """Whether no slot value ``i`` of the item has two values ``v``."""
-    bindings = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["i"], p["v"])))
-    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(bindings)
+    """Whether no slot (place ``p`` or value ``i`` of the item) has two values ``v``."""
+    slot = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["p"], p["i"])))
+    return F.size(slot) == F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["p"], p["i"], p["v"]))))
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:

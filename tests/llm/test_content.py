@@ -54,6 +54,18 @@ def test_dense_and_name_led_questions_are_caught(spark):
     assert all(got[i, i].consistent and got[i, i].n_exact < got[i, i].n_joined for i in range(3))
 
 
+def test_slots_are_bound_by_place_and_copy(spark):
+    item = "Every week the coach lets Alice run 3 sprints 3 times a week and then asks how far Alice ran in the whole long month."
+    copy = lambda name, a, b: item.replace("Alice", name).replace("3 sprints 3", f"{a} sprints {b}")
+    longer = lambda t: t.replace("asks how", "asks us how")
+    one, two = copy("Bob", 4, 5), copy("Sue", 6, 2)
+    docs = frame(spark, [(1, "First: " + one), (2, f"Text. {one} {two}"), (3, f"Text. {two} More of it. {one}"),
+                         (4, one.replace("far Bob", "far Sue")), (5, longer(one)), (6, f"{longer(one)} {longer(two)}")])
+    got = {r.doc_id: r for r in dc.matches(docs, frame(spark, [(1, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == {1, 2, 3, 5, 6}
+    assert all(got[k].consistent and got[k].share == 1.0 for k in (1, 2, 3))
+
+
 def test_benchmark_passages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

@@ -18,15 +18,16 @@ or not.
 4. Those pairs are verified by their edit distance.
 
 Blank lines are kept and neither match nor count.  Rows: null and empty texts
-have no lines.  A null ``doc_id`` orders before all others.  Repeated rows of
-an id are treated as one document.  An empty table gives no rows.
+have no lines.  A null ``doc_id`` orders before all others.  Equal rows of an
+id (or of none) are treated as one document; rows of an id with different texts are
+documents of their own, ordered by a hash of their text.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import bitmap, buffers, materialise, mix64, slices, text_or_empty
 from .words import _BYTES, _powers
@@ -35,6 +36,7 @@ MIN_CHARS = 10
 BITMAP_BITS = 24
 SLICE = 1 << 20
 FIRST_ID = -(1 << 63)
+KEY = "struct<id:bigint,text_hash:bigint>"
 _OTHER = mix64(_BYTES + np.uint64(77))
 
 
@@ -211,7 +213,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = docs.mapInArrow(_texts_of(shared), "k1 bigint, k2 bigint, line_text string").dropDuplicates(["k1", "k2"])
     even = firsts.select(F.expr("k1 & ~1L").alias("k1"), "k2", "first")
     lines = materialise(texts.join(wanted, "k1").join(even, ["k1", "k2"]).select("first", "line_text", "flags"), "lines")
-    place = "struct<key:bigint,line:int>"
+    place = f"struct<key:{KEY},line:int>"
     rows = lines.mapInArrow(
         _variants, f"variant bigint, first {place}, k1 bigint, whole boolean, indel boolean")
     by = Window.partitionBy("variant", "indel")
@@ -228,14 +230,19 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return checked.select("first").distinct()
 
 
+def _key() -> Column:
+    return F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("id"),
+                    F.xxhash64(text_or_empty()).alias("text_hash")).alias("key")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("key"), text_or_empty().alias("text"))
+    return docs.select(_key(), text_or_empty().alias("text"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """``key`` (``doc_id``) and ``kept``, the numbers of its lines that stay (without blank ones)."""
+    """``key`` (``doc_id`` and hash of the text) and ``kept``, the numbers of its lines that stay (without blank ones)."""
     d = _keyed(docs)
-    firsts = materialise(d.mapInArrow(_occurrences, "k1 bigint, k2 bigint, key bigint, line int").groupBy("k1", "k2")
+    firsts = materialise(d.mapInArrow(_occurrences, f"k1 bigint, k2 bigint, key {KEY}, line int").groupBy("k1", "k2")
                          .agg(F.min(F.struct("key", "line")).alias("first")), "firsts")
     gone = near_lines(d, firsts)
     stay = firsts.join(gone, "first", "left_anti")
@@ -260,7 +267,6 @@ def _rebuild(batches):
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_text`` of every document."""
     kept = kept_lines(docs)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"),
-                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), _key())
     return (rows.join(kept, "key", "left").select("doc_id", "text", "kept")
             .mapInArrow(_rebuild, "doc_id bigint, n_lines bigint, n_removed bigint, kept_text string"))

@@ -284,3 +284,17 @@ def test_suffix_dedup_of_odd_rows(spark, odd, none):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in sd.dedup(odd).collect()}
     n = len("The quick brown fox jumps over the lazy dog near the quiet river bank today.")
     assert got[1] == (n, 0, 0) and got[2] == (n, n, 1) and got[3] == got[4] == (0, 0, 0) and got[11][1] == 0 and got[6][1] == 0
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(None, "alpha line one\nbravo unique stays"), (None, "zzz first line\nalpha line onf"), (None, "zzz first line\ncharlie is here"),
+            (7, "delta line four\necho line five"), (7, "delta line four\nfoxtrot line six\necho line five"), (7, "delta line four\necho line five"),
+            (8, "foxtrot line six\ngolf line seven")]
+    out = ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines) for r in out) == [(0, 2), (0, 2), (0, 2), (7, 2), (7, 2), (7, 3), (8, 2)]
+    texts = {(r.doc_id, t) for r in out for t in r.kept_text.split("\n") if t}
+    assert {t for _, t in texts} >= {"bravo unique stays", "zzz first line", "charlie is here", "delta line four", "echo line five",
+                                     "foxtrot line six", "golf line seven"}
+    assert len({"alpha line one", "alpha line onf"} & {t for _, t in texts}) == 1
+    kept = [t for r in {(r.doc_id, r.kept_text) for r in out} for t in r[1].split("\n") if t]
+    assert len(kept) == len(set(kept)) == 8 and (8, "foxtrot line six") not in texts

@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines of a text) are sets of word n-grams (1 to 3 words) from the
+Paragraphs (lines of a text, and runs of lines) are sets of word n-grams (1 to 3 words) from the
 vocabulary of the licence templates; an n-gram counts only if it holds a word
 that is not a stop word.  Multinomial logistic regression over these sparse
 features gives each licence family and ``unknown`` a probability.  It is
@@ -14,6 +14,14 @@ least log loss).  A paragraph is reported when a family is likelier than
 unknown and the others together and it shares at least ``MIN_SIMILARITY`` of the
 trigrams of a template of that family (``confirmed``).
 
+Notices are also wrapped over several lines.  In a document that holds half of the
+trigrams of a template, every run of 2 to ``MAX_LINES`` lines with words, at most
+``MAX_INNER`` words between its first and its last line, is classified and confirmed
+as one paragraph.  Of overlapping runs and lines the one most like its template is
+reported, then the shortest; ``line`` is its first line, and its line feeds are spaces.
+A line inside such a run that is less like its own template is not reported as well.
+Lines without words part paragraphs.
+
 A paragraph without any n-gram of the vocabulary is unknown by construction
 and is left out early.  Everything is a Spark expression or a Spark ML stage.
 
@@ -29,12 +37,13 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import materialise, text_or_empty
 
 MAX_UNKNOWN = 2_000
 MIN_SIMILARITY = 0.5
+MAX_LINES, MAX_INNER = 24, 70  # the longest template has 36 words
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 UNKNOWN = "unknown"
 
@@ -140,12 +149,16 @@ def _features(df: DataFrame) -> DataFrame:
     return df.withColumn("features", F.array_intersect(grams, _literals(_vocabulary()[0])))
 
 
+def _row() -> Column:
+    return F.xxhash64("doc_id", text_or_empty()).alias("row")
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, paragraph, words, features, trigrams`` of the paragraphs with an
+    """``doc_id, row, line, paragraph, words, features, trigrams`` of the paragraphs with an
     n-gram of a template.  Words and then n-grams are written once: a filter on an
     expression over them would else be pushed down and compute them again in every
     step of its lambdas."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "paragraph"))
+    lines = docs.select("doc_id", _row(), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "paragraph"))
     near = lines.withColumn("words", _words(F.col("paragraph"))).where(
         F.arrays_overlap("words", _literals(_vocabulary()[1])))
     return _grams(materialise(near, "licence-lines"), "licence-paragraphs").where(F.size("features") > 0)
@@ -238,14 +251,124 @@ def fit(spark: SparkSession, near: DataFrame, max_unknown: int = MAX_UNKNOWN) ->
     return Scanner(spark, model, min(usable)[1] if usable else 1.0, families[:model.numClasses])
 
 
+def _needs() -> list[tuple[list[str], int]]:
+    """(telling words of a template, how many of them half of its trigrams hold at least)."""
+    out = []
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        w = _split(text)
+        grams = {tuple(w[k:k + 3]) for k in range(len(w) - 2)}
+        need = 0
+        for place in range(3):  # trigrams hold different words at one place, but for repeats
+            at = [g[place] for g in grams]
+            left = MIN_SIMILARITY * len(grams) - sum(x in STOP for x in at)
+            counts, n = sorted((at.count(x) for x in set(at) if x not in STOP), reverse=True), 0
+            while left > 0:
+                left, n = left - counts[n], n + 1
+            need = max(need, n)
+        out.append((sorted({x for x in w if x not in STOP}), need))
+    return out
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """``key, row, doc_id, line, n_lines, paragraph, words, trigrams`` of the runs of lines (and
+    single lines) that hold half of the trigrams of a template."""
+    spark = docs.sparkSession
+    vocabulary, needs = _literals(_vocabulary()[1]), _needs()
+
+    def enough(told):
+        return reduce(Column.__or__, (F.size(F.array_intersect(told, _literals(w))) >= n for w, n in needs))
+
+    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.contains("text", F.lit("\n")))
+    # one filter, as a second column would be computed again in each of its uses
+    some = texts.where(_bound(_words(F.col("text")), lambda w: _bound(F.array_intersect(w, vocabulary), enough)
+                              & _bound(_ngrams(w, 3), _half)))
+    some = some.withColumn("key", F.monotonically_increasing_id())
+    lines = some.select("key", _row(), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).withColumn(
+        "words", _words(F.col("paragraph")))
+    lines = materialise(lines, "licence-text-lines")  # fixes the keys
+    by = Window.partitionBy("key").orderBy("line")
+    lines = lines.withColumn("run", F.count(F.when(F.size("words") == 0, 1)).over(by)).where(F.size("words") > 0)
+    # of a long line only its ends can belong to a notice with other lines
+    ends = F.when(F.size("words") <= 2 * MAX_INNER, F.col("words")).otherwise(F.concat(
+        F.slice("words", 1, MAX_INNER), F.array(F.lit("")), F.slice("words", -MAX_INNER, MAX_INNER)))
+    lines = lines.withColumn("words", ends)
+    after = Window.partitionBy("key", "run").orderBy("line").rowsBetween(0, MAX_LINES - 1)
+    starts = lines.withColumn("lines", F.collect_list(F.struct("paragraph", "words")).over(after))
+    # a run begins and ends with a line that has a trigram of a template; others are no better than a shorter one
+    grams = _literals(sorted({" ".join(w[k:k + 3]) for w in map(_split, (t for ts in TEMPLATES.values() for t in ts))
+                              for k in range(len(w) - 2)}))
+    every = F.flatten("lines.words")
+    head = F.slice(every, F.lit(1), F.size("words") + 2)
+    starts = starts.where(F.arrays_overlap(_ngrams(head, 3), grams) & _bound(_ngrams(every, 3), _half))
+    runs = starts.select("key", "row", "doc_id", "line", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("n_lines"))
+    inner = F.size(F.flatten(F.slice(F.col("lines.words"), F.lit(2), F.greatest(F.col("n_lines") - 2, F.lit(0)))))
+    runs = runs.where((F.col("n_lines") <= 2) | (inner <= MAX_INNER))
+    upto = F.flatten(F.slice("lines.words", F.lit(1), F.col("n_lines")))
+    tail = F.least(F.size(upto), F.size(F.element_at("lines.words", F.col("n_lines"))) + 2)
+    runs = runs.where(F.arrays_overlap(_ngrams(F.slice(upto, -tail, tail), 3), grams))
+    runs = runs.select("key", "row", "doc_id", "line", "n_lines",
+                       F.array_join(F.slice("lines.paragraph", F.lit(1), F.col("n_lines")), " ").alias("paragraph"),
+                       F.flatten(F.slice("lines.words", F.lit(1), F.col("n_lines"))).alias("words"))
+    runs = materialise(_trigrams(materialise(runs, "licence-runs")), "licence-run-grams")
+    return _similar(runs, spark, False).where(F.col("similarity") >= MIN_SIMILARITY).drop("template", "similarity")
+
+
+def _bound(value: Column, test) -> Column:
+    """``test`` of a value that is computed once."""
+    return F.exists(F.array(value), test)
+
+
+def _half(trigrams: Column) -> Column:
+    """Whether they hold ``MIN_SIMILARITY`` of the trigrams of a template."""
+    out = []
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        w = _split(text)
+        grams = sorted({" ".join(w[k:k + 3]) for k in range(len(w) - 2)})
+        out.append(F.size(F.array_intersect(trigrams, _literals(grams))) >= MIN_SIMILARITY * len(grams))
+    return reduce(Column.__or__, out)
+
+
+def _trigrams(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("trigrams", _ngrams(F.col("words"), 3))
+
+
+def _best_runs(found: DataFrame) -> DataFrame:
+    """Runs of several lines that no better run or line overlaps: of the same family in any
+    line, of another one in more than half of the lines of the shorter."""
+    near = Window.partitionBy("key").orderBy("line").rangeBetween(-MAX_LINES, MAX_LINES)
+    found = found.withColumn("near", F.collect_list(F.struct("line", "n_lines", "family", "similarity")).over(near))
+
+    def beats(v):
+        shared = F.least(v["line"] + v["n_lines"], F.col("line") + F.col("n_lines")) - F.greatest(v["line"], F.col("line"))
+        meets = (shared > 0) & ((v["family"] == F.col("family")) | (shared * 2 > F.least(v["n_lines"], F.col("n_lines"))))
+        rank = lambda s, n, line: F.struct(-s, n, line)
+        return meets & (rank(v["similarity"], v["n_lines"], v["line"])
+                        < rank(F.col("similarity"), F.col("n_lines"), F.col("line")))
+
+    return found.where((F.col("n_lines") > 1) & ~F.exists("near", beats))
+
+
 def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, confirmed_only: bool = True) -> DataFrame:
     """``doc_id, line, family, probability, template, similarity, confirmed, paragraph``
     of the paragraphs that grant a licence; predictions that no template confirms
-    are given only on request."""
+    are given only on request, and only of single lines."""
     spark = docs.sparkSession
     near = paragraphs(docs)
-    found = materialise(fit(spark, near, max_unknown).classify(near).drop("features", "words"), "licence-classes").where((F.col("family") != UNKNOWN) & (F.col("probability") > 0.5))
-    found = _similar(found, spark, True).withColumn("confirmed", F.col("similarity") >= MIN_SIMILARITY)
+    scanner = fit(spark, near, max_unknown)
+
+    def granted(rows, name):
+        out = materialise(scanner.classify(rows).drop("features", "words"), name)
+        out = out.where((F.col("family") != UNKNOWN) & (F.col("probability") > 0.5))
+        return _similar(out, spark, True).withColumn("confirmed", F.col("similarity") >= MIN_SIMILARITY)
+
+    found = granted(near, "licence-classes")
     if confirmed_only:
         found = found.where("confirmed")
-    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "line", "family", "probability", "template", "similarity", "confirmed", "paragraph")
+    runs = materialise(_features(_wrapped(docs)), "licence-run-features")
+    runs = materialise(_best_runs(granted(runs, "licence-run-classes").where("confirmed")), "licence-best-runs")
+    inside = runs.select("row", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line"),
+                         "similarity").groupBy("row", "line").agg(F.max("similarity").alias("in_run"))
+    found = found.join(inside, ["row", "line"], "left").where("in_run IS NULL OR in_run <= similarity")
+    names = ["line", "family", "probability", "template", "similarity", "confirmed", "paragraph"]
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), *names).unionByName(
+        runs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *names))

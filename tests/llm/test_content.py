@@ -172,6 +172,43 @@ def test_licences_are_found_and_others_left_alone(spark, odd, none):
     assert licences.scan(none).count() == 0
 
 
+WRAPPED = {
+    "MIT": """The MIT License (MIT)
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "BSD": """ * Some rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "ISC": """Some words of prose stand before the notice, without a blank line.
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+And some words of prose follow.""",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    plain = "The old house stood by the river.\nThe software was free for any person\nwho had a license to fish.\n"
+    docs = frame(spark, [*enumerate(WRAPPED.values()), (10, plain * 20), (11, plain + "\n" + WRAPPED["MIT"] + "\n\n" + WRAPPED["GPL-3.0"]),
+                         (None, WRAPPED["BSD"]), (12, "\n".join("Released under the MIT License." for _ in range(3)))])
+    rows = licences.scan(docs).collect()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.line, r.family) for r in rows)
+    assert got == [(-1, 2, "BSD"), (0, 4, "MIT"), (1, 2, "BSD"), (2, 0, "GPL-3.0"), (3, 1, "ISC"), (11, 8, "MIT"), (11, 13, "GPL-3.0"),
+                   (12, 0, "MIT"), (12, 1, "MIT"), (12, 2, "MIT")]
+    assert all(r.confirmed and "\n" not in r.paragraph for r in rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "mixing", "token_blocks"]

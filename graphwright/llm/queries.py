@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import read_table, ship_package
-from . import decontamination, fingerprints, jaccard_join, licences, line_dedup, mixing, suffix_dedup, token_attribution, token_blocks, toxicity
+from . import (decontamination, filter_audit, fingerprints, jaccard_join, licences, line_dedup, mixing, suffix_dedup, token_attribution,
+               token_blocks, toxicity, warc_zstd)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,22 @@ def op8_suffix_dedup(spark, sf_dir):
 @query
 def op10_licences(spark, sf_dir):
     return licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = filter_audit.ORACLE
+
+
+@query
+def op12_warc_zstd(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc_zstd.write(read_table(spark, sf_dir, "pages"), path)
+    return warc_zstd.valid(warc_zstd.read(spark, path, payloads=False)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op12_warc_zstd"] = warc_zstd.ORACLE

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import read_table, ship_package
-from . import (decontamination, filter_audit, fingerprints, jaccard_join, licences, line_dedup, mixing, suffix_dedup, token_attribution,
-               token_blocks, toxicity, warc_zstd)
+from . import (decontamination, filter_audit, fingerprints, jaccard_join, licences, line_dedup, mixing, ranked_search, suffix_dedup,
+               token_attribution, token_blocks, toxicity, warc_zstd)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,11 @@ def op12_warc_zstd(spark, sf_dir):
 
 
 ORACLES["op12_warc_zstd"] = warc_zstd.ORACLE
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = ranked_search.ORACLE

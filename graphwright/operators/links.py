@@ -1,9 +1,14 @@
 """Web pages -> anchors, link tables, images; page references -> ids.
 
-HTML is handled with regular expressions over the page text (one projection
-per page, no parser library): anchors ``<a ...>text</a>`` and images
-``<img ...>``, tag and attribute names in any case, attribute values in any
-quoting.  Anchor text is stripped of tags; character references are decoded.
+A page is read as tokens in one linear pass (``tags``): start and end tags with their
+attributes in any quoting, comments, declarations, and the elements whose content is
+no markup.  Tag and attribute names may have any case.  Patterns only hold possessive
+loops over single characters or whole attributes, so the length of a tag, an open quote
+or a missing ``>`` cost neither stack nor a second look: a tag, comment or raw element
+that is not closed ends with the page, and is no tag then.
+
+An anchor's text ends at the next ``</a>`` or ``<a ...>`` or with the page.  Character
+references are decoded.  The control characters U+0001 and U+0002 are dropped.
 """
 
 from __future__ import annotations
@@ -15,27 +20,49 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import constants as C
 from ..functions.joins import skew_join
 
-# attributes of a tag: quoted values may hold any sign
-_ATTRS = r"""((?:\s+(?:[^>"']|"[^"]*"|'[^']*')*)?)"""
-ANCHOR = r"(?i)<a" + _ATTRS + r">([\s\S]*?)</a\s*>"
-IMG = r"(?i)<img" + _ATTRS + r">"
+# one attribute, or what stands between attributes; what is neither is part of a name
+_SP = r"[ \t\n\f\r]"
+_VALUE = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+)"""
+_NAME = r"=?+[^ \t\n\f\r/>=]++"
+_ATTRIBUTE = rf"(?:[ \t\n\f\r/]++|{_NAME}(?:{_SP}*+={_SP}*+{_VALUE}?+)?+|=)"
+# Elements whose content is text.
+RAW_ELEMENTS = ("script", "style", "textarea", "title")
 HOST_PREFIX = r"^\S+wikipedia.org"
 ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 # code points of the named entities (HTML 4), from the standard library's table
 NAMED = dict(sorted(name2codepoint.items())) | {"apos": 39}
 
 
-def attribute(attrs: Column, name: str) -> Column:
-    """Value of the first attribute ``name`` of a tag, in any quoting and case; ''
-    when there is none.  Attributes are read one by one, so a name inside another
-    attribute's name or value does not count."""
-    return F.concat(*[F.regexp_extract(attrs, attribute_pattern(name), i) for i in (1, 2, 3)])
+def tag_pattern(names: str) -> str:
+    """Pattern of one token of a page; group 1 is the name and the attributes of a tag
+    of ``names`` (a pattern), and holds nothing for other tokens."""
+    attributes = rf"(?:[ \t\n\f\r/]{_ATTRIBUTE}*+)?+"
+    raw = "|".join(rf"<{n}{attributes}>[\s\S]*?(?:</{n}(?:>|[ \t\n\f\r/][^>]*+(?:>|\z))|\z)" for n in RAW_ELEMENTS)
+    return (rf"(?i)<!--(?:-?>|[\s\S]*?(?:--!?>|\z))|{raw}|<((?:{names}){attributes})>"
+            rf"|</?[a-z][^ \t\n\f\r/>]*+{_ATTRIBUTE}*+(?:>|\z)|<[!?][^>]*+(?:>|\z)|</[^a-z>][^>]*+(?:>|\z)|</>")
 
 
 def attribute_pattern(name: str) -> str:
-    value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-    return (r"""(?i)^(?:\s+[^\s=>"']+(?:\s*=\s*""" + value + r""")?)*?\s+""" + name
-            + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    """Pattern of a tag's name or of one attribute; groups 1 to 4 are the name and the
+    value of those called ``name``, and hold nothing for others."""
+    value = r"""(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+))"""
+    return rf"(?i)^[^ \t\n\f\r/>]++|({name}){_SP}*+={_SP}*+{value}|{_NAME}(?:{_SP}*+={_SP}*+{_VALUE}?+)?+"
+
+
+def tags(html: Column, names: str) -> Column:
+    """The tags of ``names`` in order, each with the text up to the next of them:
+    ``name attributes U+0002 text``.  Other tags, comments and raw elements are gone."""
+    marked = F.regexp_replace(F.translate(html, "\u0001\u0002", ""), tag_pattern(names), "\u0001$1\u0002")
+    pieces = F.split(F.replace(marked, F.lit("\u0001\u0002"), F.lit("")), "\u0001")
+    return F.slice(pieces, 2, F.size(pieces))  # the first is the text before any tag
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` of a tag, in any quoting and case; ''
+    when there is none or it has no value.  Attributes are read one by one, so a name
+    inside another attribute's name or value does not count."""
+    marked = F.regexp_replace(tag, attribute_pattern(name), "\u0001$1=$2$3$4\u0002")
+    return F.regexp_extract(marked, f"(?i)\u0001{name}=([^\u0002]*+)", 1)
 
 
 def _code_point(n: Column) -> Column:
@@ -58,23 +85,18 @@ def decode_entities(text: Column) -> Column:
     return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
 
 
-def html_text(fragment: Column) -> Column:
-    return decode_entities(F.regexp_replace(fragment, "<[^>]*>", ""))
-
-
 def page_anchors(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, href, link, text)``; a link without ``http`` gets the
     site prefix."""
-    arr = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("attrs"),
-                       F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("inner"))
-    a = pages.select("page_id", "url", F.posexplode_outer(arr).alias("pos", "a")) \
+    anchors = F.filter(tags(F.col("html"), "/?a"), lambda t: ~t.startswith("/"))
+    a = pages.select("page_id", "url", F.posexplode_outer(anchors).alias("pos", "a")) \
         .where(F.col("pos").isNotNull())
-    a = a.withColumn("href", decode_entities(attribute(F.col("a.attrs"), "href")))
+    a = a.withColumn("href", decode_entities(attribute(F.substring_index("a", "\u0002", 1), "href")))
     href = F.col("href")
     link = F.when(~href.contains("http"), F.concat(F.lit(C.WIKI_LINK_PREFIX), href)).otherwise(href)
     return (a.where(href != "")
             .select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), href.alias("href"),
-                    link.alias("link"), html_text(F.col("a.inner")).alias("text")))
+                    link.alias("link"), decode_entities(F.substring_index("a", "\u0002", -1)).alias("text")))
 
 
 def page_path(url: Column) -> Column:
@@ -102,7 +124,7 @@ def page_links(anchors: DataFrame, path_marker: str = "/wiki/") -> DataFrame:
 
 def first_image(pages: DataFrame) -> DataFrame:
     """First hosted, non-SVG image with a scheme-less ``src`` per page."""
-    src = F.transform(F.regexp_extract_all("html", F.lit(IMG), 1), lambda t: attribute(t, "src"))
+    src = F.transform(tags(F.col("html"), "img"), lambda t: attribute(F.substring_index(t, "\u0002", 1), "src"))
     ok = F.filter(src, lambda x: x.contains("upload.wikimedia.org") & ~x.contains(".svg") & ~x.contains("http"))
     first = F.try_element_at(ok, F.lit(1))
     return (pages.select("page_id", "url", first.alias("src")).where(F.col("src").isNotNull())

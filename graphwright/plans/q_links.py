@@ -12,9 +12,21 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _attr(attrs: str, name: str) -> str:
-    p = _q(L.attribute_pattern(name))
-    return "(" + " || ".join(f"coalesce(regexp_extract({attrs}, {p}, {i}), '')" for i in (1, 2, 3)) + ")"
+def _re2(pattern: str) -> str:
+    """The pattern without possessive marks, which this engine does not know: in these
+    patterns the first way through a loop always leads to a match."""
+    return _q(pattern.replace("*+", "*").replace("++", "+").replace("?+", "?"))
+
+
+def _tags(names: str) -> str:
+    """List of the tags of ``names`` in ``html``, each with the text after it (DuckDB)."""
+    marked = f"regexp_replace(translate(html, chr(1) || chr(2), ''), {_re2(L.tag_pattern(names))}, chr(1) || '\\1' || chr(2), 'g')"
+    return f"string_split(replace({marked}, chr(1) || chr(2), ''), chr(1))[2:]"
+
+
+def _attr(tag: str, name: str) -> str:
+    marked = f"regexp_replace({tag}, {_re2(L.attribute_pattern(name))}, chr(1) || '\\1=\\2\\3\\4' || chr(2), 'g')"
+    return f"regexp_extract({marked}, '(?i)\x01{name}=([^\x02]*)', 1)"
 
 
 _NAMED = "MAP {" + ", ".join(f"{_q(k)}: chr({v})" for k, v in L.NAMED.items()) + "}"
@@ -34,11 +46,10 @@ def _decoded(text: str) -> str:
 
 _ANCHORS = f"""anchors AS (SELECT page_id, url, pos, href,
     CASE WHEN NOT contains(href, 'http') THEN '{C.WIKI_LINK_PREFIX}' || href ELSE href END AS link, text FROM (
-  SELECT page_id, url, CAST(pos AS BIGINT) AS pos, {_decoded(_attr('attrs', 'href'))} AS href,
-         {_decoded("regexp_replace(inner_html, '<[^>]*>', '', 'g')")} AS text FROM (
-  SELECT page_id, url, unnest(h) AS attrs, unnest(t) AS inner_html, unnest(range(len(h))) AS pos FROM (
-    SELECT page_id, url, regexp_extract_all(html, {_q(L.ANCHOR)}, 1) AS h,
-           regexp_extract_all(html, {_q(L.ANCHOR)}, 2) AS t FROM link_pages)))
+  SELECT page_id, url, CAST(pos AS BIGINT) AS pos, {_decoded(_attr("string_split(a, chr(2))[1]", 'href'))} AS href,
+         {_decoded("string_split(a, chr(2))[2]")} AS text FROM (
+  SELECT page_id, url, unnest(l) AS a, unnest(range(len(l))) AS pos FROM (
+    SELECT page_id, url, list_filter({_tags('/?a')}, lambda t: NOT starts_with(t, '/')) AS l FROM link_pages)))
   WHERE href <> '')"""
 _PATH = r"""CASE WHEN contains(url, 'wikipedia.org') THEN regexp_replace(url, '^\S+wikipedia.org', '')
   ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"""
@@ -90,7 +101,7 @@ def q_links_linked(spark, sf):
 
 @register("first_image", D.wf(["link_pages"], f"""
 SELECT page_id, url, 'http:' || src AS image FROM (
-  SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, {_q(L.IMG)}, 1), lambda t: {_attr('t', 'src')}),
+  SELECT page_id, url, list_filter(list_transform({_tags('img')}, lambda t: {_attr('string_split(t, chr(2))[1]', 'src')}),
     lambda x: contains(x, 'upload.wikimedia.org') AND NOT contains(x, '.svg') AND NOT contains(x, 'http'))[1] AS src
   FROM link_pages)
 WHERE src IS NOT NULL"""))

@@ -163,7 +163,10 @@ FIXTURES: dict[str, list[Sel]] = {
         "'>caf&eacute; &#8364;&#x41; &bogus;</A><a href=/wiki/Bare title=\"a > b\">bare</a>' || "
         "'<IMG data-src=\"//upload.wikimedia.org/no.jpg\" src=' || chr(39) || '//upload.wikimedia.org/c/' || "
         "CAST(page_id AS {S}) || '.png' || chr(39) || '/>' || "
-        "replace(html, 'href=\"/', 'href=\"/wiki/') AS html",
+        # markup that is none, a tag that holds ">" and one that never ends
+        "'<!-- <a href=\"/wiki/Hidden\">no</a> --><script>var t = ' || chr(39) || '<a href=\"/wiki/Script\">' || chr(39) || "
+        "';</script><a href=\"/wiki/Open\">open <i>one<a title=it' || chr(39) || 's href=/wiki/Next>next</a><title><a href=x></title>' || "
+        "replace(html, 'href=\"/', 'href=\"/wiki/') || CASE WHEN page_id % 13 = 5 THEN '<a href=\"/wiki/End' || repeat(' x', 3000) ELSE '' END AS html",
     ])],
     # translation replies of a chat model, one per part
     "replies": [Sel(["part"], [

@@ -9,8 +9,8 @@ Zstandard frame.
 **Writer.**  Payloads are known by SHA-256.  Of equal ones of at least ``MIN_REVISIT``
 bytes the record of the smallest id is a ``response``, the others are ``revisit``
 records (profile identical-payload-digest) that hold the HTTP header alone.  The
-dictionary is trained on at most ``SAMPLE`` payloads of at most ``SAMPLE_BYTES`` bytes
-(those of the smallest hashes); it only affects the size.  A task packs records into
+dictionary is trained on about ``SAMPLE`` rows with the smallest hashes, twice as many at
+most, whose payloads have at most ``SAMPLE_BYTES`` bytes; it only affects the size.  A task packs records into
 archives of about ``ARCHIVE_BYTES`` before compression, one record at least.  Each archive is one
 row, one file of Spark's text writer with its commit protocol, so a lost executor
 leaves no partial file, in any file system; the writer's line end is an empty skippable
@@ -237,9 +237,12 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 def train_dictionary(pages: DataFrame) -> bytes:
     """Dictionary from a bounded sample, trained in one task; empty if the sample is too
     small for one."""
+    rows = pages.count()
     payload = F.col("html").cast("binary")
-    sample = (pages.select(payload.alias("payload")).where((F.octet_length("payload") > 0) & (F.octet_length("payload") <= SAMPLE_BYTES))
-              .withColumn("h", F.xxhash64("payload")).orderBy("h").limit(SAMPLE))
+    sample = pages.select(payload.alias("payload"), F.xxhash64("page_id", "html").alias("h"))
+    if rows > SAMPLE:  # as many rows by their hash, so no task reads more than its share
+        sample = sample.where(F.col("h") < -(1 << 63) + (SAMPLE << 64) // rows)
+    sample = sample.where((F.octet_length("payload") > 0) & (F.octet_length("payload") <= SAMPLE_BYTES)).limit(2 * SAMPLE)
 
     def train(batches):
         samples = [x for b in batches for x in b.column(0).to_pylist()]

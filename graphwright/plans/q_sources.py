@@ -17,7 +17,7 @@ from .registry import register
 @register("scan_csv_union", """
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, NULL::VARCHAR AS c_note,
        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS c_ref, CAST(c_custkey AS VARCHAR) AS c_mixed FROM customer
-UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, NULL, 'second, "export"', NULL, 'no ' || CAST(c_custkey AS VARCHAR) FROM customer""")
+UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, NULL, 'second, "export"' || CASE WHEN c_custkey % 7 = 0 THEN chr(10) || ',x' || chr(10) || '"c_name"' ELSE '' END, NULL, 'no ' || CAST(c_custkey AS VARCHAR) FROM customer""")
 def q_scan_csv_union(spark, sf):
     """Write the customer table as two CSV folders with different headers
     (shared scratch folder), then read the folder back aligned by name."""
@@ -28,7 +28,9 @@ def q_scan_csv_union(spark, sf):
              .withColumn("c_mixed", key))  # numbers here, text in the second export
     opts = {"header": True, "escape": '"'}
     first.write.options(**opts).csv(base)
-    second = c.drop("c_mktsegment").withColumn("c_note", F.lit('second, "export"')).withColumn("c_mixed", F.concat(F.lit("no "), key))
+    # a value of three lines in some rows
+    lines = F.when(F.col("c_custkey") % 7 == 0, F.lit('\n,x\n"c_name"')).otherwise("")
+    second = c.drop("c_mktsegment").withColumn("c_note", F.concat(F.lit('second, "export"'), lines)).withColumn("c_mixed", F.concat(F.lit("no "), key))
     second.write.mode("append").options(**opts).csv(base)
     return S.scan_csv_union(spark, base)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.lineage import checkpoint
 from ..session import exists
@@ -14,39 +16,138 @@ from ..session import exists
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
            "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# A line is a map of two states, outside and inside a quoted value, to the state at its end.
+_INSIDE = r'(?:[^"]++|"")*+'
+_FIELDS = rf'(?:(?:"{_INSIDE}"[^,]*+|[^",][^,]*+)?+,)*+'
+OPENS = rf'^{_FIELDS}"{_INSIDE}$'  # begun outside, ends inside
+STAYS = rf'^{_INSIDE}(?:"[^,]*+,{_FIELDS}"{_INSIDE})?+$'  # begun inside, ends inside
+_LINES = "file string, block bigint, at bigint, value string, opens boolean, stays boolean"
+_PLACED = _LINES + ", in_out boolean, in_in boolean, head_out bigint, head_in bigint"
+
+
+def _place_lines(batches):
+    """Adds to each line, in the order of its block: whether it begins inside a quoted
+    value, and the ``at`` of the line that its record began with (-1: in an earlier block),
+    both for a block that begins outside and for one that begins inside a value."""
+    block, state, head = None, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at, opens, stays = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4, 5))
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        inside, heads = np.empty((2, len(keys)), bool), np.empty((2, len(keys)), np.int64)
+        for low, high in zip(cuts, cuts[1:]):
+            if keys[low] != block:
+                block, state, head = keys[low], [False, True], [-1, -1]
+            o, s = opens[low:high], stays[low:high]
+            place = np.arange(1, high - low + 1)
+            fixed = np.maximum.accumulate(np.where(o == s, place, 0))  # last line that forgets the state before
+            turns = np.r_[0, np.cumsum(o & ~s)]
+            for h in (0, 1):
+                known = np.where(fixed > 0, o[fixed - 1], state[h])
+                after = known ^ ((turns[1:] - turns[fixed]) % 2 == 1)
+                begin = np.r_[state[h], after[:-1]]
+                inside[h, low:high] = begin
+                last = np.maximum.accumulate(np.where(begin, 0, place))
+                heads[h, low:high] = np.where(last > 0, at[low:high][last - 1], head[h])
+                state[h], head[h] = bool(after[-1]), int(heads[h, high - 1])
+        columns = [*b.columns, *(pa.array(x) for x in (*inside, *heads))]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PLACED.split(", ")])
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """``file, block, at, value`` of the records of files in which a value holds a line feed.
+
+    Each block is scanned alone for both states it may begin in; windows over the one
+    row of each block then give the state and the open record that it does begin with, so
+    files stay splittable.  Only lines of records with several lines are shuffled."""
+    placed = lines.mapInArrow(_place_lines, _PLACED)
+    ends = lambda h, inside: F.when(F.col(inside), F.col("stays")).otherwise(F.col("opens"))
+    last = F.struct(ends(0, "in_out").alias("e0"), ends(1, "in_in").alias("e1"), "head_out", "head_in")
+    blocks = checkpoint(placed.groupBy("file", "block").agg(F.max_by(last, "at").alias("z")).select("file", "block", "z.*"))
+    by = Window.partitionBy("file").orderBy("block")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (blocks.withColumn("turns", F.sum(((~F.col("e1")) & F.col("e0")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("fixed", F.when(F.col("e0") == F.col("e1"), F.struct("e0", "turns")))
+              .withColumn("fixed", F.last("fixed", True).over(before))
+              .withColumn("turned", F.coalesce(F.lag("turns").over(by), F.lit(0)) - F.coalesce("fixed.turns", F.lit(0)))
+              .withColumn("inside", F.coalesce("fixed.e0", F.lit(False)) != (F.col("turned") % 2 == 1)))
+    end = F.when(F.col("inside"), F.col("e1")).otherwise(F.col("e0"))
+    head = F.when(F.col("inside"), F.col("head_in")).otherwise(F.col("head_out"))
+    blocks = (blocks.withColumn("end", end).withColumn("open", F.when(F.col("end") & (head >= 0), head))
+              .withColumn("open", F.last("open", True).over(before)))
+    wrong = blocks.groupBy("file").agg(F.max_by("end", "block").alias("end")).where("end").first()
+    if wrong:
+        raise ValueError(f"{wrong.file}: the file ends inside a quoted value")
+    # few blocks begin inside a value
+    lines = placed.join(blocks.where("inside").select("file", "block", "open"), ["file", "block"], "left")
+    inside = F.when(F.col("open").isNull(), F.col("in_out")).otherwise(F.col("in_in"))
+    head = F.when(F.col("open").isNull(), F.col("head_out")).when(F.col("head_in") >= 0, F.col("head_in")).otherwise(F.col("open"))
+    lines = lines.select("file", "block", "at", "value", inside.alias("inside"), head.alias("head"),
+                         F.when(inside, F.col("stays")).otherwise(F.col("opens")).alias("goes_on"))
+    parts = lines.where("inside OR goes_on").groupBy("file", "head").agg(
+        F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("l"))
+    parts = parts.select("file", F.col("l")[0]["block"].alias("block"), F.col("head").alias("at"),
+                         F.array_join(F.col("l.value"), "\n").alias("value"))
+    return lines.where("NOT inside AND NOT goes_on").select("file", "block", "at", "value").unionByName(parts)
+
+
+def csv_records(spark: SparkSession, folder: str, marker: str = ".csv") -> tuple[DataFrame, DataFrame] | None:
+    """Records of every file whose name contains ``marker`` (``file, block, at, value``), and
+    each file's first one (``file, at, header``); None when there is no line.  A record
+    ends at a line feed (a carriage return before it goes) outside quoted values.  A value is quoted if it begins
+    with a quote; quotes inside are doubled.  A file that ends inside a value is an error."""
+    lines = (spark.read.option("pathGlobFilter", f"*{marker}*").option("lineSep", "\n").text(folder)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("at"), "value"))
+    quoted, line = F.col("value").contains('"'), F.rtrim(F.col("value"), F.lit("\r"))
+    lines = lines.withColumn("opens", quoted & line.rlike(OPENS)).withColumn("stays", ~quoted | line.rlike(STAYS))
+    files = lines.groupBy("file").agg(F.max("opens").alias("joins"), F.min(F.when(F.col("block") == 0, F.struct("at", "value"))).alias("h"))
+    files = checkpoint(files)
+    if not files.first():
+        return None
+    heads = files.select("file", "h.at", F.col("h.value").alias("header"))
+    records = lines.select("file", "block", "at", "value")
+    if files.where("joins").first():  # a line that opens a value somewhere
+        records = _joined_records(lines.select("file", "block", "at", "value", "opens", "stays"))
+        first = records.where("block = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
+        heads = checkpoint(first.select("file", "h.at", F.col("h.value").alias("header")))
+    strip = lambda c: F.regexp_replace(c, "\r$", "")
+    return records.withColumn("value", strip("value")), heads.withColumn("header", strip("header"))
+
 
-def _records(lines: DataFrame, width: int) -> DataFrame:
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"mode": "PERMISSIVE", "escape": '"'})
-    return lines.withColumn("cells", F.array(*[cells[f"c{i}"] for i in range(width)]))
+def _cells(value: Column, width: int) -> Column:
+    cells = F.from_csv(value, F.lit(", ".join(f"c{i} string" for i in range(width))),
+                       {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return F.array(*[cells[f"c{i}"] for i in range(width)])
 
 
 def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> DataFrame | None:
     """Every file of a folder whose name contains ``marker``: cells aligned by the
-    column names of each file's first line (a missing column is null), words of
+    column names of each file's first record (a missing column is null), words of
     ``MISSING`` null, one type per column over the whole folder (integer, number,
-    truth value, timestamp, else text).  Values hold no line feeds.  Null when no
-    file matches.
+    truth value, timestamp, else text).  Quoted values may hold line feeds; rows that equal the header
+    are rows.  Null when no file matches.
 
-    Lines, headers and types are read by Spark; the driver gets the header lines
+    Records, headers and types are read by Spark; the driver gets the headers
     that differ from one another and one row of type flags."""
     if not exists(spark, folder):
         return None
-    raw = (spark.read.option("pathGlobFilter", f"*{marker}*").text(folder)
-           .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-           .withColumn("at", F.monotonically_increasing_id()))
-    # the first line of a file is the first row of its first block
-    heads = raw.where("block = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
-    heads = checkpoint(heads.select("file", F.col("h.value").alias("header")))
-    kinds = [r.header for r in heads.select("header").distinct().collect()]  # as many as distinct headers
-    if not kinds:
+    found = csv_records(spark, folder, marker)
+    if found is None:
         return None
-    names_of = {k: next(csv.reader([k]), []) for k in kinds}
+    records, heads = found
+    kinds = [r.header for r in heads.select("header").distinct().collect()]  # as many as distinct headers
+    names_of = {k: next(csv.reader([k]), []) if "\n" not in k else next(csv.reader(k.splitlines(True))) for k in kinds}
     names = list(dict.fromkeys(n for k in sorted(kinds) for n in names_of[k]))
     width = max(map(len, names_of.values()))
-    # the header line goes (and any line of a first block that equals it)
-    body = (raw.join(heads, "file").where(~((F.col("block") == 0) & (F.col("value") == F.col("header"))))
-            .where(F.col("value") != ""))
-    rows = _records(body, width)
+    if not width:
+        return None
+    # the header is known by its place, so rows that equal it stay
+    body = (records.join(heads.withColumnRenamed("at", "head_at"), "file")
+            .where((F.col("at") != F.col("head_at")) & (F.col("value") != "")))
+    rows = body.withColumn("cells", _cells(F.col("value"), width))
     place = {n: [(k, v.index(n)) for k, v in names_of.items() if n in v] for n in names}
     cols = []
     for n in names:

@@ -89,9 +89,7 @@ class Vocabulary:
 
     def find(self, raw, start, end, h) -> tuple[np.ndarray, np.ndarray]:
         """(which words, their term) of the words that are terms."""
-        if not len(self.hash):
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        words, terms = [], []
+        words, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         at = np.searchsorted(self.hash, h)
         todo = np.arange(len(h))
         while len(todo):  # one round unless terms share a hash
@@ -108,8 +106,7 @@ class Vocabulary:
             terms.append(self.ids[k[good]])
             todo = np.setdiff1d(todo, w[good], assume_unique=True)
             at[todo] += 1
-        words, terms = np.concatenate(words), np.concatenate(terms)
-        return words, terms
+        return np.concatenate(words), np.concatenate(terms)
 
 
 def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -345,8 +342,9 @@ def _search_block(docs: DataFrame, rows: list, best: int) -> DataFrame | None:
         return None
     found, high = [], None
     for low in [*cuts, 0.0]:
+        if high is not None and low >= high:
+            continue  # many vectors of one length: all of them were in the round before
         # no vector below this length reaches the threshold of any item
-        low = max(low, 0.0)
         least = max(low, float((floors / roots).min()) / MARGIN)
         if high is not None and least >= high:
             break

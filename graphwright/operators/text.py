@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import MIN_SENTENCE_SIZE
 from ..functions.text import sentence_array, squeeze_sentence_breaks
@@ -53,53 +53,53 @@ def md5_ids(sents: DataFrame) -> DataFrame:
 
 
 # --- language of a text -----------------------------------------------------
-# Naive Bayes over word tokens, trained from labelled documents with group-bys
-# and applied with an equi-join on the token: no Python per row.
+# Naive Bayes over hashed character trigrams.  The model is a table of LANG_BUCKETS whole
+# numbers for each language: counted by one partial aggregate with as many groups, read as
+# one scalar, and applied to a text in one projection without a shuffle.
 
-TOKEN_SPLIT = r"[^\p{L}]+"
+LANG_BUCKETS = 16381  # a prime, so that all bits of the three code points count
+_TRIGRAM = 31337
+LETTERS = r"[^\p{L}]+"
 
 
-def _tokens(text_col: str):
-    return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: t != "")
-
-
-def doc_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, token, c, t_doc)``: token counts per document over the whole text
-    (``t_doc`` = tokens in the document).  A partial aggregate."""
-    toks = docs.select(id_col, _tokens(text_col).alias("toks"))
-    return (toks.select(id_col, F.size("toks").alias("t_doc"), F.explode_outer("toks").alias("token"))
-            .where(F.col("token").isNotNull()).groupBy(id_col, "token").agg(F.count("*").alias("c"), F.first("t_doc").alias("t_doc")))
+def trigram_buckets(text: Column) -> Column:
+    """Bucket of every three consecutive characters of the lower-cased text; what is
+    no letter is one space, at both ends too.  Empty for a text without letters."""
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), LETTERS, " ")), F.lit(" "))
+    points = F.transform(F.split(plain, ""), lambda c: F.ascii(c).cast("bigint"))
+    three = lambda p: F.transform(
+        F.slice(p, F.lit(1), F.greatest(F.size(p) - 2, F.lit(0))),
+        lambda x, i: ((x * _TRIGRAM + F.get(p, i + 1)) * _TRIGRAM + F.get(p, i + 2)) % LANG_BUCKETS)
+    # the list is bound once, as sub-expressions of a lambda are not shared
+    return F.coalesce(F.transform(F.array(points), three)[0], F.array().cast("array<bigint>"))
 
 
 def lang_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, token, n)`` counts over whole texts."""
-    return (labelled.select(F.col(lang_col).alias("lang"), F.explode_outer(_tokens(text_col)).alias("token"))
-            .where(F.col("token").isNotNull()).groupBy("lang", "token").agg(F.count("*").alias("n")))
-
-
-def lang_profile_from_counts(doc_tok: DataFrame, doc_lang: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The same profile from per-document counts (reuses one tokenisation)."""
-    return (doc_tok.join(doc_lang.select(id_col, "lang"), id_col)
-            .groupBy("lang", "token").agg(F.sum("c").alias("n")))
-
-
-def lang_detect(doc_tok: DataFrame, profile: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Most likely language per document (multinomial naive Bayes with add-one
-    smoothing over each language's own vocabulary).
-
-    score(d, l) = sum_t c(d,t)·ln(n(l,t)+1) − T(d)·ln(N(l)+V(l)); only tokens
-    seen in a language contribute to the first term, so scoring is an
-    equi-join on the token (no documents × languages product).  A hot token
-    is a skewed join key on the document side only; AQE splits it."""
-    lang_stats = profile.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.count("*").alias("v_lang"))
-    matched = (doc_tok.join(profile, "token")
-               .groupBy(id_col, "lang")
-               .agg(F.sum(F.col("c") * F.log(F.col("n") + 1)).alias("hit"),
-                    F.first("t_doc").alias("t_doc")))
-    # one row per language: bounded by the label set
-    scored = matched.join(F.broadcast(lang_stats), "lang").select(
-        id_col, "lang",
-        (F.col("hit") - F.col("t_doc") * F.log(F.col("n_lang") + F.col("v_lang"))).alias("score"))
-    return scored.groupBy(id_col).agg(
-        F.max_by("lang", F.struct("score", "lang")).alias("lang_detected"),
-        F.max("score").alias("score"))
+    """``(lang, bucket, n)`` counts over whole texts; at most ``LANG_BUCKETS`` rows for a language."""
+    return (labelled.select(F.col(lang_col).alias("lang"), F.explode_outer(trigram_buckets(F.col(text_col))).alias("bucket"))
+            .where("lang IS NOT NULL AND bucket IS NOT NULL").groupBy("lang", "bucket").agg(F.count("*").alias("n")))
+
+
+def lang_model(profile: DataFrame) -> DataFrame:
+    """One row: ``langs`` in order and their ``weights``, 1000 times the logarithm of a
+    bucket's share (add-one), rounded down.  Languages are a small set of labels, so the
+    row has a bounded size: ``LANG_BUCKETS`` whole numbers for each."""
+    total = profile.groupBy("lang").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("seen"))
+    weight = lambda n: F.floor(1000 * F.log((n + 1) / (F.col("total") + LANG_BUCKETS))).cast("int")
+    row = total.select("lang", F.transform(F.sequence(F.lit(0), F.lit(LANG_BUCKETS - 1)),
+                                           lambda b: weight(F.coalesce(F.try_element_at("seen", b.cast("bigint")), F.lit(0)))).alias("weights"))
+    both = F.array_sort(F.collect_list(F.struct("lang", "weights")))
+    return row.agg(both.alias("m")).select(F.col("m.lang").alias("langs"), F.col("m.weights").alias("weights"))
+
+
+def lang_detect(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str = "lang_detected") -> DataFrame:
+    """The documents with the most likely language ``name`` of a text under a model (one
+    row, read as a scalar), the first by name of equal ones; null for a text without
+    letters."""
+    langs, weights = F.col("__model.langs"), F.col("__model.weights")
+    score = lambda buckets: F.transform(
+        weights, lambda w: F.aggregate(buckets, F.lit(0).cast("bigint"), lambda total, b: total + F.get(w, b.cast("int"))))
+    best = lambda scores: F.get(langs, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+    scored = F.transform(F.array(trigram_buckets(F.col(text_col))), lambda b: F.when(F.size(b) > 0, score(b)))
+    row = model.select(F.struct("langs", "weights")).scalar()
+    return docs.withColumn("__model", row).withColumn(name, F.transform(scored, best)[0]).drop("__model")

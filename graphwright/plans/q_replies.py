@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import relations as R, replies as P, triples as T
+from ..operators import relations as R, replies as P, text as X, triples as T
 from ..sources.fixtures import fixture
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import duck as D
-from .q_text import _LANG_DETECT, q_lang_detect
+from .q_text import _LANG_DETECT, lang_model
 from .registry import register
 
 _KV = r"""kv AS (SELECT reply_id, key, arg_max(value, pos) AS value FROM (
@@ -68,8 +68,9 @@ def q_translation_record(spark, sf):
     """Records with the language that is detected in the context."""
     rp = _replies(spark, sf)
     ctx = table(spark, sf, "documents").select(F.col("doc_id").alias("reply_id"), F.col("text").alias("context"))
-    found = q_lang_detect(spark, sf).select(F.col("doc_id").alias("reply_id"), F.col("lang_detected").alias("lang"))
-    return P.translation_record(rp, P.reply_kv(rp), ctx.join(found, "reply_id", "left"))
+    # only texts that are a context are scored
+    ctx = spread(ctx.join(rp.select("reply_id"), "reply_id", "left_semi"))
+    return P.translation_record(rp, P.reply_kv(rp), X.lang_detect(ctx, lang_model(spark, sf), "context", "lang"))
 
 
 @register("lang_code", D.wf(["replies"], "SELECT rec.*, c.code FROM rec JOIN codes c USING (key)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import checkpoint
 from ..operators import text as X
 from ..sources.fixtures import fixture
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import duck as D
 from .registry import register
 
@@ -65,40 +65,46 @@ def q_payload_text(spark, sf):
     return X.payload_text(fixture(spark, sf, "payloads"))
 
 
-@register("lang_profile", D.wf([], r"""
-SELECT lang, token, count(*) AS n FROM (
-  SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents)
-WHERE token <> '' GROUP BY ALL"""))
+def _buckets(text: str) -> str:
+    """List of the trigram buckets of a text (DuckDB)."""
+    plain = f"' ' || trim(regexp_replace(lower({text}), '{X.LETTERS}', ' ', 'g')) || ' '"
+    points = f"list_transform(string_split({plain}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    k = X._TRIGRAM
+    return (f"list_transform(list_transform([{points}], lambda p: list_transform(range(1, len(p) - 1), "
+            f"lambda i: ((p[i] * {k} + p[i + 1]) * {k} + p[i + 2]) % {X.LANG_BUCKETS})), lambda l: l)[1]")
+
+
+@register("lang_profile", f"""
+SELECT lang, bucket, count(*) AS n FROM (SELECT lang, unnest({_buckets('text')}) AS bucket FROM documents)
+WHERE lang IS NOT NULL GROUP BY ALL""")
 def q_lang_profile(spark, sf):
-    return X.lang_profile(table(spark, sf, "documents").select("text", "lang"))
+    return X.lang_profile(spread(table(spark, sf, "documents").select("text", "lang")))
 
 
-# a fifth of the documents is held out of the profile, by a hash of the id
+# three sixteenths of the documents are held out of the profile, by a hash of the id
 _HELD = "substr(md5(CAST(doc_id AS {S})), 1, 1) IN ('0', '1', '2')"
 
-_LANG_DETECT = r"""
-WITH t AS (SELECT * FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token
-                          FROM documents) WHERE token <> ''),
-profile AS (SELECT lang, token, count(*) AS n FROM t WHERE NOT """ + _HELD.replace("{S}", "VARCHAR") + r""" GROUP BY ALL),
-stats AS (SELECT lang, sum(n) AS n_lang, count(*) AS v_lang FROM profile GROUP BY lang),
-dt AS (SELECT doc_id, token, count(*) AS c FROM t GROUP BY ALL),
-tdoc AS (SELECT doc_id, count(*) AS t_doc FROM t GROUP BY doc_id),
-hit AS (SELECT dt.doc_id, p.lang, sum(dt.c * ln(p.n + 1)) AS hit FROM dt JOIN profile p USING (token) GROUP BY ALL),
-sc AS (SELECT h.doc_id, h.lang, h.hit - td.t_doc * ln(s.n_lang + s.v_lang) AS score
-       FROM hit h JOIN tdoc td USING (doc_id) JOIN stats s USING (lang))
-SELECT d.doc_id, """ + _HELD.replace("{S}", "VARCHAR") + """ AS held_out, lang_detected FROM documents d
-LEFT JOIN (SELECT doc_id, arg_max(lang, score) AS lang_detected FROM sc GROUP BY doc_id) USING (doc_id)"""
+_LANG_DETECT = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, lang, unnest({_buckets('text')}) AS bucket FROM documents),
+profile AS (SELECT lang, bucket, count(*) AS n FROM t WHERE lang IS NOT NULL AND NOT """ + _HELD.replace("{S}", "VARCHAR") + f""" GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS total FROM profile GROUP BY lang),
+sc AS (SELECT t.doc_id, total.lang, sum(CAST(floor(1000 * ln((coalesce(p.n, 0) + 1) / (total + {X.LANG_BUCKETS}))) AS BIGINT)) AS score
+       FROM t CROSS JOIN total LEFT JOIN profile p ON p.lang = total.lang AND p.bucket = t.bucket GROUP BY ALL),
+first AS (SELECT doc_id, lang FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+SELECT d.doc_id, """ + _HELD.replace("{S}", "VARCHAR") + """ AS held_out, first.lang AS lang_detected FROM documents d
+LEFT JOIN first USING (doc_id)"""
+
+
+def lang_model(spark, sf):
+    """Trained on the labelled documents that are not held out; written once (reliable
+    checkpoint in the shared folder), as a row of fixed size."""
+    docs = spread(table(spark, sf, "documents").where(~F.expr(_HELD.replace("{S}", "STRING"))).select("text", "lang"))
+    return checkpoint(X.lang_model(X.lang_profile(docs)))
 
 
 @register("lang_detect", _LANG_DETECT)
 def q_lang_detect(spark, sf):
-    """Train on the labelled documents that are not held out and score every
-    document (whole texts); null where a text has no token of the profile."""
-    held = F.expr(_HELD.replace("{S}", "STRING"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    # the trained model is materialised once (reliable checkpoint in the
-    # shared folder); it is read twice while scoring
-    profile = checkpoint(X.lang_profile(docs.where(~held)))
-    found = X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), profile)
-    return (docs.select("doc_id", held.alias("held_out"))
-            .join(found.select("doc_id", "lang_detected"), "doc_id", "left"))
+    """Score every document (whole texts); null where a text has no letter."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return X.lang_detect(docs, lang_model(spark, sf)).select(
+        "doc_id", F.expr(_HELD.replace("{S}", "STRING")).alias("held_out"), "lang_detected")

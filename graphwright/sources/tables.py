@@ -26,3 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         _SCHEMAS[key] = df.schema
         return df
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as the session's parallelism: a table of few row groups is
+    dealt out before heavy work, one with enough of them stays where it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

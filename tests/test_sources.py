@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from graphwright.functions.lineage import checkpoint
 from graphwright.operators import text as X
 from graphwright.session import scratch_path
 from graphwright.sources import files as S
@@ -29,11 +30,26 @@ def test_source_precedence_replaces(spark):
     assert got == [2, 3]
 
 
-def test_language_detection_accuracy(spark, sf_small):
-    docs = table(spark, sf_small, "documents").select("doc_id", "text", "lang")
-    pred = X.lang_detect(X.doc_token_counts(docs.select("doc_id", "text")), X.lang_profile(docs))
-    acc = pred.join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_detected")).cast("double"))).first()[0]
-    assert acc > 0.95
+def test_language_detection_accuracy(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    model = checkpoint(X.lang_model(X.lang_profile(docs.where(~held))))
+    found = X.lang_detect(docs.where(held), model)
+    assert "Exchange" not in found._jdf.queryExecution().simpleString().split("Subquery")[0]  # one narrow projection
+    right, n = found.agg(F.avg((F.col("lang") == F.col("lang_detected")).cast("double")), F.count("*")).first()
+    assert n > 200 and right > 0.97
+    few = spark.createDataFrame([(1, None), (2, ""), (3, "12 ... !"), (4, "the"), (5, "x" * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_detected for r in X.lang_detect(few, model).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [None] * 3 and got[4] == "en" and got[5] is not None
+
+
+def test_trigrams_equal_plain_python(spark):
+    texts = ["Straße, 3 ÄPFEL!", "a", "", "  ab  ", "été-là", "x9y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.trigram_buckets(F.col("t")).alias("b")).collect()
+    for r in rows:
+        s = " " + "".join(c if c.isalpha() else " " for c in r.t.lower())
+        s = " " + " ".join(s.split()) + " "
+        assert r.b == [((ord(x) * 31337 + ord(y)) * 31337 + ord(z)) % X.LANG_BUCKETS for x, y, z in zip(s, s[1:], s[2:])], r.t
 
 
 def test_jobs_catalogue_read_by_spark_matches_driver_parse(spark):

@@ -15,9 +15,10 @@ unknown and the others together and it shares at least ``MIN_SIMILARITY`` of the
 trigrams of a template of that family (``confirmed``).
 
 Notices are also wrapped over several lines.  In a document that holds half of the
-trigrams of a template, every run of 2 to ``MAX_LINES`` lines with words, at most
-``MAX_INNER`` words between its first and its last line, is classified and confirmed
-as one paragraph.  Of overlapping runs and lines the one most like its template is
+trigrams of a template, every run of 2 to ``max_lines`` lines with words, at most
+``max_inner`` words between its first and its last line, is classified and confirmed
+as one paragraph (parameters of ``scan``; no line is empty, so ``max_inner + 2`` lines set
+no bound of their own).  Of overlapping runs and lines the one most like its template is
 reported, then the shortest; ``line`` is its first line, and its line feeds are spaces.
 A line inside such a run that is less like its own template is not reported as well.
 Lines without words part paragraphs.
@@ -43,7 +44,8 @@ from .common import materialise, text_or_empty
 
 MAX_UNKNOWN = 2_000
 MIN_SIMILARITY = 0.5
-MAX_LINES, MAX_INNER = 24, 70  # the longest template has 36 words
+# a notice has at most so many lines, and words between its first and its last (the longest template: 36)
+MAX_LINES, MAX_INNER = 24, 70
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 UNKNOWN = "unknown"
 
@@ -107,9 +109,10 @@ def _words(text: Column) -> Column:
 
 
 def _ngrams(words: Column, n: int) -> Column:
-    runs = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(runs, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>"))
+    def join(first, i):
+        return F.concat(first, *(x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))))
+
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), join)
 
 
 def _split(text: str) -> list[str]:
@@ -269,7 +272,7 @@ def _needs() -> list[tuple[list[str], int]]:
     return out
 
 
-def _wrapped(docs: DataFrame) -> DataFrame:
+def _wrapped(docs: DataFrame, max_lines: int = MAX_LINES, max_inner: int = MAX_INNER) -> DataFrame:
     """``key, row, doc_id, line, n_lines, paragraph, words, trigrams`` of the runs of lines (and
     single lines) that hold half of the trigrams of a template."""
     spark = docs.sparkSession
@@ -281,7 +284,7 @@ def _wrapped(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.contains("text", F.lit("\n")))
     # one filter, as a second column would be computed again in each of its uses
     some = texts.where(_bound(_words(F.col("text")), lambda w: _bound(F.array_intersect(w, vocabulary), enough)
-                              & _bound(_ngrams(w, 3), _half)))
+                              & _half(_ngrams(w, 3))))
     some = some.withColumn("key", F.monotonically_increasing_id())
     lines = some.select("key", _row(), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).withColumn(
         "words", _words(F.col("paragraph")))
@@ -289,20 +292,21 @@ def _wrapped(docs: DataFrame) -> DataFrame:
     by = Window.partitionBy("key").orderBy("line")
     lines = lines.withColumn("run", F.count(F.when(F.size("words") == 0, 1)).over(by)).where(F.size("words") > 0)
     # of a long line only its ends can belong to a notice with other lines
-    ends = F.when(F.size("words") <= 2 * MAX_INNER, F.col("words")).otherwise(F.concat(
-        F.slice("words", 1, MAX_INNER), F.array(F.lit("")), F.slice("words", -MAX_INNER, MAX_INNER)))
+    ends = F.when(F.size("words") <= 2 * max_inner, F.col("words")).otherwise(F.concat(
+        F.slice("words", 1, max_inner), F.array(F.lit("")), F.slice("words", -max_inner, max_inner)))
     lines = lines.withColumn("words", ends)
-    after = Window.partitionBy("key", "run").orderBy("line").rowsBetween(0, MAX_LINES - 1)
+    after = Window.partitionBy("key", "run").orderBy("line").rowsBetween(0, max_lines - 1)
     starts = lines.withColumn("lines", F.collect_list(F.struct("paragraph", "words")).over(after))
     # a run begins and ends with a line that has a trigram of a template; others are no better than a shorter one
-    grams = _literals(sorted({" ".join(w[k:k + 3]) for w in map(_split, (t for ts in TEMPLATES.values() for t in ts))
-                              for k in range(len(w) - 2)}))
+    grams = _literals(_template_trigrams())
     every = F.flatten("lines.words")
     head = F.slice(every, F.lit(1), F.size("words") + 2)
-    starts = starts.where(F.arrays_overlap(_ngrams(head, 3), grams) & _bound(_ngrams(every, 3), _half))
+    # the first line, the inner words and a last line are all that a run can hold
+    most = F.slice(every, F.lit(1), F.size("words") + max_inner + 2 * max_inner + 1)
+    starts = starts.where(_bound(head, lambda w: F.arrays_overlap(_ngrams(w, 3), grams)) & _bound(most, lambda w: _half(_ngrams(w, 3))))
     runs = starts.select("key", "row", "doc_id", "line", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("n_lines"))
     inner = F.size(F.flatten(F.slice(F.col("lines.words"), F.lit(2), F.greatest(F.col("n_lines") - 2, F.lit(0)))))
-    runs = runs.where((F.col("n_lines") <= 2) | (inner <= MAX_INNER))
+    runs = runs.where((F.col("n_lines") <= 2) | (inner <= max_inner))
     upto = F.flatten(F.slice("lines.words", F.lit(1), F.col("n_lines")))
     tail = F.least(F.size(upto), F.size(F.element_at("lines.words", F.col("n_lines"))) + 2)
     runs = runs.where(F.arrays_overlap(_ngrams(F.slice(upto, -tail, tail), 3), grams))
@@ -318,24 +322,31 @@ def _bound(value: Column, test) -> Column:
     return F.exists(F.array(value), test)
 
 
+def _template_trigrams() -> list[str]:
+    return sorted({" ".join(w[k:k + 3]) for w in map(_split, (t for ts in TEMPLATES.values() for t in ts))
+                   for k in range(len(w) - 2)})
+
+
 def _half(trigrams: Column) -> Column:
-    """Whether they hold ``MIN_SIMILARITY`` of the trigrams of a template."""
-    out = []
+    """Whether they hold ``MIN_SIMILARITY`` of the trigrams of a template; those of no
+    template go first, in one pass."""
+    needs = []
     for text in (t for ts in TEMPLATES.values() for t in ts):
         w = _split(text)
         grams = sorted({" ".join(w[k:k + 3]) for k in range(len(w) - 2)})
-        out.append(F.size(F.array_intersect(trigrams, _literals(grams))) >= MIN_SIMILARITY * len(grams))
-    return reduce(Column.__or__, out)
+        needs.append((grams, -int(-MIN_SIMILARITY * len(grams) // 1)))
+    return _bound(F.array_intersect(trigrams, _literals(_template_trigrams())), lambda found: (F.size(found) > 0) & reduce(
+        Column.__or__, (F.size(F.array_intersect(found, _literals(g))) >= n for g, n in needs)))
 
 
 def _trigrams(rows: DataFrame) -> DataFrame:
     return rows.withColumn("trigrams", _ngrams(F.col("words"), 3))
 
 
-def _best_runs(found: DataFrame) -> DataFrame:
+def _best_runs(found: DataFrame, max_lines: int) -> DataFrame:
     """Runs of several lines that no better run or line overlaps: of the same family in any
     line, of another one in more than half of the lines of the shorter."""
-    near = Window.partitionBy("key").orderBy("line").rangeBetween(-MAX_LINES, MAX_LINES)
+    near = Window.partitionBy("key").orderBy("line").rangeBetween(-max_lines, max_lines)
     found = found.withColumn("near", F.collect_list(F.struct("line", "n_lines", "family", "similarity")).over(near))
 
     def beats(v):
@@ -348,7 +359,8 @@ def _best_runs(found: DataFrame) -> DataFrame:
     return found.where((F.col("n_lines") > 1) & ~F.exists("near", beats))
 
 
-def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, confirmed_only: bool = True) -> DataFrame:
+def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, confirmed_only: bool = True,
+         max_lines: int = MAX_LINES, max_inner: int = MAX_INNER) -> DataFrame:
     """``doc_id, line, family, probability, template, similarity, confirmed, paragraph``
     of the paragraphs that grant a licence; predictions that no template confirms
     are given only on request, and only of single lines."""
@@ -364,8 +376,8 @@ def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, confirmed_only: bool =
     found = granted(near, "licence-classes")
     if confirmed_only:
         found = found.where("confirmed")
-    runs = materialise(_features(_wrapped(docs)), "licence-run-features")
-    runs = materialise(_best_runs(granted(runs, "licence-run-classes").where("confirmed")), "licence-best-runs")
+    runs = materialise(_features(_wrapped(docs, max_lines, max_inner)), "licence-run-features")
+    runs = materialise(_best_runs(granted(runs, "licence-run-classes").where("confirmed"), max_lines), "licence-best-runs")
     inside = runs.select("row", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line"),
                          "similarity").groupBy("row", "line").agg(F.max("similarity").alias("in_run"))
     found = found.join(inside, ["row", "line"], "left").where("in_run IS NULL OR in_run <= similarity")

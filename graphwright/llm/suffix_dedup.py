@@ -20,7 +20,8 @@ judged on the input, and matches never cross documents.
    those of the smallest document are removed.
 
 Rows: null and empty texts have nothing to remove.  A null ``doc_id`` orders
-before all others.  Rows that share a ``doc_id`` do not remove from each other.
+before all others.  Rows that share a ``doc_id`` do not remove from each other; a row is
+known by its id and a hash of its text, so each gets the ranges of its own text.
 An empty table gives no rows.  Other columns are ignored.
 """
 
@@ -69,6 +70,13 @@ class Scan:
         self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.window = self.left >= LENGTH
         self.text = self.raw.tobytes()
+        self.runs = None
+
+    def run_end(self, at: np.ndarray) -> np.ndarray:
+        """End of the run of equal bytes that holds each place."""
+        if self.runs is None:
+            self.runs = np.r_[np.flatnonzero(self.raw[1:] != self.raw[:-1]) + 1, self.n]
+        return self.runs[np.searchsorted(self.runs, at, side="right")]
 
     def hashes(self, a, b):
         """128-bit hash of the bytes from each a to b, in two halves."""
@@ -139,8 +147,8 @@ def _chunk_rows(batches):
         h1, h2 = x.hashes(start, end)
         row = x.row[start]
         yield pa.RecordBatch.from_arrays([
-            _i64(h1), _i64(h2), pa.array(x.keys[row]), pa.array((start - x.offs[row])), pa.array((end - x.offs[row]))],
-            ["h1", "h2", "key", "start", "stop"])
+            _i64(h1), _i64(h2), pa.array(x.keys[row]), b.column(2).take(pa.array(row)), pa.array((start - x.offs[row])),
+            pa.array((end - x.offs[row]))], ["h1", "h2", "key", "mark", "start", "stop"])
 
 
 def _owner_hashes(batches):
@@ -222,11 +230,16 @@ def _segments(first, shared):
             at, place = at[keep], place[keep]
             if not len(at):
                 continue
-            cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1) | alone[1:]])
+            # a window alone is a segment, but for those of one letter: they go as one run
+            like = x.run_end(at[:-1]) - at[:-1] > LENGTH
+            apart = (at[1:] != at[:-1] + 1) | np.where(alone[1:], ~(like & alone[:-1]), (place[1:] != place[:-1]) | alone[:-1])
+            cut = np.flatnonzero(np.r_[True, apart])
             start = at[cut]
             stop = at[np.r_[cut[1:], len(at)] - 1] + LENGTH
             h1, _ = x.hashes(start, stop)
-            route = np.where(alone[cut], h1, x.gram[place[cut]])
+            window, many = h1.copy(), np.flatnonzero(alone[cut] & (stop - start > LENGTH))
+            window[many], _ = x.hashes(start[many], start[many] + LENGTH)
+            route = np.where(alone[cut], window, x.gram[place[cut]])
             row = x.row[start]
             key, base = x.keys[row], x.offs[row]
             order = np.lexsort((key, h1))
@@ -237,9 +250,9 @@ def _segments(first, shared):
             route = np.where(later, mix64(key.view(np.uint64) + np.uint64(3)), route)
             raw = x.raw.tobytes()
             yield pa.RecordBatch.from_arrays([
-                _i64(route), pa.array(key), pa.array(start - base), pa.array(stop - base),
+                _i64(route), pa.array(key), b.column(2).take(pa.array(row)), pa.array(start - base), pa.array(stop - base),
                 pa.array([None if z else raw[s:e] for z, s, e in zip(later.tolist(), start.tolist(), stop.tolist())], pa.binary())],
-                ["route", "key", "start", "stop", "bytes"])
+                ["route", "key", "mark", "start", "stop", "bytes"])
     return run
 
 
@@ -311,13 +324,13 @@ def matched(raws: pa.Array, key: np.ndarray):
 
 def _shards(batches):
     """Spans to remove, from segments in order of their route; a route is never split."""
-    names = ["key", "start", "stop"]
+    names = ["key", "mark", "start", "stop"]
 
     def work(t):
-        key, start = t["key"].to_numpy(), t["start"].to_numpy()
+        key, mark, start = (t[c].to_numpy() for c in names[:3])
         raws = t["bytes"].combine_chunks()
         seg, first, end = shard_spans(t["route"].to_numpy(), raws.chunk(0) if isinstance(raws, pa.ChunkedArray) else raws, key)
-        return pa.RecordBatch.from_arrays([pa.array(key[seg]), pa.array(start[seg] + first), pa.array(start[seg] + end)], names)
+        return pa.RecordBatch.from_arrays([pa.array(key[seg]), pa.array(mark[seg]), pa.array(start[seg] + first), pa.array(start[seg] + end)], names)
 
     held: list[pa.Table] = []
     size = 0
@@ -344,7 +357,9 @@ def _shards(batches):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("key"), text_or_empty().alias("text"))
+    """``key`` (id), ``text`` and ``mark``, a hash of the text: a row is known by both."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("key"), text_or_empty().alias("text"),
+                       F.xxhash64(text_or_empty()).alias("mark"))
 
 
 def _filters(d: DataFrame, owners) -> tuple[np.ndarray, np.ndarray]:
@@ -359,15 +374,15 @@ def _filters(d: DataFrame, owners) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``key`` (``doc_id``), ``start``, ``stop``: byte ranges to remove (they may overlap)."""
+    """``key`` (``doc_id``), ``mark``, ``start``, ``stop``: byte ranges to remove (they may overlap)."""
     d, spark = _keyed(docs), docs.sparkSession
-    chunks = materialise(d.mapInArrow(_chunk_rows, "h1 bigint, h2 bigint, key bigint, start bigint, stop bigint"), "chunks")
+    chunks = materialise(d.mapInArrow(_chunk_rows, "h1 bigint, h2 bigint, key bigint, mark bigint, start bigint, stop bigint"), "chunks")
     low = materialise(chunks.groupBy("h1", "h2").agg(F.min("key").alias("low"), F.max("key").alias("high")), "first-chunks")
     first = spark.sparkContext.broadcast(bitmap(low.select("h1", "h2", "low").mapInArrow(_owner_hashes, "h bigint"), FILTER_BITS))
-    copies = chunks.join(low.where("low < high"), ["h1", "h2"]).where("key > low").select("key", "start", "stop")
+    copies = chunks.join(low.where("low < high"), ["h1", "h2"]).where("key > low").select("key", "mark", "start", "stop")
     shared = spark.sparkContext.broadcast(_filters(d, first))
-    segments = d.mapInArrow(_segments(first, shared), "route bigint, key bigint, start bigint, stop bigint, bytes binary")
-    found = segments.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, "key bigint, start bigint, stop bigint")
+    segments = d.mapInArrow(_segments(first, shared), "route bigint, key bigint, mark bigint, start bigint, stop bigint, bytes binary")
+    found = segments.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, "key bigint, mark bigint, start bigint, stop bigint")
     return copies.unionByName(found)
 
 
@@ -398,8 +413,7 @@ def _remove(batches):
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes,
     which may start or end within a code point) of every document."""
-    cuts = spans(docs).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"),
-                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("key"))
-    return rows.join(cuts, "key", "left").select("doc_id", "text", "cuts").mapInArrow(
+    cuts = spans(docs).groupBy("key", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    rows = _keyed(docs).withColumn("doc_id", F.when(F.col("key") != FIRST_ID, F.col("key")))
+    return rows.join(cuts, ["key", "mark"], "left").select("doc_id", "text", "cuts").mapInArrow(
         _remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

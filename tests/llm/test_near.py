@@ -254,7 +254,8 @@ def test_hot_anchors_go_window_by_window(monkeypatch):
     monkeypatch.setattr(sd, "HOT_COUNT", 2)
     monkeypatch.setattr(sd, "SHARD_BYTES", 1000)
     rows = repeated_corpus(40)
-    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["key", "text"]) for k, t in rows]
+    rows += [(20_000 + i, "b" * n) for i, n in enumerate((49, 50, 51, 300, 90, 300))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t]), pa.array([7])], ["key", "text", "mark"]) for k, t in rows]
 
     class Shared:
         def __init__(self, value):
@@ -269,8 +270,11 @@ def test_hot_anchors_go_window_by_window(monkeypatch):
     assert hot.any()
     segments = pa.Table.from_batches(sd._segments(Shared(every), Shared((bits.ravel(), hot.ravel())))(batches)).sort_by("route")
     cuts = {}
+    runs = [r for r in segments.to_pylist() if r["key"] >= 20_000]
+    assert 0 < len(runs) <= 5 and {r["stop"] - r["start"] for r in runs} <= {50, 51, 90, 300}
     for b in sd._shards(segments.to_batches(max_chunksize=7)):
         for r in b.to_pylist():
+            assert r["mark"] == 7
             cuts.setdefault(r["key"], []).append({"start": r["start"], "stop": r["stop"]})
     out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows]),
                                       pa.array([cuts.get(k) for k, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
@@ -279,6 +283,23 @@ def test_hot_anchors_go_window_by_window(monkeypatch):
     assert got == brute_suffix(rows)
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    a, b, c = ("".join(random.Random(i).choices("abcdefghij ", k=400)) for i in range(3))
+    rows = [(1, a), (2, "x" + a), (2, "short"), (2, b + "x" + a[:200]), (2, b), (3, c + b), (3, c), (3, c), (None, c[:120]), (None, a[50:150]), (None, a[50:150] + "!")]
+    low = {None: -1}
+    got = sd.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert sorted((low.get(r.doc_id, r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) \
+        == brute_suffix([(low.get(k, k), t) for k, t in rows])
+    for r in got:
+        assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+
+
+def test_suffix_dedup_of_texts_of_one_letter(spark):
+    rows = [(1, "z" * 3000), (2, "y" * 200 + "z" * 60), (3, "z" * 49), (4, "z" * 50), (5, "yz" * 2000), (6, "yz" * 90)]
+    got = sd.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows)
+
+
 def test_suffix_dedup_of_odd_rows(spark, odd, none):
     assert sd.dedup(none).count() == 0
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in sd.dedup(odd).collect()}

@@ -1,9 +1,10 @@
 """Join helpers.
 
-Broadcast is used in one way only:
+Broadcast is used in two ways only:
 
 * ``join_fixed``: the small side is a fixed lookup table (a few rows of fixed
-  values), so its size is bounded by construction.
+  values), so its size is bounded by construction;
+* ``skew_join``: the list of hot keys, at most ``HOT_SHARE`` by their definition.
 
 Everything else is a plain join: AQE measures the real shuffle output at
 runtime, turns the join into a broadcast join only under
@@ -13,7 +14,9 @@ of the big side when a key is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def join_fixed(big: DataFrame, fixed: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -25,10 +28,11 @@ def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
 
-# A key with at least this many rows on the big side is treated as hot and
-# split into ceil(rows / ROWS_PER_TASK) salt buckets.  There are at most
-# rows / HOT_ROWS such keys, which bounds the list.
+# A key is hot if it has at least HOT_ROWS rows and more than one in HOT_SHARE of all; so
+# at most HOT_SHARE keys are, whatever the data, and their list may be broadcast.  Its rows are
+# dealt to ceil(rows / ROWS_PER_TASK) salts.
 HOT_ROWS = 1_000_000
+HOT_SHARE = 4096
 ROWS_PER_TASK = 1_000_000
 # Null keys match nothing; they are spread over this many salts.
 NULL_SALTS = 1 << 20
@@ -36,51 +40,36 @@ NULL_SALTS = 1 << 20
 _UNHASHABLE = ("map<", "variant")
 
 
-def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int) -> list:
-    """Rows (keys..., _n) of the keys with at least ``hot_rows`` rows."""
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    return counts.where(known & (F.col("_n") >= hot_rows)).collect()
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _s`` of the hot keys of a table of counts ``keys, _n``: at most ``HOT_SHARE``
+    rows, found inside the plan that uses them."""
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.where((F.col("_n") >= HOT_ROWS) & (F.col("_n") > total / HOT_SHARE))
+    return hot.select(*keys, F.ceil(F.col("_n") / F.lit(ROWS_PER_TASK)).cast("bigint").alias("_s"))
 
 
 def skew_join(big: DataFrame, dim: DataFrame, on, how: str = "inner",
-              hot_rows: int | None = None, rows_per_task: int | None = None,
-              count_col: str | None = None) -> DataFrame:
+              count_col: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Join ``big`` to ``dim`` (few rows per key) when one key of ``big`` may
     hold a large share of its rows.
 
-    The hot keys (at least ``hot_rows`` rows) are counted once, by a partial
-    aggregate over the keys alone, or come from ``dim`` if ``count_col`` names
-    its column of group sizes.  Without a hot key this is a plain join.  A hot
-    key's big rows get a salt in ``[0, ceil(n / rows_per_task))`` (hash of the
+    Keys are counted by a partial aggregate over the key columns alone, of ``counted`` if that
+    is a cheaper table with the same keys, or come from ``dim`` if ``count_col`` names its
+    column of group sizes.  A hot key's big rows get a salt (hash of the
     row, stable on retry; identical rows stay together), its dim rows are
     repeated once per salt, and the join runs on ``(key, salt)``.  Rows with a
     null key match nothing and are spread by a salt of their own, so that a
-    left join does not gather them in one task.
+    left join does not gather them in one task.  No job runs before the result is asked for.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    rows_per_task = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     keys = [on] if isinstance(on, str) else list(on)
+    missing = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
     counts = (dim.select(*keys, F.col(count_col).alias("_n")) if count_col else
-              big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    hot = hot_keys(counts, keys, hot_rows)
+              (big if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    split = F.broadcast(hot_keys(counts.where(~missing), keys))
     hashable = [F.col(f"`{f.name}`") for f in big.schema.fields
                 if not any(t in f.dataType.simpleString() for t in _UNHASHABLE)]
     row_hash = F.xxhash64(*hashable)
-    if not hot and how != "left":
-        return big.join(dim, keys, how)
-    missing = F.lit(False)
-    for k in keys:
-        missing = missing | F.col(k).isNull()
     null_salt = F.when(missing, F.pmod(row_hash, F.lit(NULL_SALTS)))
-    if not hot:
-        b = big.withColumn("_salt", F.coalesce(null_salt, F.lit(0).cast("bigint")))
-        return b.join(dim.withColumn("_salt", F.lit(0).cast("bigint")), keys + ["_salt"], how).drop("_salt")
-    schema = ", ".join(f"`{k}` {big.schema[k].dataType.simpleString()}" for k in keys)
-    # as many rows as hot keys: bounded by rows / hot_rows
-    split = big.sparkSession.createDataFrame(
-        [(*(r[k] for k in keys), -(-r["_n"] // rows_per_task)) for r in hot], schema + ", _s bigint")
     b = (big.join(split, keys, "left")
          .withColumn("_salt", F.coalesce(null_salt, F.pmod(row_hash, F.col("_s")), F.lit(0).cast("bigint"))).drop("_s"))
     d = (dim.join(split, keys, "left")

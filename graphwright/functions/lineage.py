@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -15,3 +15,11 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     except Exception:  # noqa: BLE001 - sessions without a SparkContext handle it server-side
         pass
     return df.checkpoint(eager=eager)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once, as columns, to the shared folder and read it back: for a table that
+    several branches of a plan read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -62,7 +62,7 @@ def authority_nodes(rows: DataFrame) -> DataFrame:
     topics = rows.where(F.col("topic").isNotNull()).groupBy("locResource") \
         .agg(F.max("topic").alias("topic"))
     # one viafResource may carry a large share of the edges: skew-split joins
-    enriched = (skew_join(skew_join(edges, labels, "viafResource", "left"), topics, "locResource", "left")
+    enriched = (skew_join(skew_join(edges, labels, "viafResource", "left"), topics, "locResource", "left", counted=edges)
                 .withColumn("description", F.coalesce("topic", "label"))
                 .where(F.col("description").isNotNull())
                 .withColumn("id", _node_id(F.col("locResource"))))

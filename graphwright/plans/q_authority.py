@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.lineage import written
 from ..operators import authority as A
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -19,6 +20,11 @@ def _rows(spark, sf):
     return A.authority_rows(fixture(spark, sf, "authority_triples"))
 
 
+def _stored(spark, sf):
+    """The rows, written once: nodes and links read them several times."""
+    return written(_rows(spark, sf), "authority-rows")
+
+
 @register("authority_rows", D.wf(["authority_triples"], "SELECT * FROM arows", _ROWS))
 def q_authority_rows(spark, sf):
     return _rows(spark, sf)
@@ -27,7 +33,7 @@ def q_authority_rows(spark, sf):
 @register("authority_nodes", D.wf(["authority_triples"], "SELECT * FROM anodes",
                                   _ROWS + ",\n" + _NODES))
 def q_authority_nodes(spark, sf):
-    return A.authority_nodes(_rows(spark, sf))
+    return A.authority_nodes(_stored(spark, sf))
 
 
 @register("topic_members", D.wf(["authority_triples"], f"""
@@ -45,7 +51,7 @@ _LINKS = f"""alinks AS (SELECT topic, id, count(*) OVER (PARTITION BY topic) AS
 @register("authority_links", D.wf(["authority_triples"], "SELECT * FROM alinks",
                                   _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_authority_links(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _stored(spark, sf)
     return A.authority_links(rows, A.authority_nodes(rows))
 
 
@@ -53,7 +59,7 @@ def q_authority_links(spark, sf):
 SELECT CAST(sum(topic_size * (topic_size - 1) / 2) AS BIGINT) AS n_links FROM (
   SELECT DISTINCT topic, topic_size FROM alinks)""", _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_authority_link_count(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _stored(spark, sf)
     return A.link_count(A.authority_links(rows, A.authority_nodes(rows)))
 
 
@@ -71,8 +77,8 @@ SELECT 'node' AS kind, id, user, description, link, NULL::VARCHAR AS topic, NULL
 UNION ALL SELECT 'link', id, NULL, NULL, NULL, topic, topic_size FROM alinks""", _ROWS + ",\n" + _NODES + ",\n" + _LINKS))
 def q_nodelink_json(spark, sf):
     """The JSON lines of the document, parsed back."""
-    rows = _rows(spark, sf)
-    nodes = A.authority_nodes(rows)
+    rows = _stored(spark, sf)
+    nodes = written(A.authority_nodes(rows), "authority-nodes")  # lines and links
     lines = A.nodelink_json(nodes, A.authority_links(rows, nodes))
     fields = "id string, user string, description string, link string, topic string, topic_size bigint"
     return lines.select("kind", F.from_json("json", fields).alias("j")).select("kind", "j.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import wikidata as W
+from ..operators.store import TripleStore, build
 from ..sources.fixtures import fixture
 from ..sources.tables import table
 from . import duck as D
@@ -17,6 +18,17 @@ def _t(spark, sf):
     return fixture(spark, sf, "entity_triples")
 
 
+_STORES: dict[tuple[str, str], TripleStore] = {}
+
+
+def _store(spark, sf) -> TripleStore:
+    """The store of a folder of tables, built once for the application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        _STORES[key] = build(_t(spark, sf))
+    return _STORES[key]
+
+
 def _lab_sql(langs, name="lab") -> str:
     rank = " ".join(f"WHEN lang = '{l}' THEN {i}" for i, l in enumerate(langs))
     inl = ", ".join(f"'{l}'" for l in langs)
@@ -50,14 +62,14 @@ SELECT city_label, population, gps FROM (
   LEFT JOIN lab l ON l.entity = m.item)
 ORDER BY population DESC NULLS LAST, city_label, gps LIMIT 100""", _CLOSURE + ",\n" + _lab_sql(["en"]))))
 def q_class_members_top(spark, sf):
-    return W.class_members_top(_t(spark, sf), "wd:Q515")
+    return _store(spark, sf).class_members_top("wd:Q515")
 
 
 @register("label_fallback", D.wf(["entity_triples"], """
 SELECT e.entity, coalesce(l.label, e.entity) AS label FROM (SELECT DISTINCT s AS entity FROM entity_triples) e
 LEFT JOIN lab l ON l.entity = e.entity""", _lab_sql(["de", "en"])))
 def q_label_fallback(spark, sf):
-    return W.label_fallback(_t(spark, sf), ("de", "en"))
+    return _store(spark, sf).label_fallback(("de", "en"))
 
 
 _DESCRIBE = """
@@ -74,13 +86,13 @@ def _classes(spark, sf):
 
 @register("entity_describe", D.wf(["entity_triples"], _DESCRIBE, _lab_sql(["en"])))
 def q_entity_describe(spark, sf):
-    return W.entity_describe(_t(spark, sf), _classes(spark, sf))
+    return _store(spark, sf).describe(_classes(spark, sf))
 
 
 @register("lang_default", D.wf(["entity_triples"], "SELECT property, value, lang FROM (" + _DESCRIBE + ")",
                                _lab_sql(["en"])))
 def q_lang_default(spark, sf):
-    return W.property_values(_t(spark, sf), _classes(spark, sf))
+    return _store(spark, sf).property_values(_classes(spark, sf))
 
 
 @register("external_id_reverse", D.wf(["entity_triples"], """
@@ -89,7 +101,7 @@ FROM (SELECT DISTINCT s AS entity, o AS value FROM entity_triples WHERE p = 'wdt
 JOIN entity_triples a ON a.s = h.entity AND a.o = h.value
 LEFT JOIN lab l ON l.entity = a.p""", _lab_sql(["en"])))
 def q_external_id_reverse(spark, sf):
-    return W.external_id_reverse(_t(spark, sf))
+    return _store(spark, sf).external_id_reverse()
 
 
 @register("external_id_describe", D.wf(["entity_triples"], """
@@ -99,4 +111,4 @@ FROM entity_triples h JOIN entity_triples a ON a.s = h.s
 LEFT JOIN lab lp ON lp.entity = h.s LEFT JOIN lab lq ON lq.entity = a.p
 WHERE h.p = 'wdt:P214'""", _lab_sql(["en"])))
 def q_external_id_describe(spark, sf):
-    return W.external_id_describe(_t(spark, sf))
+    return _store(spark, sf).external_id_describe()

@@ -23,7 +23,9 @@ with a similarity of at least ``t``, copies counted one by one) and
 
 Rows: null, empty and wordless texts link to nothing and are classes of their
 own, and so is a null ``doc_id``.  Repeated rows of a ``doc_id`` with one text
-count once; with several texts each gets a row.  An empty table gives no rows.
+count once; several texts of one id are documents of their own, known by the id and a hash
+of the text, and each gets a row (classes that begin with texts of one id then share their
+``class_id``; ``keep`` tells them apart).  An empty table gives no rows.
 Other columns are ignored by ``join`` and kept by ``keep``.
 """
 
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import fresh, materialise, mix64, slices, text_or_empty
 from .components import components
@@ -117,8 +119,8 @@ def _signatures(depth: int):
                 None, pa.py_buffer((np.arange(len(rows) * TREES + 1, dtype=np.int32) * width).tobytes()),
                 pa.py_buffer(paths.tobytes())])
             yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(rows)), pa.array([key[i:i + 16] for i in range(0, len(key), 16)], pa.binary()),
-                pa.ListArray.from_arrays(offs, flat)], ["doc_id", "key", "paths"])
+                b.column(0).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array([key[i:i + 16] for i in range(0, len(key), 16)], pa.binary()),
+                pa.ListArray.from_arrays(offs, flat)], ["doc_id", "mark", "key", "paths"])
     return run
 
 
@@ -186,6 +188,8 @@ def _verify(threshold: float):
                 if held and row[:3] != held[0][:3]:
                     yield flush()
                     held = []
+                elif held and row[4] == held[-1][4]:
+                    continue  # a repeated row
                 held.append(row)
         if held:
             yield flush()
@@ -203,16 +207,38 @@ def _sets(batches):
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """``doc_id, class_id, n_links, copy_of`` of every document."""
+    return _join(docs, threshold, target_recall).select("doc_id", "class_id", "n_links", "copy_of")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), _mark())
+
+
+def _mark() -> Column:
+    return F.xxhash64(text_or_empty()).alias("mark")
+
+
+def _join(docs: DataFrame, threshold: float, target_recall: float) -> DataFrame:
+    """As ``join``, with ``mark`` (hash of the text) and ``root`` (the class; null for a text without shingles)."""
     depth = final_depth(threshold, target_recall)
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    d = _marked(docs)
     signed = materialise(d.where("doc_id IS NOT NULL").mapInArrow(
-        _signatures(depth), "doc_id bigint, key binary, paths array<binary>"), "signatures", compression="zstd")
+        _signatures(depth), "doc_id bigint, mark bigint, key binary, paths array<binary>"), "signatures", compression="zstd")
     # several rows of one id and text count once; copies are classes of equal sets
     reps = materialise(_classes(signed), "representatives", compression="zstd")
-    roots = components(_candidate_edges(reps, depth))
+    # a set is known by the least id that has it; ids that are the least of several sets get numbers of their own
+    clash = materialise(reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep"), "clashes")
+    several = not clash.isEmpty()
+    if several:
+        own = F.shiftrightunsigned(F.xxhash64("rep", "key"), 2) + F.lit(1 << 62)
+        reps = materialise(reps.join(clash.withColumn("clash", F.lit(True)), "rep", "left")
+                           .withColumn("node", F.when(F.col("clash"), own).otherwise(F.col("rep"))).drop("clash"), "nodes", compression="zstd")
+    else:
+        reps = reps.withColumn("node", F.col("rep"))
+    roots = components(_candidate_edges(reps.select(F.col("node").alias("rep"), "paths"), depth))
     sized = roots.join(roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "root")
-    members = materialise(sized.join(reps.select(F.col("rep").alias("node"), "copies"), "node"), "members")
-    texts = d.join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "copies", "root", "blocks")
+    members = materialise(sized.join(reps.select("node", "copies", F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark")), "node"), "members")
+    texts = d.join(members, ["doc_id", "mark"]).select("node", "text", "copies", "root", "blocks")
     units = (texts.mapInArrow(_sets, "rep bigint, copies bigint, root bigint, blocks int, shingles binary")
              .withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -220,32 +246,42 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = T
                      "side", "rep", "copies", "shingles"))
     units = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
     verified = materialise(units.mapInArrow(_verify(threshold), "rep bigint, links bigint, low bigint"), "verified")
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = verified.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    per_rep = materialise(reps.select("key", "rep", "copies").join(links, "rep", "left")
-                          .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-                          .select("key", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"),
-                                  (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    keyed = signed.select("doc_id", "key").distinct()
-    linked = keyed.join(per_rep, "key").select("doc_id", "class_id", "n_links", "copy_of")
-    alone = d.select("doc_id").distinct().join(signed.select("doc_id").distinct(), "doc_id", "left_anti").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("copy_of"))
+    per_rep = (reps.select("key", "rep", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
+               .withColumn("root", F.coalesce("root", "node")))
+    if several:  # the least node of a class need not be that of its least id
+        per_rep = materialise(per_rep, "class-nodes")
+        per_rep = per_rep.join(per_rep.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
+    else:
+        per_rep = per_rep.withColumn("class_id", F.col("root"))
+    per_rep = materialise(per_rep.select("key", F.col("rep").alias("copy_of"), "class_id", "root",
+                                         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    keyed = signed.select("doc_id", "mark", "key").distinct()
+    names = ["doc_id", "mark", "class_id", "n_links", "copy_of", "root"]
+    linked = keyed.join(per_rep, "key").select(*names)
+    alone = d.select("doc_id", "mark").distinct().join(keyed.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").select(
+        "doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("copy_of"),
+        F.lit(None).cast("bigint").alias("root"))
     return linked.unionByName(alone)
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """One row per set of shingles: smallest id, number of documents, paths."""
-    per_id = signed.groupBy("key", "doc_id").agg(F.first("paths").alias("paths"))
-    return per_id.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                     F.first("paths").alias("paths"))
+    """One row per set of shingles: smallest id and its mark, number of documents, paths."""
+    per_id = signed.groupBy("key", "doc_id").agg(F.first("paths").alias("paths"), F.min("mark").alias("mark"))
+    return per_id.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("mark", "doc_id").alias("rep_mark"),
+                                     F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """One document of each class (that of the smallest ``doc_id``), with all columns
-    of ``docs``; of repeated rows of an id one stays, rows without an id all stay."""
-    name, number = fresh(docs, "_keep"), fresh(docs, "_n")
-    chosen = join(docs, threshold, target_recall).where("class_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(chosen, F.col("doc_id").cast("bigint") == F.col(name), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.hash("text"))
+    of ``docs``; of repeated rows of an id and text one stays, rows without an id all stay."""
+    number, mark, name = (fresh(docs, n) for n in ("_n", "_mark", "_keep"))
+    rows = _join(docs, threshold, target_recall).where("class_id = doc_id")
+    # of several texts of the least id in one class one stays; texts without shingles are no class with others
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+    chosen = first.select("doc_id", "mark").unionByName(rows.where("root IS NULL").select("doc_id", "mark")).toDF(name, mark)
+    kept = docs.join(chosen, (F.col("doc_id").cast("bigint") == F.col(name)) & (_mark() == F.col(mark)), "left_semi")
+    one = Window.partitionBy("doc_id", _mark()).orderBy(F.xxhash64("text"))
     kept = kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

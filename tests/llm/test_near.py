@@ -139,6 +139,20 @@ def test_jaccard_join_of_odd_rows(spark, odd, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "None", "3", "4", "5", "6", "9", "10", "11"])
 
 
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b, c, e = (prose(rng, 60) for _ in range(4))
+    near = lambda t: t + " one more"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (3, ""), (4, c), (4, e), (5, near(e)), (4, c), (6, prose(rng, 30)), (1, ""), (7, near(c)),
+            (7, near(c) + " and"), (None, a), (None, b), (8, prose(rng, 3))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in jj.join(docs).collect())
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 3, 0), (1, 1, 0), (4, 4, 2), (4, 4, 1), (5, 4, 1), (6, 6, 0),
+                          (7, 4, 2), (7, 4, 2), (-1, -1, 0), (-1, -1, 0), (8, 8, 0)])
+    texts = sorted((r.doc_id or -1, r.text) for r in jj.keep(docs).collect())
+    assert texts == sorted([(1, a), (1, b), (1, ""), (3, ""), (4, c), (4, e), (6, rows[9][1]), (-1, a), (-1, b), (8, rows[15][1])])
+
+
 def brute_lines(rows):
     first = {}
     for key, text in rows:

@@ -144,8 +144,25 @@ def q_question_answers(spark, sf):
 
 # --- table description and prompts (T15-T19, S4) ----------------------------
 
-_ORDERS = [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "VARCHAR"), ("o_totalprice", "DOUBLE"),
-           ("o_orderdate", "TIMESTAMP"), ("o_orderpriority", "VARCHAR")]
+# Columns of the given tables, for the second engine.
+_TABLES = {
+    "region": "r_regionkey INTEGER, r_name VARCHAR",
+    "nation": "n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER",
+    "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR",
+    "supplier": "s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, "
+              "o_orderpriority VARCHAR",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_shipdate TIMESTAMP",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
+    "documents": "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding FLOAT[], label INTEGER",
+    "pages": "page_id BIGINT, url VARCHAR, html VARCHAR",
+    "benchmark": "item_id BIGINT, text VARCHAR",
+    "labels": "doc_id BIGINT, quality INTEGER, toxic INTEGER",
+    "conversations": "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR",
+}
 
 
 def _ddl_sql(t: str, cols) -> str:
@@ -153,11 +170,11 @@ def _ddl_sql(t: str, cols) -> str:
     return f"SELECT '{t}' AS table_name, count(*) AS n_rows, {parts} AS ddl FROM {t}"
 
 
-_DDL_SQL = _ddl_sql("customer", _CUSTOMER) + "\nUNION ALL " + _ddl_sql("orders", _ORDERS)
+_DDL_SQL = "\nUNION ALL ".join(_ddl_sql(t, [c.split(" ") for c in cols.split(", ")]) for t, cols in _TABLES.items())
 
 
 def _ddl(spark, sf):
-    return Q.table_ddl({t: table(spark, sf, t) for t in ("customer", "orders")})
+    return Q.table_ddl({t: table(spark, sf, t) for t in TABLES})
 
 
 @register("table_ddl", _DDL_SQL)

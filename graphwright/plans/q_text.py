@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions.lineage import checkpoint
-from ..operators import text as X
+from ..operators import extract as E, text as X
+from ..session import scratch_path
 from ..sources.fixtures import fixture
 from ..sources.tables import spread, table
 from . import duck as D
@@ -108,3 +110,27 @@ def q_lang_detect(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return X.lang_detect(docs, lang_model(spark, sf)).select(
         "doc_id", F.expr(_HELD.replace("{S}", "STRING")).alias("held_out"), "lang_detected")
+
+
+def _first_and_last():
+    """An extractor without a model: relates the first and the last word."""
+    def answer(sentences):
+        if any("%" in s for s in sentences):
+            raise ValueError("a share")
+        words = [s.split(" ") for s in sentences]
+        return [f'{{\n"concept1": "{w[0]}",\n"concept2": "{w[-1]}",\n"relationship": "related"\n}}' for w in words]
+
+    return answer
+
+
+@register("extract_replies", f"""WITH {_SENTS}
+SELECT doc_id, uid, CASE WHEN n_chars > {C.MIN_SENTENCE_SIZE} AND NOT contains(sentence, '%') THEN
+         '{{' || chr(10) || '"concept1": "' || string_split(sentence, ' ')[1] || '",' || chr(10) || '"concept2": "'
+         || string_split(sentence, ' ')[-1] || '",' || chr(10) || '"relationship": "related"' || chr(10) || '}}' END AS response,
+       CASE WHEN n_chars > {C.MIN_SENTENCE_SIZE} AND contains(sentence, '%') THEN 'ValueError: a share' END AS error
+FROM sents""")
+def q_extract_replies(spark, sf):
+    """The extractor step over all sentences of the documents."""
+    sentences = X.sentences(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "uid", "sentence")
+    rows = E.extract(sentences, _first_and_last, scratch_path(spark, "replies"), batch_size=1000)
+    return rows.select("doc_id", "uid", "response", "error")

@@ -25,35 +25,40 @@ _LINES = "file string, block bigint, at bigint, value string, opens boolean, sta
 _PLACED = _LINES + ", in_out boolean, in_in boolean, head_out bigint, head_in bigint"
 
 
-def _place_lines(batches):
+def _line_placer():
     """Adds to each line, in the order of its block: whether it begins inside a quoted
     value, and the ``at`` of the line that its record began with (-1: in an earlier block),
     both for a block that begins outside and for one that begins inside a value."""
-    block, state, head = None, None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        at, opens, stays = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4, 5))
-        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-        inside, heads = np.empty((2, len(keys)), bool), np.empty((2, len(keys)), np.int64)
-        for low, high in zip(cuts, cuts[1:]):
-            if keys[low] != block:
-                block, state, head = keys[low], [False, True], [-1, -1]
-            o, s = opens[low:high], stays[low:high]
-            place = np.arange(1, high - low + 1)
-            fixed = np.maximum.accumulate(np.where(o == s, place, 0))  # last line that forgets the state before
-            turns = np.r_[0, np.cumsum(o & ~s)]
-            for h in (0, 1):
-                known = np.where(fixed > 0, o[fixed - 1], state[h])
-                after = known ^ ((turns[1:] - turns[fixed]) % 2 == 1)
-                begin = np.r_[state[h], after[:-1]]
-                inside[h, low:high] = begin
-                last = np.maximum.accumulate(np.where(begin, 0, place))
-                heads[h, low:high] = np.where(last > 0, at[low:high][last - 1], head[h])
-                state[h], head[h] = bool(after[-1]), int(heads[h, high - 1])
-        columns = [*b.columns, *(pa.array(x) for x in (*inside, *heads))]
-        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PLACED.split(", ")])
+    names = [f.split()[0] for f in _PLACED.split(", ")]
+
+    def place(batches):
+        block, state, head = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, opens, stays = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4, 5))
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            inside, heads = np.empty((2, len(keys)), bool), np.empty((2, len(keys)), np.int64)
+            for low, high in zip(cuts, cuts[1:]):
+                if keys[low] != block:
+                    block, state, head = keys[low], [False, True], [-1, -1]
+                o, s = opens[low:high], stays[low:high]
+                nth = np.arange(1, high - low + 1)
+                fixed = np.maximum.accumulate(np.where(o == s, nth, 0))  # last line that forgets the state before
+                turns = np.r_[0, np.cumsum(o & ~s)]
+                for h in (0, 1):
+                    known = np.where(fixed > 0, o[fixed - 1], state[h])
+                    after = known ^ ((turns[1:] - turns[fixed]) % 2 == 1)
+                    begin = np.r_[state[h], after[:-1]]
+                    inside[h, low:high] = begin
+                    last = np.maximum.accumulate(np.where(begin, 0, nth))
+                    heads[h, low:high] = np.where(last > 0, at[low:high][last - 1], head[h])
+                    state[h], head[h] = bool(after[-1]), int(heads[h, high - 1])
+            columns = [*b.columns, *(pa.array(x) for x in (*inside, *heads))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return place
 
 
 def _joined_records(lines: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def _joined_records(lines: DataFrame) -> DataFrame:
     Each block is scanned alone for both states it may begin in; windows over the one
     row of each block then give the state and the open record that it does begin with, so
     files stay splittable.  Only lines of records with several lines are shuffled."""
-    placed = lines.mapInArrow(_place_lines, _PLACED)
+    placed = lines.mapInArrow(_line_placer(), _PLACED)
     ends = lambda h, inside: F.when(F.col(inside), F.col("stays")).otherwise(F.col("opens"))
     last = F.struct(ends(0, "in_out").alias("e0"), ends(1, "in_in").alias("e1"), "head_out", "head_in")
     blocks = checkpoint(placed.groupBy("file", "block").agg(F.max_by(last, "at").alias("z")).select("file", "block", "z.*"))

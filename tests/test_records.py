@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphwright.functions import joins as J
@@ -47,8 +48,10 @@ def test_stream_goes_on_after_a_failed_first_write(spark, sf_small):
     spark.range(1).write.parquet(f"{base}/out/_temporary/0/_temporary/attempt_0")
     first = jobs.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", df.schema).count()
     assert first > 0
-    # a replay of everything adds nothing
-    assert jobs.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt2", df.schema).count() == first
+    # a run without new files adds nothing
+    assert jobs.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", df.schema).count() == first
+    with pytest.raises(ValueError, match="another checkpoint"):
+        jobs.stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt2", df.schema)
 
 
 def test_every_key_of_an_atom_is_kept(spark):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.joins import skew_join
 from ..functions.lineage import written
 from ..session import scratch_path
-from . import wikidata as W
+from . import hierarchy, wikidata as W
 
 ROWS_PER_BUCKET = 5_000_000
 
@@ -47,6 +47,7 @@ class TripleStore:
     clashes: DataFrame | None
     buckets: int
     tables: tuple[str, ...]
+    _classes: hierarchy.Hierarchy | None = None
 
     def drop(self) -> None:
         """Forget the tables (their files belong to the shared folder)."""
@@ -156,18 +157,26 @@ class TripleStore:
         rows = rows.select("city_label", F.col("n").try_cast("bigint").alias("population"), "gps").distinct()
         return rows.orderBy(F.col("population").desc_nulls_last(), "city_label", "gps").limit(k)
 
+    def classes(self) -> hierarchy.Hierarchy:
+        """Labels of the class graph, built when they are first asked for."""
+        if self._classes is None:
+            self._classes = hierarchy.build(self.slice(W.SUBCLASS_OF, "cls", "anc"))
+        return self._classes
+
     def subclasses_of(self, target: str) -> DataFrame:
-        """``cls``: ids of the target and every class below it, level by level from the target; the class
-        edges are read once."""
-        edges = written(self.slice(W.SUBCLASS_OF, "cls", "anc").where("anc IS NOT NULL").distinct(), "class-edges")
-        start = self.coded(self.spark.range(1).select(F.lit(target).alias("t")), "t", "cls").select("cls")
-        known = frontier = written(start, "classes")
-        while True:
-            below = edges.join(frontier.select(F.col("cls").alias("anc")), "anc").select("cls").distinct()
-            frontier = written(below.join(known, "cls", "left_anti"), "classes")
-            if frontier.isEmpty():
-                return known
-            known = known.unionByName(frontier)
+        """``cls``: ids of the target and every class below it."""
+        return self.classes().below(self.coded(self.spark.range(1).select(F.lit(target).alias("t")), "t", "cls"))
+
+    def class_members(self) -> DataFrame:
+        """``(item, class_id)`` for ``item P31/P279* class_id``."""
+        inst = self.slice(W.INSTANCE_OF, "item", "cls")
+        up = skew_join(inst, self.classes().closure(), "cls").select("item", F.col("anc").alias("class_id"))
+        pairs = inst.select("item", F.col("cls").alias("class_id")).unionByName(up).distinct()
+        named = written(self.terms.join(pairs.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi"), "class-names")
+        names = lambda key: F.col("term").alias(key)
+        out = skew_join(pairs, named.select(F.col("id").alias("class_id"), names("class_name")), "class_id", "left")
+        return out.join(self.terms.select(F.col("id").alias("item"), names("item_name")), "item").select(
+            F.col("item_name").alias("item"), F.col("class_name").alias("class_id"))
 
 
 def _coded(df: DataFrame, term: str, out: str, clashes: DataFrame | None) -> DataFrame:

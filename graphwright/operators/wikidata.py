@@ -2,8 +2,7 @@
 
 * label service: label in a preferred language, else ``en``, else the id;
 * property path ``P31/P279*`` (instance of, then zero or more subclass steps):
-  the transitive closure is computed on the *class* graph only (semi-naive,
-  one join + anti join per round, checkpointed), then instances join it once;
+  by labels of the *class* graph (``hierarchy``), which instances join once;
 * star pattern (type, population, coordinates, label), top-k by population;
 * describe an entity batch, reverse look-up by external-id IRI, persons by a
   literal id.
@@ -11,12 +10,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.joins import skew_join
-from ..functions.lineage import checkpoint
+from ..functions.lineage import checkpoint, written
+from . import hierarchy
 
 INSTANCE_OF = "wdt:P31"
 SUBCLASS_OF = "wdt:P279"
@@ -58,40 +56,13 @@ def labels_for(triples: DataFrame, ids: DataFrame, languages=("en",)) -> DataFra
     return labels(triples.join(needed, "s", "left_semi"), languages)
 
 
-def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF,
-                  checkpoint_every: int = 3) -> DataFrame:
-    """``(cls, anc)`` for one or more subclass steps (cycles are safe).
-
-    Semi-naive with path doubling: the pairs found in the last round (delta)
-    are composed with the whole closure on both sides, so after round k all
-    paths up to 2^k steps are known and a hierarchy of depth d needs about
-    log2(d) rounds.  Each round keeps only unseen pairs (anti join) and the
-    loop ends when a round adds nothing.  Rounds are persisted; a reliable
-    checkpoint every few rounds bounds the lineage."""
-    edges = triples.where(F.col("p") == subclass_p) \
-        .select(F.col("s").alias("cls"), F.col("o").alias("anc")).distinct().persist()
-    held = [edges]
-    closure = edges
-    delta = edges
-    for rnd in count(1):
-        right = (delta.alias("d").join(closure.alias("c"), F.col("d.anc") == F.col("c.cls"))
-                 .select(F.col("d.cls").alias("cls"), F.col("c.anc").alias("anc")))
-        left = (closure.alias("c").join(delta.alias("d"), F.col("c.anc") == F.col("d.cls"))
-                .select(F.col("c.cls").alias("cls"), F.col("d.anc").alias("anc")))
-        delta = right.unionByName(left).distinct().join(closure, ["cls", "anc"], "left_anti")
-        delta = checkpoint(delta) if rnd % checkpoint_every == 0 else delta.persist()
-        held.append(delta)
-        if delta.isEmpty():
-            break
-        closure = closure.unionByName(delta)  # a union of persisted rounds
-        if rnd % checkpoint_every == 0:
-            # re-partition by key so partitions do not pile up round after round
-            closure = checkpoint(closure.repartition("cls"))
-    # the result is written once; the cached rounds are released
-    closure = checkpoint(closure.repartition("cls"))
-    for d in held:
-        d.unpersist()
-    return closure
+def class_edges(triples: DataFrame, subclass_p: str = SUBCLASS_OF) -> DataFrame:
+    return triples.where(F.col("p") == subclass_p).select(F.col("s").alias("cls"), F.col("o").alias("anc"))
+
+
+def class_closure(triples: DataFrame, subclass_p: str = SUBCLASS_OF) -> DataFrame:
+    """``(cls, anc)`` for one or more subclass steps (cycles are safe), written once."""
+    return written(hierarchy.build(class_edges(triples, subclass_p)).closure(), "closure")
 
 
 def class_members(triples: DataFrame, closure: DataFrame | None = None,
@@ -107,16 +78,9 @@ def class_members(triples: DataFrame, closure: DataFrame | None = None,
 
 
 def subclasses_of(triples: DataFrame, target: str, subclass_p: str = SUBCLASS_OF) -> DataFrame:
-    """``cls``: the target and every class below it, level by level from the target
-    (no other part of the class graph is closed; cycles end)."""
-    edges = triples.where(F.col("p") == subclass_p).select(F.col("s").alias("cls"), F.col("o").alias("anc"))
-    known = frontier = triples.sparkSession.range(1).select(F.lit(target).alias("cls"))
-    while True:
-        below = edges.join(frontier.select(F.col("cls").alias("anc")), "anc").select("cls").distinct()
-        frontier = checkpoint(below.join(known, "cls", "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier)
+    """``cls``: the target and every class below it, by labels of the class graph."""
+    start = triples.sparkSession.range(1).select(F.lit(target).alias("cls"))
+    return hierarchy.build(class_edges(triples, subclass_p)).below(start)
 
 
 def class_members_top(triples: DataFrame, target: str = "wd:Q515", location: str | None = None,

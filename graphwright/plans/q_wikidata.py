@@ -50,7 +50,7 @@ def _rec(sql: str) -> str:
 
 @register("subclass_closure", _rec(D.wf(["entity_triples"], "SELECT * FROM members", _CLOSURE)))
 def q_subclass_closure(spark, sf):
-    return W.class_members(_t(spark, sf))
+    return _store(spark, sf).class_members()
 
 
 @register("class_members_top", _rec(D.wf(["entity_triples"], """

@@ -238,7 +238,8 @@ def _join(docs: DataFrame, threshold: float, target_recall: float) -> DataFrame:
     roots = components(_candidate_edges(reps.select(F.col("node").alias("rep"), "paths"), depth))
     sized = roots.join(roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "root")
     members = materialise(sized.join(reps.select("node", "copies", F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark")), "node"), "members")
-    texts = d.join(members, ["doc_id", "mark"]).select("node", "text", "copies", "root", "blocks")
+    # texts are shuffled once, at every size alike
+    texts = d.join(members.hint("merge"), ["doc_id", "mark"]).select("node", "text", "copies", "root", "blocks")
     units = (texts.mapInArrow(_sets, "rep bigint, copies bigint, root bigint, blocks int, shingles binary")
              .withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -3,8 +3,8 @@
 Numbers, names and units become typed placeholders, so a question whose
 parameters were changed still has the template of the original:
 
-* number: a word of digits (points and commas inside allowed), or one that
-  starts with a digit;
+* number: a word of digits (points and commas inside allowed), one that
+  starts with a digit, or a word of ``NUMBERS``;
 * unit: a word of ``UNITS`` after a number;
 * name: a capitalised word that does not start a sentence; one that does may be a
   name, so its windows are hashed in both forms.
@@ -14,7 +14,8 @@ placeholders, after canonicalisation; they are joined by hash with those of the
 benchmark.  A run with fewer than ``MIN_PLAIN`` words that are not placeholders says
 little: it is lengthened to the right until it holds so many, at the end of an item
 to the left.  (An item that has fewer in all is only compared as written.)  Items
-shorter than a window are one window of their own length, as written.  Each joined
+shorter than a window are one window of their own length, as written; they are
+reported by ``matches`` and never remove a document (``keep``).  Each joined
 pair of windows binds the item's slots to the document's words: a number or unit by its
 place in the item, a name by its value.  Bindings are consistent if none has two values.
 
@@ -52,6 +53,10 @@ UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g k
          "ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours "
          "day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh "
          "degree degrees watt watts volt volts joule joules newton newtons hz").split()
+# Numbers in words.
+NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+           "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+           "billion dozen half twice").split()
 _NUMBER, _UNIT, _NAME = (np.uint64(k) for k in (0x11, 0x22, 0x33))
 _LEFT = np.uint64(0x44)
 # forms of a window: as written, by template, by template with names that open sentences
@@ -61,8 +66,9 @@ PLAIN, VALUE, NAME, MAYBE = 0, 1, 2, 3
 WINDOWS = "id bigint, size int, place int, length int, key bigint, form int, words array<bigint>, kinds array<tinyint>"
 
 
-def _unit_hashes() -> np.ndarray:
-    return np.sort(words(pa.array([" ".join(UNITS)])).hash)
+def _is_one_of(w, listed: list[str]) -> np.ndarray:
+    known = np.sort(words(pa.array([" ".join(listed)])).hash)
+    return known[np.searchsorted(known, w.hash).clip(max=len(known) - 1)] == w.hash
 
 
 def _kinds(w) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +77,9 @@ def _kinds(w) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int8), w.hash
     lead = w.raw[w.start]
-    number = (lead >= 48) & (lead <= 57)
-    units = _unit_hashes()
-    known = units[np.searchsorted(units, w.hash).clip(max=len(units) - 1)] == w.hash
+    number = (lead >= 48) & (lead <= 57) | _is_one_of(w, NUMBERS)
     same = np.r_[False, w.doc[1:] == w.doc[:-1]]
-    unit = known & same & np.r_[False, number[:-1]]
+    unit = _is_one_of(w, UNITS) & same & np.r_[False, number[:-1]] & ~number
     # a sentence starts after a mark or a line feed, or with the text
     marks = np.r_[0, np.cumsum(np.isin(w.raw, np.frombuffer(b".!?:\n", np.uint8)))]
     opens = ~same | (marks[w.start] > marks[np.r_[0, w.end[:-1]]])
@@ -158,12 +162,12 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text_or_empty().alias("text"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, shortest: int = 1) -> DataFrame:
     """One row per document and item that it holds: ``doc_id, item_id, n_windows`` (of
     the item), ``n_joined`` (by template), ``n_exact`` (as written), ``consistent``,
-    ``share``."""
+    ``share``.  Items of fewer than ``shortest`` words take no part."""
     spark = docs.sparkSession
-    items = _rows(benchmark, "item_id").mapInArrow(_window_rows([*range(1, SIZE + 1)], True), WINDOWS).dropDuplicates(
+    items = _rows(benchmark, "item_id").mapInArrow(_window_rows([*range(shortest, SIZE + 1)], True), WINDOWS).dropDuplicates(
         ["id", "size", "place", "key"])
     lengths = items.groupBy("size").agg(F.max("length").alias("longest")).collect()  # at most SIZE rows
     sizes = sorted(r.size for r in lengths)
@@ -220,7 +224,8 @@ def _function(pairs: str):
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item of at least one full window, with all their
+    columns: that a text holds the few words of a shorter item says nothing."""
     name = fresh(docs, "_hit")
-    hit = matches(docs, benchmark, min_share).select(F.col("doc_id").alias(name)).distinct()
+    hit = matches(docs, benchmark, min_share, SIZE).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(hit, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")

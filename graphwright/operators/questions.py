@@ -145,7 +145,7 @@ def _is_num(dt) -> bool:
 
 def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One pass over the table: per column rows, nulls, distinct values
-    (HyperLogLog; ``exact=True`` repeats every row once per column), min, max and mean.
+    (HyperLogLog; ``exact=True`` counts the groups of column and value), min, max and mean.
 
     All per-column aggregates run in one ``agg`` (partial aggregation), the
     single result row is then turned into one row per column."""
@@ -153,7 +153,7 @@ def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         num = _is_num(f.dataType)
-        dist = F.count_distinct(c) if exact else F.approx_count_distinct(c)
+        dist = F.lit(None).cast("bigint") if exact else F.approx_count_distinct(c)
         aggs += [F.count(c).alias(f"n{i}"), dist.alias(f"d{i}"),
                  (F.min(c).cast("double") if num else F.lit(None).cast("double")).alias(f"mn{i}"),
                  (F.max(c).cast("double") if num else F.lit(None).cast("double")).alias(f"mx{i}"),
@@ -168,15 +168,28 @@ def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
                         F.col(f"mx{i}").alias("max_num"), F.col(f"av{i}").alias("avg_num"),
                         F.col(f"ms{i}").alias("min_str"), F.col(f"xs{i}").alias("max_str"))
                for i, f in specs]
-    return one.select(F.inline(F.array(*structs)))
+    rows = one.select(F.inline(F.array(*structs)))
+    if not exact:
+        return rows
+    columns = rows.columns
+    n = value_counts(df, df.columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    rows = rows.drop("n_distinct").join(n, "column_name", "left")
+    return rows.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint"))).select(*columns)
+
+
+def value_counts(df: DataFrame, columns) -> DataFrame:
+    """``column_name, value, n`` of the values (as texts) of some columns: one partial
+    aggregate, so a hot value is combined map-side."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
 def question_answers(df: DataFrame) -> DataFrame:
     """Questions the table can answer, each with its answer.
 
     Numeric columns: average and maximum; text columns: most common value
-    (ties: smallest) and number of different values.  Averages/maxima/counts
-    come from one aggregation; the modes from one grouped count over the text
+    (ties: smallest) and number of different values.  Averages and maxima
+    come from one aggregation; modes and numbers of values from one grouped count over the text
     columns in long form and a ``min(struct(-n, value))`` per column (a
     partial aggregate, so a hot value is combined map-side)."""
     fields = df.schema.fields
@@ -185,30 +198,27 @@ def question_answers(df: DataFrame) -> DataFrame:
     aggs = []
     for c in nums:
         aggs += [F.round(F.avg(F.col(c)), 4).alias(f"avg_{c}"), F.max(F.col(c)).cast("double").alias(f"max_{c}")]
-    for c in texts:
-        aggs.append(F.count_distinct(F.col(c)).cast("double").alias(f"nd_{c}"))
-    one = df.agg(*aggs)
+    one = df.agg(*aggs or [F.lit(0)])
     qs = []
     for c in nums:
         qs.append(F.struct(F.lit(c).alias("column_name"), F.lit(f"What is the average {c}?").alias("question"),
                            F.col(f"avg_{c}").alias("answer_num"), F.lit(None).cast("string").alias("answer_text")))
         qs.append(F.struct(F.lit(c).alias("column_name"), F.lit(f"What is the maximum {c}?").alias("question"),
                            F.col(f"max_{c}").alias("answer_num"), F.lit(None).cast("string").alias("answer_text")))
-    for c in texts:
-        qs.append(F.struct(F.lit(c).alias("column_name"), F.lit(f"How many different {c} are there?")
-                           .alias("question"), F.col(f"nd_{c}").alias("answer_num"),
-                           F.lit(None).cast("string").alias("answer_text")))
-    numeric_part = one.select(F.inline(F.array(*qs)))
-    if not texts:
-        return numeric_part
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))
-                                        for c in texts]))).where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    modes = counts.groupBy("column_name").agg(F.min(F.struct((-F.col("n")).alias("k"), "value")).alias("m"))
-    mode_part = modes.select("column_name", F.concat(F.lit("What is the most common "), F.col("column_name"),
-                                                     F.lit("?")).alias("question"),
-                             F.lit(None).cast("double").alias("answer_num"), F.col("m.value").alias("answer_text"))
-    return numeric_part.unionByName(mode_part)
+    question = lambda *parts: F.concat(*(F.col(p) if p == "column_name" else F.lit(p) for p in parts))
+    none = lambda t: F.lit(None).cast(t)
+    parts = [one.select(F.inline(F.array(*qs)))] if qs else []
+    if texts:
+        stats = value_counts(df, texts).groupBy("column_name").agg(
+            F.min(F.struct((-F.col("n")).alias("k"), "value")).alias("m"), F.count(F.lit(1)).cast("double").alias("nd"))
+        # a column without a value has no most common one
+        every = F.explode(F.array(*(F.lit(c) for c in texts))).alias("column_name")
+        stats = df.sparkSession.range(1).select(every).join(stats, "column_name", "left")
+        parts.append(stats.select("column_name", question("How many different ", "column_name", " are there?").alias("question"),
+                                  F.coalesce("nd", F.lit(0.0)).alias("answer_num"), none("string").alias("answer_text")))
+        parts.append(stats.where("m IS NOT NULL").select("column_name", question("What is the most common ", "column_name", "?").alias("question"),
+                                                         none("double").alias("answer_num"), F.col("m.value").alias("answer_text")))
+    return union_all(parts)
 
 
 def union_all(dfs):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import questions as Q, relations as R
+from ..operators import profiles as P, questions as Q, relations as R
 from ..session import scratch_path
 from ..sources.fixtures import fixture
 from ..sources.tables import TABLES, table
@@ -121,6 +121,25 @@ def q_table_profile(spark, sf):
     return Q.table_profile(table(spark, sf, "customer"), exact=True)
 
 
+_LINEITEM = [tuple(c.split(" ")) for c in
+             "l_orderkey BIGINT, l_quantity DOUBLE, l_linestatus VARCHAR, l_shipdate TIMESTAMP".split(", ")]
+
+
+@register("profile_states", "\nUNION ALL ".join(f"""SELECT '{c}' AS column_name, '{t}' AS column_type, count(*) AS n_rows,
+  count(*) - count({c}) AS n_nulls, {f'CAST(min({c}) AS DOUBLE)' if n else 'NULL::DOUBLE'} AS min_num,
+  {f'CAST(max({c}) AS DOUBLE)' if n else 'NULL::DOUBLE'} AS max_num,
+  {'NULL' if n else f'CAST(min({c}) AS VARCHAR)'} AS min_str, {'NULL' if n else f'CAST(max({c}) AS VARCHAR)'} AS max_str,
+  true AS near FROM lineitem""" for c, t in _LINEITEM for n in (t in ("BIGINT", "DOUBLE"),)))
+def q_profile_states(spark, sf):
+    """States of the parts of a table, merged; ``near``: the number of distinct values is
+    within three standard errors."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", *(c for c, _ in _LINEITEM))
+    found = P.profile(P.column_states(li, "l_returnflag"))
+    n = Q.value_counts(li, [c for c, _ in _LINEITEM]).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    near = F.abs(F.col("n_distinct") - F.col("n")) <= 3 * 1.04 / 64 * F.col("n") + 1
+    return found.join(n, "column_name").select("column_name", "column_type", "n_rows", "n_nulls", "min_num", "max_num", "min_str", "max_str", near.alias("near"))
+
+
 def _qa_sql():
     parts = []
     for name, _, num in _CUSTOMER:

@@ -37,9 +37,9 @@ def tag_pattern(names: str) -> str:
     """Pattern of one token of a page; group 1 is the name and the attributes of a tag
     of ``names`` (a pattern), and holds nothing for other tokens."""
     attributes = rf"(?:[ \t\n\f\r/]{_ATTRIBUTE}*+)?+"
-    raw = "|".join(rf"<{n}{attributes}>[\s\S]*?(?:</{n}(?:>|[ \t\n\f\r/][^>]*+(?:>|\z))|\z)" for n in RAW_ELEMENTS)
-    return (rf"(?i)<!--(?:-?>|[\s\S]*?(?:--!?>|\z))|{raw}|<((?:{names}){attributes})>"
-            rf"|</?[a-z][^ \t\n\f\r/>]*+{_ATTRIBUTE}*+(?:>|\z)|<[!?][^>]*+(?:>|\z)|</[^a-z>][^>]*+(?:>|\z)|</>")
+    raw = "|".join(rf"{n}{attributes}>[\s\S]*?(?:</{n}(?:>|[ \t\n\f\r/][^>]*+(?:>|\z))|\z)" for n in RAW_ELEMENTS)
+    return (rf"(?i)<(?:((?:{names}){attributes})>|{raw}|/?[a-z][^ \t\n\f\r/>]*+{_ATTRIBUTE}*+(?:>|\z)"
+            rf"|!--(?:-?>|[\s\S]*?(?:--!?>|\z))|[!?][^>]*+(?:>|\z)|/[^a-z>][^>]*+(?:>|\z)|/>)")
 
 
 def attribute_pattern(name: str) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.lineage import checkpoint
+from ..functions.lineage import checkpoint, written
 from ..session import exists
 
 
@@ -115,7 +115,8 @@ def csv_records(spark: SparkSession, folder: str, marker: str = ".csv") -> tuple
     heads = files.select("file", "h.at", F.col("h.value").alias("header"))
     records = lines.select("file", "block", "at", "value")
     if files.where("joins").first():  # a line that opens a value somewhere
-        records = _joined_records(lines.select("file", "block", "at", "value", "opens", "stays"))
+        # written once, as headers, types and rows are read from them
+        records = written(_joined_records(lines.select("file", "block", "at", "value", "opens", "stays")), "csv-records")
         first = records.where("block = 0").groupBy("file").agg(F.min(F.struct("at", "value")).alias("h"))
         heads = checkpoint(first.select("file", "h.at", F.col("h.value").alias("header")))
     strip = lambda c: F.regexp_replace(c, "\r$", "")

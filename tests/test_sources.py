@@ -43,13 +43,23 @@ def test_language_detection_accuracy(spark):
     assert [got[i] for i in (1, 2, 3)] == [None] * 3 and got[4] == "en" and got[5] is not None
 
 
-def test_trigrams_equal_plain_python(spark):
-    texts = ["Straße, 3 ÄPFEL!", "a", "", "  ab  ", "été-là", "x9y"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.trigram_buckets(F.col("t")).alias("b")).collect()
-    for r in rows:
-        s = " " + "".join(c if c.isalpha() else " " for c in r.t.lower())
+def test_trigrams_equal_plain_python(spark, monkeypatch):
+    texts = ["Straße, 3 ÄPFEL!", "a", "", None, "  ab  ", "été-là", "x9y", "12", "Ω𝔘x"]
+    want = {}
+    for t in texts:
+        s = " " + "".join(c if c.isalpha() else " " for c in (t or "").lower())
         s = " " + " ".join(s.split()) + " "
-        assert r.b == [((ord(x) * 31337 + ord(y)) * 31337 + ord(z)) % X.LANG_BUCKETS for x, y, z in zip(s, s[1:], s[2:])], r.t
+        for x, y, z in zip(s, s[1:], s[2:]):
+            key = ((ord(x) * 31337 + ord(y)) * 31337 + ord(z)) % X.LANG_BUCKETS
+            want[key] = want.get(key, 0) + 1
+    df = spark.createDataFrame([(t, "xx") for t in texts] + [("none", None)], "text string, lang string")
+    for most in (1, 9, 1 << 20):
+        monkeypatch.setattr(X, "_CHARACTERS", most)
+        assert {r.bucket: r.n for r in X.lang_profile(df.coalesce(1)).collect()} == want
+    model = X.lang_model(X.lang_profile(df))
+    assert [r.lang_detected for r in X.lang_detect(df.coalesce(1), model).collect()] == ["xx", "xx", None, None, "xx", "xx", "xx", None, "xx", "xx"]
+    nothing = X.lang_model(X.lang_profile(df.limit(0)))
+    assert X.lang_detect(df, nothing).where("lang_detected IS NOT NULL").count() == 0
 
 
 def test_jobs_catalogue_read_by_spark_matches_driver_parse(spark):

@@ -134,7 +134,10 @@ def test_store_is_scanned_once_per_slice(spark, sf_small):
     store, rows = spark.read.parquet(f"{base}/kb"), A.authority_rows(spark.read.parquet(f"{base}/auth"))
     ids = spark.createDataFrame([("wd:S1",)], "entity string")
     assert _plan(W.property_values(store, ids)).count("FileScan parquet") == 1
-    assert _plan(A.authority_nodes(rows)).count("FileScan parquet") == 3  # edges, labels, topics
+    nodes = A.authority_nodes(rows)
+    nodes.collect()
+    ran = _plan(nodes).split("== Initial Plan ==")[0]  # hot keys are none, so the plan as it ran has no part of them
+    assert ran.count("FileScan parquet") == 3  # edges, labels, topics
     assert _plan(W.class_members_top(store)).count("FileScan parquet") <= 2  # the labels; the rest is written once
 
 

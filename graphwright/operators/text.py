@@ -118,30 +118,34 @@ def lang_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def lang_model(profile: DataFrame) -> DataFrame:
-    """One row: ``langs`` in order and their ``weights``, 1000 times the logarithm of a
-    bucket's share (add-one), rounded down.  Languages are a small set of labels, so the
-    row has a bounded size: ``LANG_BUCKETS`` whole numbers for each."""
-    total = profile.groupBy("lang").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("seen"))
+    """One row: ``langs`` in order, the ``weights`` (bucket, weight) of the buckets that each has, and
+    the weight of the ``others``; a weight is 1000 times the logarithm of a bucket's share
+    (add-one), rounded down.  Languages are a small set of labels, so the row has a bounded
+    size: ``LANG_BUCKETS`` pairs for each."""
+    total = profile.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("seen"))
     weight = lambda n: F.floor(1000 * F.log((n + 1) / (F.col("total") + LANG_BUCKETS))).cast("int")
-    row = total.select("lang", F.transform(F.sequence(F.lit(0), F.lit(LANG_BUCKETS - 1)),
-                                           lambda b: weight(F.coalesce(F.try_element_at("seen", b.cast("bigint")), F.lit(0)))).alias("weights"))
-    both = F.array_sort(F.collect_list(F.struct("lang", "weights")))
-    return row.agg(both.alias("m")).select(F.col("m.lang").alias("langs"), F.col("m.weights").alias("weights"))
+    row = total.select("lang", F.transform("seen", lambda x: F.struct(x["bucket"].alias("bucket"), weight(x["n"]).alias("weight"))).alias("weights"),
+                       weight(F.lit(0)).alias("other"))
+    both = F.array_sort(F.collect_list(F.struct("lang", "weights", "other")))
+    return row.agg(both.alias("m")).select(F.col("m.lang").alias("langs"), F.col("m.weights").alias("weights"), F.col("m.other").alias("others"))
 
 
 def lang_detect(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str = "lang_detected") -> DataFrame:
     """The documents with the most likely language ``name`` of a text under a model (one
     row of bounded size), the first by name of equal ones; null for a text without
     letters."""
-    langs, weights = model.first()
-    runs = _trigrams()
+    langs, weights, others = model.first()
+    runs, size = _trigrams(), LANG_BUCKETS
+    weights = [([x.bucket for x in w], [x.weight for x in w]) for w in weights]
 
     @F.arrow_udf("string")
     def detect(texts):
         import numpy as np
         import pyarrow as pa
 
-        table, out = np.array(weights, np.int64), []
+        table, out = np.repeat(np.array(others, np.int64)[:, None], size, axis=1), []
+        for row, (at, value) in zip(table, weights):
+            row[at] = value
         for _, bounds, buckets in runs(texts):
             sums = np.concatenate([np.zeros((len(table), 1), np.int64), np.cumsum(table[:, buckets], axis=1)], axis=1)
             best = np.argmax(sums[:, bounds[1:]] - sums[:, bounds[:-1]], axis=0)

@@ -1,7 +1,7 @@
 """Line deduplication: deletion-neighbourhood join.
 
 Lines (split at line feeds, compared without white space at their ends) match
-if they are equal or, from ``MIN_CHARS`` code points on, one edit apart
+if they are equal or, from ``min_chars`` code points on, one edit apart
 (substitution, insertion or deletion of a code point).  The earliest of the
 matching lines stays, by ``doc_id`` and then line number: a line goes if an
 equal line or a line within the bound occurs earlier, whether that one stays
@@ -111,44 +111,63 @@ def _cuts(m: np.ndarray, k: int) -> np.ndarray:
     return m * k // 4
 
 
-def _outer_keys(batches):
-    """(outer, line): hash of a line without one quarter, as cut for its own length
-    (lowest bit of ``line`` 0) and for a line that is one code point shorter (1)."""
-    for b in slices(batches, 1, SLICE):
-        x = Lines(b.column(1))
-        at = np.flatnonzero(x.full)
-        k1 = x.key(at)
-        _, unique = np.unique(k1, return_index=True)
-        at, k1 = at[unique], k1[unique] & ~np.uint64(1)
-        first, n = x.length(at)
-        outer, lines = [], []
-        for role in (0, 1):
-            ok = n - role >= MIN_CHARS
-            f, nn, m = first[ok], n[ok], (n - role)[ok]
-            s, e = x.start[at][ok], x.end[at][ok]
-            for k in range(4):
-                head = mix64(x.segment(s, x.place(f + _cuts(m, k))))
-                tail = mix64(x.segment(x.place(f + nn - (m - _cuts(m, k + 1))), e))
-                outer.append(mix64(head ^ mix64(tail + m.astype(np.uint64) * np.uint64(4) + np.uint64(k))))
-                lines.append(k1[ok] | np.uint64(role))
-        yield pa.RecordBatch.from_arrays([_i64(np.concatenate(outer)), _i64(np.concatenate(lines)),
-                                          pa.array(np.repeat(np.tile(np.arange(4, dtype=np.int8), 2),
-                                                             [len(o) for o in outer]))], ["outer", "line", "k"])
-
-
-def _candidates(docs: DataFrame) -> DataFrame:
+def _outer_keys(min_chars: int, shared=None):
+    """(outer, line, k): hash of a line without quarter ``k``, as cut for its own length
+    (lowest bit of ``line`` 0) and for a line that is one code point shorter (1); with a
+    bitmap only those whose hash is in it."""
+    def run(batches):
+        bits = shared.value if shared is not None else None
+        for b in slices(batches, 1, SLICE):
+            x = Lines(b.column(1))
+            at = np.flatnonzero(x.full)
+            k1 = x.key(at)
+            _, unique = np.unique(k1, return_index=True)
+            at, k1 = at[unique], k1[unique] & ~np.uint64(1)
+            first, n = x.length(at)
+            outer, lines, quarters = [], [], []
+            for role in (0, 1):
+                ok = n - role >= min_chars
+                f, nn, m, own = first[ok], n[ok], (n - role)[ok], k1[ok] | np.uint64(role)
+                s, e = x.start[at][ok], x.end[at][ok]
+                for k in range(4):
+                    head = mix64(x.segment(s, x.place(f + _cuts(m, k))))
+                    tail = mix64(x.segment(x.place(f + nn - (m - _cuts(m, k + 1))), e))
+                    h = mix64(head ^ mix64(tail + m.astype(np.uint64) * np.uint64(4) + np.uint64(k)))
+                    hit = np.ones(len(h), bool) if bits is None else _in(bits, h)
+                    outer.append(h[hit])
+                    lines.append(own[hit])
+                    quarters.append(np.full(len(outer[-1]), k, np.int8))
+            yield pa.RecordBatch.from_arrays([_i64(np.concatenate(outer)), _i64(np.concatenate(lines)),
+                                              pa.array(np.concatenate(quarters))], ["outer", "line", "k"])
+    return run
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit in a bitmap of ``BITMAP_BITS``."""
+    bit = h >> np.uint64(64 - BITMAP_BITS)
+    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _candidates(docs: DataFrame, min_chars: int) -> DataFrame:
     """``k1`` (without its lowest bit) and ``flags``: bit k: shares all but quarter k with
-    a line of equal length; bit 4 + k: with a shorter one; bit 8: with a longer one."""
-    keys = docs.mapInArrow(_outer_keys, "outer bigint, line bigint, k tinyint")
+    a line of equal length; bit 4 + k: with a shorter one; bit 8: with a longer one.
+
+    Lines that differ in one quarter alone may be a third of all: their key leaves partial
+    minima, and their rows meet it in a join, whose partitions can be split.  Keys of one
+    line, nearly all, do not go to that join but for bits of the filter that they share."""
+    spark, schema = docs.sparkSession, "outer bigint, line bigint, k tinyint"
     role = F.col("line").bitwiseAND(F.lit(1))
     own = F.when(role == 0, F.col("line"))
-    by = Window.partitionBy("outer")  # one shuffle of the keys
-    groups = keys.select("*", F.min(own).over(by).alias("low"), F.max(own).over(by).alias("high"), F.max(role).over(by).alias("probed"))
-    groups = groups.where("low IS NOT NULL AND (low <> high OR probed = 1)")
+    groups = (docs.mapInArrow(_outer_keys(min_chars), schema).groupBy("outer")
+              .agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max(role).alias("probed"))
+              .where("low IS NOT NULL AND (low <> high OR probed = 1)"))
+    groups = materialise(groups, "outer-keys")
+    shared = spark.sparkContext.broadcast(bitmap(groups, BITMAP_BITS, "outer"))
     flag = F.expr("(CASE WHEN line & 1 = 1 THEN shiftleft(16, k) ELSE 0 END)"
                   " | (CASE WHEN line & 1 = 0 AND low <> high THEN shiftleft(1, k) ELSE 0 END)"
                   " | (CASE WHEN line & 1 = 0 AND probed = 1 THEN 256 ELSE 0 END)")
-    rows = groups.select(F.expr("line & ~1L").alias("k1"), flag.alias("flag")).where("flag <> 0")
+    rows = docs.mapInArrow(_outer_keys(min_chars, shared), schema).join(groups, "outer")
+    rows = rows.select(F.expr("line & ~1L").alias("k1"), flag.alias("flag")).where("flag <> 0")
     return rows.groupBy("k1").agg(F.bit_or("flag").alias("flags"))
 
 
@@ -160,8 +179,7 @@ def _texts_of(shared):
             x = Lines(b.column(1))
             at = np.flatnonzero(x.full)
             k1, k2 = x.keys(at)
-            bit = k1 >> np.uint64(40)
-            hit = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            hit = _in(bits, k1)
             at, k1, k2 = at[hit], k1[hit], k2[hit]
             _, unique = np.unique(k1, return_index=True)
             k1 &= ~np.uint64(1)
@@ -205,10 +223,10 @@ def _variants(batches):
             ["variant", "first", "k1", "whole", "indel"])
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Keys of the lines that have an earlier line within one edit."""
     spark = docs.sparkSession
-    wanted = materialise(_candidates(docs), "candidates")
+    wanted = materialise(_candidates(docs, min_chars), "candidates")
     shared = spark.sparkContext.broadcast(bitmap(wanted, BITMAP_BITS, "k1"))
     texts = docs.mapInArrow(_texts_of(shared), "k1 bigint, k2 bigint, line_text string").dropDuplicates(["k1", "k2"])
     even = firsts.select(F.expr("k1 & ~1L").alias("k1"), "k2", "first")
@@ -239,12 +257,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(_key(), text_or_empty().alias("text"))
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``key`` (``doc_id`` and hash of the text) and ``kept``, the numbers of its lines that stay (without blank ones)."""
     d = _keyed(docs)
     firsts = materialise(d.mapInArrow(_occurrences, f"k1 bigint, k2 bigint, key {KEY}, line int").groupBy("k1", "k2")
                          .agg(F.min(F.struct("key", "line")).alias("first")), "firsts")
-    gone = near_lines(d, firsts)
+    gone = near_lines(d, firsts, min_chars)
     stay = firsts.join(gone, "first", "left_anti")
     return stay.groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.line").alias("kept"))
 
@@ -264,9 +282,10 @@ def _rebuild(batches):
                                           pa.array(out, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_removed, kept_text`` of every document."""
-    kept = kept_lines(docs)
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, n_lines, n_removed, kept_text`` of every document.  ``min_chars``: code points
+    from which a line may match one that is not equal (1: every line)."""
+    kept = kept_lines(docs, min_chars)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), _key())
     return (rows.join(kept, "key", "left").select("doc_id", "text", "kept")
             .mapInArrow(_rebuild, "doc_id bigint, n_lines bigint, n_removed bigint, kept_text string"))

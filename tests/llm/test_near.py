@@ -153,7 +153,7 @@ def test_jaccard_join_of_rows_that_share_an_id(spark):
     assert texts == sorted([(1, a), (1, b), (1, ""), (3, ""), (4, c), (4, e), (6, rows[9][1]), (-1, a), (-1, b), (8, rows[15][1])])
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_chars=ld.MIN_CHARS):
     first = {}
     for key, text in rows:
         for k, line in enumerate((text or "").split("\n")):
@@ -161,7 +161,7 @@ def brute_lines(rows):
                 first.setdefault(line.strip(BLANK), (key, k))
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < ld.MIN_CHARS:
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < min_chars:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
@@ -191,9 +191,21 @@ def test_line_dedup_equals_brute_force(spark):
             lines.append(rng.choice(["", " "]) + "".join(x) + rng.choice(["", "\t"]))
         rows.append((key, "\n".join(lines)))
     rows.sort()
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text)
-           for r in ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
-    assert got == brute_lines(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for min_chars in (ld.MIN_CHARS, 1):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in ld.dedup(docs, min_chars).collect()}
+        assert got == brute_lines(rows, min_chars)
+
+
+def test_lines_that_differ_in_one_quarter(spark):
+    """One outer key holds most lines; its rows are joined to one row of the key, not gathered in a window."""
+    numbers = random.Random(9).sample(range(100_000, 1_000_000), 400)
+    rows = [(k, f"Order number {n} was sent to you\nline {k} of its own kind") for k, n in enumerate(numbers)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in ld.dedup(docs).collect()}
+    assert got == brute_lines(rows) and any(x[1] for x in got.values())
+    plan = ld._candidates(ld._keyed(docs), ld.MIN_CHARS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" in plan
 
 
 def test_line_dedup_of_odd_rows(spark, odd, none):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import constants as C
+from ..functions.lineage import written
 from ..operators import links as L
 from ..sources.fixtures import fixture
 from . import duck as D
@@ -95,7 +96,8 @@ SELECT k.page_id, k.wikilink, k.value, k.type, coalesce(w.wiki_id, '') AS wiki_i
 LEFT JOIN wids w ON w.site = k.site AND w.title = k.title""",
                                 _ANCHORS + ",\n" + _LINKS + ",\n" + _WIDS))
 def q_links_linked(spark, sf):
-    links = L.page_links(L.page_anchors(fixture(spark, sf, "link_pages")))
+    # written once, as keys are counted and joined
+    links = written(L.page_links(L.page_anchors(fixture(spark, sf, "link_pages"))), "links")
     return L.links_linked(links, fixture(spark, sf, "wiki_ids"))
 
 

@@ -124,9 +124,10 @@ def csv_records(spark: SparkSession, folder: str, marker: str = ".csv") -> tuple
 
 
 def _cells(value: Column, width: int) -> Column:
-    cells = F.from_csv(value, F.lit(", ".join(f"c{i} string" for i in range(width))),
-                       {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
-    return F.array(*[cells[f"c{i}"] for i in range(width)])
+    """Cells ``c0``, ``c1``, ... of a record.  They stay a struct: an array of them would be
+    folded into its readers, each of which would parse the record again."""
+    return F.from_csv(value, F.lit(", ".join(f"c{i} string" for i in range(width))),
+                      {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
 
 
 def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> DataFrame | None:
@@ -159,7 +160,7 @@ def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> Da
     for n in names:
         cell = None
         for k, i in place[n]:
-            cond, val = F.col("header") == k, F.col("cells")[i]
+            cond, val = F.col("header") == k, F.col("cells")[f"c{i}"]
             cell = F.when(cond, val) if cell is None else cell.when(cond, val)
         cols.append(F.when(~cell.isin(*MISSING), cell).alias(n))
     texts = rows.select(*cols)

@@ -28,6 +28,7 @@ An empty table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ from .suffix_array import permuted_prefixes, suffix_array
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1           # grams of a window
 CHUNK_BITS = 9                      # chunks of about 2**9 bytes
-FILTER_BITS, HOT_BITS, SHARD_BITS = 28, 22, 8
+FILTER_BITS, HOT_BITS, MIN_SHARD_BITS = 28, 22, 8
+SHARD_TEXT = 256 << 20              # bytes of text whose anchors a worker holds at a time
 HOT_COUNT = 2048                    # slices with an anchor, two at most counted in each
 SHARD_BYTES = 4 << 20
 SLICE = 1 << 20                     # bytes of text that a worker scans at a time: its arrays stay in cache
@@ -157,10 +159,21 @@ def _owner_hashes(batches):
         yield pa.RecordBatch.from_arrays([_i64(_owner(h1.view(np.uint64), h2.view(np.uint64), key))], ["h"])
 
 
-def _anchor_rows(shared):
-    """Anchors of the slice by shard (its top bits), each at most twice, 32 further bits of each."""
+def _anchor_rows(shared, shard_bits: int = MIN_SHARD_BITS):
+    """Anchors by shard (their top bits), each at most twice for a slice, 32 further bits of
+    each.  Slices are held until a shard gets some tens of anchors at once."""
+    def flush(held):
+        a = np.sort(np.concatenate(held))
+        cut = np.r_[np.searchsorted(a, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)), len(a)]
+        rest = ((a >> np.uint64(32 - shard_bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        full = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays([
+            pa.array(full.astype(np.int32)), pa.array([rest[cut[k]:cut[k + 1]].tobytes() for k in full], pa.binary())],
+            ["shard", "anchors"])
+
     def run(batches):
         bits = shared.value
+        held, size = [], 0
         for b in slices(batches, 1, SLICE):
             x = Scan(b.column(1), _keys(b.column(0)))
             at = np.flatnonzero(x.first_windows(bits) & x.window)
@@ -169,31 +182,35 @@ def _anchor_rows(shared):
                 continue
             places = places[np.r_[True, places[1:] != places[:-1]]]
             a, count = np.unique(x.gram[places], return_counts=True)
-            a = np.repeat(a, np.minimum(count, 2))
-            cut = np.searchsorted(a, np.arange(1 << SHARD_BITS, dtype=np.uint64) << np.uint64(64 - SHARD_BITS))
-            cut = np.r_[cut, len(a)]
-            rest = ((a >> np.uint64(32 - SHARD_BITS)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(full.astype(np.int32)), pa.array([rest[cut[k]:cut[k + 1]].tobytes() for k in full], pa.binary())],
-                ["shard", "anchors"])
+            held.append(np.repeat(a, np.minimum(count, 2)))
+            size += len(held[-1])
+            if size >= 64 << shard_bits:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
     return run
 
 
+def _shard_bits(n_bytes: int) -> int:
+    """Shards follow the data: about ``SHARD_TEXT`` bytes of text for each, 2**8 to 2**16 shards."""
+    return min(max(MIN_SHARD_BITS, (n_bytes // SHARD_TEXT).bit_length()), 16)
+
+
 def _pack(positions: np.ndarray, width: int) -> bytes:
     flags = np.zeros(1 << width, np.uint8)
     flags[positions] = 1
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _repeated(batches):
+def _repeated(batches, shard_bits: int = MIN_SHARD_BITS):
     """Bits of the anchors of a shard that occur more than once, and very often."""
     held: list[np.ndarray] = []
     now = None
 
     def flush():
         a, count = np.unique(np.concatenate(held), return_counts=True)
-        own, hot = FILTER_BITS - SHARD_BITS, HOT_BITS - SHARD_BITS
+        own, hot = FILTER_BITS - shard_bits, HOT_BITS - shard_bits
         return pa.RecordBatch.from_arrays([
             pa.array([now], pa.int32()), pa.array([_pack(a[count > 1] >> np.uint32(32 - own), own)], pa.binary()),
             pa.array([_pack(a[count >= HOT_COUNT] >> np.uint32(32 - hot), hot)], pa.binary())], ["shard", "bits", "hot"])
@@ -362,12 +379,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text_or_empty()).alias("mark"))
 
 
-def _filters(d: DataFrame, owners) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the anchors that occur more than once, and very often: one row of
-    fixed size for each shard."""
-    rows = (d.mapInArrow(_anchor_rows(owners), "shard int, anchors binary").repartition("shard").sortWithinPartitions("shard")
-            .mapInArrow(_repeated, "shard int, bits binary, hot binary"))
-    repeated, hot = (np.zeros((1 << SHARD_BITS, 1 << width >> 6 + SHARD_BITS), np.uint64) for width in (FILTER_BITS, HOT_BITS))
+def _filters(d: DataFrame, owners, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the anchors that occur more than once, and very often: one row for each
+    shard, of fixed size in all."""
+    rows = (d.mapInArrow(_anchor_rows(owners, shard_bits), "shard int, anchors binary").repartition("shard").sortWithinPartitions("shard")
+            .mapInArrow(partial(_repeated, shard_bits=shard_bits), "shard int, bits binary, hot binary"))
+    repeated, hot = (np.zeros((1 << shard_bits, 1 << width >> 6 + shard_bits), np.uint64) for width in (FILTER_BITS, HOT_BITS))
     for shard, bits, often in materialise(rows, "anchors").toLocalIterator():
         repeated[shard], hot[shard] = np.frombuffer(bits, "<u8"), np.frombuffer(often, "<u8")
     return repeated.ravel(), hot.ravel()
@@ -380,7 +397,8 @@ def spans(docs: DataFrame) -> DataFrame:
     low = materialise(chunks.groupBy("h1", "h2").agg(F.min("key").alias("low"), F.max("key").alias("high")), "first-chunks")
     first = spark.sparkContext.broadcast(bitmap(low.select("h1", "h2", "low").mapInArrow(_owner_hashes, "h bigint"), FILTER_BITS))
     copies = chunks.join(low.where("low < high"), ["h1", "h2"]).where("key > low").select("key", "mark", "start", "stop")
-    shared = spark.sparkContext.broadcast(_filters(d, first))
+    n_bytes = chunks.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast(_filters(d, first, _shard_bits(n_bytes)))
     segments = d.mapInArrow(_segments(first, shared), "route bigint, key bigint, mark bigint, start bigint, stop bigint, bytes binary")
     found = segments.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, "key bigint, mark bigint, start bigint, stop bigint")
     return copies.unionByName(found)

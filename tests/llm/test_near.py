@@ -275,6 +275,15 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == brute_suffix(rows)
 
 
+def test_suffix_dedup_with_more_shards(spark, monkeypatch):
+    assert [sd._shard_bits(n << 30) for n in (0, 30, 1 << 10, 100 << 10)] == [8, 8, 13, 16]
+    monkeypatch.setattr(sd, "_shard_bits", lambda n: 14)
+    rows = repeated_corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(docs).collect())
+    assert got == brute_suffix(rows)
+
+
 def test_hot_anchors_go_window_by_window(monkeypatch):
     """The steps of the operator in one process, with every repeated anchor hot."""
     monkeypatch.setattr(sd, "HOT_COUNT", 2)

@@ -1,6 +1,7 @@
 """Token counts by section: offset-mapped attribution.
 
-Every document is encoded once, whole, with character offsets.  The token
+Every document is read whole; its pieces (cut where the tokenizer never joins) are
+encoded with character offsets, each distinct piece once in a worker.  The token
 spans are joined to the section spans of the document (interval join on code
 points), and a token that crosses a boundary goes to one section by a rule:
 

@@ -44,13 +44,17 @@ def translation_record(replies: DataFrame, kv: DataFrame, contexts: DataFrame,
                        id_col: str = "reply_id") -> DataFrame:
     """Reply fields plus ``concept``, ``md5(concept)``,
     ``md5(concept + ' ' + context)`` and the context language; a missing
-    context is ``nocontext``."""
-    base = replies.select(id_col, "concept").join(contexts, id_col, "left")
+    context is ``nocontext``.
+
+    Both joins are sort-merge joins by hint: a broadcast is chosen by the size of the files that
+    a side is read from, but the pieces of the replies are many times that, and
+    the adaptive plan keeps a broadcast that saves an exchange."""
+    base = replies.select(id_col, "concept").join(contexts.hint("merge"), id_col, "left")
     ctx = F.coalesce(F.col("context"), F.lit(C.DEFAULT_CONTEXT))
     rec = base.select(id_col, "concept", F.md5("concept").alias("md5"),
                       F.md5(F.concat(F.col("concept"), F.lit(" "), ctx)).alias("md5context"),
                       F.col("lang"))
-    return rec.join(kv, id_col)
+    return rec.join(kv.hint("merge"), id_col)
 
 
 def language_codes(spark: SparkSession) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphwright.operators import authority as A, relations as R
+from graphwright.operators import authority as A, relations as R, replies as P
 from graphwright.session import scratch_path
 from graphwright.sources.fixtures import fixture
 from graphwright.sources.tables import table
@@ -39,3 +39,14 @@ def test_links_are_linear_in_members(spark, sf_small):
     links = A.authority_links(rows, A.authority_nodes(rows))
     members = A.topic_members(rows).join(A.authority_nodes(rows).select("id"), "id", "left_semi").distinct()
     assert links.count() == members.count()  # one row per member, never per pair
+
+
+def test_replies_and_their_pieces_are_never_broadcast(spark, sf_small):
+    """A few rows in small files here, but the pieces of the replies are many times the files."""
+    replies = fixture(spark, sf_small, "replies")
+    ctx = table(spark, sf_small, "documents").select(F.col("doc_id").alias("reply_id"), F.col("text").alias("context"), "lang")
+    kv = P.reply_kv(replies)
+    rec = P.translation_record(replies, kv, ctx)
+    assert "Broadcast" not in _plan(rec)
+    assert rec.count() == kv.count() > 0
+    assert "Broadcast" not in _plan(P.concept_fields(P.cache_concept(rec)))

@@ -69,7 +69,7 @@ def q_translation_record(spark, sf):
     rp = _replies(spark, sf)
     ctx = table(spark, sf, "documents").select(F.col("doc_id").alias("reply_id"), F.col("text").alias("context"))
     # only texts that are a context are scored
-    ctx = spread(ctx.join(rp.select("reply_id"), "reply_id", "left_semi"))
+    ctx = spread(ctx.join(rp.select("reply_id").hint("merge"), "reply_id", "left_semi"))
     return P.translation_record(rp, P.reply_kv(rp), X.lang_detect(ctx, lang_model(spark, sf), "context", "lang"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphwright.operators import authority as A, relations as R, replies as P
+from graphwright.plans import registry
 from graphwright.session import scratch_path
 from graphwright.sources.fixtures import fixture
 from graphwright.sources.tables import table
@@ -50,3 +51,4 @@ def test_replies_and_their_pieces_are_never_broadcast(spark, sf_small):
     assert "Broadcast" not in _plan(rec)
     assert rec.count() == kv.count() > 0
     assert "Broadcast" not in _plan(P.concept_fields(P.cache_concept(rec)))
+    assert "Broadcast" not in _plan(registry.queries()["translation_record"](spark, sf_small))

@@ -16,6 +16,16 @@ from ..session import exists
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
            "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# Types in the order they are tried, each with a shape that every text of it has.  The cast decides, but
+# one that fails throws inside: texts of another shape are not tried.  Timestamps end in the year 294247.
+_BLANK = r"[\x00-\x20\x7f]*+"
+TYPES = {
+    "bigint": rf"\A{_BLANK}[+-]?[0-9]++{_BLANK}\z",
+    "double": r"\A[0-9a-fA-FxXpPiInNtTyY.+\-\x00-\x20\x7f]*+\z",
+    "boolean": rf"(?i)\A{_BLANK}(?:t|true|y|yes|1|f|false|n|no|0){_BLANK}\z",
+    "timestamp_ntz": rf"\A{_BLANK}[+-]?(?:[0-9]{{4,5}}|[0-2][0-9]{{5}})(?:-|{_BLANK}\z)",
+}
+
 # A line is a map of two states, outside and inside a quoted value, to the state at its end.
 _INSIDE = r'(?:[^"]++|"")*+'
 _FIELDS = rf'(?:(?:"{_INSIDE}"[^,]*+|[^",][^,]*+)?+,)*+'
@@ -85,8 +95,8 @@ def _joined_records(lines: DataFrame) -> DataFrame:
     wrong = blocks.groupBy("file").agg(F.max_by("end", "block").alias("end")).where("end").first()
     if wrong:
         raise ValueError(f"{wrong.file}: the file ends inside a quoted value")
-    # few blocks begin inside a value
-    lines = placed.join(blocks.where("inside").select("file", "block", "open"), ["file", "block"], "left")
+    # one row per block that begins inside a value, fewer than the blocks that the driver deals out
+    lines = placed.join(F.broadcast(blocks.where("inside").select("file", "block", "open")), ["file", "block"], "left")
     inside = F.when(F.col("open").isNull(), F.col("in_out")).otherwise(F.col("in_in"))
     head = F.when(F.col("open").isNull(), F.col("head_out")).when(F.col("head_in") >= 0, F.col("head_in")).otherwise(F.col("open"))
     lines = lines.select("file", "block", "at", "value", inside.alias("inside"), head.alias("head"),
@@ -130,6 +140,11 @@ def _cells(value: Column, width: int) -> Column:
                       {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
 
 
+def _fits(text: Column, kind: str) -> Column:
+    """Whether a text can be cast to a type of ``TYPES``; true for null."""
+    return F.when(text.rlike(TYPES[kind]), text.try_cast(kind).isNotNull()).otherwise(text.isNull())
+
+
 def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> DataFrame | None:
     """Every file of a folder whose name contains ``marker``: cells aligned by the
     column names of each file's first record (a missing column is null), words of
@@ -151,27 +166,29 @@ def scan_csv_union(spark: SparkSession, folder: str, marker: str = ".csv") -> Da
     width = max(map(len, names_of.values()))
     if not width:
         return None
-    # the header is known by its place, so rows that equal it stay
-    body = (records.join(heads.withColumnRenamed("at", "head_at"), "file")
+    # the header is known by its place, so rows that equal it stay; one small row per file, as in the
+    # listing that the driver holds (a shuffle by file would read all records of a file in one task)
+    number = F.array_position(F.array(*map(F.lit, kinds)), F.col("header"))
+    files = heads.select("file", F.col("at").alias("head_at"), number.alias("kind"))
+    body = (records.join(F.broadcast(files), "file")
             .where((F.col("at") != F.col("head_at")) & (F.col("value") != "")))
     rows = body.withColumn("cells", _cells(F.col("value"), width))
-    place = {n: [(k, v.index(n)) for k, v in names_of.items() if n in v] for n in names}
+    place = {n: [(k, names_of[h].index(n)) for k, h in enumerate(kinds, 1) if n in names_of[h]] for n in names}
     cols = []
     for n in names:
         cell = None
         for k, i in place[n]:
-            cond, val = F.col("header") == k, F.col("cells")[f"c{i}"]
+            cond, val = F.col("kind") == k, F.col("cells")[f"c{i}"]
             cell = F.when(cond, val) if cell is None else cell.when(cond, val)
         cols.append(F.when(~cell.isin(*MISSING), cell).alias(n))
     texts = rows.select(*cols)
-    types = ("bigint", "double", "boolean", "timestamp_ntz")
-    flags = [F.coalesce(F.min(F.col(f"`{n}`").try_cast(t).isNotNull() | F.col(f"`{n}`").isNull()), F.lit(False)).alias(f"f{i}_{j}")
-             for i, n in enumerate(names) for j, t in enumerate(types)]
+    flags = [F.coalesce(F.min(_fits(F.col(f"`{n}`"), t)), F.lit(False)).alias(f"f{i}_{j}")
+             for i, n in enumerate(names) for j, t in enumerate(TYPES)]
     some = [F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)]
     fits = texts.agg(*flags, *some).first()
     out = []
     for i, n in enumerate(names):
-        kind = next((t for j, t in enumerate(types) if fits[f"f{i}_{j}"]), "string") if fits[f"n{i}"] else "string"
+        kind = next((t for j, t in enumerate(TYPES) if fits[f"f{i}_{j}"]), "string") if fits[f"n{i}"] else "string"
         out.append(F.col(f"`{n}`").cast(kind).alias(n))
     return texts.select(*out)
 

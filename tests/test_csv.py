@@ -105,3 +105,31 @@ def test_long_values(spark, split):
         pytest.skip("one block for each line is enough above")
     text = "word\n" * 40_000
     assert read(spark, f'a,b\n1,"{text}"\n2,{"y" * 200_000}\n') == (["a", "b"], [("1", text), ("2", "y" * 200_000)])
+
+
+def test_types_are_those_of_the_cast(spark):
+    """The shapes of the types rule out no text that a cast takes."""
+    rng = random.Random(2)
+    texts = ["", " ", "1", "+7", " -12\t", "1.5", "1.", "0x1p3", "1e9", "2f", "3D", "NaN", " infinity", "-INF", "+Infinity", "nAn", "TRUE", " y", "No", "t",
+             "2024", "2024-1", "2024-01-02", " 2024-01-02 03:04:05 ", "2024-01-02T03:04:05.1Z", "+2024-01-02", "-2024-1-1", "123", "1234567", "12345678",
+             "123456", "1234567-01-01", "294247-01-10", "294247-01-10 04:00:54", "299999", "300000", "-290308", "-300000", "999999", "12:30", "T12:30", "9223372036854775807", "9223372036854775808", "\x7f5\x01", "\u00a05",
+             "\u0661", "x", "no 5", "1 2", "--1", "+", ".", "now", "today", "epoch", "null"]
+    texts += ["".join(rng.choice("0129+-.:TZeEfdnatruyx \t\n") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "v string")
+    v = F.col("v")
+    for kind in S.TYPES:
+        assert not df.where(S._fits(v, kind) != (v.try_cast(kind).isNotNull() | v.isNull())).collect(), kind
+
+
+def test_records_of_a_file_are_not_gathered_in_one_task(spark):
+    """Files are few and may be large: nothing that holds the records is shuffled by file."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    base = folder(spark, "a,b\n" + "".join(f'{i},"x\ny"\n' if i % 3 else f"{i},z\n" for i in range(300)), "b,a\nq,7\n")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are large
+        df = S.scan_csv_union(spark, base)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(file" not in plan
+        assert sorted(r.a for r in df.collect()) == sorted([*range(300), 7])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

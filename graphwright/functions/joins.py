@@ -1,10 +1,11 @@
 """Join helpers.
 
-Broadcast is used in two ways only:
+Broadcast is used in three ways only:
 
 * ``join_fixed``: the small side is a fixed lookup table (a few rows of fixed
   values), so its size is bounded by construction;
-* ``skew_join``: the list of hot keys, at most ``HOT_SHARE`` by their definition.
+* ``skew_join``: the list of hot keys, at most ``HOT_SHARE`` by their definition;
+* ``scan_csv_union``: one small row for each file or block, as in the listing that the driver holds.
 
 Everything else is a plain join: AQE measures the real shuffle output at
 runtime, turns the join into a broadcast join only under
